@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,12 +29,24 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def own_shuffles(spark: SparkSession) -> Iterator[None]:
+    """For a job whose whole result gets written: its shuffle files go as soon as it ends."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+        release(spark)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage through the shared folder; the shuffles behind it can go."""
+    """Cuts lineage through the shared folder; the shuffles behind it go."""
     shared_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    release(df.sparkSession)
-    return out
+    with own_shuffles(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def release(spark: SparkSession) -> None:

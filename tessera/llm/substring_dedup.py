@@ -192,8 +192,8 @@ class FingerprintIndex:
             runs = self.spark.createDataFrame([], "bucket int, data binary")
         out = f"{self.path}/batch-{self.n_batches:06d}"
         reduced = keys.groupBy("bucket").cogroup(runs.groupBy("bucket")).applyInArrow(_merge_join(write_run), REDUCED)
-        reduced.write.partitionBy("kind").option("compression", "zstd").parquet(out)
-        runtime.release(self.spark)
+        with runtime.own_shuffles(self.spark):
+            reduced.write.partitionBy("kind").option("compression", "zstd").parquet(out)
         for old in self.runs:
             runtime.delete(self.spark, old)
         self.n_batches += 1
