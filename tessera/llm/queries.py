@@ -19,9 +19,17 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.language_model import deleted_interpolation
+    from tessera.llm.runtime import crc_mod
+
+    return deleted_interpolation(table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) == 2)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op7_lm_scoring": op7_lm_scoring,
     }
 
 
