@@ -222,7 +222,7 @@ def deleted_interpolation(docs: DataFrame, held_out, order: int = 2) -> DataFram
     n_chunks = max(n_chunks, 8 * FOLDS)
     chunks = in_chunks(docs, n_chunks, extra=("held_out",))
     keys = chunks.groupBy("chunk").applyInArrow(_emit(order, n_buckets), KEYS)
-    reduced = runtime.checkpoint(keys.groupBy("bucket").applyInArrow(_reduce, REDUCED))
+    reduced = runtime.written(keys.groupBy("bucket").applyInArrow(_reduce, REDUCED), "ngram-counts")
     stats = reduced.filter((F.col("kind") == "stat") & (F.col("bucket") < n_buckets))
     n, n_rest, v = (x or 0 for x in stats.agg(F.sum("total"), F.sum("total_rest"), F.sum("n_distinct")).first())
     replies = reduced.filter("kind = 'reply'").select("bucket", "chunk", "data", "rest")
@@ -230,6 +230,7 @@ def deleted_interpolation(docs: DataFrame, held_out, order: int = 2) -> DataFram
     tally_schema = "bucket int, " + ", ".join(f"bin_{k} int" for k in range(1, order + 1)) + ", n long"
     tallies = chunks.filter(deleted).groupBy("chunk").cogroup(replies.filter(deleted).groupBy("chunk")).applyInArrow(_held_out(order, n_buckets, n_rest, v), tally_schema)
     names = tallies.columns
-    rows = tallies.groupBy(*names[:-1]).agg(F.sum("n").alias("n")).toPandas().to_numpy(dtype=np.int64)
+    with runtime.own_shuffles(docs.sparkSession):
+        rows = tallies.groupBy(*names[:-1]).agg(F.sum("n").alias("n")).toPandas().to_numpy(dtype=np.int64)
     weights = learn_weights(rows, order, v)
     return chunks.groupBy("chunk").cogroup(replies.select("bucket", "chunk", "data").groupBy("chunk")).applyInArrow(_score(order, n_buckets, n, v, weights), RESULT)

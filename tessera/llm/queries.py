@@ -21,6 +21,19 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.chat import format_conversations
+
+    return format_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.runtime import crc_mod
+    from tessera.llm.toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_mod("doc_id", 4) == 2)
+
+
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.exact_search import exact_top_k
 
@@ -46,6 +59,19 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deleted_interpolation(table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) == 2)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.language_id import document_evidence, identify
+
+    return identify(document_evidence(table(spark, sf_dir, "documents")), "doc_id")
+
+
+def pages_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 8 again, over pages, where all evidence occurs: markup, address suffix, domain and host."""
+    from tessera.llm.language_id import identify, page_evidence
+
+    return identify(page_evidence(table(spark, sf_dir, "pages")), "page_id")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -57,10 +83,14 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op2_chat_formatting": op2_chat_formatting,
+        "op3_toxicity": op3_toxicity,
         "op4_exact_top_k": op4_exact_top_k,
         "op5_mixing": op5_mixing,
         "op6_one_bit_search": op6_one_bit_search,
         "op7_lm_scoring": op7_lm_scoring,
+        "op8_language_id": op8_language_id,
+        "pages_language_id": pages_language_id,
         "op9_byte_bpe": op9_byte_bpe,
     }
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import tempfile
 import uuid
@@ -43,10 +44,35 @@ def own_shuffles(spark: SparkSession) -> Iterator[None]:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage through the shared folder; the shuffles behind it go."""
-    shared_dir(df.sparkSession)
-    with own_shuffles(df.sparkSession):
-        return df.checkpoint(eager=True)
+    """Cuts lineage through the shared folder; for small steps, whose files Spark drops with the plan."""
+    spark = df.sparkSession
+    shared_dir(spark)
+    return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """df as a table in the shared folder; for large steps, whose shuffle files must not outlive them.
+
+    The folder goes when the driver's Python ends.
+    """
+    spark = df.sparkSession
+    path, schema = scratch(spark, what), df.schema
+    with own_shuffles(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    if not _written:
+        atexit.register(_drop_written)
+    _written.append((spark, path))
+    return spark.read.schema(schema).parquet(path)
+
+
+_written: list[tuple[SparkSession, str]] = []
+
+
+def _drop_written() -> None:
+    while _written:
+        spark, path = _written.pop()
+        if spark.sparkContext._jsc is not None:
+            delete(spark, path)
 
 
 def release(spark: SparkSession) -> None:
