@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 from tessera.llm.vector_blocks import keep_best, top_k, usable
 
 PIVOTS = 16
-#: Candidates evaluated at a time, in the order of their bounds.
+#: Candidates evaluated first, in the order of their bounds; then twice as many each time.
 STEP = 256
-#: Room for rounding in the distances' last bits, as a share of the squared norms; scores are exact integers.
-SLACK = 1e-9
+#: Queries bounded at a time, so that their bounds stay in the cache.
+AT_ONCE = 32
+#: Room for rounding in single precision, as a share of the squared norms; scores themselves are exact integers.
+SLACK = 1e-5
 
 
 def pivot_search(pivots: np.ndarray, k: int):
@@ -28,35 +30,43 @@ def pivot_search(pivots: np.ndarray, k: int):
         away = square[:, None] + (pivots * pivots).sum(1) - 2 * vectors @ pivots.T
         return np.column_stack([np.sqrt(np.maximum(away, 0)), square])
 
+    def upper_bounds(mine: np.ndarray, theirs: np.ndarray) -> np.ndarray:
+        """Upper bounds of the inner products of a few queries with a block, in single precision, rounded up."""
+        a, b = mine.astype(np.float32), np.ascontiguousarray(theirs.T.astype(np.float32))
+        most = np.zeros((len(a), b.shape[1]), np.float32)
+        gap = np.empty_like(most)
+        for p in range(len(pivots)):
+            np.subtract(a[:, p, None], b[p], out=gap)
+            np.abs(gap, out=gap)
+            np.maximum(most, gap, out=most)
+        squares = a[:, -1, None] + b[-1]
+        np.multiply(most, most, out=most)
+        np.subtract(squares * np.float32(1 + SLACK), most, out=most)
+        return most / 2 + np.float32(SLACK)
+
     def search(queries, ids, blocks):
-        all_at, all_ids, all_scores = [], [], []
         mine = table(queries)
         held = [(np.zeros(0), np.zeros(0, np.int64)) for _ in ids]
         for vectors, found, extra in blocks:
             theirs = np.frombuffer(extra, np.float64).reshape(len(found), -1)
-            bound = np.zeros((len(ids), len(found)))
-            for p in range(len(pivots)):
-                np.maximum(bound, np.abs(mine[:, p, None] - theirs[None, :, p]), out=bound)
-            squares = mine[:, -1, None] + theirs[None, :, -1]
-            upper = (squares - bound * bound) / 2 + SLACK * (squares + 1)
-            for i in range(len(ids)):
-                score, of = held[i]
-                order = np.argsort(-upper[i], kind="stable")
-                order = order[found[order] != ids[i]]
-                for at in range(0, len(order), STEP):
-                    part = order[at : at + STEP]
-                    if len(score) >= k and upper[i, part[0]] < score[k - 1]:
-                        break
-                    score = np.r_[score, vectors[part] @ queries[i]]
-                    of = np.r_[of, found[part]]
-                    best = keep_best(score, of, k)
-                    score, of = score[best], of[best]
-                held[i] = (score, of)
-        for i, (score, of) in enumerate(held):
-            all_at.append(np.full(len(of), i))
-            all_ids.append(of)
-            all_scores.append(score)
-        return np.concatenate(all_at), np.concatenate(all_ids), np.concatenate(all_scores)
+            for some in range(0, len(ids), AT_ONCE):
+                upper = upper_bounds(mine[some : some + AT_ONCE], theirs)
+                for i in range(some, min(some + AT_ONCE, len(ids))):
+                    held[i] = evaluate(queries[i], ids[i], upper[i - some], vectors, found, *held[i])
+        return np.concatenate([np.full(len(of), i) for i, (_, of) in enumerate(held)]), np.concatenate([of for _, of in held]), np.concatenate([s for s, _ in held])
+
+    def evaluate(query, own, upper, vectors, found, score, of):
+        reach = np.flatnonzero((upper >= (score[k - 1] if len(score) >= k else -np.inf)) & (found != own))
+        order = reach[np.argsort(-upper[reach])]
+        at, step = 0, STEP
+        while at < len(order) and (len(score) < k or upper[order[at]] >= score[k - 1]):
+            part = order[at : at + step]
+            score = np.r_[score, vectors[part] @ query]
+            of = np.r_[of, found[part]]
+            best = keep_best(score, of, k)
+            score, of = score[best], of[best]
+            at, step = at + step, step * 2
+        return score, of
 
     return table, search
 
