@@ -87,6 +87,19 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Tables of ids of up to this many rows are broadcast; larger ones are joined by shuffle.
+BROADCAST_IDS = 200_000
+
+
+def broadcast_if_small(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is in ids (doc_id); rows of a null id stay."""
+    return docs.join(broadcast_if_small(ids), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def id_or_last(name: str = "doc_id") -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(LAST_ID))
 
