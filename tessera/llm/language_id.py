@@ -183,3 +183,10 @@ def identify(rows: DataFrame, id_col: str) -> DataFrame:
     at = F.col("best")
     accepted = (F.col("n_grams") > 0) & (F.element_at("p", at) >= LEAST_POSTERIOR) & (F.element_at("ll", at) >= floor)
     return out.select(id_col, F.element_at(languages, at).alias("lang_id"), F.element_at("p", at).alias("posterior"), F.element_at("post", at).alias("text_posterior"), "n_grams", "declared", accepted.alias("accepted"))
+
+
+def accepted_documents(docs: DataFrame) -> DataFrame:
+    """The rows of docs with a language; of rows that share an id all stay if one has. Rows of a null id stay."""
+    found = identify(document_evidence(docs), "doc_id")
+    per = found.groupBy("doc_id").agg(F.max("accepted").alias("ok")).filter("not ok and doc_id is not null").select("doc_id")
+    return runtime.without_ids(docs, runtime.checkpoint(per))

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import runtime
@@ -117,3 +117,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     rounded = reduce(DataFrame.union, _rounded(units, head["most"]), certain)
     out = rounded.alias("d").join(side.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
     return out.select("d.doc_id", "d.source", "d.size", "s.source_size", "s.target", "d.copies", (F.col("d.copies") * F.col("d.size")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it (0 to cap times)."""
+    due = mix(docs, weights, share, cap).groupBy("doc_id", "source").agg(F.sum("copies").cast("int").alias("__copies"), F.count("*").alias("__rows"))
+    due = runtime.checkpoint(due.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), "__copies", "__rows"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").cast("string").eqNullSafe(F.col("__source"))
+    rows = docs.join(due, same)
+    alone = rows.filter("__rows = 1").withColumn("__times", F.col("__copies"))
+    # Rows that share id and source share their copies.
+    nth = F.row_number().over(Window.partitionBy("__id", "__source").orderBy("text"))
+    shared = rows.filter("__rows > 1").withColumn("__times", F.expr("cast(__copies div __rows as int)") + (nth <= F.col("__copies") % F.col("__rows")).cast("int"))
+    taken = alone.unionByName(shared).filter("__times > 0")
+    return taken.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in docs.columns])

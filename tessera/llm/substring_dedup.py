@@ -114,7 +114,7 @@ def _merge_join(write_run: bool):
     return merge
 
 
-def _cover(width: int, n_buckets: int, with_text: bool):
+def _cover(width: int, n_buckets: int, with_text: bool, extra: tuple[str, ...] = ()):
     """A chunk's documents with its answers: marks covered words and leaves the rest."""
 
     def cover(_key: tuple[pa.Scalar, ...], table: pa.Table, replies: pa.Table) -> pa.Table:
@@ -138,7 +138,8 @@ def _cover(width: int, n_buckets: int, with_text: bool):
         gone = np.add.reduceat(np.r_[removed, False].astype(np.int64), np.minimum(words.first_of[:-1], len(removed)))
         gone[n_words == 0] = 0
         shas, texts = _kept(words, removed, gone, with_text)
-        return pa.table({"doc_id": table.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_sha256": pa.array(shas, pa.string()), "kept_text": pa.array(texts, pa.string())})
+        others = {f"in_{c}": table.column(f"in_{c}") for c in extra}
+        return pa.table(others | {"doc_id": table.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_sha256": pa.array(shas, pa.string()), "kept_text": pa.array(texts, pa.string())})
 
     return cover
 
@@ -182,9 +183,13 @@ class FingerprintIndex:
         self.runs: list[str] = []
         self.n_batches = 0
 
-    def add(self, docs: DataFrame, write_run: bool = True, with_text: bool = False, n_chunks: int | None = None) -> DataFrame:
-        """doc_id, n_words, n_removed, kept_sha256, kept_text (null unless asked for and changed) of each row."""
-        dealt_docs = in_chunks(docs, n_chunks or self.n_chunks)
+    def add(self, docs: DataFrame, write_run: bool = True, with_text: bool = False, n_chunks: int | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
+        """doc_id, n_words, n_removed, kept_sha256, kept_text (null unless asked for and changed) of each row.
+
+        Before them come the columns named in extra, as in_<name>.
+        """
+        docs = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"in_{c}") for c in extra])
+        dealt_docs = in_chunks(docs, n_chunks or self.n_chunks, extra=tuple(f"in_{c}" for c in extra))
         keys = dealt_docs.groupBy("chunk").applyInArrow(_emit(self.width, self.n_buckets), KEYS)
         if self.runs:
             runs = self.spark.read.schema("bucket int, data binary").parquet(*self.runs).select("bucket", "data")
@@ -200,10 +205,23 @@ class FingerprintIndex:
         has = {x["kind"] for x in self.spark.read.schema(REDUCED).parquet(out).select("kind").distinct().collect()}
         self.runs = [f"{out}/kind=run"] if "run" in has else []
         replies = self.spark.read.schema(REDUCED).parquet(out).filter("kind = 'reply'").select("bucket", "chunk", "data")
-        return dealt_docs.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_cover(self.width, self.n_buckets, with_text), RESULT)
+        schema = "".join(f"`in_{c}` {docs.schema[f'in_{c}'].dataType.simpleString()}, " for c in extra) + RESULT
+        return dealt_docs.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_cover(self.width, self.n_buckets, with_text, extra), schema)
+
+
+def without_repeats(docs: DataFrame, width: int = WINDOW, n_batches: int = 3) -> DataFrame:
+    """The rows of docs, all columns kept, with repeated words cut out of text; rows of which nothing is left go.
+
+    White space after a kept word stays as it was. n_chars, where there is one, follows the text.
+    """
+    found = substring_dedup(docs, width, n_batches, with_text=True, extra=tuple(docs.columns))
+    found = found.filter("n_words = 0 or n_removed < n_words")
+    text = F.coalesce("kept_text", "in_text")
+    new = {"text": text, "n_chars": F.when(F.col("kept_text").isNull(), F.col("in_n_chars")).otherwise(F.length(text).cast("long"))} if "n_chars" in docs.columns else {"text": text}
+    return found.select(*[new.get(c, F.col(f"`in_{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
-def substring_dedup(docs: DataFrame, width: int = WINDOW, n_batches: int = 3, with_text: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, width: int = WINDOW, n_batches: int = 3, with_text: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
     """Removes each word under a window of `width` words that also starts in a document of a smaller doc_id.
 
     One row per input row: doc_id, n_words, n_removed, kept_sha256 (kept words joined by one space), kept_text (null
@@ -214,7 +232,6 @@ def substring_dedup(docs: DataFrame, width: int = WINDOW, n_batches: int = 3, wi
     an empty result.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
     n_bytes = total_bytes(docs)
     index = FingerprintIndex(spark, n_bytes, width)
     at = runtime.id_or_last()
@@ -226,5 +243,5 @@ def substring_dedup(docs: DataFrame, width: int = WINDOW, n_batches: int = 3, wi
     for i, (low, high) in enumerate(bounds):
         batch = docs if low is None else docs.filter(at > low)
         batch = batch if high is None else batch.filter(at <= high)
-        parts.append(index.add(batch, write_run=i + 1 < len(bounds), with_text=with_text, n_chunks=per_batch))
+        parts.append(index.add(batch, write_run=i + 1 < len(bounds), with_text=with_text, n_chunks=per_batch, extra=extra))
     return reduce(DataFrame.union, parts)
