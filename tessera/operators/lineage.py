@@ -22,10 +22,10 @@ def tails(records: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     step = records.filter("supersedes_id is not null").select(F.col("supersedes_id").alias("id"), F.col("id").alias("tail"))
     if step.isEmpty():
         return ids.select("id", F.col("id").alias("tail"))
-    jump = ids.join(step, "id", "left").select("id", F.coalesce("tail", "id").alias("tail"))
+    jump = ids.join(step, "id", "left").select("id", F.coalesce("tail", "id").alias("tail")).persist()
     for _ in range(rounds):
         further = jump.select(F.col("id").alias("tail"), F.col("tail").alias("further"))
-        after = jump.join(further, "tail", "left").select("id", "tail", F.coalesce("further", "tail").alias("further"))
+        after = jump.join(further, "tail", "left").select("id", "tail", F.coalesce("further", "tail").alias("further")).persist()
         done = after.filter("further <> tail").isEmpty()
         jump = after.select("id", F.col("further").alias("tail"))
         if done:

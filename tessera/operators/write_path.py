@@ -34,10 +34,11 @@ def errors(drafts: DataFrame, stored: DataFrame) -> DataFrame:
     refs = refs.join(own, ["batch", "i"])
     known = stored.select(F.col("id").alias("target")).union(drafts.select("id"))
     taken = stored.filter("supersedes_id is not null").select(F.col("supersedes_id").alias("target"))
-    old = refs.filter("field = 'supersedes' and target is not null")
+    others = refs.filter("target is not null and target <> own")
+    old = others.filter("field = 'supersedes'")
     twice = old.withColumn("n_same", F.count("*").over(Window.partitionBy("batch", "target"))).filter("n_same > 1")
     circles = _in_circle(old.select("batch", "i", F.col("own").alias("a"), F.col("target").alias("b")))
-    parents = refs.filter("field = 'parent' and target is not null").select("batch", "i", F.col("own").alias("a"), F.col("target").alias("b"))
+    parents = others.filter("field = 'parent'").select("batch", "i", F.col("own").alias("a"), F.col("target").alias("b"))
     parts = [
         of(drafts.filter(F.trim(F.coalesce("summary", F.lit(""))) == ""), "summary", "empty"),
         of(drafts.filter(F.trim(F.coalesce("body", F.lit(""))) == ""), "body", "empty"),
@@ -53,16 +54,18 @@ def errors(drafts: DataFrame, stored: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, parts).distinct()
 
 
-def _in_circle(steps: DataFrame, rounds: int = 6) -> DataFrame:
-    """(batch, i) of rows that come back to themselves in 2 to 2**rounds steps inside their batch."""
-    ends = steps.select("batch", F.col("a").alias("b")).distinct()
-    reach = steps.join(ends, ["batch", "b"], "left_semi").select("batch", "i", "a", "b")
-    for _ in range(rounds):
-        if reach.isEmpty():
-            break
-        onward = reach.select("batch", F.col("a").alias("b"), F.col("b").alias("c"))
-        reach = reach.union(reach.join(onward, ["batch", "b"]).select("batch", "i", "a", F.col("c").alias("b"))).distinct()
-    return reach.filter("a = b").select("batch", "i").distinct()
+def _in_circle(steps: DataFrame) -> DataFrame:
+    """(batch, i) of rows that come back to themselves inside their batch. steps: batch, i, a, b (one b for an a).
+
+    Jumps double until they are longer than any batch: whoever still lands somewhere then, lands on a circle.
+    """
+    here = steps.select("batch", F.col("a").alias("b")).distinct()
+    jump = steps.join(here, ["batch", "b"], "left_semi").select("batch", "a", "b").persist()
+    longest = jump.groupBy("batch").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(longest.bit_length()):
+        jump = jump.join(jump.select("batch", F.col("a").alias("b"), F.col("b").alias("c")), ["batch", "b"]).select("batch", "a", F.col("c").alias("b")).persist()
+    landed = jump.select("batch", F.col("b").alias("a")).distinct()
+    return steps.join(landed, ["batch", "a"], "left_semi").select("batch", "i")
 
 
 def inherited_parents(drafts: DataFrame, stored: DataFrame, rounds: int = 8) -> DataFrame:
