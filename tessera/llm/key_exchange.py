@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.runtime import id_or_last, power_of_two, text_of
 
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 2 << 20
 BUCKET_BYTES = 12 << 20
 
 

@@ -16,6 +16,8 @@ IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Odd multipliers of two independent hash families (bytes, words).
 FAMILIES = ((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), (0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F))
+#: Bytes hashed at a time.
+BLOCK = 1 << 18
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -85,12 +87,19 @@ class Words:
         return len(self.start)
 
     def hashes(self, family: int = 0) -> np.ndarray:
-        if not len(self):
-            return np.zeros(0, U)
-        up, down = powers(FAMILIES[family][0], len(self.data))
-        x = (self.data.astype(U) + U(1)) * up
-        x[self.space] = 0
-        return mix(np.add.reduceat(x, self.start) * down[self.start])
+        """By blocks of bytes, so that what is held besides the words does not grow with the texts (a long word: by it)."""
+        out = np.empty(len(self), U)
+        at = 0
+        while at < len(self):
+            to = int(np.searchsorted(self.start, self.start[at] + BLOCK))
+            low, high = int(self.start[at]), int(self.end[to - 1])
+            up, down = powers(FAMILIES[family][0], high - low)
+            x = (self.data[low:high].astype(U) + U(1)) * up
+            x[self.space[low:high]] = 0
+            starts = self.start[at:to] - low
+            out[at:to] = mix(np.add.reduceat(x, starts) * down[starts])
+            at = to
+        return out
 
     def windows(self, width: int, family: int = 0, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(index of the first word, hash) of each run of width words inside one text."""
