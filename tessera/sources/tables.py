@@ -23,17 +23,29 @@ def source_tree(spark: SparkSession, root: str, ignored: DataFrame | None = None
     skipped = "(^|/)(" + "|".join(d.replace(".", "\\.") for d in P.SKIPPED_DIRECTORIES) + ")/"
     out = files.withColumn("path", rel).filter(~F.col("path").rlike(skipped)).withColumn("language", P.language(F.col("path"))).filter("language is not null")
     if ignored is not None:
-        out = out.join(F.broadcast(ignored), F.col("path").rlike(F.col("pattern")), "left_anti")
+        out = out.join(F.broadcast(ignored), F.regexp_like("path", F.col("pattern")), "left_anti")
     out = out.join(F.broadcast(nested_projects(spark, root)), P.in_scope(F.col("path"), F.col("prefix")) & (F.col("prefix") != ""), "left_anti")
     return out.select("path", F.col("length").alias("size"), F.unix_micros("modificationTime").alias("mtime"), F.sha2("content", 256).alias("hash"), "language", F.col("content").cast("string").alias("text"))
 
 
 def nested_projects(spark: SparkSession, root: str) -> DataFrame:
-    """(prefix): directories below root that hold a .git."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
-    rel = F.expr(f"substring(path, locate('{root.rstrip('/')}/', path) + {len(root.rstrip('/')) + 1})")
-    inner = F.regexp_extract(rel, r"^(.+?)/\.git(/|$)", 1)
-    return files.select(inner.alias("prefix")).filter("prefix <> ''").distinct()
+    """(prefix): directories below root that hold a .git. Listed by the driver, as Spark's file index lists a tree:
+    the file source itself does not show names that begin with a dot."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(conf)
+    base = fs.makeQualified(at).toString().rstrip("/") + "/"
+    found, open_ = [], [at]
+    while open_:
+        for entry in fs.listStatus(open_.pop()):
+            name, path = entry.getPath().getName(), entry.getPath()
+            if name == ".git":
+                inner = path.getParent().toString().rstrip("/") + "/"
+                if inner != base:
+                    found.append(inner.removeprefix(base).rstrip("/"))
+            elif entry.isDirectory() and name not in P.SKIPPED_DIRECTORIES:
+                open_.append(path)
+    return spark.createDataFrame([(f,) for f in found], "prefix string")
 
 
 def ignore_rules(rules: DataFrame) -> DataFrame:
