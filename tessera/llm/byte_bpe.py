@@ -30,6 +30,17 @@ TEXT_BYTES = 1 << 20
 _EMPTY = np.uint64(2**64 - 1)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
+# Code points that are letters and numbers since Unicode 17, and neither for the tokenizers' libraries.
+LATER_LETTERS = (
+    "558-558 58B-58C 88F-88F C5C-C5C CDC-CDC 208F-208F 209D-209F A7CE-A7CF A7D2-A7D2 A7D4-A7D4 A7DD-A7DD "
+    "A7E2-A7E2 A7F1-A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A-11B0A 11DB0-11DDB "
+    "11DF1-11DF1 16EA0-16EB8 16EBB-16ED3 16FF2-16FF3 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 "
+    "18E00-19191 191A0-191D2 1B123-1B128 1B168-1B168 1D6A6-1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 "
+    "1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F "
+    "2B81E-2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F "
+)
+LATER_NUMBERS = "11DE0-11DE9 1246F-1246F 12475-1247F 12550-12686 16FF4-16FF6"
+
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -190,7 +201,14 @@ class TextCoder:
     def __init__(self, bpe: ByteBpe, pattern: str):
         import regex
 
+        def ranges(text: str) -> str:
+            return "".join(f"\\U{a:0>8}-\\U{b:0>8}" for a, b in (x.split("-") for x in text.split()))
+
+        letters, numbers = ranges(LATER_LETTERS), ranges(LATER_NUMBERS)
+        older = pattern.replace(r"\p{L}", rf"[\p{{L}}--[{letters}]]").replace(r"\p{N}", rf"[\p{{N}}--[{numbers}]]")
         self.bpe, self.find = bpe, regex.compile(pattern).findall
+        self.later = regex.compile(f"[{letters}{numbers}]").search
+        self.find_older = regex.compile(older, regex.V1).findall
         self._forget()
 
     def _forget(self) -> None:
@@ -200,6 +218,14 @@ class TextCoder:
         self.start = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
 
+    def _pieces(self, text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            if self.later(text):
+                return self.find_older(text)
+        return self.find(text)
+
     def _learn(self, new: list[str]) -> None:
         coded = self.bpe.encode_pieces([p.encode() for p in new])
         counts = np.array([len(x) for x in coded], dtype=np.int64)
@@ -214,7 +240,7 @@ class TextCoder:
         """Ids of all texts one after another, where each text's end, and each text's ids in decimal with commas."""
         if len(self.code) > REMEMBERED:
             self._forget()
-        pieces = [self.find(t) for t in texts]
+        pieces = [self._pieces(t) for t in texts]
         new = set().union(*pieces).difference(self.code)
         if new:
             self._learn(sorted(new))

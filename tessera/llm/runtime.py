@@ -50,10 +50,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+def written(df: DataFrame, what: str, scratch_of: list[str] | None = None) -> DataFrame:
     """df as a table in the shared folder; for large steps, whose shuffle files must not outlive them.
 
-    The folder goes when the driver's Python ends.
+    The folder goes when the driver's Python ends, or with drop() where its path is added to scratch_of.
     """
     spark = df.sparkSession
     path, schema = scratch(spark, what), df.schema
@@ -62,12 +62,22 @@ def written(df: DataFrame, what: str) -> DataFrame:
     if not _written:
         atexit.register(_drop_written)
     _written.append((spark, path))
+    if scratch_of is not None:
+        scratch_of.append(path)
     return spark.read.schema(schema).parquet(path)
 
 
 _written: list[tuple[SparkSession, str]] = []
 
 
+def drop(paths: list[str]) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for entry in [e for e in _written if e[1] in paths]:
+        _written.remove(entry)
+        delete(*entry)
+    paths.clear()
+
+
 def _drop_written() -> None:
     while _written:
         spark, path = _written.pop()
