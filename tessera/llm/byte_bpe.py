@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tessera.llm.runtime import small_batches
 from tessera.llm.wordhash import spread
 
 #: No merge.
@@ -285,6 +286,7 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str, with_ids: bool =
     A null or empty text has no tokens and decodes to nothing. Ids are those of merging each piece by itself, whole
     pieces that are tokens first. Other columns are ignored; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     coder = coder_of(path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

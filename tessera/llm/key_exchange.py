@@ -12,9 +12,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.runtime import id_or_last, power_of_two, text_of
+from tessera.llm.runtime import id_or_last, power_of_two, small_batches, text_of
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 3 << 19
 BUCKET_BYTES = 12 << 20
 
 
@@ -30,6 +30,7 @@ def sizes(n_bytes: int, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCK
 
 def in_chunks(docs: DataFrame, n_chunks: int, id_col: str = "doc_id", text: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
     """(chunk, key_id, doc_id, text, *extra). Identical rows share a chunk, rows of one id with other texts need not."""
+    small_batches(docs.sparkSession)
     # The order of columns in the hash is fixed; retries and reruns deal alike.
     at = F.pmod(F.xxhash64(F.col(id_col), F.col(text)), F.lit(n_chunks)).cast("long")
     return docs.select(at.alias("chunk"), id_or_last(id_col).alias("key_id"), F.col(id_col).cast("long").alias("doc_id"), text_of(text).alias("text"), *[F.col(c) for c in extra])

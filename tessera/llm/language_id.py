@@ -147,6 +147,7 @@ def identify(rows: DataFrame, id_col: str) -> DataFrame:
     no declared language anywhere nothing can be learned: lang_id is null and accepted false. Rows repeat as they are;
     an empty table gives an empty result.
     """
+    runtime.small_batches(rows.sparkSession)
     names, logs = trigram_log_probabilities(rows)
     if not names:
         return rows.select(id_col, F.lit(None).cast("string").alias("lang_id"), F.lit(None).cast("double").alias("posterior"), F.lit(None).cast("double").alias("text_posterior"), F.lit(0).cast("long").alias("n_grams"), "declared", F.lit(False).alias("accepted"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import runtime
 from tessera.llm.key_exchange import dealt, in_chunks, sizes, total_bytes
-from tessera.llm.wordhash import LOWER, U, Words, mix, utf8
+from tessera.llm.wordhash import LOWER, U, Words, mix, trim, utf8
 
 #: Every FOLDS-th chunk is held out to learn the weights.
 FOLDS = 8
@@ -85,6 +85,7 @@ def _emit(order: int, n_buckets: int):
         for k in range(order):
             counts = np.bincount(g.slot[k], weights=train, minlength=len(g.unique[k])).astype(np.int64)
             rows += [(b, g.unique[k][i:j].tobytes(), _narrow(counts[i:j])) for b, i, j in g.cut(k)]
+        trim()
         b, keys, counts = zip(*rows, strict=True) if rows else ((), (), ())
         return pa.table({"bucket": pa.array(b, pa.int32()), "chunk": pa.array([key[0].as_py()] * len(b), pa.int64()), "keys": pa.array(keys, pa.binary()), "counts": pa.array(counts, pa.binary())})
 

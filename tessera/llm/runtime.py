@@ -43,6 +43,13 @@ def own_shuffles(spark: SparkSession) -> Iterator[None]:
         release(spark)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of fewer rows than Spark's default, for columns of whole texts; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts lineage through the shared folder; for small steps, whose files Spark drops with the plan."""
     spark = df.sparkSession

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import runtime
 from tessera.llm.key_exchange import dealt, in_chunks, sizes, total_bytes
-from tessera.llm.wordhash import U, Words, utf8
+from tessera.llm.wordhash import U, Words, trim, utf8
 
 WINDOW = 13
 #: Fingerprint bits of the first hash in a key; the other 16 bits, and the bucket, check with the second hash.
@@ -49,6 +49,8 @@ def _emit(width: int, n_buckets: int):
         docs = ids[words.doc[at]][order]
         first = np.minimum.reduceat(docs, new)
         k, b = keys[order][new], bucket[order][new]
+        del words, at, keys, bucket, order, docs
+        trim()
         cut = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
         ends = np.r_[cut[1:], len(b)]
         return pa.table(
@@ -108,6 +110,7 @@ def _merge_join(write_run: bool):
             merged = np.concatenate([history, unique])
             merged.sort(kind="stable")
             out.append(("run", None, merged.tobytes()))
+        trim()
         kinds, chunks, data = zip(*out, strict=True) if out else ((), (), ())
         return pa.table({"kind": pa.array(kinds, pa.string()), "bucket": pa.array([bucket] * len(kinds), pa.int32()), "chunk": pa.array(chunks, pa.int64()), "data": pa.array(data, pa.binary())})
 
@@ -138,6 +141,7 @@ def _cover(width: int, n_buckets: int, with_text: bool, extra: tuple[str, ...] =
         gone = np.add.reduceat(np.r_[removed, False].astype(np.int64), np.minimum(words.first_of[:-1], len(removed)))
         gone[n_words == 0] = 0
         shas, texts = _kept(words, removed, gone, with_text)
+        trim()
         others = {f"in_{c}": table.column(f"in_{c}") for c in extra}
         return pa.table(others | {"doc_id": table.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_sha256": pa.array(shas, pa.string()), "kept_text": pa.array(texts, pa.string())})
 

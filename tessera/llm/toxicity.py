@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.runtime import small_batches
 from tessera.llm.wordhash import U, mix
 
 ORDERS = (3, 4, 5)
@@ -206,6 +207,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, thresho
     0 and 1 are ignored; of several labels for one id the largest counts. With one class or none labelled, every text
     gets the base rate. Rows repeat as they are; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     model = train(fit_sample(docs, labels, held_out, bound))
     shared = docs.sparkSession.sparkContext.broadcast((model.lookup, model.weight, model.bias))
 
