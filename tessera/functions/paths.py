@@ -11,7 +11,7 @@ LANGUAGES = {
     "ts": "typescript", "tsx": "typescript", "go": "go", "java": "java", "c": "c", "h": "cpp", "hh": "cpp", "hpp": "cpp",
     "hxx": "cpp", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "c++": "cpp", "cs": "csharp",
 }
-SKIPPED_DIRECTORIES = ["target", "node_modules", ".cam", ".git", "vendor", "dist"]
+SKIPPED_DIRECTORIES = ["target", "node_modules", ".git", "vendor", "dist"]
 
 # Kinds of symbols, and what they add to a candidate's score.
 TYPE_KINDS = ["struct", "class", "trait", "enum", "type_alias"]
