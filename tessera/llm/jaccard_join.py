@@ -5,10 +5,10 @@ which tokens of a set are chosen (about CHOSEN of them at each level): a set goe
 chooses, and the pairs of buckets of at most SMALL sets become candidates. Sets that share most tokens share a chosen
 one with high probability; runs repeat until what they all miss is under 1 - RECALL. A set whose other buckets are too
 few to promise that goes on in the larger ones, which split by the tokens chosen at the next level. Larger buckets
-whose members are mostly near a few probes hold near copies: rounds of pivots are compared with all members until few
-are near none, and these are compared with all as well; only buckets where that does not go on split further. What is
-left after the last level is compared pair by pair. Candidates pass a size and a sketch test and are then verified
-exactly; classes are the connected components of verified links.
+whose members are mostly near a few probes hold near copies and do not split: their sets are dealt into blocks, and two
+blocks that share such a bucket are compared all with all, exactly, by products of their tables of tokens. What is left
+after the last level is compared pair by pair. Candidates pass a size and a sketch test and are then verified exactly;
+classes are the connected components of verified links.
 """
 
 from __future__ import annotations
@@ -30,12 +30,12 @@ SHINGLE, THRESHOLD = 5, 0.8
 CHOSEN = 2.0
 RECALL = 0.99999
 LEVELS, SMALL = 4, 32
-#: Pivots of a large bucket a round; probes, and share of members near them that makes it a group of near copies; in
-#: how many such buckets (those of least hash) a set is compared.
-PIVOTS, PROBES, NEAR_COPIES, PIVOTED = 4, 2, 0.3, 3
-#: Least share of the rest that a round must cover to go on; and most differing bits of a sketch at which a member
-#: counts as covered by a pivot (surely similar, where MOST_BITS is perhaps similar).
-PROGRESS, COVERED_BITS = 0.1, 18
+#: Probes of a large bucket, and share of members near them that makes it a group of near copies; in how many such
+#: buckets (those of least hash) a set is compared.
+PROBES, NEAR_COPIES, PIVOTED = 2, 0.3, 3
+#: Tokens of a block of near copies (a set counts for EACH more), and the share of the pairs of two blocks from which on
+#: a token in common is counted by a matrix product; a rarer one is counted pair by pair.
+BLOCK_TOKENS, EACH, DENSE = 1 << 20, 256, 0.01
 #: A pair of sets of at least SKETCHED tokens whose sketches differ in more bits is no candidate (over 5 deviations).
 SKETCHED, MOST_BITS = 300, 52
 TEXT_BYTES = 2 << 20
@@ -140,9 +140,6 @@ def _signatures(n_runs: int, levels: int):
 SIGNATURES = "doc_id long, hi long, lo long, size int, s0 long, s1 long, s2 long, s3 long, chosen array<array<int>>"
 
 
-BITS = " + ".join(f"bit_count(a.s{k} ^ b.s{k})" for k in range(4))
-
-
 def _close(a: str, b: str, threshold: float) -> str:
     bits = " + ".join(f"bit_count({a}.s{k} ^ {b}.s{k})" for k in range(4))
     sizes = f"least({a}.size, {b}.size) >= {threshold}D * greatest({a}.size, {b}.size)"
@@ -156,12 +153,13 @@ def _paired(rows: DataFrame, threshold: float) -> DataFrame:
 SKETCH = ("size", "s0", "s1", "s2", "s3")
 
 
-def candidates(reps: DataFrame, n_runs: int, threshold: float = THRESHOLD, recall: float = RECALL, levels: int = LEVELS, small: int = SMALL) -> DataFrame:
-    """(a, b) with a < b, distinct: pairs of representatives to verify. reps: rep, size, s0..s3, chosen."""
+def candidates(reps: DataFrame, n_runs: int, threshold: float = THRESHOLD, recall: float = RECALL, levels: int = LEVELS, small: int = SMALL) -> tuple[DataFrame, DataFrame | None]:
+    """(a, b) with a < b, distinct: pairs of representatives to verify; and (path, rep, size) of the buckets of near
+    copies, whose members are to be compared all with all (None: there are none). reps: rep, size, s0..s3, chosen."""
     sketches = reps.select("rep", *SKETCH)
     tokens = F.expr(f"flatten(transform(sequence(0, {n_runs - 1}), r -> transform(chosen[r * {levels}], t -> struct(r as run, xxhash64(r, t) as path))))")
     now = reps.select("rep", F.explode(tokens).alias("p")).select("rep", "p.run", "p.path")
-    pairs, scratch, level = [], [], 1
+    pairs, groups, scratch, level = [], [], [], 1
     while True:
         # A set alone in its bucket is done there; the others carry their sketch and their bucket's size from here on.
         count = now.groupBy("path").count().filter("count > 1")
@@ -170,15 +168,15 @@ def candidates(reps: DataFrame, n_runs: int, threshold: float = THRESHOLD, recal
         large = met.filter(F.col("count") > small).drop("count")
         if large.isEmpty():
             break
-        near, covered = _pivoted(large, threshold, small)
-        pairs += near
+        group = _near_copies(large, threshold)
+        groups.append(group)
         if level == 1:
             # Sets with enough chosen tokens in other buckets have met their likes there; so has whoever is like them.
             lost = large.groupBy("rep").agg(F.count("*").alias("lost"))
             mean = reps.select("rep", F.expr(f"aggregate(transform(sequence(0, {n_runs - 1}), r -> size(chosen[r * {levels}])), 0, (s, x) -> s + x)").alias("all"))
             weak = mean.join(lost, "rep").filter(shared(threshold) * F.col("all") - F.col("lost") < due(recall)).select("rep")
             large = large.join(runtime.checkpoint(weak), "rep", "left_semi")
-        large = runtime.written(large.join(covered, ["path", "rep"], "left_anti"), f"large-{level}", scratch)
+        large = runtime.written(large.join(group.select("path").distinct(), "path", "left_anti"), f"large-{level}", scratch)
         if level == levels:
             pairs.append(runtime.checkpoint(_paired(large, threshold).distinct()))
             break
@@ -187,13 +185,8 @@ def candidates(reps: DataFrame, n_runs: int, threshold: float = THRESHOLD, recal
         level += 1
     found = runtime.checkpoint(reduce(DataFrame.union, pairs).distinct())
     runtime.drop(scratch)
-    return found
-
-
-def _near(members: DataFrame, pivots: DataFrame, threshold: float) -> DataFrame:
-    """(path, rep, other, sure): members and pivots of one bucket that pass the tests."""
-    met = members.alias("a").join(pivots.alias("b"), F.expr(f"a.path = b.path and a.rep <> b.rep and {_close('a', 'b', threshold)}"))
-    return met.select("a.path", F.col("a.rep").alias("rep"), F.col("b.rep").alias("other"), F.expr(f"({BITS}) <= {COVERED_BITS}").alias("sure"))
+    grouped = runtime.checkpoint(reduce(DataFrame.union, groups)) if groups else None
+    return found, None if grouped is None or grouped.isEmpty() else grouped
 
 
 def _least(members: DataFrame, n: int) -> DataFrame:
@@ -203,38 +196,132 @@ def _least(members: DataFrame, n: int) -> DataFrame:
     return parts.groupBy("path", "part").agg(F.min(row).alias("m")).select("path", "m.rep", *[f"m.{c}" for c in SKETCH])
 
 
-def _pivoted(large: DataFrame, threshold: float, small: int) -> tuple[list[DataFrame], DataFrame]:
-    """Pairs of members and pivots in groups of near copies, and the (path, rep) that are done by them.
-
-    A bucket with many members near its probes is such a group. Rounds of pivots are taken from the members that are
-    surely similar to none so far, and compared with all; when few are left, these are. Where a round covers few, the
-    bucket is mixed: all its members go on to the next level.
-    """
+def _near_copies(large: DataFrame, threshold: float) -> DataFrame:
+    """(path, rep, size): the members of buckets many of whose members are near the bucket's probes."""
     probes = runtime.checkpoint(_least(large, PROBES))
-    there = _near(large, probes, threshold).select("path", "rep").union(probes.select("path", "rep")).distinct().groupBy("path").agg(F.count("*").alias("n"))
+    near = large.alias("a").join(probes.alias("b"), F.expr(f"a.path = b.path and a.rep <> b.rep and {_close('a', 'b', threshold)}")).select("a.path", "a.rep")
+    there = near.union(probes.select("path", "rep")).distinct().groupBy("path").agg(F.count("*").alias("n"))
     alike = there.join(large.groupBy("path").count(), "path").filter(F.col("n") >= NEAR_COPIES * F.col("count")).select("path")
-    alike = runtime.checkpoint(alike)
-    group = large.join(alike, "path", "left_semi").select("path", "rep", *SKETCH)
-    nth = F.row_number().over(Window.partitionBy("rep").orderBy("path"))
-    members = runtime.checkpoint(group.withColumn("nth", nth).filter(F.col("nth") <= PIVOTED).drop("nth"))
-    found, stuck, left = [], [], members
-    while not left.isEmpty():
-        sizes = left.groupBy("path").agg(F.count("*").alias("n"))
-        few = runtime.checkpoint(left.join(sizes.filter(F.col("n") <= small).select("path"), "path", "left_semi").select("path", "rep", *SKETCH))
-        many = left.join(sizes.filter(F.col("n") > small), "path")
-        pivots = runtime.checkpoint(_least(many.drop("n"), PIVOTS))
-        near = runtime.checkpoint(_near(members, few.union(pivots), threshold))
-        found.append(near)
-        over = near.filter("sure").select("path", "rep").union(pivots.select("path", "rep")).distinct()
-        rest = runtime.checkpoint(many.join(over, ["path", "rep"], "left_anti"))
-        slow = rest.groupBy("path").agg(F.count("*").alias("m"), F.first("n").alias("n")).filter(F.col("m") > (1 - PROGRESS) * F.col("n")).select("path")
-        slow = runtime.checkpoint(slow)
-        stuck.append(rest.join(slow, "path", "left_semi").select("path", "rep"))
-        left = runtime.checkpoint(rest.join(slow, "path", "left_anti").drop("n"))
-    pairs = [x.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct() for x in found]
-    done = group.select("path", "rep")
-    done = done.join(reduce(DataFrame.union, stuck).select("path").distinct(), "path", "left_anti") if stuck else done
-    return pairs, runtime.checkpoint(done)
+    return runtime.checkpoint(large.join(runtime.checkpoint(alike), "path", "left_semi").select("path", "rep", "size", F.row_number().over(Window.partitionBy("rep").orderBy("path")).alias("nth")).filter(F.col("nth") <= PIVOTED).drop("nth"))
+
+
+def _dealt(grouped: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rep, block), each rep once, and (x, y) with x <= y: the pairs of blocks with a bucket in common.
+
+    Any two sets of a bucket are so in just one pair of blocks. Sets get the least label around them twice, so that a
+    group, however many buckets it has, is dealt into blocks of its own; nothing but the number of pairs depends on it.
+    """
+    labels = grouped.groupBy("path").agg(F.min("rep").alias("label"))
+    of_reps = grouped.join(labels, "path").groupBy("rep").agg(F.min("label").alias("label"))
+    labels = grouped.join(of_reps, "rep").groupBy("path").agg(F.min("label").alias("label"))
+    of_reps = grouped.join(labels, "path").groupBy("rep").agg(F.min("label").alias("label"), F.max("size").cast("long").alias("size"))
+    before = F.sum(F.col("size") + EACH).over(Window.partitionBy("label").orderBy("rep"))
+    blocks = runtime.checkpoint(of_reps.select("rep", F.xxhash64("label", F.floor(before / BLOCK_TOKENS)).alias("block")))
+    there = runtime.checkpoint(grouped.join(blocks, "rep").select("path", "block").distinct())
+    asked = there.select("path", F.col("block").alias("x")).join(there.select("path", F.col("block").alias("y")), "path").filter("x <= y").select("x", "y").distinct()
+    return blocks, runtime.checkpoint(asked)
+
+
+def _in_common(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each set of xs has in common with each of ys."""
+    n, m = len(xs), len(ys)
+    _, code = np.unique(np.concatenate([*xs, *ys]), return_inverse=True)
+    cut = sum(map(len, xs))
+    row, col = (np.repeat(np.arange(len(z)), [len(t) for t in z]) for z in (xs, ys))
+    of_x, of_y = code[:cut], code[cut:]
+    k = int(code.max()) + 1
+    in_x, in_y = np.bincount(of_x, minlength=k), np.bincount(of_y, minlength=k)
+    dense = in_x * in_y >= max(1.0, DENSE * n * m)
+    number, n_dense = np.cumsum(dense) - 1, int(dense.sum())
+    common = np.zeros((n, m), np.float32)
+    step = max(1, (1 << 23) // (n + m))
+    here_x, here_y = dense[of_x], dense[of_y]
+    rows, at_x, cols, at_y = row[here_x], number[of_x[here_x]], col[here_y], number[of_y[here_y]]
+    for lo in range(0, n_dense, step):
+        a, b = (np.zeros((size, min(step, n_dense - lo)), np.float32) for size in (n, m))
+        for table, which, at in ((a, rows, at_x), (b, cols, at_y)):
+            part = (at >= lo) & (at < lo + step)
+            table[which[part], at[part] - lo] = 1
+        common += a @ b.T
+    rare = np.flatnonzero(~here_x & (in_y[of_x] > 0))
+    order = np.argsort(of_y, kind="stable")
+    first = np.cumsum(in_y) - in_y
+    total = np.cumsum(in_y[of_x[rare]])
+    lo = 0
+    while lo < len(rare):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + (1 << 22), "right")))
+        part = rare[lo:hi]
+        many = in_y[of_x[part]]
+        within = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        other = col[order[np.repeat(first[of_x[part]], many) + within]]
+        np.add.at(common.reshape(-1), np.repeat(row[part], many) * m + other, np.float32(1))
+        lo = hi
+    return common
+
+
+def _roots(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row and each column of a table of links, a row that is connected with it; -1 where it has no link."""
+    of_row, of_col = (np.full(k, -1) for k in linked.shape)
+    for i in np.flatnonzero(linked.any(1)).tolist():
+        rows = np.array([i]) if of_row[i] < 0 else np.zeros(0, int)
+        of_row[rows] = i
+        while len(rows):
+            cols = np.flatnonzero(linked[rows].any(0) & (of_col < 0))
+            of_col[cols] = i
+            rows = np.flatnonzero(linked[:, cols].any(1) & (of_row < 0))
+            of_row[rows] = i
+    return of_row, of_col
+
+
+COMPARED = "rep long, other long, linked long"
+
+
+def _compare(threshold: float):
+    """Of two blocks (x, y), or of one with itself: each set that has a link, a set that it is connected with, and how
+    many rows it is linked to. One line a set, however many links there are."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        # A row that repeats is one set; sets of one doc_id stand side by side.
+        second = table.column("second").to_pylist()
+        sides: list[dict] = [{}, {}]
+        for s, rep, n, t in zip(second, table.column("rep").to_pylist(), table.column("n").to_pylist(), table.column("tokens").to_pylist(), strict=True):
+            sides[s][rep, t] = n
+        if key[0] == key[1]:
+            sides[1] = sides[0]
+        if not sides[0] or not sides[1]:
+            return pa.table({c: pa.array([], pa.int64()) for c in ("rep", "other", "linked")})
+        ids, weights, sets, starts = [], [], [], []
+        for side in sides:
+            items = sorted(side.items(), key=lambda e: e[0][0])
+            reps = np.array([e[0][0] for e in items], np.int64)
+            start = np.flatnonzero(np.r_[True, reps[1:] != reps[:-1]])
+            ids.append(reps[start])
+            weights.append(np.array([e[1] for e in items], np.float64)[start])
+            sets.append([np.frombuffer(e[0][1], U) for e in items])
+            starts.append(start)
+        common = _in_common(*sets)
+        x, y = (np.array([len(t) for t in z], np.float64) for z in sets)
+        similar = np.zeros(common.shape, bool)
+        for i in range(0, len(x), 256):
+            c = common[i : i + 256].astype(np.float64)
+            similar[i : i + 256] = c >= threshold * (x[i : i + 256, None] + y - c)
+        if len(starts[0]) < len(x) or len(starts[1]) < len(y):
+            similar = np.logical_or.reduceat(np.logical_or.reduceat(similar, starts[0], axis=0), starts[1], axis=1)
+        alone = key[0] == key[1]
+        if alone:
+            np.fill_diagonal(similar, False)
+        linked = [np.zeros(len(i)) for i in ids]
+        for i in range(0, len(ids[0]), 256):
+            part = similar[i : i + 256].astype(np.float64)
+            linked[0][i : i + 256] = part @ weights[1]
+            if not alone:
+                linked[1] += weights[0][i : i + 256] @ part
+        roots = _roots(similar)
+        has = [np.flatnonzero(r >= 0) for r in roots]
+        out = (np.concatenate(z).astype(np.int64) for z in ([i[h] for i, h in zip(ids, has)], [ids[0][r[h]] for r, h in zip(roots, has)], [c[h] for c, h in zip(linked, has)]))
+        return pa.table(dict(zip(("rep", "other", "linked"), map(pa.array, out))))
+
+    return run
 
 
 def _fetch_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,8 +370,8 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
 
     Texts whose sets of lower-cased five-word shingles have a Jaccard similarity of `threshold` or more are linked;
     a text of fewer words is one shingle. Classes are connected components. n_links counts the other rows linked to a
-    row: its copies, and the rows of every representative that was found and verified as similar (in buckets of over
-    SMALL sets that are near copies of each other, the links to pivots stand for those among the rest).
+    row: its copies, and the rows of every representative that was found and verified as similar (in
+    buckets of over SMALL near copies not those that only the comparison of blocks finds).
 
     Null and empty texts and null ids take no part: class_id is the row's own doc_id, n_links 0. Rows that share a
     doc_id share a class. Other columns are ignored; an empty table gives an empty result.
@@ -303,18 +390,29 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     kept: list[str] = []
     reps = runtime.written(reps, "representatives", kept)
     runtime.drop(scratch)
-    pairs = candidates(reps, n_runs, threshold, recall)
+    pairs, grouped = candidates(reps, n_runs, threshold, recall)
     runtime.drop(kept)
-    needed = runtime.checkpoint(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
+    if grouped is not None:
+        blocks, asked_blocks = _dealt(grouped)
+        needed = needed.union(blocks.select("rep"))
+    needed = runtime.checkpoint(needed.distinct())
     asked = runtime.broadcast_if_small(needed)
     sets = runtime.written(docs.join(asked, "doc_id", "left_semi").mapInArrow(_fetch_sets, "rep long, tokens binary"), "sets", scratch)
     with_sets = pairs.join(sets.select(F.col("rep").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("tokens").alias("y")), "b")
     links = runtime.written(with_sets.select("a", "b", "x", "y").mapInArrow(_verify(threshold), "a long, b long"), "links", scratch).distinct()
     links = runtime.checkpoint(links)
-    runtime.drop(scratch)
-    classes = components(links)
     copies = first.select("rep", "n")
-    degree = links.union(links.select("b", "a")).join(copies.select(F.col("rep").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("linked")).withColumnRenamed("a", "rep")
+    edges = links
+    degree = links.union(links.select("b", "a")).join(copies.select(F.col("rep").alias("b"), "n"), "b").select(F.col("a").alias("rep"), F.col("n").alias("linked"))
+    if grouped is not None:
+        sides = asked_blocks.select("x", "y", F.col("x").alias("block"), F.lit(0).alias("second")).union(asked_blocks.filter("x < y").select("x", "y", F.col("y").alias("block"), F.lit(1).alias("second")))
+        members = sides.join(blocks, "block").join(copies.groupBy("rep").agg(F.sum("n").alias("n")), "rep").join(sets, "rep")
+        compared = runtime.checkpoint(members.select("x", "y", "second", "rep", "n", "tokens").groupBy("x", "y").applyInArrow(_compare(threshold), COMPARED))
+        edges = edges.union(compared.filter("rep <> other").select("rep", "other"))
+    runtime.drop(scratch)
+    classes = components(edges)
+    degree = degree.groupBy("rep").agg(F.sum("linked").alias("linked"))
     per_set = first.join(classes, "rep", "left").join(degree, "rep", "left").select("hi", "lo", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), (F.col("n") - 1).alias("n_copies"))
     rows = every.select("doc_id", F.when(known, F.col("hi")).alias("hi"), F.when(known, F.col("lo")).alias("lo"))
     out = rows.join(per_set, ["hi", "lo"], "left")

@@ -205,6 +205,44 @@ def test_jaccard_join_large_groups(spark):
     got = {r.doc_id: r.class_id for r in jaccard_join.jaccard_join(df).collect()}
     assert got == brute_jaccard(df.collect())
 
+def bridged_copies(n, seed, length=300):
+    """n copies of each of two texts that are not similar, and two texts between them that alone link the two."""
+    rnd = random.Random(seed)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(length)]
+    steps = [(10 + 20 * k, f"v{rnd.randrange(10**6)}") for k in range(10)]
+    texts = []
+    for n_steps, many in ((0, n), (10, n), (3, 1), (7, 1)):
+        for i in range(many):
+            t = list(base)
+            for at, word in steps[:n_steps]:
+                t[at] = word
+            if many > 1:
+                t[220 + rnd.randrange(70)] = f"e{rnd.randrange(10**6)}"
+            texts.append(" ".join(t))
+    return texts
+
+
+@pytest.fixture(scope="module")
+def near_copies(spark):
+    texts = [t for s in range(4) for t in bridged_copies(40, s)]
+    rnd = random.Random(7)
+    return spark.createDataFrame(rnd.sample(list(enumerate(texts)), len(texts)), "doc_id long, text string").cache()
+
+
+def test_jaccard_join_classes_of_near_copies(spark, near_copies, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_TOKENS", 1 << 14)  # several blocks
+    got = {r.doc_id: r.class_id for r in jaccard_join.jaccard_join(near_copies).collect()}
+    assert got == brute_jaccard(near_copies.collect())
+
+
+def test_jaccard_join_compares_blocks_exactly(monkeypatch):
+    rnd = np.random.default_rng(1)
+    xs, ys = ([np.sort(rnd.choice(np.r_[np.arange(40), np.arange(1000, 1400)], 60, replace=False)).astype(np.uint64) for _ in range(n)] for n in (30, 50))
+    want = [[len(np.intersect1d(a, b)) for b in ys] for a in xs]
+    for dense in (0.0, 0.01, 0.1, 2.0):
+        monkeypatch.setattr(jaccard_join, "DENSE", dense)
+        assert (jaccard_join._in_common(xs, ys) == want).all()
+
 
 VECTORS = "vec_id long, embedding array<double>, label int, block string, shelf int"
 
