@@ -30,9 +30,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 CHOSEN = 2.0
 RECALL = 0.99999
 LEVELS, SMALL = 4, 32
-#: Probes of a large bucket, and share of members near them that makes it a group of near copies; in how many such
-#: buckets (those of least hash) a set is compared.
-PROBES, NEAR_COPIES, PIVOTED = 2, 0.3, 3
+#: Probes of a large bucket, and share of members near them that makes it a group of near copies.
+PROBES, NEAR_COPIES = 2, 0.3
 #: Tokens of a block of near copies (a set counts for EACH more), and the share of the pairs of two blocks from which on
 #: a token in common is counted by a matrix product; a rarer one is counted pair by pair.
 BLOCK_TOKENS, EACH, DENSE = 1 << 20, 256, 0.01
@@ -202,7 +201,7 @@ def _near_copies(large: DataFrame, threshold: float) -> DataFrame:
     near = large.alias("a").join(probes.alias("b"), F.expr(f"a.path = b.path and a.rep <> b.rep and {_close('a', 'b', threshold)}")).select("a.path", "a.rep")
     there = near.union(probes.select("path", "rep")).distinct().groupBy("path").agg(F.count("*").alias("n"))
     alike = there.join(large.groupBy("path").count(), "path").filter(F.col("n") >= NEAR_COPIES * F.col("count")).select("path")
-    return runtime.checkpoint(large.join(runtime.checkpoint(alike), "path", "left_semi").select("path", "rep", "size", F.row_number().over(Window.partitionBy("rep").orderBy("path")).alias("nth")).filter(F.col("nth") <= PIVOTED).drop("nth"))
+    return runtime.checkpoint(large.join(runtime.checkpoint(alike), "path", "left_semi").select("path", "rep", "size"))
 
 
 def _dealt(grouped: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -244,6 +244,13 @@ def test_jaccard_join_compares_blocks_exactly(monkeypatch):
         assert (jaccard_join._in_common(xs, ys) == want).all()
 
 
+def test_jaccard_join_no_cap_on_buckets(spark):
+    rows = [(path, rep, 100, 5, 5, 5, 5) for path in range(8) for rep in range(40)]
+    large = spark.createDataFrame(rows, "path long, rep long, size int, s0 long, s1 long, s2 long, s3 long")
+    got = {(r.path, r.rep) for r in jaccard_join._near_copies(large, 0.8).collect()}
+    assert got == {r[:2] for r in rows}
+
+
 VECTORS = "vec_id long, embedding array<double>, label int, block string, shelf int"
 
 
