@@ -323,6 +323,13 @@ def _compare(threshold: float):
     return run
 
 
+def _not_dealt(pairs: DataFrame, blocks: DataFrame, asked: DataFrame) -> DataFrame:
+    """The pairs that no pair of blocks has, so that each link is counted once."""
+    at = pairs.join(blocks.select(F.col("rep").alias("a"), F.col("block").alias("p")), "a", "left").join(blocks.select(F.col("rep").alias("b"), F.col("block").alias("q")), "b", "left")
+    at = at.select("a", "b", F.expr("if(p is null or q is null, null, least(p, q))").alias("x"), F.expr("if(p is null or q is null, null, greatest(p, q))").alias("y"))
+    return at.join(asked, ["x", "y"], "left_anti").select("a", "b")
+
+
 def _fetch_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j in _blocks(batch):
@@ -369,8 +376,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
 
     Texts whose sets of lower-cased five-word shingles have a Jaccard similarity of `threshold` or more are linked;
     a text of fewer words is one shingle. Classes are connected components. n_links counts the other rows linked to a
-    row: its copies, and the rows of every representative that was found and verified as similar (in
-    buckets of over SMALL near copies not those that only the comparison of blocks finds).
+    row: its copies, and the rows of every representative that was found and verified as similar, each once.
 
     Null and empty texts and null ids take no part: class_id is the row's own doc_id, n_links 0. Rows that share a
     doc_id share a class. Other columns are ignored; an empty table gives an empty result.
@@ -394,6 +400,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
     if grouped is not None:
         blocks, asked_blocks = _dealt(grouped)
+        pairs = runtime.checkpoint(_not_dealt(pairs, blocks, asked_blocks))
         needed = needed.union(blocks.select("rep"))
     needed = runtime.checkpoint(needed.distinct())
     asked = runtime.broadcast_if_small(needed)
@@ -409,6 +416,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
         members = sides.join(blocks, "block").join(copies.groupBy("rep").agg(F.sum("n").alias("n")), "rep").join(sets, "rep")
         compared = runtime.checkpoint(members.select("x", "y", "second", "rep", "n", "tokens").groupBy("x", "y").applyInArrow(_compare(threshold), COMPARED))
         edges = edges.union(compared.filter("rep <> other").select("rep", "other"))
+        degree = degree.union(compared.select("rep", "linked"))
     runtime.drop(scratch)
     classes = components(edges)
     degree = degree.groupBy("rep").agg(F.sum("linked").alias("linked"))

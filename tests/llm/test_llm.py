@@ -205,6 +205,14 @@ def test_jaccard_join_large_groups(spark):
     got = {r.doc_id: r.class_id for r in jaccard_join.jaccard_join(df).collect()}
     assert got == brute_jaccard(df.collect())
 
+def brute_links(rows, threshold=0.8):
+    sets = {}
+    for r in rows:
+        w = words(r.text)
+        sets[r.doc_id] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    return {a: sum(a != b and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]) for b in sets) for a in sets}
+
+
 def bridged_copies(n, seed, length=300):
     """n copies of each of two texts that are not similar, and two texts between them that alone link the two."""
     rnd = random.Random(seed)
@@ -251,6 +259,13 @@ def test_jaccard_join_no_cap_on_buckets(spark):
     assert got == {r[:2] for r in rows}
 
 
+def test_jaccard_join_n_links_of_near_copies(spark, near_copies, monkeypatch):
+    for tokens in (jaccard_join.BLOCK_TOKENS, 1 << 14):
+        monkeypatch.setattr(jaccard_join, "BLOCK_TOKENS", tokens)
+        got = {r.doc_id: r.n_links for r in jaccard_join.jaccard_join(near_copies).collect()}
+        assert got == brute_links(near_copies.collect())
+
+
 VECTORS = "vec_id long, embedding array<double>, label int, block string, shelf int"
 
 
