@@ -205,20 +205,25 @@ def _near_copies(large: DataFrame, threshold: float) -> DataFrame:
 
 
 def _dealt(grouped: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rep, block), each rep once, and (x, y) with x <= y: the pairs of blocks with a bucket in common.
+    """(rep, block), each rep once, and (x, y, second, rep) with x <= y: what each pair of blocks with a bucket in common
+    compares, the sets of either one (second: those of y) that are in a bucket with a set of the other.
 
-    Any two sets of a bucket are so in just one pair of blocks. Sets get the least label around them twice, so that a
-    group, however many buckets it has, is dealt into blocks of its own; nothing but the number of pairs depends on it.
+    Any two sets of a bucket are so compared in just one pair of blocks. Sets get the least label around them twice, and are
+    dealt in the order of the set that comes first in most of their buckets, so that a group, however many buckets it
+    has, is in few blocks; nothing but the number of pairs depends on it.
     """
     labels = grouped.groupBy("path").agg(F.min("rep").alias("label"))
-    of_reps = grouped.join(labels, "path").groupBy("rep").agg(F.min("label").alias("label"))
+    met = grouped.join(labels, "path")
+    own = met.groupBy("rep", "label").count().groupBy("rep").agg(F.max_by("label", F.struct("count", "label")).alias("own"))
+    of_reps = met.groupBy("rep").agg(F.min("label").alias("label"))
     labels = grouped.join(of_reps, "rep").groupBy("path").agg(F.min("label").alias("label"))
-    of_reps = grouped.join(labels, "path").groupBy("rep").agg(F.min("label").alias("label"), F.max("size").cast("long").alias("size"))
-    before = F.sum(F.col("size") + EACH).over(Window.partitionBy("label").orderBy("rep"))
+    of_reps = grouped.join(labels, "path").groupBy("rep").agg(F.min("label").alias("label"), F.max("size").cast("long").alias("size")).join(own, "rep")
+    before = F.sum(F.col("size") + EACH).over(Window.partitionBy("label").orderBy("own", "rep"))
     blocks = runtime.checkpoint(of_reps.select("rep", F.xxhash64("label", F.floor(before / BLOCK_TOKENS)).alias("block")))
-    there = runtime.checkpoint(grouped.join(blocks, "rep").select("path", "block").distinct())
-    asked = there.select("path", F.col("block").alias("x")).join(there.select("path", F.col("block").alias("y")), "path").filter("x <= y").select("x", "y").distinct()
-    return blocks, runtime.checkpoint(asked)
+    own = grouped.join(blocks, "rep").select("path", "rep", "block")
+    met = own.join(own.select("path", F.col("block").alias("other")).distinct(), "path")
+    asked = met.select(F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), F.expr("int(block > other)").alias("second"), "rep")
+    return blocks, runtime.checkpoint(asked.distinct())
 
 
 def _in_common(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
@@ -324,10 +329,12 @@ def _compare(threshold: float):
 
 
 def _not_dealt(pairs: DataFrame, blocks: DataFrame, asked: DataFrame) -> DataFrame:
-    """The pairs that no pair of blocks has, so that each link is counted once."""
-    at = pairs.join(blocks.select(F.col("rep").alias("a"), F.col("block").alias("p")), "a", "left").join(blocks.select(F.col("rep").alias("b"), F.col("block").alias("q")), "b", "left")
-    at = at.select("a", "b", F.expr("if(p is null or q is null, null, least(p, q))").alias("x"), F.expr("if(p is null or q is null, null, greatest(p, q))").alias("y"))
-    return at.join(asked, ["x", "y"], "left_anti").select("a", "b")
+    """The pairs that no pair of blocks compares, so that each link is counted once."""
+    at = pairs.join(blocks.select(F.col("rep").alias("a"), F.col("block").alias("p")), "a").join(blocks.select(F.col("rep").alias("b"), F.col("block").alias("q")), "b")
+    at = at.select("a", "b", F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"))
+    asked = asked.select("x", "y", "rep")
+    both = at.join(asked.withColumnRenamed("rep", "a"), ["x", "y", "a"], "left_semi").join(asked.withColumnRenamed("rep", "b"), ["x", "y", "b"], "left_semi")
+    return pairs.join(both.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def _fetch_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,8 +406,8 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     runtime.drop(kept)
     needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
     if grouped is not None:
-        blocks, asked_blocks = _dealt(grouped)
-        pairs = runtime.checkpoint(_not_dealt(pairs, blocks, asked_blocks))
+        blocks, met = _dealt(grouped)
+        pairs = runtime.checkpoint(_not_dealt(pairs, blocks, met))
         needed = needed.union(blocks.select("rep"))
     needed = runtime.checkpoint(needed.distinct())
     asked = runtime.broadcast_if_small(needed)
@@ -412,8 +419,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     edges = links
     degree = links.union(links.select("b", "a")).join(copies.select(F.col("rep").alias("b"), "n"), "b").select(F.col("a").alias("rep"), F.col("n").alias("linked"))
     if grouped is not None:
-        sides = asked_blocks.select("x", "y", F.col("x").alias("block"), F.lit(0).alias("second")).union(asked_blocks.filter("x < y").select("x", "y", F.col("y").alias("block"), F.lit(1).alias("second")))
-        members = sides.join(blocks, "block").join(copies.groupBy("rep").agg(F.sum("n").alias("n")), "rep").join(sets, "rep")
+        members = met.join(copies.groupBy("rep").agg(F.sum("n").alias("n")), "rep").join(sets, "rep")
         compared = runtime.checkpoint(members.select("x", "y", "second", "rep", "n", "tokens").groupBy("x", "y").applyInArrow(_compare(threshold), COMPARED))
         edges = edges.union(compared.filter("rep <> other").select("rep", "other"))
         degree = degree.union(compared.select("rep", "linked"))
