@@ -266,6 +266,19 @@ def test_jaccard_join_n_links_of_near_copies(spark, near_copies, monkeypatch):
         assert got == brute_links(near_copies.collect())
 
 
+def test_jaccard_join_recall_of_deep_levels(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "NEAR_COPIES", 9)  # all buckets split, to the last level
+    n, n_runs, levels = 4000, jaccard_join.runs_for(0.8), jaccard_join.LEVELS
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(n):  # the choices that two sets at the threshold have in common
+        chosen = [rng.integers(0, 2**31 - 1, k).tolist() for k in rng.binomial(800, 2 / 900, n_runs * levels)]
+        rows += [(2 * i + k, 900, 0, 0, 0, 0, chosen) for k in (0, 1)]
+    reps = spark.createDataFrame(rows, jaccard_join.SIGNATURES.replace("doc_id", "rep").replace("hi long, lo long, ", ""))
+    pairs, _ = jaccard_join.candidates(reps, n_runs, small=1)
+    assert {(r.a, r.b) for r in pairs.collect()} >= {(2 * i, 2 * i + 1) for i in range(n)}
+
+
 VECTORS = "vec_id long, embedding array<double>, label int, block string, shelf int"
 
 
