@@ -9,23 +9,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Levels of a breadcrumb, and rounds of doubling (chains of up to 2**ROUNDS).
-LEVELS, ROUNDS = 32, 12
+#: Levels of a breadcrumb.
+LEVELS = 32
 
 
-def tails(records: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def tails(records: DataFrame) -> DataFrame:
     """(id, tail): the last revision of each row's chain. records: id, supersedes_id (at most one successor each).
 
-    A chain that turns in a circle stops after `rounds` doublings.
+    Only a chain that turns in a circle is cut, when the jumps are longer than all rows together.
     """
     ids = records.select("id")
     step = records.filter("supersedes_id is not null").select(F.col("supersedes_id").alias("id"), F.col("id").alias("tail"))
     if step.isEmpty():
         return ids.select("id", F.col("id").alias("tail"))
     jump = ids.join(step, "id", "left").select("id", F.coalesce("tail", "id").alias("tail")).persist()
-    for _ in range(rounds):
+    for _ in range(records.count().bit_length()):
         further = jump.select(F.col("id").alias("tail"), F.col("tail").alias("further"))
-        after = jump.join(further, "tail", "left").select("id", "tail", F.coalesce("further", "tail").alias("further")).persist()
+        after = jump.join(further, "tail", "left").select("id", "tail", F.coalesce("further", "tail").alias("further")).localCheckpoint()
         done = after.filter("further <> tail").isEmpty()
         jump = after.select("id", F.col("further").alias("tail"))
         if done:

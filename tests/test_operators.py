@@ -155,3 +155,9 @@ def test_sample_and_swap(spark, tmp_path):
     tables.append(d, path)
     tables.swap(spark.read.parquet(path).filter("id < 5"), path)
     assert spark.read.parquet(path).count() == 5
+
+
+def test_tails_of_a_long_chain(spark):
+    n = 10_000
+    r = spark.range(n).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("supersedes_id"))
+    assert lineage.tails(r).filter(F.col("tail") != n - 1).isEmpty()
