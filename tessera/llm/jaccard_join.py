@@ -63,7 +63,7 @@ def _sets(column: pa.Array, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
     words = Words(LOWER[data], offsets)
     n = hi - lo
     h = words.hashes()
-    at, grams = words.windows(SHINGLE, hashes=h)
+    at, grams = words.windows(SHINGLE, h)
     doc = words.doc[at]
     count = np.diff(words.first_of)
     short = np.flatnonzero((count > 0) & (count < SHINGLE))

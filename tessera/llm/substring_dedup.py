@@ -33,7 +33,9 @@ def _keyed(table: pa.Table, width: int, n_buckets: int):
     """Words of a chunk, its windows' first words, their (bucket, key) order with group starts, and each window's doc."""
     words = Words(*utf8(table.column("text")))
     at, a = words.windows(width, 0)
-    _, b = words.windows(width, 1)
+    h = words.hashes()
+    at, a = words.windows(width, h, 0)
+    _, b = words.windows(width, h, 1)
     keys = (a & ~CHECK) | (b & CHECK)
     bucket = ((b >> U(32)) % U(n_buckets)).astype(np.uint16 if n_buckets <= 1 << 16 else np.uint32)
     order, new = dealt(keys, bucket)
