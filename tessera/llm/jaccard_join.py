@@ -3,13 +3,13 @@
 Documents are sets of hashed five-word shingles; equal sets are one representative. A run hashes, level by level,
 which tokens of a set are chosen (about CHOSEN of them at each level): a set goes to the bucket of every token that it
 chooses, and the pairs of buckets of at most SMALL sets become candidates. Sets that share most tokens share a chosen
-one with high probability; runs repeat until what they all miss is under 1 - RECALL. A set whose other buckets are too
-few to promise that goes on in the larger ones, each of which splits by one of the choices kept for the next levels. In
-a simulation of pairs at the threshold all of whose buckets are large, 4 of 300 000 did not meet after four levels (with
-one choice a run and level: 221 of 150 000). Larger buckets whose members are mostly near a few probes hold near copies and do not split: their sets are dealt into blocks, and two
-blocks that share such a bucket are compared all with all, exactly, by products of their tables of tokens. What is left
-after the last level is compared pair by pair. Candidates pass a size and a sketch test and are then verified exactly;
-classes are the connected components of verified links.
+one with high probability; runs repeat until what they all miss is under 1 - RECALL. A set whose other buckets are
+too few to promise that goes on in the larger ones, each of which splits by one of the choices kept for the next levels.
+In a simulation of pairs at the threshold all of whose buckets are large, 4 of 300 000 did not meet after four levels
+(with one choice a run and level: 221 of 150 000). Larger buckets whose members are mostly near a few probes hold near
+copies and do not split, and others are left after the last level: their sets are dealt into blocks, and two blocks that
+share such a bucket are compared all with all, exactly, by products of their tables of tokens. Candidates of small
+buckets pass a size and a sketch test and are then verified exactly; classes are the connected components of links.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import runtime
@@ -31,13 +31,16 @@ SHINGLE, THRESHOLD = 5, 0.8
 CHOSEN = 2.0
 RECALL = 0.99999
 LEVELS, SMALL = 4, 32
-#: Probes of a large bucket, and share of members near them that makes it a group of near copies.
-PROBES, NEAR_COPIES = 2, 0.3
+#: Probes of a large bucket, bits in which a sketch may differ from a probe's, and share of members so near to one that
+#: makes the bucket a group of near copies. This only chooses the way; either way finds all links.
+PROBES, NEAR_BITS, NEAR_COPIES = 2, 64, 0.3
 #: Tokens of a block of near copies (a set counts for EACH more), and the share of the pairs of two blocks from which on
 #: a token in common is counted by a matrix product; a rarer one is counted pair by pair.
 BLOCK_TOKENS, EACH, DENSE = 1 << 20, 256, 0.01
-#: A pair of sets of at least SKETCHED tokens whose sketches differ in more bits is no candidate (over 5 deviations).
-SKETCHED, MOST_BITS = 300, 52
+#: (tokens, bits): a pair of sets of at least so many tokens whose sketches differ in more bits is no candidate. Of
+#: 200 000 simulated pairs at the threshold with 300, 200 and 100 tokens the farthest differed in 59, 63 and 84 bits, and
+#: one bit more was a fourth to a third less likely each time: beyond these bounds it is under 1e-7 of such pairs.
+SKETCHED = ((300, 68), (200, 76), (100, 96))
 TEXT_BYTES = 2 << 20
 
 
@@ -140,22 +143,28 @@ def _signatures(n_runs: int, levels: int):
 SIGNATURES = "doc_id long, hi long, lo long, size int, s0 long, s1 long, s2 long, s3 long, chosen array<array<int>>"
 
 
-def _close(a: str, b: str, threshold: float) -> str:
-    bits = " + ".join(f"bit_count({a}.s{k} ^ {b}.s{k})" for k in range(4))
-    sizes = f"least({a}.size, {b}.size) >= {threshold}D * greatest({a}.size, {b}.size)"
-    return f"{sizes} and (least({a}.size, {b}.size) < {SKETCHED} or {bits} <= {MOST_BITS})"
+def _sizes(threshold: float) -> str:
+    return f"least(a.size, b.size) >= {threshold}D * greatest(a.size, b.size)"
+
+
+DIFFERENT_BITS = " + ".join(f"bit_count(a.s{k} ^ b.s{k})" for k in range(4))
+
+
+def _may_be_near() -> str:
+    cases = " ".join(f"when least(a.size, b.size) >= {tokens} then {bits}" for tokens, bits in SKETCHED)
+    return f"{DIFFERENT_BITS} <= case {cases} else 256 end"
 
 
 def _paired(rows: DataFrame, threshold: float) -> DataFrame:
-    return rows.alias("a").join(rows.alias("b"), F.expr(f"a.path = b.path and a.rep < b.rep and {_close('a', 'b', threshold)}")).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
+    return rows.alias("a").join(rows.alias("b"), F.expr(f"a.path = b.path and a.rep < b.rep and {_sizes(threshold)} and {_may_be_near()}")).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
 
 
 SKETCH = ("size", "s0", "s1", "s2", "s3")
 
 
 def candidates(reps: DataFrame, n_runs: int, threshold: float = THRESHOLD, recall: float = RECALL, levels: int = LEVELS, small: int = SMALL) -> tuple[DataFrame, DataFrame | None]:
-    """(a, b) with a < b, distinct: pairs of representatives to verify; and (path, rep, size) of the buckets of near
-    copies, whose members are to be compared all with all (None: there are none). reps: rep, size, s0..s3, chosen."""
+    """(a, b) with a < b, distinct: pairs of representatives to verify; and (path, rep, size) of the large buckets whose
+    members are to be compared all with all (None: there are none). reps: rep, size, s0..s3, chosen."""
     sketches = reps.select("rep", *SKETCH)
     tokens = F.expr(f"flatten(transform(sequence(0, {n_runs - 1}), r -> transform(chosen[r * {levels}], t -> xxhash64(r, t))))")
     now = reps.select("rep", F.explode(tokens).alias("path"))
@@ -178,7 +187,7 @@ def candidates(reps: DataFrame, n_runs: int, threshold: float = THRESHOLD, recal
             large = large.join(runtime.checkpoint(weak), "rep", "left_semi")
         large = runtime.written(large.join(group.select("path").distinct(), "path", "left_anti"), f"large-{level}", scratch)
         if level == levels:
-            pairs.append(runtime.checkpoint(_paired(large, threshold).distinct()))
+            groups.append(runtime.checkpoint(large.select("path", "rep", "size")))
             break
         # Each bucket picks one of all the choices beyond the first level: buckets of one run must not fail together.
         split = large.select("rep", "path").join(reps.select("rep", "chosen"), "rep")
@@ -201,7 +210,7 @@ def _least(members: DataFrame, n: int) -> DataFrame:
 def _near_copies(large: DataFrame, threshold: float) -> DataFrame:
     """(path, rep, size): the members of buckets many of whose members are near the bucket's probes."""
     probes = runtime.checkpoint(_least(large, PROBES))
-    near = large.alias("a").join(probes.alias("b"), F.expr(f"a.path = b.path and a.rep <> b.rep and {_close('a', 'b', threshold)}")).select("a.path", "a.rep")
+    near = large.alias("a").join(probes.alias("b"), F.expr(f"a.path = b.path and a.rep <> b.rep and {_sizes(threshold)} and {DIFFERENT_BITS} <= {NEAR_BITS}")).select("a.path", "a.rep")
     there = near.union(probes.select("path", "rep")).distinct().groupBy("path").agg(F.count("*").alias("n"))
     alike = there.join(large.groupBy("path").count(), "path").filter(F.col("n") >= NEAR_COPIES * F.col("count")).select("path")
     return runtime.checkpoint(large.join(runtime.checkpoint(alike), "path", "left_semi").select("path", "rep", "size"))
@@ -211,9 +220,10 @@ def _dealt(grouped: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rep, block), each rep once, and (x, y, second, rep) with x <= y: what each pair of blocks with a bucket in common
     compares, the sets of either one (second: those of y) that are in a bucket with a set of the other.
 
-    Any two sets of a bucket are so compared in just one pair of blocks. Sets get the least label around them twice, and are
-    dealt in the order of the set that comes first in most of their buckets, so that a group, however many buckets it
-    has, is in few blocks; nothing but the number of pairs depends on it.
+    Any two sets of a bucket are so compared in just one pair of blocks. Sets get the least label around them twice, and
+    are dealt by the set that comes first in most of their buckets, so that a group, however many buckets it has, is in
+    few blocks; nothing but the number of pairs depends on it. What has one label, or one set that comes first, goes to
+    as many blocks as its tokens need, by hash.
     """
     labels = grouped.groupBy("path").agg(F.min("rep").alias("label"))
     met = grouped.join(labels, "path")
@@ -221,8 +231,16 @@ def _dealt(grouped: DataFrame) -> tuple[DataFrame, DataFrame]:
     of_reps = met.groupBy("rep").agg(F.min("label").alias("label"))
     labels = grouped.join(of_reps, "rep").groupBy("path").agg(F.min("label").alias("label"))
     of_reps = grouped.join(labels, "path").groupBy("rep").agg(F.min("label").alias("label"), F.max("size").cast("long").alias("size")).join(own, "rep")
-    before = F.sum(F.col("size") + EACH).over(Window.partitionBy("label").orderBy("own", "rep"))
-    blocks = runtime.checkpoint(of_reps.select("rep", F.xxhash64("label", F.floor(before / BLOCK_TOKENS)).alias("block")))
+    of_reps = runtime.checkpoint(of_reps.select("rep", "label", "own", (F.col("size") + EACH).alias("weight")))
+
+    def parts(*keys: str) -> DataFrame:
+        return of_reps.groupBy(*keys).agg(F.ceil(F.sum("weight") / BLOCK_TOKENS).alias("parts"))
+
+    of_label, of_own = parts("label").withColumnRenamed("parts", "of_label"), parts("label", "own").withColumnRenamed("parts", "of_own")
+    dealt = of_reps.join(of_own, ["label", "own"]).join(of_label, "label")
+    # A set that alone fills blocks has blocks of its own; the others of a label share them.
+    own_part = F.when(F.col("of_own") > 1, F.xxhash64("own", F.pmod(F.xxhash64("rep"), F.col("of_own")))).otherwise(F.pmod(F.xxhash64("own"), F.col("of_label")))
+    blocks = runtime.checkpoint(dealt.select("rep", F.xxhash64("label", own_part).alias("block")))
     own = grouped.join(blocks, "rep").select("path", "rep", "block")
     met = own.join(own.select("path", F.col("block").alias("other")).distinct(), "path")
     asked = met.select(F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), F.expr("int(block > other)").alias("second"), "rep")
