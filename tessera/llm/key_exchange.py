@@ -8,7 +8,6 @@ Chunk and bucket numbers grow with the corpus; what one task holds does not.
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,14 +32,4 @@ def in_chunks(docs: DataFrame, n_chunks: int, id_col: str = "doc_id", text: str
     small_batches(docs.sparkSession)
     # The order of columns in the hash is fixed; retries and reruns deal alike.
     at = F.pmod(F.xxhash64(F.col(id_col), F.col(text)), F.lit(n_chunks)).cast("long")
-    return docs.select(at.alias("chunk"), id_or_last(id_col).alias("key_id"), F.col(id_col).cast("long").alias("doc_id"), text_of(text).alias("text"), *[F.col(c) for c in extra])
-
-
-def dealt(keys: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of keys by (bucket, key), and where a new (bucket, key) begins in that order."""
-    order = np.argsort(keys, kind="stable")
-    order = order[np.argsort(bucket[order], kind="stable")]
-    k, b = keys[order], bucket[order]
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = (k[1:] != k[:-1]) | (b[1:] != b[:-1])
-    return order, np.flatnonzero(new)
+    return docs.select(at.alias("chunk"), id_or_last(id_col).alias("key_id"), F.col(id_col).cast("long").alias("doc_id"), text_of(text).alias("text"), *[F.col(f"`{c}`") for c in extra])

@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import runtime
-from tessera.llm.key_exchange import dealt, in_chunks, sizes, total_bytes
-from tessera.llm.wordhash import LOWER, U, Words, mix, trim, utf8
+from tessera.llm.key_exchange import in_chunks, sizes, total_bytes
+from tessera.llm.packing import pack_sorted, unpack_sorted
+from tessera.llm.wordhash import LOWER, U, Words, mix, new_base, trim, utf8
 
 #: Every FOLDS-th chunk is held out to learn the weights.
 FOLDS = 8
@@ -32,7 +33,7 @@ RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 class Grams:
     """Tokens of a chunk's texts (words and an end each) and the keys of the n-grams that end at each token."""
 
-    def __init__(self, table: pa.Table, order: int, n_buckets: int):
+    def __init__(self, table: pa.Table, order: int, n_buckets: int, base: int):
         data, offsets = utf8(table.column("text"))
         words = Words(LOWER[data], offsets)
         n_docs = len(offsets) - 1
@@ -40,7 +41,7 @@ class Grams:
         self.n_tokens = np.diff(words.first_of) + 1
         n = len(words) + n_docs
         tokens = np.empty(n, U)
-        tokens[np.arange(len(words)) + words.doc] = words.hashes()
+        tokens[np.arange(len(words)) + words.doc] = words.hashes(base)
         tokens[self.first + self.n_tokens - 1] = END
         self.doc = np.repeat(np.arange(n_docs), self.n_tokens)
         self.is_first = np.zeros(n, bool)
@@ -52,12 +53,9 @@ class Grams:
             if k > 1:
                 before = np.r_[np.full(k - 1, END), tokens[: n - k + 1]][:n]
                 gram = mix(gram + mix(np.where(place >= k - 1, before, END) * U(2 * k + 1)))
-            bucket = (mix(gram ^ U(k)) % U(n_buckets)).astype(np.uint32)
-            at, new = dealt(gram, bucket)
-            slot = np.empty(n, np.int64)
-            slot[at] = np.repeat(np.arange(len(new)), np.diff(np.r_[new, n]))
-            self.unique.append(gram[at][new])
-            self.bucket.append(bucket[at][new] + np.uint32((k - 1) * n_buckets))
+            unique, slot = np.unique(gram, return_inverse=True)
+            self.unique.append(unique)
+            self.bucket.append((unique >> U(65 - n_buckets.bit_length())).astype(np.int64) + (k - 1) * n_buckets)
             self.slot.append(slot)
 
     def cut(self, k: int) -> list[tuple[int, int, int]]:
@@ -77,14 +75,14 @@ def _wide(raw: bytes, n: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(raw[1:], n * width, codec="lz4_raw", asbytes=True), f"u{width}").astype(np.int64)
 
 
-def _emit(order: int, n_buckets: int):
+def _emit(order: int, n_buckets: int, base: int):
     def emit(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        g = Grams(table, order, n_buckets)
+        g = Grams(table, order, n_buckets, base)
         train = (~table.column("held_out").to_numpy())[g.doc]
         rows = []
         for k in range(order):
             counts = np.bincount(g.slot[k], weights=train, minlength=len(g.unique[k])).astype(np.int64)
-            rows += [(b, g.unique[k][i:j].tobytes(), _narrow(counts[i:j])) for b, i, j in g.cut(k)]
+            rows += [(b, pack_sorted(g.unique[k][i:j]), _narrow(counts[i:j])) for b, i, j in g.cut(k)]
         trim()
         b, keys, counts = zip(*rows, strict=True) if rows else ((), (), ())
         return pa.table({"bucket": pa.array(b, pa.int32()), "chunk": pa.array([key[0].as_py()] * len(b), pa.int64()), "keys": pa.array(keys, pa.binary()), "counts": pa.array(counts, pa.binary())})
@@ -94,7 +92,7 @@ def _emit(order: int, n_buckets: int):
 
 def _reduce(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """One bucket of keys: corpus counts for every chunk, and for deleted chunks also those of the rest."""
-    rows = [np.frombuffer(x, U) for x in table.column("keys").to_pylist()]
+    rows = [unpack_sorted(x) for x in table.column("keys").to_pylist()]
     chunks = table.column("chunk").to_pylist()
     counts = np.concatenate([_wide(x, len(k)) for x, k in zip(table.column("counts").to_pylist(), rows, strict=True)])
     keys = np.concatenate(rows)
@@ -144,13 +142,13 @@ def _estimates(found: list[np.ndarray], context: list[np.ndarray], n: int, v: in
     return np.stack(columns, axis=1), np.frexp(top.astype(np.float64))[1] * (top > 0)
 
 
-def _held_out(order: int, n_buckets: int, n_rest: int, v: int):
+def _held_out(order: int, n_buckets: int, base: int, n_rest: int, v: int):
     def tally(_key: tuple[pa.Scalar, ...], table: pa.Table, replies: pa.Table) -> pa.Table:
         names = [f"bin_{k}" for k in range(1, order + 1)]
         empty = pa.table({x: pa.array([], pa.int32()) for x in ("bucket", *names)} | {"n": pa.array([], pa.int64())})
         if not len(table):
             return empty
-        g = Grams(table, order, n_buckets)
+        g = Grams(table, order, n_buckets, base)
         train = (~table.column("held_out").to_numpy())[g.doc]
         found, context = _counts(g, replies, order, "rest")
         f, bucket = _estimates(found, context, n_rest, v)
@@ -185,14 +183,14 @@ def learn_weights(tallies: np.ndarray, order: int, v: int, rounds: int = 50) ->
     return weights / weights.sum(1, keepdims=True)
 
 
-def _score(order: int, n_buckets: int, n: int, v: int, weights: np.ndarray):
+def _score(order: int, n_buckets: int, base: int, n: int, v: int, weights: np.ndarray):
     def score(_key: tuple[pa.Scalar, ...], table: pa.Table, replies: pa.Table) -> pa.Table:
-        g = Grams(table, order, n_buckets)
+        g = Grams(table, order, n_buckets, base)
         found, context = _counts(g, replies, order, "data")
         f, bucket = _estimates(found, context, n, v)
         p = np.log10((weights[bucket] * f).sum(1))
-        base = np.log10((found[0] + 1.0) / (n + 1.0 * (v + 1)))
-        sums = [np.add.reduceat(x, g.first) for x in ((found[0] > 0).astype(np.int64), base, p)]
+        add_one = np.log10((found[0] + 1.0) / (n + 1.0 * (v + 1)))
+        sums = [np.add.reduceat(x, g.first) for x in ((found[0] > 0).astype(np.int64), add_one, p)]
         return pa.table(
             {
                 "doc_id": table.column("doc_id"),
@@ -220,18 +218,18 @@ def deleted_interpolation(docs: DataFrame, held_out, order: int = 2) -> DataFram
     """
     docs = docs.select("doc_id", "text", held_out.alias("held_out"))
     n_chunks, n_buckets = sizes(total_bytes(docs))
-    n_chunks = max(n_chunks, 8 * FOLDS)
+    n_chunks, base = max(n_chunks, 8 * FOLDS), new_base()
     chunks = in_chunks(docs, n_chunks, extra=("held_out",))
-    keys = chunks.groupBy("chunk").applyInArrow(_emit(order, n_buckets), KEYS)
+    keys = chunks.groupBy("chunk").applyInArrow(_emit(order, n_buckets, base), KEYS)
     reduced = runtime.written(keys.groupBy("bucket").applyInArrow(_reduce, REDUCED), "ngram-counts")
     stats = reduced.filter((F.col("kind") == "stat") & (F.col("bucket") < n_buckets))
     n, n_rest, v = (x or 0 for x in stats.agg(F.sum("total"), F.sum("total_rest"), F.sum("n_distinct")).first())
     replies = reduced.filter("kind = 'reply'").select("bucket", "chunk", "data", "rest")
     deleted = F.col("chunk") % FOLDS == 0
     tally_schema = "bucket int, " + ", ".join(f"bin_{k} int" for k in range(1, order + 1)) + ", n long"
-    tallies = chunks.filter(deleted).groupBy("chunk").cogroup(replies.filter(deleted).groupBy("chunk")).applyInArrow(_held_out(order, n_buckets, n_rest, v), tally_schema)
+    tallies = chunks.filter(deleted).groupBy("chunk").cogroup(replies.filter(deleted).groupBy("chunk")).applyInArrow(_held_out(order, n_buckets, base, n_rest, v), tally_schema)
     names = tallies.columns
     with runtime.own_shuffles(docs.sparkSession):
         rows = tallies.groupBy(*names[:-1]).agg(F.sum("n").alias("n")).toPandas().to_numpy(dtype=np.int64)
     weights = learn_weights(rows, order, v)
-    return chunks.groupBy("chunk").cogroup(replies.select("bucket", "chunk", "data").groupBy("chunk")).applyInArrow(_score(order, n_buckets, n, v, weights), RESULT)
+    return chunks.groupBy("chunk").cogroup(replies.select("bucket", "chunk", "data").groupBy("chunk")).applyInArrow(_score(order, n_buckets, base, n, v, weights), RESULT)

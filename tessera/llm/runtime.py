@@ -104,6 +104,12 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What a folder of a shared store has."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return [x.getPath().getName() for x in at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)]
+
+
 #: Tables of ids of up to this many rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_IDS = 200_000
 
