@@ -1,9 +1,9 @@
 """Operator 4, exact top-k search by pivot-table elimination.
 
-Each vector's distances to the pivots are precomputed. By the triangle inequality the largest difference of two
+Each vector's distances to many pivots are computed once. By the triangle inequality the largest difference of two
 vectors' distances to one pivot is a lower bound of their distance, hence an upper bound of their inner product
-((|q|^2 + |x|^2 - bound^2) / 2). A query evaluates candidates in the order of that bound and stops, exactly, when the
-next bound cannot reach its k-th best score.
+((|q|^2 + |x|^2 - bound^2) / 2). A query evaluates the candidates of a shelf in the order of that bound and stops,
+exactly, when the next bound cannot reach its k-th best score.
 """
 
 from __future__ import annotations
@@ -12,63 +12,87 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.vector_blocks import keep_best, top_k, usable
+from tessera.llm.vector_blocks import keep_best, together, top_k, usable
 
-PIVOTS = 16
+PIVOTS = 32
 #: Candidates evaluated first, in the order of their bounds; then twice as many each time.
-STEP = 256
+STEP = 128
 #: Queries bounded at a time, so that their bounds stay in the cache.
 AT_ONCE = 32
-#: Room for rounding in single precision, as a share of the squared norms; scores themselves are exact integers.
-SLACK = 1e-5
+#: Rounding in single precision: of a distance and of differences of two, as a share of the longest distance to a pivot;
+#: of squares and their sums, as a share of the squared norms. Scores themselves are exact integers.
+OF_DISTANCE, OF_SQUARES = 2.0**-21, 1e-6
 
 
-def pivot_search(pivots: np.ndarray, k: int):
-    def table(vectors: np.ndarray) -> np.ndarray:
-        """Per row its distances to the pivots, then its squared norm."""
+class PivotTable:
+    """Distances of some vectors to the pivots, their squared norms, and how far rounding may move a difference."""
+
+    def __init__(self, vectors: np.ndarray, pivots: np.ndarray):
+        # Integer components: the squares are exact in double precision.
         square = (vectors * vectors).sum(1)
-        away = square[:, None] + (pivots * pivots).sum(1) - 2 * vectors @ pivots.T
-        return np.column_stack([np.sqrt(np.maximum(away, 0)), square])
-
-    def upper_bounds(mine: np.ndarray, theirs: np.ndarray) -> np.ndarray:
-        """Upper bounds of the inner products of a few queries with a block, in single precision, rounded up."""
-        a, b = mine.astype(np.float32), np.ascontiguousarray(theirs.T.astype(np.float32))
-        most = np.zeros((len(a), b.shape[1]), np.float32)
-        gap = np.empty_like(most)
-        for p in range(len(pivots)):
-            np.subtract(a[:, p, None], b[p], out=gap)
-            np.abs(gap, out=gap)
-            np.maximum(most, gap, out=most)
-        squares = a[:, -1, None] + b[-1]
-        np.multiply(most, most, out=most)
-        np.subtract(squares * np.float32(1 + SLACK), most, out=most)
-        return most / 2 + np.float32(SLACK)
-
-    def search(queries, ids, blocks):
-        mine = table(queries)
-        held = [(np.zeros(0), np.zeros(0, np.int64)) for _ in ids]
-        for vectors, found, extra in blocks:
-            theirs = np.frombuffer(extra, np.float64).reshape(len(found), -1)
-            for some in range(0, len(ids), AT_ONCE):
-                upper = upper_bounds(mine[some : some + AT_ONCE], theirs)
-                for i in range(some, min(some + AT_ONCE, len(ids))):
-                    held[i] = evaluate(queries[i], ids[i], upper[i - some], vectors, found, *held[i])
-        return np.concatenate([np.full(len(of), i) for i, (_, of) in enumerate(held)]), np.concatenate([of for _, of in held]), np.concatenate([s for s, _ in held])
-
-    def evaluate(query, own, upper, vectors, found, score, of):
-        reach = np.flatnonzero((upper >= (score[k - 1] if len(score) >= k else -np.inf)) & (found != own))
-        order = reach[np.argsort(-upper[reach])]
-        at, step = 0, STEP
-        while at < len(order) and (len(score) < k or upper[order[at]] >= score[k - 1]):
-            part = order[at : at + step]
-            score = np.r_[score, vectors[part] @ query]
-            of = np.r_[of, found[part]]
-            best = keep_best(score, of, k)
-            score, of = score[best], of[best]
-            at, step = at + step, step * 2
-        return score, of
-
-    return table, search
+        away = np.sqrt(np.maximum(square[:, None] + (pivots * pivots).sum(1) - 2 * vectors @ pivots.T, 0))
+        self.away = np.ascontiguousarray(away.T.astype(np.float32))
+        self.square = square.astype(np.float32)
+        self.spare = (away.max(1, initial=0) * OF_DISTANCE).astype(np.float32)
+
+
+def upper_bounds(mine: PivotTable, some: slice, theirs: PivotTable) -> np.ndarray:
+    """Upper bounds of the inner products of a few queries with a shelf, in single precision, rounded up."""
+    a, b = mine.away[:, some], theirs.away
+    most = np.zeros((a.shape[1], b.shape[1]), np.float32)
+    gap = np.empty_like(most)
+    for p in range(len(a)):
+        np.subtract(a[p, :, None], b[p], out=gap)
+        np.abs(gap, out=gap)
+        np.maximum(most, gap, out=most)
+    most -= mine.spare[some, None]
+    most -= theirs.spare
+    np.maximum(most, 0, out=most)
+    np.multiply(most, most, out=most)
+    squares = (mine.square[some, None] + theirs.square) * np.float32(1 + 4 * OF_SQUARES)
+    squares -= most
+    return squares * np.float32(0.5) + np.float32(1e-3)
+
+
+def pivot_search(pivots: np.ndarray, k: int):
+    """prepare(vectors, ids) of a shelf to search(queries, ids); search.evaluated counts the products computed."""
+
+    def prepare(vectors: np.ndarray, found: np.ndarray):
+        theirs = PivotTable(vectors, pivots)
+
+        def evaluate(query, own, upper):
+            score, of = np.zeros(0), np.zeros(0, np.int64)
+            first = np.argpartition(-upper, STEP)[:STEP] if len(upper) > STEP else np.arange(len(upper))
+            rest = None
+            part = first
+            while len(part):
+                at = part[found[part] != own]
+                search.evaluated += len(at)
+                score, of = np.r_[score, vectors[at] @ query], np.r_[of, found[at]]
+                best = keep_best(score, of, k)
+                score, of = score[best], of[best]
+                least = score[k - 1] if len(score) >= k else -np.inf
+                if rest is None:  # in the order of bounds, what can still reach the k-th best
+                    reach = upper >= least
+                    reach[first] = False
+                    rest = np.flatnonzero(reach)
+                    rest, step = rest[np.argsort(-upper[rest])], STEP
+                rest = rest[: np.searchsorted(-upper[rest], -least, "right")]
+                part, rest, step = rest[:step], rest[step:], step * 2
+            return score, of
+
+        def search(queries: np.ndarray, ids: np.ndarray):
+            mine = PivotTable(queries, pivots)
+            held = []
+            for at in range(0, len(ids), AT_ONCE):
+                upper = upper_bounds(mine, slice(at, at + AT_ONCE), theirs)
+                held += [evaluate(queries[at + i], ids[at + i], upper[i]) for i in range(len(upper))]
+            return together(held)
+
+        search.evaluated = 0
+        return search
+
+    return prepare
 
 
 def exact_top_k(embeddings: DataFrame, is_query, k: int = 20, scale: int = 64, n_pivots: int = PIVOTS) -> DataFrame:
@@ -87,8 +111,4 @@ def exact_top_k(embeddings: DataFrame, is_query, k: int = 20, scale: int = 64, n
     by_dim: dict[int, list[list[float]]] = {}
     for r in low:
         by_dim.setdefault(len(r[0]), []).append(r[0])
-
-    def of(dim: int):
-        return pivot_search(np.array(by_dim.get(dim, [])).reshape(-1, dim), k)
-
-    return top_k(rows, is_query, k, lambda q, ids, blocks: of(q.shape[1])[1](q, ids, blocks), lambda v: of(v.shape[1])[0](v).tobytes(), "long")
+    return top_k(rows, is_query, k, lambda dim: pivot_search(np.array(by_dim.get(dim, [])).reshape(-1, dim), k), "long")

@@ -13,7 +13,7 @@ import functools
 import numpy as np
 from pyspark.sql import DataFrame
 
-from tessera.llm.vector_blocks import keep_best, top_k, usable
+from tessera.llm.vector_blocks import keep_best, together, top_k, usable
 
 #: Width of the error bound in standard deviations.
 EPSILON = 2.5
@@ -43,32 +43,33 @@ def decode(raw: bytes, n: int, dim: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def one_bit_search(k: int, epsilon: float):
-    def search(queries, ids, blocks):
-        dim = queries.shape[1]
-        norm = np.sqrt((queries * queries).sum(1))
-        turned = (queries @ rotation(dim)).astype(np.float32)
-        held = [(np.zeros(0), np.zeros(0, np.int64)) for _ in ids]
-        for vectors, found, extra in blocks:
-            signs, length, correction = decode(extra, len(found), dim)
-            scale = length / (correction * np.sqrt(dim))
+    """prepare(vectors, ids) of a shelf to search(queries, ids)."""
+
+    def prepare(vectors: np.ndarray, found: np.ndarray):
+        dim = vectors.shape[1]
+        signs, length, correction = decode(encode(vectors), len(found), dim)
+        scale = (length / (correction * np.sqrt(dim))).astype(np.float32)
+        spare = (np.sqrt(np.maximum(1 - correction**2, 0)) / correction * epsilon / np.sqrt(max(dim - 1, 1)) * length).astype(np.float32)
+
+        def search(queries: np.ndarray, ids: np.ndarray):
+            norm = np.sqrt((queries * queries).sum(1))
+            turned = (queries @ rotation(dim)).astype(np.float32)
             about = (turned @ signs.T) * scale
-            spare = np.sqrt(np.maximum(1 - correction**2, 0)) / correction * epsilon / np.sqrt(max(dim - 1, 1)) * length
+            held = []
             for i in range(len(ids)):
-                score, of = held[i]
-                error = spare * norm[i]
-                low, high = about[i] - error, about[i] + error
+                error = spare * np.float32(norm[i])
+                low = about[i] - error
                 least = np.partition(low, len(low) - k - 1)[len(low) - k - 1] if len(low) > k + 1 else -np.inf
-                if len(score) >= k:
-                    least = max(least, score[k - 1])
-                pick = np.flatnonzero((high >= least) & (found != ids[i]))
+                pick = np.flatnonzero((about[i] + error >= least) & (found != ids[i]))
                 # Summed row by row, so that equal vectors get equal scores.
-                score = np.r_[score, (vectors[pick] * queries[i]).sum(1)]
-                of = np.r_[of, found[pick]]
+                score, of = (vectors[pick] * queries[i]).sum(1), found[pick]
                 best = keep_best(score, of, k)
-                held[i] = (score[best], of[best])
-        return np.concatenate([np.full(len(of), i) for i, (_, of) in enumerate(held)]), np.concatenate([of for _, of in held]), np.concatenate([s for s, _ in held])
+                held.append((score[best], of[best]))
+            return together(held)
+
+        return search
 
-    return search
+    return prepare
 
 
 def approximate_top_k(embeddings: DataFrame, is_query, k: int = 20, epsilon: float = EPSILON) -> DataFrame:
@@ -82,4 +83,4 @@ def approximate_top_k(embeddings: DataFrame, is_query, k: int = 20, epsilon: flo
     empty table gives an empty result.
     """
     rows = usable(embeddings, "exists(embedding, x -> x <> 0)")
-    return top_k(rows, is_query, k, one_bit_search(k, epsilon), encode, "double")
+    return top_k(rows, is_query, k, lambda dim: one_bit_search(k, epsilon), "double")
