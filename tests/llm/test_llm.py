@@ -8,10 +8,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, chat, exact_search, jaccard_join, language_id, language_model, mixing, one_bit_search, runtime, substring_dedup, toxicity
+from tessera.llm import byte_bpe, chat, exact_search, jaccard_join, language_id, language_model, mixing, one_bit_search, packing, runtime, substring_dedup, toxicity, vector_blocks, wordhash
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, chunk int, key_id string"
@@ -86,14 +88,80 @@ def test_substring_dedup_keeps_columns_and_spacing(docs, empty):
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
-def test_index_compacts_across_batches(spark, docs):
-    index = substring_dedup.FingerprintIndex(spark, 1 << 20)
-    low = docs.filter("doc_id < 20")
-    index.add(low)
-    a = index.add(docs.filter("doc_id between 20 and 40")).select("doc_id", "n_removed")
-    assert len(index.runs) == 1
-    want = {r[0]: r[2] for r in brute_dedup(docs.filter("doc_id <= 40").collect()) if r[0] >= 20}
-    assert {r.doc_id: r.n_removed for r in a.collect()} == want
+def thue_morse(n_doublings=11):
+    bits = [0]
+    for _ in range(n_doublings):
+        bits += [1 - b for b in bits]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_that_collide_modulo_powers_of_two(spark):
+    a, b = thue_morse()
+    twelve = [f"w{i}" for i in range(12)]
+    df = spark.createDataFrame([(1, " ".join([*twelve, a])), (2, " ".join([*twelve, b])), (3, " ".join([*twelve, b]))], "doc_id long, text string")
+    got = substring_dedup.substring_dedup(df, n_batches=2).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    assert sorted(map(tuple, got.collect())) == brute_dedup(df.collect())
+    rows = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    scored = {r.doc_id: r.n_known for r in language_model.deleted_interpolation(rows, F.col("doc_id") == 2).collect()}
+    assert scored == {1: 2, 2: 1}
+
+
+def test_hits_are_verified_on_words(docs, monkeypatch):
+    """One chunk through all steps of the operator, with hashes under which many words fall together."""
+    real = wordhash.Words.hashes
+    monkeypatch.setattr(wordhash.Words, "hashes", lambda self, base=0: real(self, base) & np.uint64(1))
+    rows = [r for r in docs.collect() if r.doc_id is not None and r.doc_id < 30 and r.text]
+    rows = sorted({r.doc_id: r for r in rows}.values())
+    ids = [r.doc_id for r in rows]
+    table = pa.table({"text": [r.text for r in rows], "key_id": ids, "doc_id": ids, "row": ids})
+    key, bits = (pa.scalar(0),), 3
+    none = pa.table({"keys": pa.array([], pa.binary()), "first": pa.array([], pa.binary())})
+    keys = substring_dedup._emit(13, bits, 5)(key, table)
+    replies = [substring_dedup._merge_join(bits, False)((pa.scalar(b),), keys.filter(pc.equal(keys["bucket"], b)), none) for b in set(keys["bucket"].to_pylist())]
+    replies = pa.concat_tables(replies).select(["bucket", "chunk", "keys", "first"])
+    locate = substring_dedup._locate(13, bits, 5, False)
+    want = {r[0]: r for r in brute_dedup(rows)}
+    found = locate(key, table, replies)
+    assert sum(found["n_removed"].to_pylist()) > sum(r[2] for r in want.values())
+    spans = pa.Table.from_pylist([{"row_chunk": 0, "row": r["row"], **x} for r in found.to_pylist() for x in r["spans"]])
+    bad = substring_dedup._verify(13)(key, spans, pa.table({"origin": ids, "text": table["text"]}))
+    assert len(bad)
+    found = locate(key, table, pa.concat_tables([replies, substring_dedup._refusals(key, bad)]))
+    removed = dict(zip(ids, found["n_removed"].to_pylist()))
+    assert all(removed[i] <= want[i][2] for i in ids) and sum(removed.values()) > 0
+    spans = pa.Table.from_pylist([{"row_chunk": 0, "row": r["row"], **x} for r in found.to_pylist() for x in r["spans"]])
+    assert not len(substring_dedup._verify(13)(key, spans, pa.table({"origin": ids, "text": table["text"]})))
+
+
+def test_index_has_tiers_and_reopens(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "FANOUT", 2)
+    path = str(tmp_path / "index")
+    index = substring_dedup.FingerprintIndex(spark, 1 << 20, path=path)
+    parts = [docs.filter(f"doc_id >= {i} and doc_id < {i + 10}") for i in range(0, 60, 10)]
+    for part in parts[:3]:
+        index.add(part)
+    assert sorted(t for t, _ in index.runs) == [0, 1]
+    monkeypatch.setattr(substring_dedup, "BUCKET_KEYS", 1)
+    again = substring_dedup.FingerprintIndex.open(spark, path)
+    assert (sorted(again.runs), again.n_keys, again.base) == (sorted(index.runs), index.n_keys, index.base)
+    bits = again.bits
+    again.add(parts[3])  # splits the buckets
+    assert again.bits > bits and [t for t, _ in again.runs] == [2]
+    monkeypatch.setattr(substring_dedup, "BUCKET_KEYS", 1 << 20)
+    got = again.add(parts[4], all_docs=docs).select("doc_id", "n_removed").collect()
+    want = {r[0]: r[2] for r in brute_dedup(docs.filter("doc_id < 50").collect()) if r[0] >= 40}
+    assert {r.doc_id: r.n_removed for r in got} == want
+    again.drop()
+    assert not (tmp_path / "index").exists()
+
+
+def test_packed_integers():
+    rnd = np.random.default_rng(0)
+    for n in (0, 1, 2, 1000):
+        keys = np.sort(rnd.integers(0, 2**64 - 1, n, dtype=np.uint64, endpoint=True))
+        assert (packing.unpack_sorted(packing.pack_sorted(keys)) == keys).all() and len(packing.unpack_sorted(packing.pack_sorted(keys))) == n
+        ids = rnd.integers(-(2**63), 2**63 - 1, n) if n != 2 else np.array([5, 5])
+        assert (packing.unpack_ids(packing.pack_ids(ids)) == ids).all()
 
 
 def test_language_model(docs, empty):
@@ -275,8 +343,12 @@ def test_jaccard_join_recall_of_deep_levels(spark, monkeypatch):
         chosen = [rng.integers(0, 2**31 - 1, k).tolist() for k in rng.binomial(800, 2 / 900, n_runs * levels)]
         rows += [(2 * i + k, 900, 0, 0, 0, 0, chosen) for k in (0, 1)]
     reps = spark.createDataFrame(rows, jaccard_join.SIGNATURES.replace("doc_id", "rep").replace("hi long, lo long, ", ""))
-    pairs, _ = jaccard_join.candidates(reps, n_runs, small=1)
-    assert {(r.a, r.b) for r in pairs.collect()} >= {(2 * i, 2 * i + 1) for i in range(n)}
+    pairs, left = jaccard_join.candidates(reps, n_runs, small=1)
+    together = collections.defaultdict(set)
+    for r in left.collect():
+        together[r.path].add(r.rep)
+    met = {(r.a, r.b) for r in pairs.collect()} | {(i, i + 1) for reps in together.values() for i in reps if i % 2 == 0 and i + 1 in reps}
+    assert met >= {(2 * i, 2 * i + 1) for i in range(n)}
 
 
 VECTORS = "vec_id long, embedding array<double>, label int, block string, shelf int"
@@ -318,6 +390,35 @@ def test_searches(spark, exact):
     assert f(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+@pytest.mark.parametrize("away", [1, 10, 1e3, 1e6])
+def test_exact_search_bounds_hold_with_a_pivot_far_away(away):
+    rnd = np.random.default_rng(3)
+    for dim in (2, 16):
+        x = np.floor(64 * rnd.normal(size=(3000, dim)))
+        x[7] *= away
+        ids = np.arange(len(x))
+        search = exact_search.pivot_search(np.concatenate([x[7:8], x[20:25]]), 20)(x, ids)
+        at, of, score = search(x[::50], ids[::50])
+        for i, q in enumerate(ids[::50].tolist()):
+            all_scores = x @ x[q]
+            best = sorted((j for j in range(len(x)) if j != q), key=lambda j: (-all_scores[j], j))[:20]
+            assert of[at == i].tolist() == best and score[at == i].tolist() == all_scores[best].tolist()
+        if away == 1 and dim == 2:
+            assert search.evaluated < 0.5 * 60 * 3000  # most are never evaluated
+
+
+@pytest.mark.parametrize("exact", [True, False])
+def test_searches_with_several_dimensions_and_shelves(spark, exact, monkeypatch):
+    monkeypatch.setattr(vector_blocks, "LEAST", 40)
+    rnd = np.random.default_rng(4)
+    rows = [(i, [float(v) for v in rnd.normal(size=3 + i % 2)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    f = exact_search.exact_top_k if exact else one_bit_search.approximate_top_k
+    got = f(df, F.col("vec_id") % 20 < 2, k=5).collect()
+    assert len(got) == 20 * 5 and {(r.query_id - r.vec_id) % 2 for r in got} == {0}
+    assert not {r.query_id for r in got if r.query_id == r.vec_id}
+
+
 def test_byte_bpe(docs, empty):
     P = pytest.importorskip("public_tokenizers")
     tiktoken = pytest.importorskip("tiktoken")
@@ -388,41 +489,100 @@ def test_language_id(spark):
     assert language_id.identify(language_id.document_evidence(docs.limit(0)), "doc_id").count() == 0
 
 
+CHAT = "conv_id long, turn long, role string, text string, position int, `a.b` int"
+
+
 def test_chat(spark):
     rows = [
-        (1, 0, "user", "Hello there\nHow are   you?", 0),
-        (1, 1, "assistant", "On Monday X wrote:\n> hello there\n> How are you?\nFine thanks.\n\nAnd you?", 0),
-        (1, 2, "user", ">> Hello there\n>> how are you?\n> Fine thanks.\n>\n> And you?\nGood > bad", 0),
-        (1, 3, "user", "> Hello there\nre the first", 0),
-        (1, 4, "user", "> never said\nx", 0),
-        (2, 0, "user", None, 0),
-        (2, 1, "a", "", 0),
-        (None, None, "u", "q", 0),
-        (1, 0, "user", "Hello there\nHow are   you?", 0),
+        (1, 0, "user", "Hello there\nHow are   you?", 0, 0),
+        (1, 1, "assistant", "On Monday X wrote:\n> hello there\n> How are you?\nFine thanks.\n\nAnd you?", 0, 0),
+        (1, 2, "user", ">> Hello there\n>> how are you?\n> Fine thanks.\n>\n> And you?\nGood > bad", 0, 0),
+        (1, 3, "user", "> Hello there\nre the first", 0, 0),
+        (1, 4, "user", "> never said\nx", 0, 0),
+        (2, 0, "user", None, 0, 0),
+        (2, 1, "a", "", 0, 0),
+        (None, None, "u", "q", 0, 0),
+        (1, 0, "user", "Hello there\nHow are   you?", 0, 0),
     ]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, position int")
-    got = {(r.conv_id, r.turn): (r.position, r.reply_to, r.linked, r.n_quoted, r.text) for r in chat.format_conversations(df).collect()}
+    df = spark.createDataFrame(rows, CHAT)
+    formatted = chat.format_conversations(df)
+    got = {(r.conv_id, r.turn): (r.message, r.reply_to, r.depth, r.position, r.linked, r.n_quoted, r.text) for r in formatted.collect()}
     assert got == {
-        (1, 0): (0, None, False, 0, "Hello there\nHow are   you?"),
-        (1, 1): (1, 0, True, 2, "Fine thanks.\n\nAnd you?"),
-        (1, 2): (2, 1, True, 5, "Good > bad"),
-        (1, 3): (3, 0, True, 1, "re the first"),
-        (1, 4): (4, 3, False, 1, "x"),
-        (2, 0): (0, None, False, 0, ""),
-        (2, 1): (1, 0, False, 0, ""),
-        (None, None): (0, None, False, 0, "q"),
+        (1, 0): (0, None, 0, 0, False, 0, "Hello there\nHow are   you?"),
+        (1, 1): (1, 0, 1, 1, True, 2, "Fine thanks.\n\nAnd you?"),
+        (1, 2): (2, 1, 2, 2, True, 5, "Good > bad"),
+        (1, 3): (3, 0, 1, 3, True, 1, "re the first"),
+        (1, 4): (4, 3, 2, 4, False, 1, "x"),
+        (2, 0): (0, None, 0, 0, False, 0, ""),
+        (2, 1): (1, 0, 1, 1, False, 0, ""),
+        (None, None): (0, None, 0, 0, False, 0, "q"),
     }
+    whole = {(r.conv_id, r.part): [m.message for m in r.messages] for r in chat.assembled(formatted, 3).collect()}
+    assert whole == {(1, 0): [0, 1, 2], (1, 1): [3, 4], (2, 0): [0, 1], (None, 0): [0]}
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
+def brute_chat(rows, ties):
+    """Numbers, parents and reply order of messages that quote whole single lines."""
+    out = {}
+    for conv in {r[0] for r in rows}:
+        own = sorted({r for r in rows if r[0] == conv}, key=lambda r: (r[1] is None, r[1] or 0, ties[r[2], r[3]]))
+        said = [[x for x in r[3].split("\n") if not x.startswith(">")] for r in own]
+        parent = []
+        for n, r in enumerate(own):
+            quoted = [x[1:].strip().lower() for x in r[3].split("\n") if x.startswith(">")]
+            at = [m for m in range(n) if quoted and quoted[0] in [x.lower() for x in said[m]]]
+            parent.append(at[-1] if at else n - 1 if n else None)
+        children = collections.defaultdict(list)
+        for n, p in enumerate(parent):
+            children[p].append(n)
+        place, stack = [], [(n, 0) for n in reversed(children[None])]
+        while stack:
+            n, depth = stack.pop()
+            place.append(n)
+            out[own[n]] = (n, parent[n], depth, len(place) - 1)
+            stack += [(c, depth + 1) for c in reversed(children[n])]
+    return out
+
+
+def test_chat_reply_order(spark, monkeypatch):
+    monkeypatch.setattr(chat, "STRETCH_BITS", 3)
+    rnd = random.Random(6)
+    rows = []
+    for conv, size in ((1, 150), (2, 40), (None, 30), (3, 1)):
+        for i in range(size):
+            text = f"words of {conv} {i}"
+            if i and rnd.random() < 0.4:
+                text = f"> Words of {conv} {rnd.randrange(max(0, i - 20), i)}\n" + text
+            rows.append((conv, None if conv == 2 and i > 20 else i // 3 if conv is None else 7 if conv == 2 and i > 10 else i, "u", text))
+    rows += rows[5:9]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    ties = {(r.role, r.text): r.t for r in df.select("role", "text", F.xxhash64("role", "text").alias("t")).collect()}
+    want = brute_chat(rows, ties)
+    got = {(r.conv_id, r.turn, r.role, raw.text): (r.message, r.reply_to, r.depth, r.position) for r, raw in _with_raw(chat.format_conversations(df), df)}
+    assert got == want
+
+
+def _with_raw(formatted, df):
+    by_text = {r.text.split("\n")[-1]: r for r in df.collect()}
+    return [(r, by_text[r.text]) for r in formatted.collect()]
+
+
 def test_chat_links_across_stretches(spark):
     rows = [(7, 0, "user", "the first words of all")] + [(7, i, "user", f"filler {i}") for i in range(1, 700)] + [(7, 700, "a", "> The  first words of ALL\nyes")]
     got = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     r = got.filter("turn = 700").first()
-    assert (r.reply_to, r.linked, r.position, r.text) == (0, True, 700, "yes")
+    assert (r.reply_to, r.linked, r.depth, r.position, r.text) == (0, True, 1, 700, "yes")
     assert got.filter("turn = 256").first().reply_to == 255
 
 
+def test_chat_very_long_message(spark):
+    long = "\n".join(f"line {i} of a long message" for i in range(20000))
+    rows = [(1, 0, "u", long), (1, 1, "u", "between"), (1, 2, "u", "> " + long.replace("\n", "\n> ") + "\nseen")]
+    got = {r.turn: r for r in chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert (got[2].reply_to, got[2].n_quoted, got[2].text) == (0, 20000, "seen") and got[0].text == long
+
+
 def test_pipeline(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     P = pytest.importorskip("public_tokenizers")
