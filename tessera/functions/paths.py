@@ -11,6 +11,7 @@ LANGUAGES = {
     "ts": "typescript", "tsx": "typescript", "go": "go", "java": "java", "c": "c", "h": "cpp", "hh": "cpp", "hpp": "cpp",
     "hxx": "cpp", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "c++": "cpp", "cs": "csharp",
 }
+# Directories that hold no sources of a project.
 SKIPPED_DIRECTORIES = ["target", "node_modules", ".git", "vendor", "dist"]
 
 # Kinds of symbols, and what they add to a candidate's score.
@@ -82,3 +83,37 @@ def prefixed(prefix: Column, name: Column) -> Column:
 
 def safe_relative(path: Column) -> Column:
     return ~path.rlike(r"^/|(^|/)\.\.(/|$)|:|\\") & (path != "")
+
+
+def unprefixed(prefix: Column, name: Column) -> Column:
+    """A shown path or id without its project's prefix; null where it lies outside the project."""
+    inside = F.startswith(name, F.concat(prefix, F.lit("/")))
+    return F.when(prefix == "", name).when(inside, F.substring(name, F.length(prefix) + 2, F.length(name)))
+
+
+def trailing_name(symbol: Column) -> Column:
+    """The last identifier of a stable symbol id, whose closing marks are left out; '' where there is none."""
+    return F.regexp_extract(F.regexp_replace(symbol, r"[().#:/;\[\]`]+$", ""), r"(?U)(\w*)$", 1)
+
+
+def path_hint(symbol: Column) -> Column:
+    """The part of a stable symbol id that tells the module's path; all of a file: id."""
+    rest = F.element_at(F.split(F.trim(symbol), r"\s+"), -1)
+    rest = F.split_part(F.split_part(rest, F.lit("#"), F.lit(1)), F.lit("."), F.lit(1))
+    rest = F.regexp_replace(F.regexp_replace(rest, "/impl$", ""), "`", "")
+    return F.when(F.startswith(symbol, F.lit("file:")), F.substring(symbol, F.lit(6), F.length(symbol))).otherwise(F.regexp_replace(rest, "^/+|/+$", ""))
+
+
+def path_fits(path: Column, hint: Column) -> Column:
+    """True where a file's path and a path hint mean the same module: one is part of the other, or the hint's module, or
+    the file name's stem, is in the path."""
+    p = F.regexp_replace(F.lower(F.replace(path, F.lit("\\"), F.lit("/"))), r"^[./]+", "")
+    h = F.lower(F.regexp_replace(hint, "^/+|/+$", ""))
+    parts = F.filter(F.split(h, "/"), lambda x: (x != "") & (x != "crate"))
+    n = F.size(parts)
+    last = F.try_element_at(parts, n)
+    module = F.when(n > 1, F.array_join(F.slice(parts, F.lit(1), F.greatest(n - 1, F.lit(1))), "/")).otherwise("")
+    stem_part = F.when(n > 1, F.try_element_at(parts, F.greatest(n - 1, F.lit(1)))).otherwise(last)
+    by_stem = F.contains(F.concat(F.lit("/"), p), F.concat(F.lit("/"), stem_part, F.lit("."))) | F.endswith(p, F.concat(F.lit("/"), stem_part, F.lit(".rs"))) | F.endswith(p, F.concat(F.lit("/"), stem_part, F.lit(".py")))
+    fits = F.when(F.endswith(last, F.lit(".rs")) | F.endswith(last, F.lit(".py")), F.contains(p, last)).otherwise(((module != "") & F.contains(p, module)) | by_stem)
+    return F.when((p == "") | (h == ""), False).when(F.contains(p, h) | F.contains(h, p), True).when(n == 0, False).otherwise(fits)

@@ -113,3 +113,21 @@ def with_stems(terms: pd.Series) -> pd.Series:
         return list(out)
 
     return terms.map(both)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def variants_with_stems(variants: pd.Series) -> pd.Series:
+    """Each term's variants with their stems, each once within its term, all terms one after another."""
+
+    def flat(row):
+        out: list[str] = []
+        for one in row if row is not None else []:
+            seen: dict[str, None] = {}
+            for t in one:
+                seen[t] = None
+                if t.isascii() and t.isalpha():
+                    seen[stem(t)] = None
+            out += seen
+        return out
+
+    return variants.map(flat)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,14 +50,71 @@ def identifier_words(term: Column | str) -> Column:
     return F.filter(F.split(s, "[ _-]+"), lambda w: w.rlike("^[A-Za-z0-9]+$"))
 
 
+#: Where an identifier has parts.
+BOUNDARY = "[_-]|[a-z][A-Z]|[A-Z][A-Z][a-z]|[A-Za-z][0-9]|[0-9][A-Za-z]"
+
+
+def _accents() -> tuple[str, str]:
+    """Lower-case Latin letters with marks, and the letters without them."""
+    pairs = []
+    for c in [*range(0xE0, 0x250), *range(0x1E00, 0x1F00)]:
+        parts = unicodedata.normalize("NFD", chr(c))
+        if len(parts) > 1 and parts[0].isascii() and chr(c).islower() and all(unicodedata.combining(x) for x in parts[1:]):
+            pairs.append((chr(c), parts[0]))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+MARKED, PLAIN = _accents()
+
+
+def folded(text: Column | str) -> Column:
+    """Lower case without accents on Latin letters."""
+    return F.translate(F.lower(_c(text)), MARKED, PLAIN)
+
+
 def expand_term(term: Column) -> Column:
     """A term and its identifier words, lower-cased, each once."""
     return F.array_distinct(F.transform(F.concat(F.array(term), identifier_words(term)), F.lower))
 
 
+def term_variants(text: Column | str) -> Column:
+    """For each term of a text itself and its identifier words (array of arrays)."""
+    plain = F.transform(split_terms(text), lambda w: F.array(F.lower(w)))
+    return F.when(_c(text).rlike(BOUNDARY), F.transform(split_terms(text), lambda w: F.when(w.rlike(BOUNDARY), expand_term(w)).otherwise(F.array(F.lower(w))))).otherwise(plain)
+
+
 def document_terms(text: Column | str) -> Column:
     """Index terms in order; repeats count, but not within one term."""
-    return F.flatten(F.transform(split_terms(text), expand_term))
+    return F.flatten(term_variants(text))
+
+
+def index_tokens(terms: Column) -> Column:
+    """Tokens of index terms: cut at everything but letters and digits, without case and accents."""
+    t = folded(F.array_join(terms, " "))
+    return F.filter(F.split(t, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+#: Between the columns of an index row, so that no phrase crosses them.
+COLUMN_END = ""
+
+
+def lexical_row(summary: Column | str, body: Column | str, stems: bool = False) -> Column:
+    """Tokens of a record's two index columns, COLUMN_END between them: the summary as it is, and the terms of summary
+    and body with their identifier words (and English stems)."""
+    text = F.concat_ws(" ", _c(summary), _c(body))
+    if stems:
+        from tessera.functions.stem import variants_with_stems
+
+        terms = variants_with_stems(term_variants(text))
+    else:
+        terms = document_terms(text)
+    plain = F.filter(F.split(folded(F.coalesce(_c(summary), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.concat(plain, F.array(F.lit(COLUMN_END)), index_tokens(terms))
+
+
+def phrases(terms: Column) -> Column:
+    """Query terms as the index sees them: the tokens of each, joined by blanks; those without any go."""
+    return F.array_distinct(F.filter(F.transform(terms, lambda t: F.trim(F.regexp_replace(folded(t), r"[^\p{L}\p{N}]+", " "))), lambda t: t != ""))
 
 
 def query_terms(text: Column | str) -> Column:
@@ -146,6 +205,13 @@ def batch_index(reference: Column | str) -> Column:
     return F.when(r.rlike("^#[0-9]+$"), F.substring(r, 2, 20).cast("long"))
 
 
-def identifiers(text: Column | str, most: int = 8) -> Column:
-    """First distinct identifiers of a question."""
-    return F.slice(F.array_distinct(F.regexp_extract_all(_c(text), F.lit(r"([A-Za-z_][A-Za-z0-9_]{2,})"), 1)), 1, most)
+def identifiers(text: Column | str, most: int = 8, stop: list[str] | None = None) -> Column:
+    """First distinct identifiers of a question that are no stop words."""
+    without = F.array(*[F.lit(w) for w in (STOP_WORDS if stop is None else stop)]).cast("array<string>")
+    found = F.regexp_extract_all(_c(text), F.lit(r"([A-Za-z_][A-Za-z0-9_]{2,})"), 1)
+    return F.slice(F.array_distinct(F.filter(found, lambda w: ~F.array_contains(without, F.lower(w)))), 1, most)
+
+
+def names_word(text: Column | str, name: Column | str) -> Column:
+    """True where the text has the name as a whole word."""
+    return F.regexp_like(_c(text), F.concat(F.lit(r"(?U)\b\Q"), F.replace(_c(name), F.lit(r"\E"), F.lit("")), F.lit(r"\E\b")))

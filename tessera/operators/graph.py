@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import paths as P
+from tessera.operators import scan
+from tessera.sources.shared import cut
 
 REFERENCE_EDGES = ("calls", "references", "implements")
 # How candidates of a reference are scored, and how many ties are kept.
@@ -51,13 +53,22 @@ def implementors(nodes: DataFrame, edges: DataFrame, asked: DataFrame) -> DataFr
     return neighbours(edges, nodes, asked, True, ("implements",))
 
 
+HINTS = ("file", "kind_hint", "scope")
+
+
 def find(nodes: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
     """(qid, id, tier, rank, total_matches): names that contain the query, caseless, best first.
 
-    Tiers: 0 exact, 1 equal but for case, 2 begins with it, 3 has it inside. queries: qid, query.
+    Tiers: 0 exact, 1 equal but for case, 2 begins with it, 3 has it inside. queries: qid, query, and any of file,
+    kind_hint and scope, all of which must fit where they are not null.
     """
     name, q = F.lower("name"), F.lower("query")
-    found = nodes.filter("kind <> 'file'").join(F.broadcast(queries), F.contains(name, q))
+    kept = nodes.filter("kind <> 'file'")
+    pairs = scan.containing(kept.select("id", name.alias("text")), queries.select("qid", F.lower(F.trim("query")).alias("needle")))
+    found = pairs.join(kept, "id").join(queries.withColumn("query", F.trim("query")), "qid")
+    given = [F.col(h) if h in queries.columns else F.lit(None).cast("string") for h in HINTS]
+    if any(h in queries.columns for h in HINTS):
+        found = hinted(found, *given).filter("matched")
     tier = F.when(F.col("name") == F.col("query"), 0).when(name == q, 1).when(F.startswith(name, q), 2).otherwise(3)
     w = Window.partitionBy("qid")
     order = w.orderBy("tier", F.desc("priority"), F.octet_length("name"), "file_path", "start_line", "id")
@@ -84,7 +95,10 @@ def pick(nodes: DataFrame, asked: DataFrame, limit: int = CANDIDATES) -> DataFra
     asked: qid, name, file, kind_hint, scope (hints may be null). One node of the name, or one that fits all hints, is
     `ok`; else `ambiguous`: those that fit if any do, else all of the name.
     """
-    rows = nodes.filter("kind <> 'file'").join(asked, "name")
+    return _picked(nodes.filter("kind <> 'file'").join(asked, "name"), limit)
+
+
+def _picked(rows: DataFrame, limit: int) -> DataFrame:
     rows = hinted(rows, F.col("file"), F.col("kind_hint"), F.col("scope"))
     w = Window.partitionBy("qid")
     any_hint = F.coalesce(F.col("file"), F.col("kind_hint"), F.col("scope")).isNotNull()
@@ -97,6 +111,25 @@ def pick(nodes: DataFrame, asked: DataFrame, limit: int = CANDIDATES) -> DataFra
     return out.filter(F.col("rank") <= limit).select("qid", "id", "status", "score", "rank", "total")
 
 
+def _scored(asked: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Every candidate of each asked (name, file_path, prefer, q) with its score, and what ties go by."""
+    c = candidates.select("id", "name", "kind", F.col("file_path").alias("path"))
+    types = candidates.filter(F.col("kind").isin(P.TYPE_KINDS)).select(F.col("name").alias("q"), F.col("file_path").alias("path"), F.lit(QUALIFIED).alias("of_type")).distinct()
+    rows = asked.join(c, "name").join(types, ["q", "path"], "left")
+    here, there = F.col("file_path"), F.col("path")
+    near = F.when(here == there, SAME_FILE).when(P.directory(here) == P.directory(there), SAME_DIRECTORY).when(P.top_segment(here) == P.top_segment(there), SAME_TOP).otherwise(0)
+    preferred = F.array_contains("prefer", F.col("kind"))
+    types_wanted = F.arrays_overlap("prefer", F.array(*[F.lit(k) for k in P.TYPE_KINDS]))
+    score = near + F.when(preferred, PREFERRED).otherwise(0) + F.coalesce("of_type", F.lit(0))
+    score = score + F.when(types_wanted & (F.lower(P.stem(there)) == F.lower("name")), NAMED_FILE).otherwise(0)
+    score = score - F.when(P.is_test(there) & (here != there), TEST_PENALTY).otherwise(0)
+    score = score - F.when(F.contains(there, F.lit("examples/")) & ~F.contains(here, F.lit("examples/")), EXAMPLE_PENALTY).otherwise(0)
+    return rows.select(*ASKED, "id", score.alias("score"), preferred.alias("preferred"), (here == there).alias("here"), P.top_segment(there).alias("top"))
+
+
+ASKED = ("name", "file_path", "prefer", "q")
+
+
 def resolve(refs: DataFrame, candidates: DataFrame) -> DataFrame:
     """(ref_id, id, score): definitions that references mean.
 
@@ -105,32 +138,24 @@ def resolve(refs: DataFrame, candidates: DataFrame) -> DataFrame:
     none. Of several best: in the caller's own file the first few by id; else one of a preferred kind; else the
     preferred ones, or all, if two, or if a few of one top directory.
 
-    The name is the join key; AQE splits names that very many references share.
+    References that differ in neither name, file, kinds nor qualifier mean the same: each such question is scored once.
+    Its best score and what the rules ask of the best are sums by score, combined before they are shuffled.
     """
-    c = candidates.select("id", "name", "kind", F.col("file_path").alias("path"))
-    rows = refs.join(c, "name")
-    types = candidates.filter(F.col("kind").isin(P.TYPE_KINDS)).select(F.col("name").alias("qualifier"), F.col("file_path").alias("path"), F.lit(QUALIFIED).alias("q")).distinct()
-    rows = rows.join(types, ["qualifier", "path"], "left")
-    here, there = F.col("file_path"), F.col("path")
-    near = F.when(here == there, SAME_FILE).when(P.directory(here) == P.directory(there), SAME_DIRECTORY).when(P.top_segment(here) == P.top_segment(there), SAME_TOP).otherwise(0)
-    preferred = F.array_contains("prefer", F.col("kind"))
-    types_wanted = F.arrays_overlap("prefer", F.array(*[F.lit(k) for k in P.TYPE_KINDS]))
-    score = near + F.when(preferred, PREFERRED).otherwise(0) + F.coalesce("q", F.lit(0))
-    score = score + F.when(types_wanted & (F.lower(P.stem(there)) == F.lower("name")), NAMED_FILE).otherwise(0)
-    score = score - F.when(P.is_test(there) & (here != there), TEST_PENALTY).otherwise(0)
-    score = score - F.when(F.contains(there, F.lit("examples/")) & ~F.contains(here, F.lit("examples/")), EXAMPLE_PENALTY).otherwise(0)
-    w = Window.partitionBy("ref_id")
-    rows = rows.select("ref_id", "id", "file_path", "path", preferred.alias("preferred"), score.alias("score"))
-    rows = rows.withColumn("n", F.count("*").over(w)).withColumn("best", F.max("score").over(w))
-    rows = rows.filter((F.col("n") == 1) | ((F.col("score") == F.col("best")) & (F.col("best") >= 0)))
-    rows = rows.withColumn("n_best", F.count("*").over(w)).withColumn("all_here", F.min((F.col("path") == F.col("file_path")).cast("int")).over(w) == 1)
-    rows = rows.withColumn("n_preferred", F.sum(F.col("preferred").cast("int")).over(w)).withColumn("nth", F.row_number().over(w.orderBy("id")))
-    rows = rows.withColumn("in_pool", (F.col("n_preferred") == 0) | F.col("preferred"))
-    pool = Window.partitionBy("ref_id", "in_pool")
-    rows = rows.withColumn("n_pool", F.count("*").over(pool)).withColumn("one_top", F.min(P.top_segment(F.col("path"))).over(pool) == F.max(P.top_segment(F.col("path"))).over(pool))
-    tied = F.col("in_pool") & ((F.col("n_preferred") == 1) | (F.col("n_pool") == 2) | ((F.col("n_pool") <= TIES) & F.col("one_top")))
-    keep = (F.col("n") == 1) | (F.col("n_best") == 1) | F.when(F.col("all_here"), F.col("nth") <= TIES_IN_FILE).otherwise(tied)
-    return rows.filter(keep).select("ref_id", "id", "score")
+    refs = refs.select("ref_id", "name", "file_path", "prefer", F.coalesce("qualifier", F.lit("")).alias("q"))
+    scored = _scored(refs.select(*ASKED).distinct(), candidates)
+    wanted = F.when(F.col("preferred"), F.col("top"))
+    sums = scored.groupBy(*ASKED, "score").agg(F.count("*").alias("n"), F.min("here").alias("here"), F.count_if("preferred").alias("n_preferred"), F.min("top").alias("low"), F.max("top").alias("high"), F.min(wanted).alias("low_preferred"), F.max(wanted).alias("high_preferred"))
+    best = sums.groupBy(*ASKED).agg(F.sum("n").alias("all"), F.max(F.struct("score", "n", "here", "n_preferred", "low", "high", "low_preferred", "high_preferred")).alias("b")).select(*ASKED, "all", "b.*")
+    some = F.col("n_preferred") > 0
+    pool = F.when(some, F.col("n_preferred")).otherwise(F.col("n"))
+    one_top = F.when(some, F.col("low_preferred") == F.col("high_preferred")).otherwise(F.col("low") == F.col("high"))
+    rule = F.when((F.col("all") == 1) | ((F.col("n") == 1) & (F.col("score") >= 0)), "all").when(F.col("score") < 0, None)
+    rule = rule.when(F.col("here"), "here").when((F.col("n_preferred") == 1) | (pool == 2) | ((pool <= TIES) & one_top), F.when(some, "preferred").otherwise("all"))
+    best = best.select(*ASKED, "score", rule.alias("rule")).filter("rule is not null")
+    kept = scored.join(best, [*ASKED, "score"]).filter("rule <> 'preferred' or preferred")
+    in_file = Window.partitionBy(*ASKED).orderBy("id")
+    kept = kept.withColumn("nth", F.row_number().over(in_file)).filter((F.col("rule") != "here") | (F.col("nth") <= TIES_IN_FILE))
+    return refs.join(kept.select(*ASKED, "id", "score"), [*ASKED]).select("ref_id", "id", "score")
 
 
 def innermost(points: DataFrame, spans: DataFrame, how: str = "inner") -> DataFrame:
@@ -147,7 +172,9 @@ def innermost(points: DataFrame, spans: DataFrame, how: str = "inner") -> DataFr
 
 
 def unique_edges(edges: DataFrame) -> DataFrame:
-    return edges.withColumn("at", F.coalesce("line", F.lit(-1))).dropDuplicates(["source", "target", "kind", "at"]).drop("at")
+    """Each edge once; of several files that make it, once for each where edges carry their file."""
+    own = ["file_path"] if "file_path" in edges.columns else []
+    return edges.withColumn("at", F.coalesce("line", F.lit(-1))).dropDuplicates(["source", "target", "kind", "at", *own]).drop("at")
 
 
 def built_edges(nodes: DataFrame, resolved: DataFrame, impls: DataFrame) -> DataFrame:
@@ -155,17 +182,23 @@ def built_edges(nodes: DataFrame, resolved: DataFrame, impls: DataFrame) -> Data
 
     impls: type_id, trait_id (null: none), method_id (null: the block itself), line, method_line. A block makes
     type implements trait; a method makes type contains method, method references type and trait. No edge to itself.
+    Where resolved and impls have a file_path, edges carry it.
     """
+    own = ["file_path"] if "file_path" in resolved.columns else []
     files = nodes.filter("kind = 'file'").select(F.col("id").alias("source"), "file_path")
-    contains = nodes.filter("kind <> 'file'").join(files, "file_path").select("source", F.col("id").alias("target"), F.lit("contains").alias("kind"), F.col("start_line").cast("int").alias("line"))
+    contains = nodes.filter("kind <> 'file'").join(files, "file_path").select("source", F.col("id").alias("target"), F.lit("contains").alias("kind"), F.col("start_line").cast("int").alias("line"), *own)
     block = impls.filter("method_id is null and trait_id is not null")
     method = impls.filter("method_id is not null")
+
+    def made(rows: DataFrame, source: str, target: str, kind: str, line: str) -> DataFrame:
+        return rows.select(F.col(source).alias("source"), F.col(target).alias("target"), F.lit(kind).alias("kind"), F.col(line).alias("line"), *own)
+
     parts = [
-        resolved.select("source", "target", "kind", "line"),
-        block.select(F.col("type_id").alias("source"), F.col("trait_id").alias("target"), F.lit("implements").alias("kind"), "line"),
-        method.select(F.col("type_id").alias("source"), F.col("method_id").alias("target"), F.lit("contains").alias("kind"), F.col("method_line").alias("line")),
-        method.select(F.col("method_id").alias("source"), F.col("type_id").alias("target"), F.lit("references").alias("kind"), F.col("method_line").alias("line")),
-        method.filter("trait_id is not null").select(F.col("method_id").alias("source"), F.col("trait_id").alias("target"), F.lit("references").alias("kind"), F.col("method_line").alias("line")),
+        resolved.select("source", "target", "kind", "line", *own),
+        made(block, "type_id", "trait_id", "implements", "line"),
+        made(method, "type_id", "method_id", "contains", "method_line"),
+        made(method, "method_id", "type_id", "references", "method_line"),
+        made(method.filter("trait_id is not null"), "method_id", "trait_id", "references", "method_line"),
     ]
     out = contains
     for part in parts:
@@ -186,11 +219,11 @@ def affected_files(changed: DataFrame, names: DataFrame, refs: DataFrame, impls:
     return out.distinct()
 
 
-def neighbour_files(edges: DataFrame, nodes: DataFrame, anchors: DataFrame, limit: int = 20, kinds: tuple[str, ...] = ("calls", "references")) -> DataFrame:
+def neighbour_files(edges: DataFrame, nodes: DataFrame, anchors: DataFrame, limit: int = 20, kinds: tuple[str, ...] = REFERENCE_EDGES) -> DataFrame:
     """(anchor, file_path, score, rank): files one edge away from an anchor file's symbols, either way.
 
-    anchors: anchor (a file), changed (array of names that its change mentions); an edge counts 2 from a mentioned
-    symbol and 1 from others. The either-way condition is two equi-joins; an edge within the file counts for neither.
+    anchors: anchor (a file), changed (array of names that its change mentions; see changed_names); an edge counts 2 from
+    a mentioned symbol and 1 from others. The either-way condition is two equi-joins; an edge within the file counts for neither.
     """
     own = nodes.filter("kind <> 'file'").join(anchors, F.col("file_path") == F.col("anchor")).select(F.col("id").alias("own"), "anchor", F.when(F.array_contains("changed", F.col("name")), 2.0).otherwise(1.0).alias("weight"))
     kept = edges.filter(F.col("kind").isin(*kinds))
@@ -201,6 +234,15 @@ def neighbour_files(edges: DataFrame, nodes: DataFrame, anchors: DataFrame, limi
     return files.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
 
+def changed_names(nodes: DataFrame, changes: DataFrame) -> DataFrame:
+    """(anchor, changed): the names of a file's symbols that its change has as whole words. changes: anchor, diff."""
+    from tessera.functions import text as T
+
+    named = nodes.filter("kind <> 'file'").select(F.col("file_path").alias("anchor"), "name").distinct()
+    met = changes.join(named, "anchor", "left")
+    return met.groupBy("anchor").agg(F.collect_set(F.when(T.names_word("diff", "name"), F.col("name"))).alias("changed"))
+
+
 def reach(edges: DataFrame, nodes: DataFrame, kinds: tuple[str, ...] = ("calls", "references")) -> DataFrame:
     """(file_path, hop1, hop2): numbers of other files within one and two edges of each file."""
     of = nodes.select("id", "file_path")
@@ -211,3 +253,63 @@ def reach(edges: DataFrame, nodes: DataFrame, kinds: tuple[str, ...] = ("calls",
     one, two = (h.groupBy("a").agg(F.count("*").alias(n)) for h, n in ((hop1, "hop1"), (hop2, "hop2")))
     out = nodes.select(F.col("file_path").alias("a")).distinct().join(one, "a", "left").join(two, "a", "left")
     return out.select(F.col("a").alias("file_path"), F.coalesce("hop1", F.lit(0)).alias("hop1"), F.coalesce("hop2", F.lit(0)).alias("hop2"))
+
+
+def file_symbols(nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """(qid, id): the symbols of a file; of a path that no file has, those of files that end with it. asked: qid, path."""
+    symbols = nodes.filter("kind <> 'file'").select("id", "file_path")
+    exact = asked.join(symbols, F.col("path") == F.col("file_path")).select("qid", "id")
+    rest = asked.join(exact.select("qid").distinct(), "qid", "left_anti").filter("path <> ''")
+    # The file name of both is equal, so the suffix is tested within it.
+    ends = rest.withColumn("base", P.file_name(F.col("path"))).join(symbols.withColumn("base", P.file_name(F.col("file_path"))), "base")
+    return exact.union(ends.filter(F.endswith("file_path", F.concat(F.lit("/"), "path"))).select("qid", "id"))
+
+
+def symbol_candidates(nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """(qid, id): the nodes that a symbol may mean: the node of that id; else the symbols of that name in that file
+    (file/symbol, the file with a dot); else all of that name. asked: qid, symbol."""
+    symbols = nodes.filter("kind <> 'file'").select("id", "name", "file_path")
+    by_id = asked.filter(F.contains("symbol", F.lit(":"))).join(symbols, F.col("symbol") == F.col("id")).select("qid", "id")
+    rest = asked.join(by_id.select("qid"), "qid", "left_anti")
+    file, symbol = P.file_and_symbol(P.normalized(F.col("symbol")))
+    split = rest.select("qid", file.alias("file_path"), symbol.alias("name")).filter(F.contains("file_path", F.lit(".")) & F.col("name").isNotNull())
+    in_file = split.join(symbols, ["file_path", "name"]).select("qid", "id")
+    rest = rest.join(in_file.select("qid").distinct(), "qid", "left_anti")
+    by_name = rest.join(symbols, F.col("symbol") == F.col("name")).select("qid", "id")
+    return by_id.union(in_file).union(by_name)
+
+
+def picked(nodes: DataFrame, asked: DataFrame, limit: int = CANDIDATES) -> DataFrame:
+    """pick() for symbols in any of their three forms, and a row `not_found` for those that mean nothing.
+
+    asked: qid, symbol, file, kind_hint, scope. Returns qid, id, status, score, rank, total.
+    """
+    found = cut(symbol_candidates(nodes, asked))
+    meant = found.join(nodes.select("id", "kind", "name", "file_path"), "id").join(asked.select("qid", *HINTS), "qid")
+    out = _picked(meant, limit)
+    none = asked.join(found.select("qid").distinct(), "qid", "left_anti")
+    return out.union(none.select("qid", F.lit(None).cast("string"), F.lit("not_found"), F.lit(None).cast("double"), F.lit(1), F.lit(0).cast("long")))
+
+
+def ref(nodes: DataFrame, edges: DataFrame, asked: DataFrame) -> DataFrame:
+    """(qid, status, symbol_id, id, kind, line): one-hop references of what a symbol and its hints mean.
+
+    asked: qid, symbol, incoming (boolean), file, kind_hint, scope. status ok: a row per edge whose other end lies in the
+    scope (id null where there is none); ambiguous: a row per candidate (symbol_id); not_found: one row.
+    """
+    out = picked(nodes, asked)
+    rest = out.filter("status <> 'ok'").select("qid", "status", F.col("id").alias("symbol_id"), *[F.lit(None).cast(t).alias(c) for c, t in (("id", "string"), ("kind", "string"), ("line", "int"))])
+    ok = out.filter("status = 'ok'").select("qid", F.col("id").alias("symbol_id")).join(asked.select("qid", "incoming", "scope"), "qid")
+    kept = edges.filter(F.col("kind").isin(*REFERENCE_EDGES))
+    into = ok.filter("incoming").join(kept, F.col("target") == F.col("symbol_id")).select("qid", "scope", F.col("source").alias("id"), "kind", "line")
+    out_of = ok.filter("not incoming").join(kept, F.col("source") == F.col("symbol_id")).select("qid", "scope", F.col("target").alias("id"), "kind", "line")
+    ends = into.union(out_of).join(nodes.select("id", "file_path"), "id")
+    ends = ends.filter(F.coalesce(P.in_scope(F.col("file_path"), P.normalized(F.col("scope"))), F.lit(True)))
+    return rest.union(ok.join(ends.drop("scope", "file_path"), "qid", "left").select("qid", F.lit("ok"), "symbol_id", "id", "kind", F.col("line").cast("int")))
+
+
+def state(nodes: DataFrame, sources: DataFrame) -> str:
+    """What a question to the graph meets: ok; not_indexed where there are sources but no nodes; else empty."""
+    if not nodes.isEmpty():
+        return "ok"
+    return "empty" if sources.isEmpty() else "not_indexed"

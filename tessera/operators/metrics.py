@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import memory as M
 from tessera.functions import text as T
+from tessera.sources.shared import cut
 
 # Weights of scenario categories.
 CATEGORY_WEIGHTS = {
@@ -23,24 +24,50 @@ def ratio(part: Column, whole: Column, empty: Column | None = None) -> Column:
     return F.when(whole != 0, part / whole).otherwise(F.lit(None).cast("double") if empty is None else empty)
 
 
-def nearest_rank(values: Column, p: float) -> Column:
-    """Percentile at index round-half-even(p * (n - 1)) of the sorted values."""
-    v = F.array_sort(F.collect_list(values))
-    n = F.size(v)
-    return F.when(n > 0, F.element_at(v, (F.least(n - 1, F.bround(F.lit(p) * (n - 1), 0).cast("int")) + 1)))
+#: Ranges in which a group's values are counted.
+RANGES = 128
 
 
-def upper_median(values: Column) -> Column:
-    v = F.array_sort(F.collect_list(values))
-    return F.when(F.size(v) > 0, F.element_at(v, F.floor(F.size(v) / 2).cast("int") + 1))
+def order_statistics(rows: DataFrame, by: str, value: str, wanted: dict[str, Column]) -> DataFrame:
+    """(by, name, value): the values at the wanted places (from 1; expressions over n, the group's count) in order.
 
+    Equal values are counted where they are read; each group's values are counted by ranges that approximate quantiles
+    set, and only the range that holds a place is ordered, so no group is gathered in one task or array.
+    """
+    values = rows.filter(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    shares = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
+    per = cut(values.groupBy(by).agg(F.sum("c").alias("n"), F.percentile_approx("v", shares, F.lit(1000)).alias("borders")))
+    values = values.join(per.select(by, "borders"), by).withColumn("range", F.size(F.filter("borders", lambda b: b < F.col("v")))).drop("borders")
+    ranges = values.groupBy(by, "range").agg(F.sum("c").alias("in_range"))
+    upto = F.sum("in_range").over(Window.partitionBy(by).orderBy("range"))
+    ranges = ranges.select(by, "range", (upto - F.col("in_range")).alias("before"), upto.alias("upto"))
+    places = F.array(*[F.struct(F.lit(name).alias("name"), at.cast("long").alias("at")) for name, at in wanted.items()])
+    asked = per.select(by, F.explode(places).alias("p")).select(by, "p.*").join(ranges, by).filter("at > before and at <= upto")
+    asked = cut(asked.select(by, "range", "name", (F.col("at") - F.col("before")).alias("nth")))
+    inside = F.sum("c").over(Window.partitionBy(by, "range").orderBy("v"))
+    ordered = values.join(asked.select(by, "range").distinct(), [by, "range"], "left_semi").withColumn("last", inside)
+    hit = ordered.join(asked, [by, "range"]).filter("nth <= last and nth > last - c")
+    return hit.select(by, "name", F.col("v").alias("value"))
+
+
+def quantiles(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, n, p50, p95, upper_median, median, p90): three definitions of quantiles that must not be mixed up.
+
+    p50 and p95: the value at index round-half-even(p * (n - 1)); upper_median: at n // 2; median: the mean of the middle
+    two; p90: the ninth decile by interpolation at 0.9 * (n + 1), null for a single value.
+    """
+    n = F.col("n")
+    decile = F.greatest(F.lit(1), F.least(n - 1, F.floor(F.lit(0.9) * (n + 1))))
 
-def exclusive_p90(values: Column) -> Column:
-    """Ninth decile by interpolation at 0.9 * (n + 1)."""
-    v = F.array_sort(F.collect_list(values.cast("double")))
-    n = F.size(v)
-    at = F.greatest(F.lit(1), F.least(n - 1, F.floor(F.lit(0.9) * (n + 1)).cast("int")))
-    return F.when(n > 1, F.element_at(v, at) + (F.lit(0.9) * (n + 1) - at) * (F.element_at(v, at + 1) - F.element_at(v, at)))
+    def nearest(p: float) -> Column:
+        return F.least(n - 1, F.bround(F.lit(p) * (n - 1), 0).cast("long")) + 1
+
+    wanted = {"p50": nearest(0.5), "p95": nearest(0.95), "upper_median": F.floor(n / 2) + 1, "lower": F.floor((n + 1) / 2), "decile": decile, "after": decile + 1}
+    found = order_statistics(rows, by, value, wanted).groupBy(by).agg(*[F.max(F.when(F.col("name") == x, F.col("value"))).alias(x) for x in wanted])
+    counts = rows.groupBy(by).agg(F.count(value).alias("n"))
+    out = counts.join(found, by, "left")
+    p90 = F.when(n > 1, F.col("decile") + (F.lit(0.9) * (n + 1) - decile) * (F.col("after") - F.col("decile")))
+    return out.select(by, "n", "p50", "p95", "upper_median", ((F.col("lower") + F.col("upper_median")) / 2).alias("median"), p90.alias("p90"))
 
 
 def first_seen(ranked: DataFrame, key: str) -> DataFrame:
@@ -135,36 +162,66 @@ def fusion_leaderboard(lists: dict[str, DataFrame], gold: DataFrame, depth: int
     return per.groupBy(label.alias("combination")).agg(F.avg("rr").alias("mrr"), F.avg("recall").alias("recall"))
 
 
+def matches(points: DataFrame, memories: DataFrame, threshold: float) -> DataFrame:
+    """(point, id, coverage): the memories that cover at least `threshold` of a point's content words.
+
+    points: point, words; memories: id, words. A memory that lacks a point's rarest words beyond what the threshold
+    allows cannot match, so pairs start from those words alone; common words are only counted for the pairs found.
+    """
+    asked = points.select("point", F.size("words").alias("n"), F.explode("words").alias("w")).groupBy("point", "n", "w").agg(F.count("*").alias("times"))
+    asked = cut(asked)
+    wanted = asked.select("w").distinct()
+    held = memories.select("id", F.explode(F.array_distinct("words")).alias("w")).join(wanted, "w", "left_semi")
+    held = cut(held)
+    common = held.groupBy("w").agg(F.count("*").alias("df"))
+    rarest = Window.partitionBy("point").orderBy("df", "w").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = asked.join(common, "w").withColumn("before", F.coalesce(F.sum("times").over(rarest), F.lit(0)))
+    # What no memory has is missing everywhere.
+    absent = asked.join(common, "w", "left_anti").groupBy("point").agg(F.sum("times").alias("absent"))
+    ranked = ranked.join(absent, "point", "left").withColumn("spare", F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) - F.coalesce("absent", F.lit(0)))
+    pairs = ranked.filter("before <= spare").select("point", "w").join(held, "w").select("point", "id").distinct()
+    counted = pairs.join(asked, "point").join(held, ["id", "w"]).groupBy("point", "n", "id").agg(F.sum("times").alias("hit"))
+    return counted.select("point", "id", (F.col("hit") / F.col("n")).alias("coverage")).filter(F.col("coverage") >= threshold)
+
+
 def best_match(points: DataFrame, memories: DataFrame, threshold: float) -> DataFrame:
     """(point, id, coverage): the memory that covers most of a point's content words, the first of equals.
 
-    points: point, words; memories: id, ordinal, words. The word is the join key: only memories that share one with a
-    point meet it.
+    points: point, words; memories: id, ordinal, words.
     """
-    asked = points.select("point", F.size("words").alias("n"), F.explode("words").alias("w")).groupBy("point", "n", "w").agg(F.count("*").alias("times"))
-    held = memories.select("id", "ordinal", F.explode(F.array_distinct("words")).alias("w"))
-    met = asked.join(held, "w").groupBy("point", "n", "id", "ordinal").agg(F.sum("times").alias("hit"))
-    met = met.withColumn("coverage", F.col("hit") / F.col("n")).filter(F.col("coverage") >= threshold)
+    met = matches(points, memories, threshold).join(memories.select("id", "ordinal"), "id")
     best = met.groupBy("point").agg(F.max_by(F.struct("id", "coverage"), F.struct("coverage", -F.col("ordinal"))).alias("b"))
     return best.select("point", "b.id", "b.coverage")
 
 
+def update_rate(points: DataFrame, originals: DataFrame, memories: DataFrame, threshold: float = 0.55) -> DataFrame:
+    """One row: update_hits, update_total, update_rate (null without any).
+
+    points: point, words, is_update; originals: point, words (one row per earlier memory of the point); memories: id,
+    ordinal, words, supersedes_id. An update is a hit when its best memory supersedes the best memory of an original.
+    """
+    due = points.filter("is_update").join(originals.select("point").distinct(), "point", "left_semi")
+    new = best_match(due, memories, threshold).join(memories.select("id", "supersedes_id"), "id").select("point", "supersedes_id")
+    numbered = originals.select(F.struct("point", "words").alias("point"), "words").distinct()
+    old = best_match(numbered, memories, threshold).select(F.col("point.point").alias("point"), F.col("id").alias("supersedes_id")).distinct()
+    hits = new.join(old, ["point", "supersedes_id"], "left_semi").agg(F.count("*").alias("update_hits"))
+    row = hits.crossJoin(due.agg(F.count("*").alias("update_total")))
+    return row.withColumn("update_rate", ratio(F.col("update_hits"), F.col("update_total")))
+
+
 def bank_score(points: DataFrame, memories: DataFrame, threshold: float = 0.55) -> DataFrame:
     """One row: covered targets, resisted interference, precision, recall and F1 of a memory bank.
 
     points: point, words, interference.
     """
-    best = best_match(points, memories, threshold).select("point", F.lit(1).alias("found"))
-    per = points.join(best, "point", "left").agg(
+    met = cut(matches(points, memories, threshold).select("point", "id"))
+    per = points.join(met.select("point", F.lit(1).alias("found")).distinct(), "point", "left").agg(
         F.count_if(~F.col("interference")).alias("target_points"),
         F.count_if(~F.col("interference") & F.col("found").isNotNull()).alias("covered"),
         F.count_if(F.col("interference")).alias("noise"),
         F.count_if(F.col("interference") & F.col("found").isNull()).alias("resisted"),
     )
-    back = points.filter("not interference")
-    asked = back.select("point", F.size("words").alias("n"), F.explode("words").alias("w")).groupBy("point", "n", "w").agg(F.count("*").alias("times"))
-    held = memories.select("id", F.explode(F.array_distinct("words")).alias("w"))
-    precise = asked.join(held, "w").groupBy("point", "n", "id").agg(F.sum("times").alias("hit")).filter(F.col("hit") / F.col("n") >= threshold).agg(F.countDistinct("id").alias("precise"))
+    precise = met.join(points.filter("not interference").select("point"), "point", "left_semi").agg(F.countDistinct("id").alias("precise"))
     row = per.crossJoin(precise).crossJoin(memories.agg(F.count("*").alias("memories")))
     recall, precision = ratio(F.col("covered"), F.col("target_points"), F.lit(0.0)), ratio(F.col("precise"), F.col("memories"), F.lit(0.0))
     row = row.withColumn("recall", recall).withColumn("precision", precision)
@@ -202,8 +259,55 @@ def judged(records: DataFrame) -> DataFrame:
     return out.withColumn("f1", f1)
 
 
+def combined_judgements(*record_sets: DataFrame) -> DataFrame:
+    """The judge's ratios over all record sets together, which is not the mean of their ratios."""
+    return judged(reduce(lambda a, b: a.unionByName(b), record_sets))
+
+
+def scenario_summary(rows: DataFrame, deferred: list[str]) -> DataFrame:
+    """(level, key, n, avg): mean scores of all scenarios (raw), the weighted mean of categories, those that one hop
+    can answer and the deferred, and of each category, op and sub-type.
+
+    rows: category, op, sub_type, score; deferred: sub-types that count apart.
+    """
+    late = F.col("sub_type").isin(deferred) if deferred else F.lit(False)
+    part = F.when(late, "deferred").otherwise("supported")
+    keyed = rows.withColumn("keys", F.array(*[F.struct(F.lit(level).alias("level"), key.alias("key")) for level, key in (("raw", F.lit("all")), ("part", part), ("category", F.col("category")), ("op", F.col("op")), ("sub_type", F.col("sub_type")))]))
+    per = keyed.select(F.explode("keys").alias("k"), "score").groupBy("k.level", "k.key").agg(F.count("*").alias("n"), F.avg("score").alias("avg"))
+    weighted = weighted_accuracy(rows).select(F.lit("weighted").alias("level"), F.lit("all").alias("key"), "n", F.col("weighted").alias("avg"))
+    return per.union(weighted)
+
+
+def evidence_recall(ranked: DataFrame, evidence: DataFrame, cutoffs: tuple[int, ...] = (5, 10)) -> DataFrame:
+    """(category, n, mrr, recall_.., hit_..) of dialog turns found as evidence, by category and over all (null).
+
+    ranked: qid, turn_id, rank (a turn may come back in several hits: its first place counts, ranked anew);
+    evidence: qid, category, turn_id. Questions without evidence have no rows and do not count.
+    """
+    turns = first_seen(ranked.filter("turn_id is not null"), "turn_id").select("qid", F.col("turn_id").alias("id"), "rank")
+    per = per_query(turns, evidence.select("qid", F.col("turn_id").alias("id")), cutoffs)
+    named = per.join(evidence.select("qid", "category").distinct(), "qid")
+    out = summary(named, "category", cutoffs)
+    return out.select("category", "n", "mrr", *[f"{m}_{c}" for c in cutoffs for m in ("recall", "hit")])
+
+
+def reach_shares(gold: DataFrame) -> DataFrame:
+    """One row: how many gold files there are, and the shares that are indexed, within one and two hops, ranked, and
+    within a hop but not ranked. gold: indexed, hop1, hop2 (booleans), rank (null: not ranked)."""
+    def share(c: Column) -> Column:
+        return F.avg(c.cast("double"))
+
+    return gold.agg(F.count("*").alias("gold_files"), share(F.col("indexed")).alias("indexed"), share(F.col("hop1")).alias("in_hop1"), share(F.col("hop2")).alias("in_hop2"), share(F.col("rank").isNotNull()).alias("ranked"), share(F.col("hop1") & F.col("rank").isNull()).alias("hop1_not_ranked"))
+
+
+def missing(required: DataFrame, available: DataFrame) -> DataFrame:
+    """What is required and not available, each once."""
+    return required.distinct().exceptAll(available.distinct())
+
+
 def write_quality(memories: DataFrame, facts: DataFrame, links: DataFrame, fact_links: DataFrame) -> DataFrame:
-    """One row per case: covered and exclusive facts, satisfied and all linked pairs.
+    """One row per case: covered and exclusive facts, satisfied and all linked pairs, number of memories and the mean
+    and greatest length of their texts (0 without any).
 
     memories: case_id, id, text (folded); facts: case_id, fact, must (array); links: id, other (stored direction);
     fact_links: case_id, fact, other.
@@ -218,8 +322,9 @@ def write_quality(memories: DataFrame, facts: DataFrame, links: DataFrame, fact_
     met = left.join(right, ["case_id", "other"]).join(links.select(F.col("id").alias("one"), F.col("other").alias("two"), F.lit(1).alias("l")), ["one", "two"], "left")
     ok = met.filter("one = two or l = 1").select("case_id", "a", "b").distinct().groupBy("case_id").agg(F.count("*").alias("link_hits"))
     total = pairs.groupBy("case_id").agg(F.count("*").alias("link_total"))
-    out = per.join(ok, "case_id", "left").join(total, "case_id", "left")
-    return out.select("case_id", "facts", "covered", "exclusive", F.coalesce("link_hits", F.lit(0)).alias("link_hits"), F.coalesce("link_total", F.lit(0)).alias("link_total"))
+    lengths = memories.groupBy("case_id").agg(F.count("*").alias("memories"), F.bround(F.avg(F.char_length("text")), 0).cast("long").alias("mean_chars"), F.max(F.char_length("text")).cast("long").alias("max_chars"))
+    out = per.join(ok, "case_id", "left").join(total, "case_id", "left").join(lengths, "case_id", "left")
+    return out.select("case_id", "facts", "covered", "exclusive", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("link_hits", "link_total", "memories", "mean_chars", "max_chars")])
 
 
 def budgeted(ranked: DataFrame, budget: int) -> DataFrame:

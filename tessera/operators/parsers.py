@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 
 from tessera.functions.text import BUILTIN_NAMES
 
-FOUND = "file_path string, what string, kind string, name string, start_line int, end_line int, within string, signature string"
+FOUND = "file_path string, what string, kind string, name string, start_line int, end_line int, within string, signature string, qualifier string"
 
 # Fixed patterns: kind and name of a definition on its first line.
 _CLIKE = [("class", r"\bclass\s+(\w+)"), ("trait", r"\binterface\s+(\w+)"), ("enum", r"\benum\s+(?:class\s+)?(\w+)"), ("struct", r"\b(?:struct|record|union)\s+(\w+)")]
@@ -41,30 +41,42 @@ HERITAGE = {
 _CALL = re.compile(r"\b([A-Za-z_]\w*)\s*\(")
 _WORDS = {"if", "for", "while", "switch", "return", "catch", "sizeof", "fn", "function", "def", "func", "match", "new"}
 
-Row = tuple[str, str, str, int, int, str | None, str | None]
+_QUALIFIED = re.compile(r"\b([A-Z]\w*)\s*(?:::|\.|->)\s*(\w+)\s*\(")
+_TYPE = re.compile(r"\b([A-Z]\w+)\b(?!\s*\()")
+_INHERENT = re.compile(r"^\s*impl(?:<[^>]*>)?\s+(\w+)(?:<[^>]*>)?\s*(?:where\b.*)?\{")
+
+#: what, kind, name, first and last line, enclosing definition (of impl: the type), signature, qualifier.
+Row = tuple[str, str, str | None, int, int, str | None, str | None, str | None]
+
+
+def _named(name: str | None) -> bool:
+    return bool(name) and len(name.encode()) > 1 and name not in BUILTIN_NAMES
 
 
 def _python(text: str) -> list[Row]:
     lines = text.splitlines()
     out: list[Row] = []
 
+    def name_of(node: ast.AST) -> str | None:
+        return node.id if isinstance(node, ast.Name) else node.attr if isinstance(node, ast.Attribute) else None
+
     def visit(node: ast.AST, within: str | None, in_class: bool) -> None:
         for child in ast.iter_child_nodes(node):
             if isinstance(child, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
                 is_class = isinstance(child, ast.ClassDef)
                 kind = "class" if is_class else "method" if in_class else "function"
-                out.append(("def", kind, child.name, child.lineno, child.end_lineno or child.lineno, within, lines[child.lineno - 1].strip()))
-                for base in child.bases if is_class else []:
-                    name = base.id if isinstance(base, ast.Name) else base.attr if isinstance(base, ast.Attribute) else None
-                    if name:
-                        out.append(("impl", "implements", name, child.lineno, child.lineno, child.name, None))
+                end = child.end_lineno or child.lineno
+                out.append(("def", kind, child.name, child.lineno, end, within, lines[child.lineno - 1].strip(), None))
+                bases = [name for base in child.bases if (name := name_of(base))] if is_class else []
+                for name in bases or ([None] if is_class else []):
+                    out.append(("impl", "implements", name, child.lineno, end, child.name, None, None))
                 visit(child, child.name, is_class)
                 continue
-            if isinstance(child, ast.Call):
-                f = child.func
-                name = f.id if isinstance(f, ast.Name) else f.attr if isinstance(f, ast.Attribute) else None
-                if name and len(name) > 1 and name not in BUILTIN_NAMES:
-                    out.append(("ref", "calls", name, child.lineno, child.lineno, within, None))
+            if isinstance(child, ast.Call) and _named(name := name_of(child.func)):
+                owner = name_of(child.func.value) if isinstance(child.func, ast.Attribute) else None
+                out.append(("ref", "calls", name, child.lineno, child.lineno, within, None, owner if owner and owner[0].isupper() else None))
+            elif isinstance(child, ast.Name) and child.id[0].isupper() and _named(child.id) and not (isinstance(node, ast.Call) and node.func is child):
+                out.append(("ref", "references", child.id, child.lineno, child.lineno, within, None, None))
             visit(child, within, in_class and not isinstance(child, ast.expr))
 
     visit(ast.parse(text), None, False)
@@ -75,6 +87,11 @@ def _patterned(text: str, language: str) -> list[Row]:
     out: list[Row] = []
     within: list[tuple[int, str]] = []
     lines = text.splitlines()
+
+    def block_end(n: int, depth: int) -> int:
+        """The line that closes what begins on line n: the next one at most as deep that begins with a brace."""
+        return next((j + 1 for j in range(n, len(lines)) if lines[j].strip().startswith("}") and len(lines[j]) - len(lines[j].lstrip()) <= depth), n)
+
     for n, line in enumerate(lines, 1):
         depth = len(line) - len(line.lstrip())
         bare = re.sub(r"//.*|\"(?:\\.|[^\"\\])*\"", "", line)
@@ -83,29 +100,37 @@ def _patterned(text: str, language: str) -> list[Row]:
                 within.pop()
         owner = within[-1][1] if within else None
         m = re.search(HERITAGE[language], bare) if language in HERITAGE else None
+        inherent = _INHERENT.search(bare) if language == "rust" and not m else None
         if m:
-            out.append(("impl", "implements", m["base"], n, n, m["type"], None))
+            out.append(("impl", "implements", m["base"], n, block_end(n, depth), m["type"], None, None))
+        elif inherent:
+            out.append(("impl", "implements", None, n, block_end(n, depth), inherent[1], None, None))
         found = next(((k, d[1]) for k, p in PATTERNS[language] if (d := re.search(p, bare)) and d[1] not in _WORDS), None)
         if found:
-            end = next((j for j in range(n, len(lines)) if lines[j].strip().startswith("}") and len(lines[j]) - len(lines[j].lstrip()) <= depth), None)
-            out.append(("def", found[0], found[1], n, end + 1 if end is not None else n, owner, line.strip()))
+            kind = "method" if found[0] == "function" and language == "rust" and depth and within and within[-1][1].startswith("impl ") else found[0]
+            out.append(("def", kind, found[1], n, block_end(n, depth), None if owner is None else owner.removeprefix("impl "), line.strip(), None))
             within.append((depth, found[1]))
-        elif m and language == "rust":
-            within.append((depth, m["type"]))
+        elif (m or inherent) and language == "rust":
+            within.append((depth, "impl " + (m["type"] if m else inherent[1])))
+        place = found[1] if found else None if owner is None else owner.removeprefix("impl ")
+        qualifiers = {name: of for of, name in _QUALIFIED.findall(bare)}
         for c in _CALL.findall(bare):
-            if len(c) > 1 and c not in _WORDS and c not in BUILTIN_NAMES and (not found or c != found[1]):
-                out.append(("ref", "calls", c, n, n, found[1] if found else owner, None))
+            if _named(c) and c not in _WORDS and (not found or c != found[1]):
+                out.append(("ref", "calls", c, n, n, place, None, qualifiers.get(c)))
+        for t in _TYPE.findall(bare):
+            if _named(t) and not (found and t == found[1]) and not m and not inherent:
+                out.append(("ref", "references", t, n, n, place, None, None))
     return out
 
 
 def parse(text: str, language: str | None) -> list[Row]:
-    """(what: def, ref, impl or skipped; kind, name, first and last line, enclosing definition, signature)."""
+    """(what: def, ref, impl or skipped; kind, name, first and last line, enclosing definition, signature, qualifier)."""
     try:
         if language == "python":
             return _python(text)
         return _patterned(text, language) if language in PATTERNS else []
     except (SyntaxError, ValueError, RecursionError):
-        return [("skipped", "", "", 0, 0, None, None)]
+        return [("skipped", "", "", 0, 0, None, None, None)]
 
 
 def parsed(files: DataFrame) -> DataFrame:
@@ -114,9 +139,9 @@ def parsed(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(path, *row) for path, language, text in zip(*[batch.column(c).to_pylist() for c in ("file_path", "language", "text")], strict=True) for row in parse(text or "", language)]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 8
-            types = [pa.string()] * 4 + [pa.int32()] * 2 + [pa.string()] * 2
-            names = ["file_path", "what", "kind", "name", "start_line", "end_line", "within", "signature"]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 9
+            types = [pa.string()] * 4 + [pa.int32()] * 2 + [pa.string()] * 3
+            names = ["file_path", "what", "kind", "name", "start_line", "end_line", "within", "signature", "qualifier"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     return files.select("file_path", "language", "text").mapInArrow(run, FOUND)

@@ -6,12 +6,16 @@ shuffle beyond it; documents stream past them, so only postings of query terms a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import memory as M
 from tessera.functions import text as T
-from tessera.operators import lineage
+from tessera.operators import lineage, scan
+from tessera.sources.shared import cut
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 BROADCAST_QUERIES = 10_000
@@ -49,22 +53,26 @@ def hash_vectors(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def vector_hits(memories: DataFrame, queries: DataFrame, pool: int = M.POOL, ratio: float = M.VECTOR_GATE, drop_self: bool = False) -> DataFrame:
     """(qid, id, score, rank): cosine of each query with every vector. memories: id, vector; queries: qid, vector.
 
-    A stated query set against all rows: queries are the broadcast side.
+    A stated query set against all rows: the rows pass by the queries in batches, and each batch's best are ranked.
     """
-    pairs = memories.select("id", F.col("vector").alias("v")).join(F.broadcast(queries.select("qid", F.col("vector").alias("q"))), F.col("id") != F.col("qid") if drop_self else F.lit(True))
-    return gate(top(pairs.select("qid", "id", M.cosine(F.col("q"), F.col("v")).alias("score")), pool), ratio)
+    return gate(top(scan.nearest(memories, queries, pool, drop_self), pool), ratio)
 
 
 def bm25_hits(memories: DataFrame, queries: DataFrame, pool: int = M.POOL, ratio: float = M.LEXICAL_GATE) -> DataFrame:
-    """(qid, id, score, rank) by BM25. memories: id, words (array); queries: qid, words (distinct terms).
+    """(qid, id, score, rank) by BM25. memories: id, words (tokens in order); queries: qid, words (distinct terms; one
+    with blanks is a phrase, whose tokens must follow one another).
 
-    The postings kept are those of query terms only; each document's length and counts are taken in one pass.
+    The postings kept are those of query terms only; each document's length and counts are taken in one pass. A token
+    COLUMN_END is the border of two columns: it has no length, and no phrase crosses it.
     """
     asked = queries.select("qid", F.explode("words").alias("w")).distinct()
-    terms = asked.select("w").distinct()
-    sized = memories.select("id", F.size("words").alias("len"), "words")
+    terms = cut(asked.select("w").distinct())
+    sized = memories.select("id", F.size(F.filter("words", lambda w: w != T.COLUMN_END)).alias("len"), "words")
     totals = sized.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
     posted = sized.select("id", "len", F.explode("words").alias("w")).join(small(terms, 1_000_000), "w").groupBy("w", "id", "len").agg(F.count("*").alias("tf"))
+    several = terms.filter(F.contains("w", F.lit(" ")))
+    if not several.isEmpty():
+        posted = posted.union(phrase_postings(sized, several))
     per_term = posted.groupBy("w").agg(F.count("*").alias("df"))
     n, mean = F.col("n"), F.col("mean")
     raw = F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -75,12 +83,36 @@ def bm25_hits(memories: DataFrame, queries: DataFrame, pool: int = M.POOL, ratio
     return gate(top(scored, pool), ratio)
 
 
-def phrase_hits(positions: DataFrame, phrase: list[str]) -> DataFrame:
-    """(id, tf): how often the words of a phrase follow one another. positions: id, pos, w."""
-    out = positions.filter(F.col("w") == phrase[0]).select("id", "pos")
-    for i, word in enumerate(phrase[1:], 1):
-        out = out.join(positions.filter(F.col("w") == word).select("id", (F.col("pos") - i).alias("pos")), ["id", "pos"], "left_semi")
-    return out.groupBy("id").agg(F.count("*").alias("tf"))
+def phrase_postings(sized: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(w, id, len, tf): how often the tokens of each phrase follow one another. sized: id, len, words; phrases: w.
+
+    A place counts where every token of the phrase stands at its distance from it.
+    """
+    parts = phrases.select("w", F.posexplode(F.split("w", " ")).alias("nth", "token")).withColumn("n", F.size(F.split("w", " ")))
+    places = sized.select("id", "len", F.posexplode("words").alias("pos", "token")).join(small(parts, 1_000_000), "token")
+    whole = places.groupBy("w", "n", "id", "len", (F.col("pos") - F.col("nth")).alias("at")).agg(F.count("*").alias("found")).filter("found = n")
+    return whole.groupBy("w", "id", "len").agg(F.count("*").alias("tf"))
+
+
+def query_errors(queries: DataFrame) -> DataFrame:
+    """(qid, error): queries that recall refuses: blank, or with letters of other scripts. queries: qid, text."""
+    text = F.coalesce("text", F.lit(""))
+    error = F.when(F.trim(F.regexp_replace(text, r"(?U)\s", " ")) == "", "blank").when(~T.only_latin(text), "script")
+    return queries.select("qid", error.alias("error")).filter("error is not null")
+
+
+def checked_queries(queries: DataFrame) -> DataFrame:
+    """The queries that recall takes."""
+    return queries.join(query_errors(queries).select("qid"), "qid", "left_anti")
+
+
+def retokenized(records: DataFrame, version: int, stems: bool = False) -> DataFrame:
+    """records with the index tokens of the wanted version: those of another, or none, are made anew.
+
+    records: summary, body, index_words (array), index_version.
+    """
+    fits = F.coalesce(F.col("index_version") == version, F.lit(False))
+    return records.withColumn("index_words", F.when(fits, F.col("index_words")).otherwise(T.lexical_row("summary", "body", stems))).withColumn("index_version", F.lit(version))
 
 
 def fuse(lists: list[DataFrame], k: int = M.RRF_K) -> DataFrame:
@@ -122,7 +154,7 @@ def recall(records: DataFrame, links: DataFrame, hits: list[DataFrame], now: int
     """
     limit = max(limit, 1)
     tail_of = lineage.tails(records) if tail_of is None else tail_of
-    fused = fuse(hits).persist()  # at most the pool of each list for each query; read by four joins below
+    fused = cut(fuse(hits))  # at most the pool of each list for each query; read by four joins below
     candidates = expand_revisions(fused, tail_of, limit) if expand else fused.withColumn("matched", F.lit(True))
     rows = weighed(candidates, records, tail_of, now)
     rows = rows if include_superseded else fold(rows)
@@ -164,14 +196,43 @@ def snippets(rows: DataFrame, order: Column | None = None) -> DataFrame:
 
 def word_overlap_rank(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(qid, id, hits, rank): how many of a query's words occur as part of a text. queries: qid, words; docs: id, text."""
-    asked = queries.select("qid", "words")
-    counted = docs.select("id", F.lower("text").alias("t")).join(F.broadcast(asked)).select("qid", "id", F.size(F.filter("words", lambda w: F.contains(F.col("t"), w))).cast("long").alias("hits"))
+    counted = scan.word_hits(docs.select("id", F.lower("text").alias("text")), queries, k)
     order = Window.partitionBy("qid").orderBy(F.desc("hits"), "id")
-    return counted.filter("hits > 0").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return counted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
 
+def embedded(rows: DataFrame, embedder: Callable[[pd.Series], pd.Series] | None = None) -> DataFrame:
+    """(id, vector) of texts: unit vectors of the hash embedder, or of a given one (a batch of texts to lists of floats).
 
-def reembedded(records: DataFrame, model: str, text: Column, dimensions: int = M.DIMENSIONS) -> DataFrame:
-    """records with vectors of the wanted model: those that do not fit are computed anew, the rest stay as they are."""
+    rows: id, text.
+    """
+    if embedder is None:
+        return hash_vectors(rows, "id", "text").select("id", M.unit(F.col("vector")).alias("vector"))
+    return rows.select("id", F.pandas_udf(embedder, "array<double>")("text").alias("vector"))
+
+
+def reembedded(records: DataFrame, model: str, text: Column, dimensions: int = M.DIMENSIONS, embedder: Callable[[pd.Series], pd.Series] | None = None) -> DataFrame:
+    """records with vectors of the wanted model: those that do not fit are computed anew, the rest stay as they are.
+
+    A record without a vector stays without one.
+    """
     fits = M.usable(F.col("vector"), F.col("embedding_model"), model, dimensions)
-    fresh = hash_vectors(records.filter(~fits).select("id", text.alias("t")), "id", "t").select("id", M.unit(F.col("vector")).alias("fresh"))
+    stale = records.filter(F.col("vector").isNotNull() & ~fits).select("id", text.alias("text"))
+    fresh = embedded(stale, embedder).withColumnRenamed("vector", "fresh")
     return records.join(fresh, "id", "left").withColumn("embedding_model", F.when(F.col("fresh").isNotNull(), F.lit(model)).otherwise(F.col("embedding_model"))).withColumn("vector", F.coalesce("fresh", "vector")).drop("fresh")
+
+
+def public_rows(rows: DataFrame) -> DataFrame:
+    """What a caller sees of recalled rows: score and retention to two decimals, no working columns, empty lists null.
+
+    rows: as from recall, with summary and body.
+    """
+    links = F.when(F.size("linked_from") > 0, F.col("linked_from"))
+    return rows.select("qid", "id", "source", "rank", "summary", "body", F.round("score", 2).alias("score"), F.round("retention", 2).alias("retention"), "latest", "stale", "needs_update", "age_days", links.alias("linked_from"))
+
+
+def as_json(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """(key, json): each key's rows as one JSON array, in order; null fields are left out."""
+    fields = [c for c in rows.columns if c != key]
+    row = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.to_json(F.struct(*fields)).alias("j"))
+    return rows.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("r")).select(key, F.concat(F.lit("["), F.array_join(F.transform("r", lambda x: x["j"]), ","), F.lit("]")).alias("json"))

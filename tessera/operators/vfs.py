@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import paths as P
 from tessera.functions import text as T
-from tessera.operators import graph
+from tessera.operators import graph, scan
 
 
 def listing(files: DataFrame, prefix: str = "") -> DataFrame:
@@ -34,9 +34,11 @@ def with_nested(entries: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def route(paths: DataFrame, shards: DataFrame) -> DataFrame:
-    """(path, prefix, rest): the longest shard prefix above each path ('' where none is). shards: prefix (few)."""
-    near = paths.join(F.broadcast(shards.filter("prefix <> ''")), P.in_scope(F.col("path"), F.col("prefix")), "left")
-    best = near.groupBy("path").agg(F.max_by("prefix", F.length("prefix")).alias("prefix"))
+    """(path, prefix, rest): the longest shard prefix above each path ('' where none is). shards: prefix."""
+    # Every directory above a path is a possible prefix: an equality instead of a range.
+    parts = paths.select("path", F.split("path", "/").alias("p")).select("path", F.explode(F.expr("transform(sequence(1, size(p)), i -> array_join(slice(p, 1, i), '/'))")).alias("prefix"))
+    near = parts.join(shards.filter("prefix <> ''").distinct(), "prefix")
+    best = paths.distinct().join(near.groupBy("path").agg(F.max_by("prefix", F.length("prefix")).alias("prefix")), "path", "left")
     return best.select("path", F.coalesce("prefix", F.lit("")).alias("prefix"), F.when(F.col("prefix").isNull(), F.col("path")).otherwise(F.expr("substring(path, length(prefix) + 2)")).alias("rest"))
 
 
@@ -52,14 +54,46 @@ def read_spans(files: DataFrame, spans: DataFrame) -> DataFrame:
     return spans.join(files, "file_path").select("id", T.slice_lines("text", F.col("start_line"), F.col("end_line")).alias("text"))
 
 
+def read(files: DataFrame, nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """(qid, status, kind, path, start_line, end_line, text, id): what each virtual path shows.
+
+    asked: qid, path, full (boolean). In this order: the source of the node with that id; the source of file/symbol
+    (status ambiguous and a row per candidate where several share the name, not_found where none has it); with full the
+    whole file; else the file's outline. A path that is no source file is refused (no_file).
+    """
+    symbols = nodes.filter("kind <> 'file'")
+    asked = asked.select("qid", P.normalized(F.col("path")).alias("path"), "full")
+    by_id = asked.filter(F.contains("path", F.lit(":"))).join(symbols, F.col("path") == F.col("id")).select("qid", "id")
+    rest = asked.join(by_id.select("qid"), "qid", "left_anti")
+    file, symbol = P.file_and_symbol(F.col("path"))
+    rest = rest.select("qid", "path", "full", file.alias("file"), symbol.alias("symbol"))
+    named = rest.filter("symbol is not null").join(symbols.select("id", F.col("file_path").alias("file"), F.col("name").alias("symbol")), ["file", "symbol"], "left").select("qid", "id")
+    meant = by_id.union(named).withColumn("n", F.count("id").over(Window.partitionBy("qid")))
+    found = meant.join(symbols, "id", "left")
+    one = read_spans(files, found.filter("n = 1").select("id", "file_path", "start_line", "end_line"))
+    shown = found.join(one.distinct(), "id", "left")
+    status = F.when(F.col("n") == 0, "not_found").when(F.col("n") > 1, "ambiguous").otherwise("ok")
+    columns = ["qid", status.alias("status"), "kind", F.concat_ws("/", "file_path", "name").alias("path"), "start_line", "end_line", F.when(F.col("n") == 1, F.col("text")).alias("text"), "id"]
+    spans = shown.select(*columns)
+    whole = rest.filter("symbol is null")
+    none = F.lit(None).cast("int")
+    source = whole.filter("file is not null and full").join(files, F.col("file") == F.col("file_path"), "left")
+    source = source.select("qid", F.when(F.col("text").isNull(), "not_found").otherwise("ok"), F.lit("file"), "file", F.lit(1), F.size(T.lines_of("text")), "text", F.lit(None).cast("string"))
+    listed = whole.filter("file is not null and not full").join(outline(nodes).withColumnRenamed("file_path", "file"), "file", "left")
+    listed = listed.select("qid", F.lit("ok"), F.lit("outline"), "file", none, none, F.coalesce("text", "file"), F.lit(None).cast("string"))
+    refused = whole.filter("file is null").select("qid", F.lit("no_file"), F.lit(None).cast("string"), "path", none, none, F.lit(None).cast("string"), F.lit(None).cast("string"))
+    return spans.union(source).union(listed).union(refused)
+
+
 def grep(files: DataFrame, queries: DataFrame) -> DataFrame:
     """(qid, file_path, line, text, rank, total): lines that literally hold each query, by path and line.
 
-    files: file_path, text; queries: qid, query (few). A file without any query is dropped before its lines are made.
+    files: file_path, text; queries: qid, query. A file without any query is dropped before its lines are made.
     """
-    lines = files.select("file_path", F.posexplode(T.lines_of("text")).alias("n", "l"))
-    asked = F.broadcast(queries)
-    hits = lines.join(asked, F.contains("l", F.col("query"))).select("qid", "file_path", (F.col("n") + 1).alias("line"), T.excerpt("l").alias("text"))
+    needles = queries.select("qid", F.col("query").alias("needle"))
+    there = scan.containing(files.select(F.col("file_path").alias("id"), "text"), needles).select("qid", F.col("id").alias("file_path"))
+    lines = there.join(files, "file_path").join(queries, "qid").select("qid", "query", "file_path", F.posexplode(T.lines_of("text")).alias("n", "l"))
+    hits = lines.filter(F.contains("l", F.col("query"))).select("qid", "file_path", (F.col("n") + 1).alias("line"), T.excerpt("l").alias("text"))
     w = Window.partitionBy("qid")
     return hits.withColumn("rank", F.row_number().over(w.orderBy("file_path", "line"))).withColumn("total", F.count("*").over(w))
 

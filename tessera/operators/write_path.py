@@ -6,12 +6,17 @@ drafts: batch, i (place in the batch), id, summary, body, parent, supersedes, li
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.sources import tables
+from tessera.sources.shared import cut
 
 
 def resolved(drafts: DataFrame) -> DataFrame:
@@ -29,9 +34,8 @@ def errors(drafts: DataFrame, stored: DataFrame) -> DataFrame:
     def of(rows: DataFrame, field: Column | str, error: str) -> DataFrame:
         return rows.select("batch", "i", (F.lit(field) if isinstance(field, str) else field).alias("field"), F.lit(error).alias("error"))
 
-    refs = resolved(drafts)
     own = drafts.select("batch", "i", F.col("id").alias("own"))
-    refs = refs.join(own, ["batch", "i"])
+    refs = cut(resolved(drafts).join(own, ["batch", "i"]))  # read by all the rules below
     known = stored.select(F.col("id").alias("target")).union(drafts.select("id"))
     taken = stored.filter("supersedes_id is not null").select(F.col("supersedes_id").alias("target"))
     others = refs.filter("target is not null and target <> own")
@@ -60,33 +64,36 @@ def _in_circle(steps: DataFrame) -> DataFrame:
     Jumps double until they are longer than any batch: whoever still lands somewhere then, lands on a circle.
     """
     here = steps.select("batch", F.col("a").alias("b")).distinct()
-    jump = steps.join(here, ["batch", "b"], "left_semi").select("batch", "a", "b").persist()
+    jump = cut(steps.join(here, ["batch", "b"], "left_semi").select("batch", "a", "b"))
     longest = jump.groupBy("batch").count().agg(F.max("count")).first()[0] or 0
     for _ in range(longest.bit_length()):
-        jump = jump.join(jump.select("batch", F.col("a").alias("b"), F.col("b").alias("c")), ["batch", "b"]).select("batch", "a", F.col("c").alias("b")).persist()
+        jump = cut(jump.join(jump.select("batch", F.col("a").alias("b"), F.col("b").alias("c")), ["batch", "b"]).select("batch", "a", F.col("c").alias("b")))
     landed = jump.select("batch", F.col("b").alias("a")).distinct()
     return steps.join(landed, ["batch", "a"], "left_semi").select("batch", "i")
 
 
-def inherited_parents(drafts: DataFrame, stored: DataFrame, rounds: int = 8) -> DataFrame:
+def inherited_parents(drafts: DataFrame, stored: DataFrame) -> DataFrame:
     """(batch, i, parent_id): the explicit parent, else that of the record superseded (through the batch), else null.
 
-    stored: id, parent_id.
+    stored: id, parent_id. Steps through a batch double, so a chain of any length is followed to its end.
     """
-    refs = resolved(drafts)
+    refs = cut(resolved(drafts))
     explicit = refs.filter("field = 'parent'").select("batch", "i", F.col("target").alias("explicit"))
     old = refs.filter("field = 'supersedes'").select("batch", "i", F.col("target").alias("old"))
     rows = drafts.select("batch", "i", "id").join(explicit, ["batch", "i"], "left").join(old, ["batch", "i"], "left")
     kept = stored.select(F.col("id").alias("old"), F.col("parent_id").alias("stored_parent"))
-    rows = rows.withColumn("parent_id", F.col("explicit")).withColumn("at", F.when(F.col("explicit").isNull(), F.col("old")))
-    for _ in range(rounds):
+    in_batch = drafts.select("batch", F.col("id").alias("old"), F.lit(True).alias("here"))
+    rows = rows.join(in_batch, ["batch", "old"], "left").join(kept, "old", "left")
+    # A row knows its parent, or waits for the one before it in the batch (at), or has none.
+    waits = F.col("explicit").isNull() & F.col("here")
+    known = F.coalesce("explicit", F.when(F.col("here").isNull(), F.col("stored_parent")))
+    rows = cut(rows.select("batch", "i", "id", known.alias("parent_id"), F.when(waits, F.col("old")).alias("at")))
+    longest = rows.groupBy("batch").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(longest.bit_length()):
         if rows.filter("at is not null").isEmpty():
             break
-        step = drafts.select("batch", F.col("id").alias("at"), F.lit(True).alias("in_batch")).join(explicit.join(drafts.select("batch", "i", F.col("id").alias("at")), ["batch", "i"]).select("batch", "at", "explicit").withColumnRenamed("explicit", "next_parent"), ["batch", "at"], "left")
-        step = step.join(old.join(drafts.select("batch", "i", F.col("id").alias("at")), ["batch", "i"]).select("batch", "at", F.col("old").alias("next_old")), ["batch", "at"], "left")
-        rows = rows.join(step, ["batch", "at"], "left").join(kept.withColumnRenamed("old", "at"), "at", "left")
-        parent = F.coalesce("parent_id", F.when(F.col("in_batch"), F.col("next_parent")).otherwise(F.col("stored_parent")))
-        rows = rows.select("batch", "i", "id", parent.alias("parent_id"), F.when(F.col("in_batch") & F.col("next_parent").isNull(), F.col("next_old")).alias("at"))
+        step = rows.select("batch", F.col("id").alias("at"), F.col("parent_id").alias("found"), F.col("at").alias("next"))
+        rows = cut(rows.join(step, ["batch", "at"], "left").select("batch", "i", "id", F.coalesce("parent_id", "found").alias("parent_id"), F.col("next").alias("at")))
     return rows.select("batch", "i", "parent_id")
 
 
@@ -99,3 +106,93 @@ def distinct_links(drafts: DataFrame) -> DataFrame:
     """(batch, i, links): resolved links in order, each once."""
     refs = resolved(drafts).filter("field = 'links'").groupBy("batch", "i").agg(F.array_sort(F.collect_list(F.struct("n", "target"))).alias("l"))
     return refs.select("batch", "i", F.array_distinct(F.transform("l", lambda x: x["target"])).alias("links"))
+
+
+#: What a new record may say.
+FIELDS = ("summary", "body", "parent", "supersedes", "links")
+
+
+def _shape_error(item: object) -> str | None:
+    """The first fault of one record of a batch."""
+    if not isinstance(item, dict):
+        return "not an object"
+    if any(key not in FIELDS for key in item):
+        return "unknown field"
+    for name in ("summary", "body"):
+        if not isinstance(item.get(name), str) or not item[name].strip():
+            return name
+    for name in ("parent", "supersedes"):
+        if not isinstance(item.get(name), str | None):
+            return name
+    links = item.get("links")
+    if links is not None and not (isinstance(links, list) and all(isinstance(x, str) for x in links)):
+        return "links"
+    return None
+
+
+def _batch_errors(text: str | None) -> list[tuple[int | None, str]]:
+    try:
+        items = json.loads(text or "")
+    except ValueError:
+        return [(None, "no JSON")]
+    if not isinstance(items, list):
+        return [(None, "not an array")]
+    if not items:
+        return [(None, "empty")]
+    return [(i, error) for i, item in enumerate(items) if (error := _shape_error(item))]
+
+
+def shape_errors(documents: DataFrame) -> DataFrame:
+    """(batch, i, error): what is wrong with the shape of JSON batches, the first fault of each record.
+
+    documents: batch, json (an array of objects). A batch that is no array, or an empty one, has one row with i null.
+    """
+    kind = documents.schema["batch"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            found = [(k, i, error) for k, text in enumerate(rows.column("json").to_pylist()) for i, error in _batch_errors(text)]
+            at, i, error = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([rows.column("batch").take(pa.array(at, pa.int64())), pa.array(i, pa.int32()), pa.array(error, pa.string())], names=["batch", "i", "error"])
+
+    return documents.select("batch", "json").mapInArrow(run, f"batch {kind.simpleString()}, i int, error string")
+
+
+def parsed_drafts(documents: DataFrame) -> DataFrame:
+    """(batch, i, summary, body, parent, supersedes, links) of JSON batches; blank references are none."""
+    each = documents.select("batch", F.posexplode(F.from_json("json", "array<struct<summary:string,body:string,parent:string,supersedes:string,links:array<string>>>")).alias("i", "d")).select("batch", "i", "d.*")
+    none = F.array().cast("array<string>")
+    links = F.filter(F.transform(F.coalesce("links", none), lambda x: F.trim(x)), lambda x: x != "")
+    return each.select("batch", "i", F.trim("summary").alias("summary"), "body", *[F.nullif(F.trim(c), F.lit("")).alias(c) for c in ("parent", "supersedes")], links.alias("links"))
+
+
+def records_of(drafts: DataFrame, found: DataFrame, stored: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:
+    """(records, links) that the faultless batches make: rows with resolved relations, then links, none to itself.
+
+    found: the errors of the drafts; stored: id, parent_id.
+    """
+    good = cut(accepted(drafts, found))
+    refs = cut(resolved(good))
+    old = refs.filter("field = 'supersedes'").select("batch", "i", F.col("target").alias("supersedes_id"))
+    parents = inherited_parents(good, stored)
+    at = F.lit(now).cast("long")
+    records = good.join(parents, ["batch", "i"], "left").join(old, ["batch", "i"], "left").select("id", "parent_id", "supersedes_id", F.trim("summary").alias("summary"), "body", at.alias("created_at"), at.alias("updated_at"), F.lit(None).cast("long").alias("recalled_at"), F.lit(7.0).alias("stability"))
+    own = good.select("batch", "i", F.col("id").alias("source_id"))
+    links = refs.filter("field = 'links'").join(own, ["batch", "i"]).select("source_id", F.col("target").alias("target_id"))
+    return cut(records), cut(links.filter("source_id <> target_id").distinct())
+
+
+def write_batches(drafts: DataFrame, store: str, now: int) -> DataFrame:
+    """Appends the faultless batches to the store's tables and returns the errors of the others.
+
+    store: a folder with records and links (Parquet). Both tables are written beside the old ones first and then take
+    their place, so a batch is there as a whole or not at all; a write that breaks off before leaves the store as it was.
+    """
+    spark = drafts.sparkSession
+    old_records, old_links = spark.read.parquet(f"{store}/records"), spark.read.parquet(f"{store}/links")
+    drafts = cut(drafts)
+    found = cut(errors(drafts, old_records.select("id", "supersedes_id")))
+    records, links = records_of(drafts, found, cut(old_records.select("id", "parent_id")), now)
+    tables.swap(old_records.unionByName(records, allowMissingColumns=True), f"{store}/records")
+    tables.swap(old_links.unionByName(links).distinct(), f"{store}/links")
+    return found

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import lineage, metrics
+from tessera.operators import lineage, metrics, retrieval, scan
 from tessera.plans import retrieval_queries as R
 from tessera.plans.registry import query
 from tessera.plans.retrieval_queries import BM25, FUSED, VECTORS, WORD_TABLES, r6
@@ -19,9 +19,8 @@ FROM gold g LEFT JOIN bm USING (qid, id) GROUP BY g.qid)"""
 
 
 def gold(spark: SparkSession, d: str) -> DataFrame:
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("q"))
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    return docs.join(F.broadcast(items), F.contains("text", F.col("q"))).select("qid", "id")
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("needle"))
+    return scan.containing(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), items)
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
@@ -53,9 +52,8 @@ SELECT event_type, round(v[least(n - 1, round_even(0.5 * (n - 1), 0)::INT) + 1],
 round(list_median(v), 6) AS median,
 round(v[greatest(1, least(n - 1, floor(0.9 * (n + 1))::INT))] + (0.9 * (n + 1) - greatest(1, least(n - 1, floor(0.9 * (n + 1))::INT))) * (v[greatest(1, least(n - 1, floor(0.9 * (n + 1))::INT)) + 1] - v[greatest(1, least(n - 1, floor(0.9 * (n + 1))::INT))]), 6) AS p90 FROM v""")
 def nearest_rank_percentile(spark: SparkSession, d: str) -> DataFrame:
-    """Latency-style summaries: three definitions of quantiles that must not be mixed up."""
-    v = F.col("value")
-    e = table(spark, d, "events").groupBy("event_type").agg(metrics.nearest_rank(v, 0.5).alias("p50"), metrics.nearest_rank(v, 0.95).alias("p95"), metrics.upper_median(v).alias("upper_median"), F.median(v).alias("median"), metrics.exclusive_p90(v).alias("p90"))
+    """Latency-style summaries."""
+    e = metrics.quantiles(table(spark, d, "events"), "event_type", "value")
     return e.select("event_type", *[r6(c).alias(c) for c in ("p50", "p95", "upper_median", "median", "p90")])
 
 
@@ -98,8 +96,6 @@ def rank_fusion_leaderboard(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _grep(spark: SparkSession, d: str) -> DataFrame:
-    from tessera.operators import retrieval
-
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), T.long_words("text").alias("words"))
     return retrieval.word_overlap_rank(asked, table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), 20)
 
@@ -196,7 +192,8 @@ h AS (SELECT case_id, fact, id FROM f JOIN m USING (case_id) WHERE contains(text
 per AS (SELECT case_id, count(*) AS facts, count(alone) AS covered, count(*) FILTER (WHERE alone) AS exclusive FROM f LEFT JOIN a USING (case_id, fact) GROUP BY 1),
 l AS (SELECT doc_id AS id, lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS other FROM documents),
 ok AS (SELECT DISTINCT x.case_id FROM h x JOIN h y ON x.case_id = y.case_id AND x.fact = 'password' AND y.fact = 'token' WHERE x.id = y.id OR EXISTS (SELECT 1 FROM l WHERE l.id = x.id AND l.other = y.id))
-SELECT per.*, CAST(CASE WHEN ok.case_id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS link_hits, CAST(1 AS BIGINT) AS link_total FROM per LEFT JOIN ok USING (case_id)""")
+SELECT per.*, CAST(CASE WHEN ok.case_id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS link_hits, CAST(1 AS BIGINT) AS link_total, z.memories, z.mean_chars, z.max_chars
+FROM per LEFT JOIN ok USING (case_id) JOIN (SELECT case_id, count(*) AS memories, CAST(round_even(avg(length(text)), 0) AS BIGINT) AS mean_chars, CAST(max(length(text)) AS BIGINT) AS max_chars FROM m GROUP BY 1) z USING (case_id)""")
 def write_quality(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     memories = docs.select(F.col("lang").alias("case_id"), F.col("doc_id").alias("id"), F.lower("text").alias("text"))
@@ -234,8 +231,6 @@ def recent_turns(spark: SparkSession, d: str) -> DataFrame:
 p AS (SELECT g.qid, min(rank) AS first_rank, count(*) AS n_gold, count(*) FILTER (WHERE rank <= 5) AS h FROM gold g LEFT JOIN r USING (qid, id) GROUP BY 1)
 SELECT count(*) AS n, round(avg(coalesce(1.0 / first_rank, 0)), 6) AS mrr, round(avg(h / n_gold), 6) AS recall_5 FROM p""")
 def hybrid_quality(spark: SparkSession, d: str) -> DataFrame:
-    from tessera.operators import retrieval
-
     ranked = retrieval.top(retrieval.fuse([R.vectors(spark, d), R.bm25(spark, d)]), 1 << 30, "relevance")
     s = metrics.summary(metrics.per_query(ranked, gold(spark, d)))
     return s.select("n", r6("mrr").alias("mrr"), r6("recall_5").alias("recall_5"))

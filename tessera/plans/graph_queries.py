@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import paths as P
-from tessera.operators import graph, parsers, snapshot, vfs, write_path
+from tessera.operators import graph, index, parsers, snapshot, vfs, write_path
 from tessera.plans.registry import query
 from tessera.plans.retrieval_queries import r6
 from tessera.sources import adapters as A
@@ -113,12 +113,13 @@ _PLACE = "place AS (SELECT s_suppkey, 'r' || n_regionkey || '/n' || n_nationkey
 
 
 @query(f"""WITH {_PLACE}, pairs AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem),
-refs AS (SELECT l_partkey || '-' || l_suppkey AS ref_id, p_name AS name, f, l_suppkey % 2 = 0 AS calls FROM pairs JOIN part ON p_partkey = l_partkey JOIN place ON s_suppkey = l_suppkey),
+refs AS (SELECT l_partkey || '-' || l_suppkey AS ref_id, p_name AS name, f, l_suppkey % 2 = 0 AS calls, CASE WHEN l_suppkey % 3 = 0 THEN p_name END AS q FROM pairs JOIN part ON p_partkey = l_partkey JOIN place ON s_suppkey = l_suppkey),
 cands AS (SELECT 'p' || p_partkey AS id, p_name AS name, ['function', 'struct', 'method', 'trait', 'enum'][p_size % 5 + 1] AS kind, f AS path
           FROM part JOIN (SELECT l_partkey, min(l_suppkey) AS s FROM pairs GROUP BY 1) ON l_partkey = p_partkey JOIN place ON s_suppkey = s),
 x AS (SELECT ref_id, id, f, path, split_part(path, '/', 1) AS top, (kind IN ('function', 'method')) = calls AS pref,
       CASE WHEN f = path THEN 100 WHEN regexp_extract(f, '^(.*)/[^/]*$', 1) = regexp_extract(path, '^(.*)/[^/]*$', 1) THEN 50 WHEN split_part(f, '/', 1) = split_part(path, '/', 1) THEN 20 ELSE 0 END
       + CASE WHEN (kind IN ('function', 'method')) = calls THEN 15 ELSE 0 END
+      + CASE WHEN EXISTS (SELECT 1 FROM cands t WHERE t.name = q AND t.path = cands.path AND t.kind NOT IN ('function', 'method')) THEN 40 ELSE 0 END
       - CASE WHEN (contains(path, '/tests/') OR starts_with(path, 'tests/') OR contains(path, '/test/')) AND path <> f THEN 40 ELSE 0 END
       - CASE WHEN contains(path, 'examples/') AND NOT contains(f, 'examples/') THEN 20 ELSE 0 END AS score FROM refs JOIN cands USING (name)),
 b AS (SELECT * FROM (SELECT *, count(*) OVER w AS n, max(score) OVER w AS best FROM x WINDOW w AS (PARTITION BY ref_id)) WHERE n = 1 OR (score = best AND best >= 0)),
@@ -132,15 +133,17 @@ def resolve_refs(spark: SparkSession, d: str) -> DataFrame:
     return graph.resolve(refs, candidates).withColumn("score", F.col("score").cast("long"))
 
 
-@query(f"""WITH {_GRAPH}, own AS (SELECT id, file_path AS anchor, CASE WHEN contains(name, 'red') THEN 2.0 ELSE 1.0 END AS w FROM nodes WHERE kind <> 'file' AND starts_with(file_path, 'parts/')),
-k AS (SELECT * FROM edges WHERE kind IN ('calls', 'references')),
+@query(f"""WITH {_GRAPH}, own AS (SELECT id, file_path AS anchor, CASE WHEN name IN (SELECT name FROM nodes WHERE kind = 'function' AND contains(name, 'red')) THEN 2.0 ELSE 1.0 END AS w FROM nodes WHERE kind <> 'file' AND starts_with(file_path, 'parts/')),
+k AS (SELECT * FROM edges WHERE kind IN ('calls', 'references', 'implements')),
 o AS (SELECT anchor, w, target AS id FROM k JOIN own ON own.id = source UNION ALL SELECT anchor, w, source FROM k JOIN own ON own.id = target),
 f AS (SELECT anchor, file_path, sum(w) AS score FROM o JOIN nodes USING (id) WHERE file_path <> anchor GROUP BY 1, 2)
 SELECT anchor, file_path, CAST(score AS DOUBLE) AS score, CAST(rank AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, file_path) AS rank FROM f) WHERE rank <= 20""")
 def neighbor_files_rank(spark: SparkSession, d: str) -> DataFrame:
-    """Anchors: the files of parts; the names with red in them are those that the change mentions."""
+    """Anchors: the files of parts; their change mentions, as whole words, the names that have red in them."""
     nodes, edges = A.graph(spark, d)
-    anchors = nodes.filter(F.startswith("file_path", F.lit("parts/"))).groupBy(F.col("file_path").alias("anchor")).agg(F.collect_set(F.when(F.contains("name", F.lit("red")), F.col("name"))).alias("changed"))
+    parts = nodes.filter(F.startswith("file_path", F.lit("parts/")))
+    changes = parts.groupBy(F.col("file_path").alias("anchor")).agg(F.array_join(F.collect_set(F.when(F.contains("name", F.lit("red")), F.col("name"))), "; ").alias("diff"))
+    anchors = graph.changed_names(parts, changes)
     found = graph.neighbour_files(edges, nodes, anchors)
     return found.select("anchor", "file_path", "score", F.col("rank").cast("long").alias("rank"))
 
@@ -238,39 +241,53 @@ def incremental_vs_full(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {_SYMBOLS}, changed AS (SELECT DISTINCT file_path FROM s WHERE starts_with(file_path, 'brand_11/')), names AS (SELECT DISTINCT name FROM s WHERE file_path IN (SELECT file_path FROM changed))
-SELECT file_path FROM changed UNION SELECT DISTINCT file_path FROM s WHERE name IN (SELECT name FROM names)""")
+SELECT file_path FROM changed UNION SELECT DISTINCT file_path FROM s WHERE name IN (SELECT name FROM names)
+UNION SELECT DISTINCT 'impl/' || file_path FROM s WHERE name IN (SELECT name FROM names)
+UNION SELECT DISTINCT 'by/' || file_path FROM s WHERE start_line % 2 = 0 AND name IN (SELECT name FROM names)""")
 def affected_files(spark: SparkSession, d: str) -> DataFrame:
     """A change of one brand's files: files that use a name they define (here: define the same name) are affected."""
     s = A.parts_as_symbols(spark, d)
     changed = s.filter(F.startswith("file_path", F.lit("brand_11/"))).select("file_path").distinct()
-    refs = s.select("file_path", F.col("name").alias("target_name"), F.lit(None).cast("string").alias("qualifier"))
-    impls = s.limit(0).select("file_path", F.col("name").alias("type_name"), F.col("name").alias("trait_name"))
+    refs = s.select("file_path", F.col("name").alias("target_name"), F.when(F.col("start_line") % 2 == 0, F.lower("id")).alias("qualifier"))
+    impls = s.select(F.concat(F.lit("impl/"), "file_path").alias("file_path"), F.when(F.col("start_line") % 3 > 0, F.col("name")).alias("type_name"), F.when(F.col("start_line") % 3 == 0, F.col("name")).alias("trait_name"))
+    refs = refs.union(s.select(F.concat(F.lit("by/"), "file_path"), F.lit("other"), F.when(F.col("start_line") % 2 == 0, F.col("name"))))
     return graph.affected_files(changed, s.join(changed, "file_path", "left_semi").select("name"), refs, impls)
 
 
 @query(f"""WITH {_GRAPH}, x AS (SELECT source, target, CASE kind WHEN 'contains' THEN 'contains' ELSE kind END AS kind, line FROM edges)
 SELECT kind, count(*) AS n FROM (
   SELECT DISTINCT source, target, kind, line FROM x
-  UNION SELECT 'p' || l_partkey, 's' || l_suppkey, 'implements', 1 FROM lineitem) GROUP BY kind""")
+  UNION SELECT 'p' || l_partkey, 's' || l_suppkey, 'implements', 1 FROM lineitem
+  UNION SELECT 'file:' || file_path, id, 'contains', start_line FROM nodes
+  UNION SELECT 'p' || l_partkey, 'o' || l_orderkey, 'contains', 7 FROM lineitem WHERE l_linenumber = 1
+  UNION SELECT 'o' || l_orderkey, 'p' || l_partkey, 'references', 7 FROM lineitem WHERE l_linenumber = 1
+  UNION SELECT 'o' || l_orderkey, 's' || l_suppkey, 'references', 7 FROM lineitem WHERE l_linenumber = 1) GROUP BY kind""")
 def edge_rebuild(spark: SparkSession, d: str) -> DataFrame:
+    """Files that contain their symbols, references, and parts whose suppliers are traits: blocks, and orders as methods."""
     nodes, edges = A.graph(spark, d)
+    files = nodes.select(F.concat(F.lit("file:"), "file_path").alias("id"), F.lit("file").alias("kind"), F.col("file_path").alias("name"), "file_path", F.lit(1).alias("start_line"), F.lit(1).alias("end_line")).distinct()
+    nodes = files.union(nodes)
+    calls = table(spark, d, "lineitem").filter("l_linenumber = 1").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("type_id"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("trait_id"), F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("method_id"), F.lit(1).alias("line"), F.lit(7).alias("method_line"))
     pairs = table(spark, d, "lineitem").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("type_id"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("trait_id"))
     impls = pairs.select("type_id", "trait_id", F.lit(None).cast("string").alias("method_id"), F.lit(1).alias("line"), F.lit(None).cast("int").alias("method_line"))
-    return graph.built_edges(nodes, edges, impls).groupBy("kind").agg(F.count("*").alias("n"))
+    return graph.built_edges(nodes, edges, impls.union(calls)).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query("""WITH d AS (SELECT conv_id AS batch, turn AS i, conv_id * 100 + turn AS id, CASE WHEN turn % 5 = 4 THEN '' ELSE text END AS body, CASE WHEN conv_id % 7 = 0 AND turn = 1 THEN 'при ' || role ELSE role END AS summary, conv_id, turn FROM conversations),
 e AS (SELECT batch, i, 'body' AS field, 'empty' AS error FROM d WHERE trim(body) = ''
 UNION SELECT batch, i, 'summary', 'script' FROM d WHERE regexp_matches(summary, '[^\\p{Latin}\\p{Common}\\P{L}]')
 UNION SELECT batch, i, 'supersedes', 'self' FROM d WHERE conv_id % 11 = 0 AND turn = 0
-UNION SELECT batch, i, 'parent', 'range' FROM d WHERE conv_id % 13 = 0 AND turn = 0)
+UNION SELECT batch, i, 'parent', 'range' FROM d WHERE conv_id % 13 = 0 AND turn = 0
+UNION SELECT batch, i, 'links', 'missing' FROM d WHERE conv_id % 3 = 0 AND turn = 1
+UNION SELECT batch, i, 'supersedes', 'taken' FROM d WHERE conv_id % 11 <> 0 AND conv_id % 17 = 0 AND turn = 0)
 SELECT batch, CAST(i AS BIGINT) AS i, field, error FROM e""")
 def write_validation(spark: SparkSession, d: str) -> DataFrame:
-    """Turns as drafts that supersede the one before, with planted faults."""
+    """Turns as drafts that supersede the one before, with planted faults, against a store of two records."""
     c = table(spark, d, "conversations")
     own = (F.col("conv_id") * 100 + F.col("turn")).cast("string")
     before = F.concat(F.lit("#"), (F.col("turn") - 1).cast("string"))
-    supersedes = F.when(F.col("turn") > 0, before).when(F.col("conv_id") % 11 == 0, F.lit("#0"))
+    supersedes = F.when(F.col("turn") > 0, before).when(F.col("conv_id") % 11 == 0, F.lit("#0")).when(F.col("conv_id") % 17 == 0, F.lit("old")).when(F.col("conv_id") == 1, F.lit("new"))
+    links = F.when((F.col("conv_id") % 3 == 0) & (F.col("turn") == 1), F.array(F.lit("#0"), F.lit("old"), F.lit("gone"))).otherwise(F.array().cast("array<string>"))
     drafts = c.select(
         F.col("conv_id").alias("batch"),
         F.col("turn").alias("i"),
@@ -279,12 +296,64 @@ def write_validation(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("turn") % 5 == 4, "").otherwise(F.col("text")).alias("body"),
         F.when((F.col("conv_id") % 13 == 0) & (F.col("turn") == 0), "#99").alias("parent"),
         supersedes.alias("supersedes"),
-        F.array().cast("array<string>").alias("links"),
+        links.alias("links"),
     )
-    stored = spark.createDataFrame([], "id string, supersedes_id string")
+    stored = spark.createDataFrame([("old", None), ("new", "old")], "id string, supersedes_id string")
     return write_path.errors(drafts, stored)
 
 
+@query(f"""WITH {_SYMBOLS}, q AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS query FROM part),
+f AS (SELECT query AS qid, id, name, CASE WHEN name = query THEN 0 WHEN lower(name) = lower(query) THEN 1 WHEN starts_with(lower(name), lower(query)) THEN 2 ELSE 3 END AS tier,
+      {_PRIORITY} AS pr, file_path, start_line FROM s JOIN q ON contains(lower(name), lower(query)) WHERE kind = 'trait' AND contains(file_path, 'brand_1')),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY tier, pr DESC, strlen(name), file_path, start_line, id) AS rank, count(*) OVER (PARTITION BY qid) AS total_matches FROM f)
+SELECT qid, id, CAST(tier AS BIGINT) AS tier, CAST(rank AS BIGINT) AS rank, total_matches FROM r WHERE rank <= 20""")
+def find_hinted(spark: SparkSession, d: str) -> DataFrame:
+    """find with a kind and a part of the path, both of which must fit."""
+    s = A.parts_as_symbols(spark, d)
+    first = F.split_part("name", F.lit(" "), F.lit(1))
+    asked = s.select(first.alias("query")).distinct().select("query", F.col("query").alias("qid"), F.lit("/Brand_1").alias("file"), F.lit(" Trait").alias("kind_hint"))
+    found = graph.find(s, asked)
+    return found.select("qid", "id", F.col("tier").cast("long").alias("tier"), F.col("rank").cast("long").alias("rank"), "total_matches")
+
+
+@query(f"""WITH {_GRAPH}, named AS (SELECT n.id, n.name, n.file_path, count(*) OVER (PARTITION BY name) AS total FROM nodes n),
+asked AS (SELECT 'c' || c_custkey AS qid, c_name AS symbol FROM customer UNION ALL SELECT 'p' || p_partkey, p_name FROM part WHERE p_partkey % 50 = 0 UNION ALL SELECT 'gone', 'no such name'),
+m AS (SELECT qid, id, total FROM asked JOIN named ON symbol = name),
+amb AS (SELECT qid, 'ambiguous' AS status, id AS symbol_id, NULL AS id, NULL AS kind, NULL AS line FROM (SELECT m.*, row_number() OVER (PARTITION BY qid ORDER BY strlen(n.file_path), m.id) AS rn FROM m JOIN nodes n USING (id) WHERE total > 1) WHERE rn <= 20),
+hit AS (SELECT m.qid, m.id AS symbol_id, e.source AS id, e.kind, e.line FROM m JOIN edges e ON e.target = m.id JOIN nodes n ON n.id = e.source WHERE total = 1 AND e.kind IN ('calls', 'references', 'implements'))
+SELECT qid, status, symbol_id, id, kind, CAST(line AS BIGINT) AS line FROM amb
+UNION ALL SELECT m.qid, 'ok', m.id, h.id, h.kind, h.line FROM m LEFT JOIN hit h USING (qid) WHERE total = 1
+UNION ALL SELECT qid, 'not_found', NULL, NULL, NULL, NULL FROM asked WHERE qid NOT IN (SELECT qid FROM m)""")
+def ref_symbols(spark: SparkSession, d: str) -> DataFrame:
+    """ref by name: customers (one of each name), some parts (names shared by many), and a name that nothing has."""
+    nodes, edges = A.graph(spark, d)
+    named = nodes.filter("kind = 'class'").select(F.col("id").alias("qid"), F.col("name").alias("symbol"))
+    part = table(spark, d, "part").filter("p_partkey % 50 = 0").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")), "p_name")
+    none = spark.createDataFrame([("gone", "no such name")], "qid string, symbol string")
+    hint = F.lit(None).cast("string")
+    asked = named.union(part).union(none).select("qid", "symbol", F.lit(True).alias("incoming"), *[hint.alias(h) for h in graph.HINTS])
+    return graph.ref(nodes, edges, asked).withColumn("line", F.col("line").cast("long"))
+
+
+@query()
+def graph_upkeep(spark: SparkSession, d: str) -> DataFrame:
+    """A graph of generated sources, one file for each of some parts: (how, kind, n) of its edges when indexed as a whole
+    after a change, and when only brought up to date. Parsing has no SQL."""
+    name = F.concat(F.lit("Part"), F.col("p_partkey").cast("string"))
+    other = F.concat(F.lit("Part"), (F.col("p_partkey") % 7).cast("string"))
+    text = F.format_string("class %s(%s):\n    def run(self):\n        return make_%s(%s.size(self))\n\ndef make_%s(x):\n    return x\n", name, other, F.col("p_partkey") % 5, other, F.col("p_partkey"))
+    sources = table(spark, d, "part").filter("p_partkey < 200").select(F.concat(F.lit("s"), (F.col("p_partkey") % 4).cast("string"), F.lit("/p"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), text.alias("text"), "p_partkey")
+
+    def files(rows: DataFrame) -> DataFrame:
+        return rows.select("path", F.length("text").cast("long").alias("size"), F.lit(0).cast("long").alias("mtime"), F.sha2("text", 256).alias("hash"), F.lit("python").alias("language"), "text")
+
+    after = sources.filter("p_partkey <> 3").withColumn("text", F.when(F.col("p_partkey") == 2, F.concat(F.lit("\n\n"), "text")).otherwise(F.col("text")))
+    whole = index.full(files(after)).edges
+    kept, _ = index.synced(index.full(files(sources)), files(after))
+    counted = [e.groupBy(F.lit(how).alias("how"), "kind").agg(F.count("*").alias("n")) for how, e in (("full", whole), ("synced", kept.edges))]
+    return counted[0].union(counted[1])
+
+
 @query()
 def parse_defs(spark: SparkSession, d: str) -> DataFrame:
     """Definitions, calls and bases of one generated Python file per part: a class, a method that calls the brand."""

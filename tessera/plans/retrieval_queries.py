@@ -22,15 +22,22 @@ WORDS = "list_filter(string_split_regex(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lamb
 CAMEL = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '([A-Za-z])([0-9])', '\\1 \\2', 'g'), '([0-9])([A-Za-z])', '\\1 \\2', 'g')"
 PARTS = "list_filter(string_split_regex(" + CAMEL + ", '[ _-]+'), lambda w: regexp_full_match(w, '[A-Za-z0-9]+'))"
 
+SUMMARY = "substr(split_part(text, chr(10), 1), 1, 80)"
+#: Index tokens of a text: its terms and their identifier words, each once within its term, cut as the index cuts them.
+TERMS = "list_filter(string_split_regex({}, '[^\\p{{L}}\\p{{N}}_-]+'), lambda w: w <> '')"
+VARIANTS = "list_transform(" + TERMS + ", lambda w: list_distinct(list_prepend(lower(w), list_transform(" + PARTS.format("w").replace("lambda w:", "lambda v:").replace("(w, '[A-Za-z0-9]+')", "(v, '[A-Za-z0-9]+')") + ", lambda x: lower(x)))))"
+TOKENS = "list_filter(string_split_regex(strip_accents(lower({})), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+
 WORD_TABLES = f"""
-doc_words AS (SELECT doc_id AS id, {WORDS.format("text")} AS ws FROM documents),
+doc_words AS (SELECT doc_id AS id, {WORDS.format(SUMMARY + " || chr(10) || text")} AS ws FROM documents),
 query_all AS (SELECT item_id AS qid, {WORDS.format("text")} AS ws FROM benchmark),
-query_words AS (SELECT qid, list_distinct(ws) AS ws FROM query_all)"""
+doc_terms AS (SELECT doc_id AS id, list_concat({TOKENS.format(SUMMARY)}, {TOKENS.format("array_to_string(flatten(" + VARIANTS.format(SUMMARY + " || ' ' || text") + "), ' ')")}) AS ws FROM documents),
+query_words AS (SELECT item_id AS qid, list_filter(list_distinct(flatten({VARIANTS.format("text")})), lambda w: w NOT IN ({", ".join(f"'{w}'" for w in T.STOP_WORDS)})) AS ws FROM benchmark)"""
 
 BM25 = """
-doc_tok AS (SELECT id, len(ws) AS len, unnest(ws) AS w FROM doc_words),
-totals AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM doc_words),
-asked AS (SELECT qid, unnest(ws) AS w FROM query_words),
+doc_tok AS (SELECT id, len(ws) AS len, unnest(ws) AS w FROM doc_terms),
+totals AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM doc_terms),
+asked AS (SELECT DISTINCT qid, strip_accents(w) AS w FROM (SELECT qid, unnest(ws) AS w FROM query_words)),
 post AS (SELECT w, id, any_value(len) AS len, count(*) AS tf FROM doc_tok WHERE w IN (SELECT w FROM asked) GROUP BY w, id),
 idf AS (SELECT w, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END AS idf
         FROM (SELECT w, count(*) AS df FROM post GROUP BY w), totals),
@@ -90,20 +97,24 @@ recalled AS (
 ALL = f"WITH {WORD_TABLES}, {BM25}, {VECTORS}, {FUSED}, {CANDIDATES}, {RECALL}"
 
 
-def _documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), T.split_words("text").alias("words"))
+def _documents(spark: SparkSession, d: str, stems: bool = False) -> DataFrame:
+    return A.memories(spark, d).select("id", T.lexical_row("summary", "body", stems).alias("words"))
+
 
+def _questions(spark: SparkSession, d: str, stems: bool = False) -> DataFrame:
+    from tessera.functions.stem import with_stems
 
-def _questions(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.array_distinct(T.split_words("text")).alias("words"))
+    terms = T.query_terms("text")
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), T.phrases(with_stems(terms) if stems else terms).alias("words"))
 
 
-def bm25(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.bm25_hits(_documents(spark, d), _questions(spark, d))
+def bm25(spark: SparkSession, d: str, stems: bool = False) -> DataFrame:
+    """Over the lexical index of records: summary, and terms of summary and body with identifier words."""
+    return retrieval.bm25_hits(_documents(spark, d, stems), _questions(spark, d, stems))
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
-    docs = retrieval.hash_vectors(table(spark, d, "documents"), "doc_id", "text")
+    docs = retrieval.hash_vectors(A.memories(spark, d).select("id", F.concat_ws("\n", "summary", "body").alias("text")), "id", "text")
     asked = retrieval.hash_vectors(table(spark, d, "benchmark"), "item_id", "text").withColumnRenamed("id", "qid")
     return retrieval.vector_hits(docs, asked)
 
@@ -328,3 +339,38 @@ def stemmed_terms(spark: SparkSession, d: str) -> DataFrame:
     from tessera.functions.stem import with_stems
 
     return table(spark, d, "benchmark").select("item_id", F.array_join(with_stems(T.query_terms("text")), " ").alias("terms"))
+
+
+@query()
+def bm25_stemmed(spark: SparkSession, d: str) -> DataFrame:
+    """The lexical path with English stems in index and query, as recall has it; SQL has no function for stems."""
+    return _ranked(bm25(spark, d, stems=True))
+
+
+@query(f"""{ALL}
+SELECT qid, id, recalled.source, CAST(rank AS BIGINT) AS rank, substr(split_part(text, chr(10), 1), 1, 80) AS summary, round(score, 2) AS score, round(retention, 2) AS retention, latest,
+CASE WHEN linked_from <> '' THEN linked_from END AS linked_from FROM recalled JOIN documents d ON d.doc_id = recalled.id""")
+def recall_public(spark: SparkSession, d: str) -> DataFrame:
+    """What a caller sees of recalled rows."""
+    rows = retrieval.public_rows(recalled(spark, d).join(A.memories(spark, d).select("id", "summary", "body"), "id"))
+    return rows.select("qid", "id", "source", F.col("rank").cast("long").alias("rank"), "summary", "score", "retention", "latest", F.array_join(F.transform("linked_from", lambda x: x.cast("string")), ",").alias("linked_from"))
+
+
+@query("""SELECT conv_id * 100 + turn AS qid, CASE WHEN regexp_full_match(text, '\\s*') THEN 'blank' ELSE 'script' END AS error
+FROM (SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN ' ' WHEN turn % 7 = 3 THEN 'при ' || text ELSE text END AS text FROM conversations)
+WHERE regexp_full_match(text, '\\s*') OR regexp_matches(text, '[^\\p{Latin}\\p{Common}\\P{L}]')""")
+def query_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Queries that recall refuses: turns, some made blank, some with letters of another script."""
+    text = F.when(F.col("turn") % 5 == 4, " ").when(F.col("turn") % 7 == 3, F.concat(F.lit("при "), F.col("text"))).otherwise(F.col("text"))
+    return retrieval.query_errors(table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("qid"), text.alias("text")))
+
+
+@query("""WITH w AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM w)
+SELECT id, CASE WHEN label % 2 = 0 THEN 'kept' ELSE 'hash' END AS embedding_model, CASE WHEN label % 2 = 0 THEN 'as it was' ELSE 'anew' END AS vector FROM n""")
+def reembedded(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of another model are made anew from the text; those of the wanted one stay."""
+    v = table(spark, d, "embeddings").withColumn("wanted", F.col("label") % 2 == 0)
+    records = v.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), F.when(F.col("wanted"), "kept").otherwise("other").alias("embedding_model"), F.concat(F.lit("word"), F.col("vec_id").cast("string")).alias("body"))
+    fresh = retrieval.reembedded(records, "kept", F.col("body")).withColumnRenamed("vector", "now").withColumnRenamed("embedding_model", "model")
+    met = fresh.join(records.select("id", "vector"), "id")
+    return met.select("id", F.when(F.col("now") == F.col("vector"), "kept").otherwise("hash").alias("embedding_model"), F.when(F.col("now") == F.col("vector"), "as it was").otherwise("anew").alias("vector"))

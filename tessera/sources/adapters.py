@@ -94,7 +94,7 @@ def references(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     ref_id = F.concat(F.col("l_partkey").cast("string"), F.lit("-"), F.col("l_suppkey").cast("string"))
     refs = pairs.join(part.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey")).join(place, F.col("l_suppkey") == F.col("s_suppkey"))
     prefer = F.when(F.col("l_suppkey") % 2 == 0, F.array(F.lit("function"), F.lit("method"))).otherwise(F.array(*[F.lit(k) for k in ("struct", "class", "trait", "enum", "type_alias")]))
-    refs = refs.select(ref_id.alias("ref_id"), F.col("p_name").alias("name"), "file_path", prefer.alias("prefer"), F.lit(None).cast("string").alias("qualifier"))
+    refs = refs.select(ref_id.alias("ref_id"), F.col("p_name").alias("name"), "file_path", prefer.alias("prefer"), F.when(F.col("l_suppkey") % 3 == 0, F.col("p_name")).alias("qualifier"))
     first = pairs.groupBy("l_partkey").agg(F.min("l_suppkey").alias("s_suppkey")).join(place, "s_suppkey")
     kinds = F.array(*[F.lit(k) for k in ("function", "struct", "method", "trait", "enum")])
     candidates = part.join(first, F.col("p_partkey") == F.col("l_partkey")).select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("name"), F.element_at(kinds, F.pmod("p_size", F.lit(5)) + 1).alias("kind"), "file_path")

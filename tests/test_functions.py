@@ -75,3 +75,8 @@ def test_paths(spark):
     f, s = P.file_and_symbol(F.lit("src/a.rs/run"))
     row = one(spark, P.language(F.lit("a/B.HPP")), P.language(F.lit("x.txt")), P.directory(F.lit("a/b/c.rs")), P.stem(F.lit("a/parser.rs")), P.normalized(F.lit(" ././a/b/ ")), P.in_scope(F.lit("a/b"), F.lit("")), P.hinted(F.lit("a/b"), F.lit("/")), P.is_test(F.lit("a/tests/b.rs")), f, s, P.safe_relative(F.lit("a/../b")))
     assert list(row) == ["cpp", None, "a/b", "parser", "a/b", True, False, True, "src/a.rs", "run", False]
+
+
+def test_identifiers_and_whole_words(spark):
+    row = one(spark, T.identifiers(F.lit("What does parseTree do with the tree_node and parseTree?")), T.names_word(F.lit("call run_all()"), F.lit("run")), T.names_word(F.lit("call run()"), F.lit("run")), T.folded(F.lit("ÀÉîß Ñ")))
+    assert list(row) == [["parseTree", "tree_node"], False, True, "aeiß n"]

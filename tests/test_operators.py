@@ -1,11 +1,15 @@
 """Operators on small inputs with known results."""
 
+import json
 import math
+import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import graph, lineage, metrics, parsers, retrieval, snapshot, vfs, write_path
+from tessera.functions import text as T
+from tessera.operators import graph, index, lineage, metrics, parsers, retrieval, scan, snapshot, vfs, write_path
 from tessera.sources import tables
 
 
@@ -95,9 +99,17 @@ def test_diff_and_incremental(spark):
 
 
 def test_quantiles_differ(spark):
-    d = spark.createDataFrame([(float(x),) for x in range(1, 11)], "v double")
-    got = d.agg(metrics.nearest_rank(F.col("v"), 0.5), metrics.upper_median(F.col("v")), F.median("v"), metrics.exclusive_p90(F.col("v"))).first()
-    assert tuple(got) == (5.0, 6.0, 5.5, pytest.approx(9.9))
+    rnd = random.Random(1)
+    groups = {"ten": [float(x) for x in range(1, 11)], "one": [3.0], "ties": [2.0] * 500 + [1.0], "many": [float(rnd.randrange(3000)) for _ in range(5001)], "none": [None]}
+    d = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k string, v double")
+    got = {r.k: r for r in metrics.quantiles(d, "k", "v").collect()}
+    assert tuple(got["ten"])[1:] == (10, 5.0, 10.0, 6.0, 5.5, pytest.approx(9.9))
+    assert tuple(got["none"])[1:] == (0, None, None, None, None, None)
+    for k in ("one", "ties", "many"):
+        v = sorted(groups[k])
+        n, r = len(v), got[k]
+        assert (r.p50, r.p95, r.upper_median, r.median) == (v[round(0.5 * (n - 1))], v[round(0.95 * (n - 1))], v[n // 2], statistics.median(v))
+        assert r.p90 is None if n == 1 else r.p90 == pytest.approx(statistics.quantiles(v, n=10)[-1])
 
 
 def test_scenarios(spark):
@@ -161,3 +173,237 @@ def test_tails_of_a_long_chain(spark):
     n = 10_000
     r = spark.range(n).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("supersedes_id"))
     assert lineage.tails(r).filter(F.col("tail") != n - 1).isEmpty()
+
+
+def test_inherited_parents_of_a_long_chain(spark):
+    n = 40
+    d = spark.createDataFrame([("b", i, f"n{i}", "s", "b", None, f"#{i - 1}" if i else "old", []) for i in range(n)], "batch string, i int, id string, summary string, body string, parent string, supersedes string, links array<string>")
+    stored = spark.createDataFrame([("old", "root")], "id string, parent_id string")
+    assert {r.parent_id for r in write_path.inherited_parents(d, stored).collect()} == {"root"}
+
+
+def test_subtree_counts_of_a_long_chain(spark):
+    n = 200
+    d = spark.range(n).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_id"))
+    assert {r.id: r.below for r in lineage.subtree_counts(d).collect()} == {i: n - 1 - i for i in range(n)}
+
+
+def test_tree_order_and_links_in_order(spark):
+    n = spark.createDataFrame([("a", None, "A", 5), ("b", "a", "B", 9), ("c", "a", "C", 3), ("d", "b", "D", 1)], "id string, parent_id string, label string, created_at long")
+    assert [(r.id, r.line) for r in lineage.tree_order(n).orderBy("sort_key").collect()] == [("a", "A"), ("c", "  C"), ("b", "  B"), ("d", "    D")]
+    links = spark.createDataFrame([("x", "z", 1), ("y", "x", 2), ("x", "a", 3), ("z", "x", 4), ("x", "x", 5)], "source_id string, target_id string, ordinal int")
+    assert {r.id: r.links for r in lineage.ordered_neighbours(links).collect()}["x"] == ["z", "a", "y"]
+
+
+@pytest.mark.parametrize("most", [1000, 2])
+def test_scans(spark, monkeypatch, most):
+    for name in ("VECTORS", "WORD_LISTS", "NEEDLES"):
+        monkeypatch.setattr(scan, name, most)
+    v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(6)] + [(6, None), (7, [1.0]), (8, [0.0, 0.0])], "id long, vector array<double>")
+    q = v.filter("id < 5").withColumnRenamed("id", "qid")
+    got = {(r.qid, r.id): r.score for r in scan.nearest(v, q, 20, drop_self=True).collect()}
+    assert set(got) == {(a, b) for a in range(5) for b in range(9) if a != b}
+    assert got[1, 2] == pytest.approx(3 / math.sqrt(10)) and got[1, 6] == got[1, 7] == got[1, 8] == 0
+    assert scan.nearest(v.limit(0), q, 20).count() == 0 == scan.nearest(v, q.limit(0), 20).count()
+    texts = spark.createDataFrame([(1, "the cat sat"), (2, "concatenate"), (3, None), (4, ""), (5, "dog")], "id long, text string")
+    words = spark.createDataFrame([("a", ["cat", "cat", "sat"]), ("b", ["dog"]), ("c", []), ("d", ["zebra"])], "qid string, words array<string>")
+    assert rows(scan.word_hits(texts, words, 5)) == [("a", 1, 3), ("a", 2, 2), ("b", 5, 1)]
+    needles = spark.createDataFrame([("a", "cat"), ("b", "cat s"), ("c", ""), ("d", None), ("e", "dog")], "qid string, needle string")
+    assert rows(scan.containing(texts, needles)) == [("a", 1), ("a", 2), ("b", 1), ("e", 5)]
+
+
+def lexical(spark, records, queries, stems=False):
+    r = spark.createDataFrame(records, "id string, summary string, body string")
+    q = spark.createDataFrame(queries, "qid string, text string")
+    from tessera.functions.stem import with_stems
+
+    terms = T.query_terms("text")
+    return retrieval.bm25_hits(r.select("id", T.lexical_row("summary", "body", stems).alias("words")), q.select("qid", T.phrases(with_stems(terms) if stems else terms).alias("words")))
+
+
+def test_lexical_index(spark):
+    row = spark.range(1).select(T.lexical_row(F.lit("Café notes"), F.lit("parseHTTP multi-arch"))).first()[0]
+    assert row == ["cafe", "notes", T.COLUMN_END, "cafe", "notes", "parsehttp", "parse", "http", "multi", "arch", "multi", "arch"]
+    stemmed = spark.range(1).select(T.lexical_row(F.lit("stored"), F.lit("stored"), True)).first()[0]
+    assert stemmed == ["stored", T.COLUMN_END, "stored", "store", "stored", "store"]
+    records = [("a", "multi build", "arch and multi-arch images"), ("b", "x", "arch then multi"), ("c", "build", "nothing"), ("d", "other", "words"), ("e", "more", "words here")]
+    got = {(r.qid, r.id): r.score for r in lexical(spark, records, [("p", "multi-arch")]).collect()}
+    n, df = 5, {"multi arch": 1, "multi": 2, "arch": 2}
+    length = {i: len([w for w in T_words(spark, s, b) if w]) for i, s, b in records}
+    mean = sum(length.values()) / n
+    counts = {"a": {"multi arch": 2, "multi": 4, "arch": 3}, "b": {"multi arch": 0, "multi": 1, "arch": 1}}
+
+    def bm25(i):
+        out = 0.0
+        for t, f in counts[i].items():
+            idf = math.log((n - df[t] + 0.5) / (df[t] + 0.5))
+            out += (idf if idf > 0 else 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length[i] / mean))
+        return out
+
+    assert got[("p", "a")] == pytest.approx(bm25("a")) and got.get(("p", "b"), bm25("b")) == pytest.approx(bm25("b"))
+
+
+def T_words(spark, summary, body):
+    return spark.range(1).select(T.lexical_row(F.lit(summary), F.lit(body))).first()[0]
+
+
+def test_a_shared_short_token_is_no_lexical_match(spark):
+    records = [("exact", "bundledToolSchemas holds the five vfs tool schemas", "bundledToolSchemas.ts is kept in sync with toolMetadata.ts"), ("hot", "vfs_replace zeroes m_Script", "status missing maps to fileID 0 in yamlCompactInvert.ts")]
+    records += [(t, t, f"{t} notes for the daemon") for t in ("serve lock", "ndjson line limit", "query worker", "index build")]
+    got = [r.id for r in lexical(spark, records, [("q", "Is bundledToolSchemas.ts generated or updated by a script?")], stems=True).orderBy("rank").collect()]
+    assert got == ["exact"]
+
+
+def test_index_upkeep(spark):
+    old = spark.createDataFrame([("s", "b", ["mine"], 2), ("s", "b", ["old"], 1), ("s", "b", None, None)], "summary string, body string, index_words array<string>, index_version int")
+    assert sorted(r.index_words for r in retrieval.retokenized(old, 2).collect()) == [["mine"], ["s", "", "s", "b"], ["s", "", "s", "b"]]
+
+
+def test_given_embedder(spark):
+    r = spark.createDataFrame([(1, "ab", [1.0], "old"), (2, "abc", None, None)], "id long, body string, vector array<double>, embedding_model string")
+    got = retrieval.reembedded(r, "lengths", F.col("body"), 2, lambda texts: texts.map(lambda t: [float(len(t)), 0.0])).orderBy("id").collect()
+    assert [(x.vector, x.embedding_model) for x in got] == [([2.0, 0.0], "lengths"), (None, None)]
+
+
+def test_public_json(spark):
+    r = spark.createDataFrame([(1, 7, 0.555001, None), (1, 8, 0.2, [3])], "qid int, id int, score double, linked_from array<int>")
+    got = retrieval.as_json(r, "qid", ["id"]).first().json
+    assert json.loads(got) == [{"id": 7, "score": 0.555001}, {"id": 8, "score": 0.2, "linked_from": [3]}]
+
+
+def test_shapes_and_batches(spark, tmp_path):
+    documents = spark.createDataFrame(
+        [
+            ("ok", json.dumps([{"summary": " a ", "body": "x", "parent": " "}, {"summary": "b", "body": "y", "supersedes": "#0", "links": ["#0", " ", "old"]}])),
+            ("shape", json.dumps([3, {"summary": "s", "body": "b", "extra": 1}, {"summary": " ", "body": "b"}, {"summary": "s", "body": 5}, {"summary": "s", "body": "b", "parent": 5}, {"summary": "s", "body": "b", "links": [1]}])),
+            ("none", "{}"),
+            ("empty", "[]"),
+            ("text", "no json"),
+        ],
+        "batch string, json string",
+    )
+    assert rows(write_path.shape_errors(documents)) == [("empty", None, "empty"), ("none", None, "not an array"), ("shape", 0, "not an object"), ("shape", 1, "unknown field"), ("shape", 2, "summary"), ("shape", 3, "body"), ("shape", 4, "parent"), ("shape", 5, "links"), ("text", None, "no JSON")]
+    drafts = write_path.parsed_drafts(documents.filter("batch = 'ok'")).withColumn("id", F.concat(F.lit("n"), F.col("i").cast("string")))
+    assert [(r.summary, r.parent, r.supersedes, r.links) for r in drafts.orderBy("i").collect()] == [("a", None, None, []), ("b", None, "#0", ["#0", "old"])]
+    store = str(tmp_path)
+    columns = "id string, parent_id string, supersedes_id string, summary string, body string"
+    spark.createDataFrame([("old", None, None, "o", "o")], columns).write.parquet(f"{store}/records")
+    spark.createDataFrame([], "source_id string, target_id string").write.parquet(f"{store}/links")
+    bad = drafts.withColumn("batch", F.lit("bad")).withColumn("id", F.concat(F.lit("m"), "id")).withColumn("body", F.lit(" "))
+    found = write_path.write_batches(drafts.unionByName(bad), store, 9)
+    assert {(r.batch, r.field, r.error) for r in found.collect()} == {("bad", "body", "empty")}
+    stored = {r.id: r for r in spark.read.parquet(f"{store}/records").collect()}
+    assert set(stored) == {"old", "n0", "n1"} and stored["n1"].supersedes_id == "n0" and stored["n1"].created_at == 9
+    assert rows(spark.read.parquet(f"{store}/links")) == [("n1", "n0"), ("n1", "old")]
+
+
+def test_symbols_refs_and_reading(spark):
+    n = spark.createDataFrame(
+        [("a.rs:function:run:1", "function", "run", "a.rs", 1, 2), ("a.rs:function:new:4", "function", "new", "a.rs", 4, 4), ("a.rs:function:new:6", "function", "new", "a.rs", 6, 6), ("b/c.rs:function:run:1", "function", "run", "b/c.rs", 1, 1), ("file:a.rs", "file", "a.rs", "a.rs", 1, None)],
+        "id string, kind string, name string, file_path string, start_line int, end_line int",
+    )
+    asked = spark.createDataFrame([("id", "b/c.rs:function:run:1"), ("path", "./a.rs/run"), ("name", "run"), ("gone", "zzz"), ("two", "a.rs/new")], "qid string, symbol string")
+    got = {q: sorted(r.id for r in graph.symbol_candidates(n, asked).filter(F.col("qid") == q).collect()) for q in ("id", "path", "name", "gone", "two")}
+    assert got == {"id": ["b/c.rs:function:run:1"], "path": ["a.rs:function:run:1"], "name": ["a.rs:function:run:1", "b/c.rs:function:run:1"], "gone": [], "two": ["a.rs:function:new:4", "a.rs:function:new:6"]}
+    e = spark.createDataFrame([("a.rs:function:new:4", "a.rs:function:run:1", "calls", 4), ("b/c.rs:function:run:1", "a.rs:function:run:1", "calls", 1), ("file:a.rs", "a.rs:function:run:1", "contains", 1)], "source string, target string, kind string, line int")
+    rows_of = [("in", "a.rs/run", True, None, None, None), ("scoped", "run", True, "a.rs", None, "b"), ("many", "run", True, None, None, None), ("out", "b/c.rs:function:run:1", False, None, None, None), ("none", "zzz", True, None, None, None)]
+    refs = graph.ref(n, e, spark.createDataFrame(rows_of, "qid string, symbol string, incoming boolean, file string, kind_hint string, scope string"))
+    found = {}
+    for r in refs.collect():
+        found.setdefault(r.qid, (r.status, set()))[1].add(r.id if r.status == "ok" else r.symbol_id)
+    assert found == {"in": ("ok", {"a.rs:function:new:4", "b/c.rs:function:run:1"}), "scoped": ("ambiguous", {"a.rs:function:run:1", "b/c.rs:function:run:1"}), "many": ("ambiguous", {"a.rs:function:run:1", "b/c.rs:function:run:1"}), "out": ("ok", {"a.rs:function:run:1"}), "none": ("not_found", {None})}
+    files = spark.createDataFrame([("a.rs", "fn run() {\n}\n\nnew\n\nnew\n"), ("b/c.rs", "x")], "file_path string, text string")
+    paths = spark.createDataFrame([("i", "a.rs:function:run:1", False), ("s", "a.rs/run", False), ("w", "b/c.rs", True), ("o", "a.rs", False), ("m", "a.rs/new", False), ("g", "a.rs/zzz", False), ("d", "b", False)], "qid string, path string, full boolean")
+    read = {}
+    for r in vfs.read(files, n, paths).collect():
+        read.setdefault(r.qid, []).append((r.status, r.kind, r.path, r.text))
+    assert read["i"] == read["s"] == [("ok", "function", "a.rs/run", "fn run() {\n}")] and read["w"] == [("ok", "file", "b/c.rs", "x")]
+    assert read["o"][0][3].startswith("a.rs\n  run  function  1-2") and [x[0] for x in read["m"]] == ["ambiguous"] * 2 and read["g"][0][0] == "not_found" and read["d"][0][0] == "no_file"
+    files_asked = spark.createDataFrame([("exact", "a.rs"), ("suffix", "c.rs"), ("none", "z.rs")], "qid string, path string")
+    assert sorted({(r.qid, r.id.split(":")[0]) for r in graph.file_symbols(n, files_asked).collect()}) == [("exact", "a.rs"), ("suffix", "b/c.rs")]
+    assert (graph.state(n, files), graph.state(n.limit(0), files), graph.state(n.limit(0), files.limit(0))) == ("ok", "not_indexed", "empty")
+
+
+def test_graph_from_source(spark):
+    def files(texts):
+        return spark.createDataFrame([(p, len(t), 0, t, "rust" if p.endswith("rs") else "python", t) for p, t in texts.items()], "path string, size long, mtime long, hash string, language string, text string")
+
+    texts = {
+        "a.rs": "pub trait Show {\n}\npub struct Box1 {\n}\nimpl Show for Box1 {\n    fn show(&self) {\n        helper(1);\n    }\n}\nfn helper(x: i32) {\n}\n",
+        "b.rs": "fn run() {\n    helper(2);\n    Box1::show();\n}\nhelper(3);\n",
+        "c.py": "class Base:\n    def go(self):\n        return run(self)\n\nclass Kid(Base):\n    def go2(self):\n        return 1\n",
+    }
+    g = index.full(files(texts))
+    edges = {(r.source, r.target, r.kind) for r in g.edges.collect()}
+    show, box, trait, helper, run = "a.rs:method:show:6", "a.rs:struct:Box1:3", "a.rs:trait:Show:1", "a.rs:function:helper:10", "b.rs:function:run:1"
+    assert {(box, trait, "implements"), (box, show, "contains"), (show, box, "references"), (show, trait, "references"), (show, helper, "calls"), (run, helper, "calls"), (run, show, "calls"), ("file:a.rs", show, "contains"), ("c.py:class:Kid:5", "c.py:class:Base:1", "implements"), ("c.py:method:go:2", run, "calls")} <= edges
+    assert not [r for r in g.refs.collect() if r.line == 5 and r.file_path == "b.rs"]  # outside every definition
+    for change in ({"b.rs": "fn run() {\n}\nfn helper(y: i32) {\n}\n"}, {"a.rs": "\n" + texts["a.rs"]}, {"a.rs": None}, {"d.rs": "struct Base {\n}\n"}):
+        after = {p: t for p, t in (texts | change).items() if t is not None}
+        kept, report = index.synced(g, files(after))
+        want = index.full(files(after))
+        for got, full in ((kept.edges, want.edges), (kept.nodes, want.nodes), (kept.refs, want.refs), (kept.impls, want.impls)):
+            assert rows(got.select(*full.columns)) == rows(full)
+        assert report.first().parsed == sum(t is not None for t in change.values())
+
+
+def test_path_hints_and_evaluation(spark):
+    from tessera.functions import paths as P
+
+    ids = ["rust-analyzer cargo clap 4 builder/command/Command#new().", "file:src/a.py", "x y `mod`/impl#run()."]
+    got = spark.createDataFrame([(i,) for i in ids], "s string").select(P.trailing_name(F.col("s")), P.path_hint(F.col("s"))).collect()
+    assert [tuple(r) for r in got] == [("new", "builder/command/Command"), ("py", "src/a.py"), ("run", "mod")]
+    fits = [("clap_builder/src/builder/command.rs", "builder/command/Command", True), ("src/x.rs", "builder/command/Command", False), ("./src/a.py", "src/a.py", True), ("a.rs", "", False), ("src/lib.rs", "crate/lib/Thing", True)]
+    d = spark.createDataFrame(fits, "p string, h string, want boolean")
+    assert d.filter(P.path_fits(F.col("p"), F.col("h")) != F.col("want")).isEmpty()
+    assert spark.range(1).select(P.unprefixed(F.lit("sub/x"), F.lit("sub/x/a.rs")), P.unprefixed(F.lit("sub"), F.lit("a.rs")), P.unprefixed(F.lit(""), F.lit("a"))).first()[:] == ("a.rs", None, "a")
+    s = spark.createDataFrame([("Completion", "callers", "x", 1.0), ("Completion", "callees", "late", 0.0), ("Config", "callers", "x", 0.5)], "category string, op string, sub_type string, score double")
+    got = {(r.level, r.key): (r.n, r.avg) for r in metrics.scenario_summary(s, ["late"]).collect()}
+    assert got["raw", "all"] == (3, 0.5) and got["part", "deferred"] == (1, 0.0) and got["part", "supported"] == (2, 0.75) and got["op", "callers"] == (2, 0.75)
+    assert got["weighted", "all"][1] == pytest.approx((0.5 * 0.28 + 0.5 * 0.04) / 0.32)
+    ranked = spark.createDataFrame([(1, "D1", 1), (1, "D1", 2), (1, "D2", 3), (1, None, 4), (2, "D9", 1)], "qid int, turn_id string, rank int")
+    evidence = spark.createDataFrame([(1, "multi", "D2"), (1, "multi", "D3"), (2, "open", "D1")], "qid int, category string, turn_id string")
+    got = {r.category: (r.n, r.mrr, r.recall_5, r.hit_5) for r in metrics.evidence_recall(ranked, evidence).collect()}
+    assert got == {"multi": (1, 0.5, 0.5, 1.0), "open": (1, 0.0, 0.0, 0.0), None: (2, 0.25, 0.25, 0.5)}
+    gold = spark.createDataFrame([(True, True, True, 1), (True, True, True, None), (False, False, False, None), (True, False, True, None)], "indexed boolean, hop1 boolean, hop2 boolean, rank int")
+    assert tuple(metrics.reach_shares(gold).first()) == (4, 0.75, 0.5, 0.75, 0.25, 0.25)
+    assert rows(metrics.missing(spark.createDataFrame([(1,), (2,), (2,)], "x int"), spark.createDataFrame([(1,)], "x int"))) == [(2,)]
+    words = lambda t: t.split()
+    points = spark.createDataFrame([("p", words("cat sat mat"), True), ("q", words("dog ran"), True), ("r", words("cat sat"), False)], "point string, words array<string>, is_update boolean")
+    originals = spark.createDataFrame([("p", words("cat lay mat")), ("q", words("dog sat")), ("r", words("cat"))], "point string, words array<string>")
+    memories = spark.createDataFrame([(1, 1, words("cat lay mat"), None), (2, 2, words("cat sat mat"), 1), (3, 3, words("dog ran"), None)], "id int, ordinal int, words array<string>, supersedes_id int")
+    assert tuple(metrics.update_rate(points, originals, memories).first()) == (1, 2, 0.5)
+    judged = spark.createDataFrame([("qa", None, 1.0, False, "Correct"), ("qa", None, 1.0, False, "Omission")], "part string, score int, importance double, flag boolean, label string")
+    assert metrics.combined_judgements(judged, judged.filter("label = 'Correct'")).first().qa_correct == pytest.approx(2 / 3)
+
+
+def test_best_match_by_rare_words(spark):
+    rnd = random.Random(2)
+    pool = ["the"] * 30 + [f"w{i}" for i in range(40)]
+    points = [(i, [rnd.choice(pool) for _ in range(rnd.randrange(1, 9))]) for i in range(30)]
+    memories = [(i, i, [rnd.choice(pool) for _ in range(rnd.randrange(0, 25))]) for i in range(40)]
+    p, m = spark.createDataFrame(points, "point int, words array<string>"), spark.createDataFrame(memories, "id int, ordinal int, words array<string>")
+    want = sorted((q, i) for q, ws in points for i, _, has in memories if sum(w in has for w in ws) / len(ws) >= 0.55)
+    assert sorted((r.point, r.id) for r in metrics.matches(p, m, 0.55).collect()) == want
+
+
+def test_json_sources_manifest_and_chunks(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps([{"id": 1}, {"id": 2}]))
+    (tmp_path / "b.jsonl").write_text('{"id": 1}\n\n{"id": 3}\n')
+    assert rows(tables.json_records(spark, str(tmp_path / "a.json"))) == [(1,), (2,)] and rows(tables.json_records(spark, str(tmp_path / "b.jsonl"), True)) == [(1,), (3,)]
+    m = spark.createDataFrame([("ok", "r", "c", "old", 1), ("ok", "r", "c", "new", 2), ("failed", "r", "d", "x", 3)], "status string, repo string, base_commit string, chunks_path string, ordinal int")
+    assert rows(tables.manifest(m)) == [("r", "c", "new")]
+    c = spark.createDataFrame([("file", "a", "1", 1), ("file", "a", "2", 2), ("symbol", "b", "3", 3)], "kind string, path string, text string, ordinal int")
+    assert rows(tables.file_texts(c)) == [("a", "2")]
+
+
+def test_nested_listing_touch_and_delete(spark):
+    entries = spark.createDataFrame([("src", "dir"), ("sub", "dir")], "name string, kind string")
+    assert rows(vfs.with_nested(entries, spark.createDataFrame([("sub",), ("other",)], "name string"))) == [("other", "project"), ("src", "dir"), ("sub", "project")]
+    old = spark.createDataFrame([("a", 1, 1, "h"), ("b", 1, 1, "h")], "path string, size int, mtime int, hash string")
+    new = spark.createDataFrame([("a", 1, 5, "h"), ("b", 1, 1, "h")], "path string, size int, mtime int, hash string")
+    assert rows(snapshot.touched(old, new, snapshot.diff(old, new)).select("path", "mtime")) == [("a", 5), ("b", 1)]
+    edges = spark.createDataFrame([("x", "y", "calls"), ("x", "gone", "calls"), ("gone", "y", "calls")], "source string, target string, kind string")
+    assert rows(snapshot.without_edges_of(edges, spark.createDataFrame([("x",), ("y",)], "id string"))) == [("x", "y", "calls")]
+    spans = spark.createDataFrame([("s", "a.rs", 2, 9)], "id string, file_path string, start_line int, end_line int")
+    assert rows(vfs.read_spans(spark.createDataFrame([("a.rs", "1\n2\n3\n")], "file_path string, text string"), spans)) == [("s", "2\n3")]
