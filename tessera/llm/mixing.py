@@ -38,18 +38,18 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     taken in the order in which a rising level fills them.
     """
     per = sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size"))
-    per.createOrReplaceTempView("tessera_mix_sources")
     cases = " ".join(f"when {i} then {w}" for i, w in enumerate(weights))
-    return sized.sparkSession.sql(f"""
+    query = f"""
         with weighed as (
             select *, cast(case (row_number() over (order by source asc nulls last) - 1) % {len(weights)} {cases} end as double) w,
-                   {float(cap)}D * source_size as most, {float(share)}D * sum(source_size) over () as all_share from tessera_mix_sources),
+                   {float(cap)}D * source_size as most, {float(share)}D * sum(source_size) over () as all_share from {{per}}),
         filled as (
             select *, sum(w) over () - coalesce(sum(w) over before, 0D) as w_left, all_share - coalesce(sum(most) over before, 0D) as share_left
             from weighed window before as (order by most / w, source rows between unbounded preceding and 1 preceding)),
         levelled as (
             select *, min(if(most / w * w_left >= share_left, struct(most / w as r, source, share_left / w_left as l), null)) over () as at_level from filled)
-        select source, n, source_size, least(most, coalesce(at_level.l, 0D) * w) as target from levelled""")
+        select source, n, source_size, least(most, coalesce(at_level.l, 0D) * w) as target from levelled"""
+    return sized.sparkSession.sql(query, per=per)
 
 
 def _fold(level: int) -> str:
@@ -101,7 +101,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     at most cap. Randomness comes from hashes of ids, so reruns agree.
 
     Null and empty texts have size 0 and take nothing (0 copies short of a whole one). Null ids and sources are values
-    like others. Identical rows are units of their own. An empty table gives an empty result. Extra columns are ignored.
+    like others. Rows of one id, source and size are rounded together and share their copies as evenly as they go. An
+    empty table gives an empty result. Extra columns are ignored.
     """
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     sized = runtime.checkpoint(sized)
@@ -110,24 +111,39 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     side = F.broadcast(sources) if head["n"] <= BROADCAST_SOURCES else sources
     due = sized.alias("d").join(side.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.source", "d.doc_id", "d.size", "s.n", "s.source_size", "s.target")
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(cap)), F.col("target") / F.col("source_size"))).otherwise(0.0)
-    due = due.withColumn("whole", F.floor(rate).cast("int")).withColumn("m", (rate - F.floor(rate)) * F.col("size"))
+    # Rows that are alike in id, source and size make one unit, however many they are.
+    alike = due.groupBy("source", "doc_id", "size").agg(F.count("*").alias("rows"), *[F.first(c).alias(c) for c in ("n", "source_size", "target")])
+    mass = (rate - F.floor(rate)) * F.col("size") * F.col("rows")
+    more = F.when(F.col("size") > 0, F.floor(mass / F.col("size"))).otherwise(0)
+    due = alike.withColumn("whole", (F.floor(rate) * F.col("rows") + more).cast("int")).withColumn("m", mass - more * F.col("size"))
+    due = runtime.checkpoint(due)
     open_ = (F.col("m") > 0) & (F.col("m") < F.col("size"))
     units = due.filter(open_).select("source", "n", F.struct((-F.col("size")).alias("o"), F.xxhash64(F.lit(SEED), "doc_id", "size").alias("k"), "doc_id", "size", "whole", "m").alias("unit"))
     certain = due.filter(~open_).select("source", "doc_id", "size", F.col("whole").alias("copies"))
     rounded = reduce(DataFrame.union, _rounded(units, head["most"]), certain)
-    out = rounded.alias("d").join(side.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
+    several = due.filter("rows > 1").select("source", "doc_id", "size", "rows")
+    one_each = rounded
+    if not several.isEmpty():
+        same = F.col("d.source").eqNullSafe(F.col("a.source")) & F.col("d.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("d.size") == F.col("a.size"))
+        shared = rounded.alias("d").join(several.alias("a"), same, "left").select("d.*", F.coalesce("a.rows", F.lit(1)).alias("rows"))
+        shared = shared.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+        copies = F.expr("cast(copies div rows as int)") + (F.col("nth") <= F.col("copies") % F.col("rows")).cast("int")
+        one_each = shared.select("source", "doc_id", "size", copies.alias("copies"))
+    out = one_each.alias("d").join(side.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
     return out.select("d.doc_id", "d.source", "d.size", "s.source_size", "s.target", "d.copies", (F.col("d.copies") * F.col("d.size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it (0 to cap times)."""
-    due = mix(docs, weights, share, cap).groupBy("doc_id", "source").agg(F.sum("copies").cast("int").alias("__copies"), F.count("*").alias("__rows"))
-    due = runtime.checkpoint(due.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), "__copies", "__rows"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").cast("string").eqNullSafe(F.col("__source"))
+    """The rows of docs, each as often as the mix takes it (0 to cap times). Rows that share id and source share their
+    copies, the first by text the odd ones."""
+    taken = {c.lower() for c in docs.columns}
+    at, source, copies, n_rows, times, time = (next(f"{'_' * i}{c}" for i in range(1, len(taken) + 2) if f"{'_' * i}{c}" not in taken) for c in ("id", "source", "copies", "rows", "times", "time"))
+    due = mix(docs, weights, share, cap).groupBy("doc_id", "source").agg(F.sum("copies").cast("int").alias(copies), F.count("*").alias(n_rows))
+    due = runtime.checkpoint(due.select(F.col("doc_id").alias(at), F.col("source").alias(source), copies, n_rows))
+    same = F.col("doc_id").eqNullSafe(F.col(at)) & F.col("source").cast("string").eqNullSafe(F.col(source))
     rows = docs.join(due, same)
-    alone = rows.filter("__rows = 1").withColumn("__times", F.col("__copies"))
-    # Rows that share id and source share their copies.
-    nth = F.row_number().over(Window.partitionBy("__id", "__source").orderBy("text"))
-    shared = rows.filter("__rows > 1").withColumn("__times", F.expr("cast(__copies div __rows as int)") + (nth <= F.col("__copies") % F.col("__rows")).cast("int"))
-    taken = alone.unionByName(shared).filter("__times > 0")
-    return taken.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    alone = rows.filter(F.col(n_rows) == 1).withColumn(times, F.col(copies))
+    nth = F.row_number().over(Window.partitionBy(at, source).orderBy("text"))
+    shared = rows.filter(F.col(n_rows) > 1).withColumn(times, F.expr(f"cast({copies} div {n_rows} as int)") + (nth <= F.col(copies) % F.col(n_rows)).cast("int"))
+    out = alone.unionByName(shared).filter(F.col(times) > 0)
+    return out.withColumn(time, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])
