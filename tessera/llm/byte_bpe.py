@@ -2,7 +2,8 @@
 
 A text is cut by the tokenizer's pattern; the distinct new pieces of a batch go into matrices by length (one row a
 piece, one column a byte). In each round every row merges its leftmost pair of minimum rank, found through a hashed
-pair table, and closes the gap; rows without a pair that merges leave the matrix. Ranks are the token ids, so a pair
+pair table, and closes the gap; rows without a pair that merges leave the matrix. Very long rows stand alone and merge
+all pairs of the minimum rank in a round, which comes to the same. Ranks are the token ids, so a pair
 merges to its own rank. Decoding gathers the ids' bytes from one flat table.
 """
 
@@ -10,7 +11,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,7 +22,7 @@ from tessera.llm.wordhash import spread
 
 #: No merge.
 NONE = np.int32(2**31 - 1)
-#: Pieces of more bytes than this go through a heap of pairs instead, which costs n log n rather than n * n.
+#: A piece of more bytes than this is a row by itself.
 LONG = 1024
 #: Distinct pieces a worker remembers before it starts anew, and bytes of text it takes at a time.
 REMEMBERED = 500_000
@@ -89,6 +89,7 @@ class ByteBpe:
         self.ranks = ranks
         pairs = {(ranks[t[:i]], ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
         self.pairs = PairTable(pairs)
+        self.rising = all(r > a and r > b for (a, b), r in pairs.items())
         self.of_byte = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         tokens = [b""] * (max(ranks.values()) + 1)
         for t, r in ranks.items():
@@ -160,36 +161,28 @@ class ByteBpe:
             rank[gone, np.minimum(at[gone], ids.shape[1] - 1)] = NONE
 
     def _long(self, piece: bytes) -> np.ndarray:
-        """The same merges through a heap and a linked list, for pieces too long to shift at each merge."""
-        ids = self.of_byte[np.frombuffer(piece, dtype=np.uint8)].tolist()
-        n = len(ids)
-        following, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        first = self.pairs.find(np.array(ids[:-1]), np.array(ids[1:])).tolist()
-        heap = [(r, i) for i, r in enumerate(first) if r != NONE]
-        current = [*first, int(NONE)]
-        heapq.heapify(heap)
-        alive = [True] * n
-
-        def look(i: int) -> None:
-            j = following[i]
-            r = int(self.pairs.find(np.array([ids[i]]), np.array([ids[j]]))[0]) if j < n else int(NONE)
-            current[i] = r
-            if r != NONE:
-                heapq.heappush(heap, (r, i))
-
-        while heap:
-            r, i = heapq.heappop(heap)
-            if not alive[i] or current[i] != r:
-                continue
-            j = following[i]
-            ids[i], alive[j] = r, False
-            following[i] = following[j]
-            if following[j] < n:
-                before[following[j]] = i
-            look(i)
-            if before[i] >= 0:
-                look(before[i])
-        return np.array([x for x, a in zip(ids, alive, strict=True) if a], dtype=np.int32)
+        """A row by itself, without padding: where every merge has a higher rank than its parts, no merge of a round can
+        make a pair of that rank or a lower one, so the round merges all pairs of the minimum rank, from the left."""
+        ids = self.of_byte[np.frombuffer(piece, dtype=np.uint8)].copy()
+        rank = self.pairs.find(ids[:-1], ids[1:])
+        while len(rank) and (best := rank.min()) != NONE:
+            at = np.flatnonzero(rank == best)
+            if self.rising:
+                nth = np.arange(len(at))
+                first = np.r_[True, at[1:] != at[:-1] + 1]  # pairs that follow one another share an element
+                at = at[(nth - np.maximum.accumulate(np.where(first, nth, 0))) % 2 == 0]
+            else:
+                at = at[:1]
+            ids[at] = best
+            stay = np.ones(len(ids), bool)
+            stay[at + 1] = False
+            place = np.cumsum(stay) - 1
+            ids, rank, at = ids[stay], rank[stay[:-1]], place[at]
+            rank = rank[: len(ids) - 1]
+            new = np.unique(np.r_[at - 1, at])
+            new = new[(new >= 0) & (new < len(rank))]
+            rank[new] = self.pairs.find(ids[new], ids[new + 1])
+        return ids
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of ids, one after another."""
