@@ -20,10 +20,9 @@ from tessera.llm import runtime
 from tessera.llm.toxicity import blocks, grams
 
 BITS, SHIFT = 15, 3
-#: Bound of the rows the trigram model is fitted on (expected number), and of languages in it (the most frequent).
-FIT_ROWS, LANGUAGES = 8_000, 200
-#: Rows a language needs in the sample.
-LEAST_ROWS = 3
+#: Bound of the rows the trigram model is fitted on (expected number), and of languages in it (the most frequent), each
+#: with LEAST_ROWS rows at least. Rows that declare another language are taken at their word.
+FIT_ROWS, LANGUAGES, LEAST_ROWS = 8_000, 200, 3
 EFFECTIVE = 40
 #: Pseudo-rows of the parent in each smoothed table.
 KAPPA = 10.0
@@ -143,6 +142,10 @@ def identify(rows: DataFrame, id_col: str) -> DataFrame:
     rows: id_col, text, declared, suffix, domain, host, any of them null (then that evidence says nothing); domain may
     be null where host is not. accepted: a language is likelier than not, and the text is no outlier of it.
 
+    A row that declares a language which the trigram model does not have (too few rows, or beyond the LANGUAGES most
+    frequent) gets that language: posteriors are null, and it is accepted if it has trigrams at all. Such rows do not
+    count in the evidence of the others.
+
     Null, empty and very short texts have no trigrams: lang_id comes from the other evidence, accepted is false. With
     no declared language anywhere nothing can be learned: lang_id is null and accepted false. Rows repeat as they are;
     an empty table gives an empty result.
@@ -154,7 +157,8 @@ def identify(rows: DataFrame, id_col: str) -> DataFrame:
     n = len(names)
     seen = _text_evidence(rows, id_col, names, logs).withColumn("tempered", F.expr(f"transform(ll, x -> x * least(n_grams, {EFFECTIVE}))"))
     seen = runtime.checkpoint(seen.withColumn("post", F.expr(_softmax("tempered"))))
-    spoke = seen.filter("n_grams > 0")
+    unmodelled = F.coalesce(F.col("declared").isNotNull() & ~F.col("declared").isin(names), F.lit(False))
+    spoke = seen.filter("n_grams > 0").filter(~unmodelled)
     sums = spoke.agg(*[F.coalesce(F.sum(F.col("post")[i]), F.lit(0.0)).alias(f"s{i}") for i in range(n)]).first()
     mass = np.array(list(sums), dtype=float)
     prior = (mass + 1) / (mass + 1).sum()
@@ -183,7 +187,8 @@ def identify(rows: DataFrame, id_col: str) -> DataFrame:
     languages = F.array(*[F.lit(x) for x in names])
     at = F.col("best")
     accepted = (F.col("n_grams") > 0) & (F.element_at("p", at) >= LEAST_POSTERIOR) & (F.element_at("ll", at) >= floor)
-    return out.select(id_col, F.element_at(languages, at).alias("lang_id"), F.element_at("p", at).alias("posterior"), F.element_at("post", at).alias("text_posterior"), "n_grams", "declared", accepted.alias("accepted"))
+    modelled = F.when(~unmodelled, F.struct(F.element_at(languages, at).alias("lang_id"), F.element_at("p", at).alias("posterior"), F.element_at("post", at).alias("text_posterior")))
+    return out.withColumn("m", modelled).select(id_col, F.coalesce("m.lang_id", "declared").alias("lang_id"), "m.posterior", "m.text_posterior", "n_grams", "declared", F.when(unmodelled, F.col("n_grams") > 0).otherwise(accepted).alias("accepted"))
 
 
 def accepted_documents(docs: DataFrame) -> DataFrame:
