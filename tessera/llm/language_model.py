@@ -211,12 +211,12 @@ def deleted_interpolation(docs: DataFrame, held_out, order: int = 2) -> DataFram
 
     Texts are lower-cased (A-Z), cut into words, and closed by an end, which is a token; the words before a text's
     first count as ends. One row per input row: doc_id, held_out, n_tokens, n_known (tokens that training has),
-    train_tokens, base_score (add-one unigrams), score.
+    train_tokens, base_score (add-one unigrams), score. A null held_out is false.
 
     A null or empty text is its end alone. Rows repeat as they are. With no training rows every estimate but the
     uniform one is zero and scores stay finite. An empty table gives an empty result. Other columns are ignored.
     """
-    docs = docs.select("doc_id", "text", held_out.alias("held_out"))
+    docs = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     n_chunks, n_buckets = sizes(total_bytes(docs))
     n_chunks, base = max(n_chunks, 8 * FOLDS), new_base()
     chunks = in_chunks(docs, n_chunks, extra=("held_out",))
