@@ -161,7 +161,7 @@ def _refine(bits: int):
     return refine
 
 
-def _locate(width: int, bits: int, base: int, with_text: bool, extra: tuple[str, ...] = ()):
+def _locate(width: int, bits: int, base: int, with_text: bool, own: tuple[str, ...] = ()):
     """A chunk's documents with its answers: what is left of them, and the spans of words that others had first."""
 
     def locate(key: tuple[pa.Scalar, ...], table: pa.Table, replies: pa.Table) -> pa.Table:
@@ -206,7 +206,7 @@ def _locate(width: int, bits: int, base: int, with_text: bool, extra: tuple[str,
         gone[n_words == 0] = 0
         shas, texts = _kept(words, removed, gone, with_text)
         trim()
-        others = {f"in_{c}": table.column(f"in_{c}") for c in extra}
+        others = {c: table.column(c) for c in own}
         kind = pa.list_(pa.struct([("origin", pa.int64()), ("at", pa.int32()), ("words", pa.string())]))
         return pa.table(
             others
@@ -272,7 +272,7 @@ def _kept(words: Words, removed: np.ndarray, gone: np.ndarray, with_text: bool)
     return shas, texts
 
 
-def _plain(with_text: bool, extra: tuple[str, ...] = ()):
+def _plain(with_text: bool, own: tuple[str, ...] = ()):
     """The answer for documents too short for a window: nothing goes."""
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,9 +282,8 @@ def _plain(with_text: bool, extra: tuple[str, ...] = ()):
             shas, texts = _kept(words, np.zeros(len(words), bool), np.zeros(len(n), np.int64), with_text)
             none = pa.nulls(len(batch), pa.int64())
             spans = pa.nulls(len(batch), pa.list_(pa.struct([("origin", pa.int64()), ("at", pa.int32()), ("words", pa.string())])))
-            own = [batch.column(f"in_{c}") for c in extra]
-            columns = [*own, batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(np.zeros(len(n)), pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.string()), none, none, spans]
-            yield pa.RecordBatch.from_arrays(columns, names=[*[f"in_{c}" for c in extra], "doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "row_chunk", "row", "spans"])
+            columns = [*[batch.column(c) for c in own], batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(np.zeros(len(n)), pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.string()), none, none, spans]
+            yield pa.RecordBatch.from_arrays(columns, names=[*own, "doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "row_chunk", "row", "spans"])
 
     return plain
 
@@ -341,12 +340,12 @@ class FingerprintIndex:
     def add(self, docs: DataFrame, write_run: bool = True, with_text: bool = False, n_chunks: int | None = None, extra: tuple[str, ...] = (), all_docs: DataFrame | None = None) -> DataFrame:
         """doc_id, n_words, n_removed, kept_sha256, kept_text (null unless asked for and changed) of each row.
 
-        Before them come the columns named in extra, as in_<name>. all_docs (doc_id, text) has the documents of earlier
+        Before them come the columns named in extra, as in_0, in_1 and so on. all_docs (doc_id, text) has the documents of earlier
         batches too, in which hits are verified; without it, only those of this batch are, the others by their keys.
         """
         spark, schema = self.spark, docs.schema
-        docs = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"in_{c}") for c in extra])
-        own = tuple(f"in_{c}" for c in extra)
+        own = tuple(f"in_{k}" for k in range(len(extra)))
+        docs = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(k) for c, k in zip(extra, own, strict=True)])
         long_enough = F.coalesce(F.octet_length("text") >= 2 * self.width - 1, F.lit(False))
         chunks = in_chunks(docs.filter(long_enough), n_chunks or self.n_chunks, extra=own)
         chunks = chunks.withColumn("row", F.xxhash64("doc_id", "text"))
@@ -355,13 +354,13 @@ class FingerprintIndex:
         out = self._write(0, keys.groupBy("bucket").cogroup(runs.groupBy("bucket")).applyInArrow(_merge_join(self.bits, write_run), REDUCED))
         written = spark.read.schema(REDUCED).parquet(out)
         replies = written.filter("kind = 'reply'").select("bucket", "chunk", "keys", "first")
-        columns = "".join(f"`in_{c}` {schema[c].dataType.simpleString()}, " for c in extra) + ANSWER
-        locate = _locate(self.width, self.bits, self.base, with_text, extra)
+        columns = "".join(f"{k} {schema[c].dataType.simpleString()}, " for c, k in zip(extra, own, strict=True)) + ANSWER
+        locate = _locate(self.width, self.bits, self.base, with_text, own)
         refused: list[DataFrame] = []
-        plain = docs.filter(~long_enough).select("doc_id", "text", *[F.col(f"`{c}`") for c in own]).withColumn("doc_id", F.col("doc_id").cast("long"))
+        plain = docs.filter(~long_enough).select("doc_id", "text", *own).withColumn("doc_id", F.col("doc_id").cast("long"))
         while True:
             answers = reduce(DataFrame.union, [replies, *refused])
-            found = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(locate, columns).union(plain.mapInArrow(_plain(with_text, extra), columns))
+            found = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(locate, columns).union(plain.mapInArrow(_plain(with_text, own), columns))
             found = runtime.written(found, "deduplicated", folder := [])
             bad = runtime.checkpoint(self._refused(found, docs if all_docs is None else all_docs, all_docs is None))
             if bad.isEmpty():
@@ -416,9 +415,10 @@ def without_repeats(docs: DataFrame, width: int = WINDOW, n_batches: int = 3) ->
     """
     found = substring_dedup(docs, width, n_batches, with_text=True, extra=tuple(docs.columns))
     found = found.filter("n_words = 0 or n_removed < n_words")
-    text = F.coalesce("kept_text", "in_text")
-    new = {"text": text, "n_chars": F.when(F.col("kept_text").isNull(), F.col("in_n_chars")).otherwise(F.length(text).cast("long"))} if "n_chars" in docs.columns else {"text": text}
-    return found.select(*[new.get(c, F.col(f"`in_{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+    of = {c: F.col(f"in_{k}") for k, c in enumerate(docs.columns)}
+    text = F.coalesce(F.col("kept_text"), of["text"])
+    new = {"text": text, "n_chars": F.when(F.col("kept_text").isNull(), of["n_chars"]).otherwise(F.length(text).cast("long"))} if "n_chars" in of else {"text": text}
+    return found.select(*[new.get(c, of[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
 def substring_dedup(docs: DataFrame, width: int = WINDOW, n_batches: int = 3, with_text: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
