@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tessera.llm import runtime
 
 #: Bytes of vectors of a shelf; of a smaller table, the vectors from which on there is another shelf, and how many at most.
-SHELF_BYTES, LEAST, SPREAD = 16 << 20, 2048, 24
+SHELF_BYTES, LEAST, SPREAD = 16 << 20, 4096, 12
 #: Products of queries and vectors at a time.
 AT_ONCE = 1 << 20
 
