@@ -109,5 +109,41 @@ def queries() -> dict[str, Query]:
     }
 
 
+_WORDS = "list_filter(string_split_regex({}, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')"
+
+SUBSTRING_DEDUP = f"""
+WITH docs AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM docs)),
+firsts AS (SELECT k, min(doc_id) AS origin FROM windows GROUP BY k),
+covered AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM windows JOIN firsts USING (k) WHERE origin < doc_id),
+words AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS p FROM docs),
+kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY p) AS t, count(*) AS n FROM words ANTI JOIN covered USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM docs LEFT JOIN kept USING (doc_id)"""
+
+EXACT_TOP_K = """
+WITH v AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(64 * x)) AS e FROM embeddings
+           WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20"""
+
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+JACCARD_JOIN = f"""
+WITH RECURSIVE docs AS (SELECT doc_id, {_WORDS.format(f"translate(coalesce(text, ''), '{_LETTERS}', '{_LETTERS.lower()}')")} AS ws FROM documents),
+shingles AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s FROM docs),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b, c = m.n AND c = o.n AS same FROM common JOIN sizes m ON m.doc_id = a JOIN sizes o ON o.doc_id = b WHERE c >= 0.8 * (m.n + o.n - c)),
+both_ways AS (SELECT a, b, same FROM links UNION ALL SELECT b, a, same FROM links),
+reached(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, t.b FROM reached r JOIN both_ways t ON r.b = t.a),
+classes AS (SELECT a AS doc_id, min(b) AS least FROM reached GROUP BY a),
+counts AS (SELECT a AS doc_id, count(*) AS n_links, count(*) FILTER (WHERE same) AS n_copies FROM both_ways GROUP BY a)
+SELECT doc_id, least(doc_id, coalesce(classes.least, doc_id)) AS class_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, CAST(coalesce(n_copies, 0) AS BIGINT) AS n_copies
+FROM docs LEFT JOIN classes USING (doc_id) LEFT JOIN counts USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    """What SQL can say: windows of words, integer inner products, shingle similarity with its components. The rest
+    (random rounding, trained models, approximate search, byte pairs, pattern cuts) is tested against brute force."""
+    sql = {"op1_substring_dedup": SUBSTRING_DEDUP, "op4_exact_top_k": EXACT_TOP_K, "op10_jaccard_join": JACCARD_JOIN}
+    return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, chat, exact_search, jaccard_join, language_id, language_model, mixing, one_bit_search, packing, runtime, substring_dedup, toxicity, vector_blocks, wordhash
+from tessera.llm import byte_bpe, chat, exact_search, jaccard_join, key_exchange, language_id, language_model, mixing, one_bit_search, packing, runtime, substring_dedup, toxicity, vector_blocks, wordhash
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, chunk int, key_id string"
@@ -183,6 +183,83 @@ def test_language_model(docs, empty):
     assert language_model.deleted_interpolation(empty, runtime.crc_mod("doc_id", 7) == 2).count() == 0
 
 
+def brute_interpolation(spark, docs, held, folds, steps):
+    """Deleted interpolation of bigrams, token by token. held: of a doc_id; the chunk of a row as the operator deals it."""
+    total = key_exchange.total_bytes(docs)
+    n_chunks = max(key_exchange.sizes(total)[0], 8 * folds)
+    rows = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).alias("chunk")).collect()
+    lower = lambda t: [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in words(t)]
+    one, two, rest_one, rest_two, deleted = (collections.Counter() for _ in range(4)), None, None, None, []
+    one, two, rest_one, rest_two = one
+    for r in rows:
+        tokens = [*lower(r.text), None]
+        pairs = list(zip([None, *tokens[:-1]], tokens, strict=True))
+        if not held(r.doc_id):
+            one.update(tokens)
+            two.update(pairs)
+            if r.chunk % folds:
+                rest_one.update(tokens)
+                rest_two.update(pairs)
+            else:
+                deleted += pairs
+    v = len(one)
+
+    def estimates(pair, ones, twos):
+        n = sum(ones.values())
+        c = ones[pair[0]]
+        return [1 / (v + 1), ones[pair[1]] / max(n, 1), twos[pair] / c if c else 0.0], math.frexp(c)[1] if c else 0
+
+    def binned(f):
+        return [f[0]] + [2.0 ** (-(1 + math.floor(-steps * math.log2(x)) - 0.5) / steps) if x else 0.0 for x in f[1:]]
+
+    seen = collections.Counter()
+    for pair in deleted:
+        f, bucket = estimates(pair, rest_one, rest_two)
+        seen[bucket, tuple(binned(f))] += 1
+    if not seen:
+        shared = [1 / 3] * 3
+        weights = collections.defaultdict(lambda: shared)
+    else:
+        shared = [1 / 3] * 3
+        for _ in range(50):
+            new = [0.0] * 3
+            for (_, f), n in seen.items():
+                p = [a * b for a, b in zip(shared, f, strict=True)]
+                new = [a + n * b / sum(p) for a, b in zip(new, p, strict=True)]
+            shared = [x / sum(new) for x in new]
+        floor = [max(x, 1e-9) for x in shared]
+        shared = [x / sum(floor) for x in floor]
+        weights = {b: shared for b in range(65)}
+        for _ in range(50):
+            sums = {b: list(shared) for b in range(65)}
+            for (b, f), n in seen.items():
+                p = [x * y for x, y in zip(weights[b], f, strict=True)]
+                sums[b] = [s + n * x / sum(p) for s, x in zip(sums[b], p, strict=True)]
+            weights = {b: [x / sum(s) for x in s] for b, s in sums.items()}
+        weights[0] = [x / sum(weights[0][:2]) for x in weights[0][:2]] + [0.0]
+    out = collections.Counter()
+    for r in rows:
+        tokens = [*lower(r.text), None]
+        score = 0.0
+        for pair in zip([None, *tokens[:-1]], tokens, strict=True):
+            f, bucket = estimates(pair, one, two)
+            score += math.log10(sum(x * y for x, y in zip(weights[bucket], f, strict=True)))
+        out[r.doc_id, round(score, 5)] += 1
+    return out
+
+
+def test_language_model_score(spark, docs):
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
+    got = language_model.deleted_interpolation(docs, runtime.crc_mod("doc_id", 7) == 2).collect()
+    want = brute_interpolation(spark, docs, held, language_model.FOLDS, language_model.STEPS)
+    assert collections.Counter((r.doc_id, round(r.score, 5)) for r in got) == want
+    # words in an order that training has are likelier than the same words turned round
+    seen = docs.filter("doc_id in (0, 3, 6, 12)").select("text").collect()
+    turned = spark.createDataFrame([(10_000 + i, t) for i, r in enumerate(seen) for t in (" ".join(r.text.split()[::-1]),)], "doc_id long, text string")
+    scores = {r.doc_id: r.score for r in language_model.deleted_interpolation(docs.select("doc_id", "text").union(turned), F.col("doc_id") >= 10_000).collect()}
+    assert all(scores[i] > scores[10_000 + k] for k, i in enumerate((0, 3, 6, 12)))
+
+
 def test_interpolation_weights_are_a_distribution():
     w = language_model.learn_weights(np.array([[1, 8, 8, 100], [3, 20, 4, 50], [0, 30, 0, 10]]), 2, 1000)
     assert np.allclose(w.sum(1), 1) and (w >= 0).all() and w[0, 2] == 0 and w[3, 2] > w[3, 1]
@@ -428,7 +505,7 @@ def test_byte_bpe(docs, empty):
     ours = byte_bpe.TextCoder(bpe, P.PATTERN)
     rnd = random.Random(2)
     pool = [chr(rnd.choice([rnd.randrange(32, 127), rnd.randrange(0, 0x3000), rnd.randrange(0x10000, 0x20000)])) for _ in range(300)] + list("aaeett  \n\x1c")
-    texts = ["".join(rnd.choice(pool) for _ in range(rnd.randrange(120))) for _ in range(150)] + ["a" * 3000, "!?" * 800, " " * 2000, ""]
+    texts = ["".join(rnd.choice(pool) for _ in range(rnd.randrange(120))) for _ in range(150)] + ["a" * 3001, "!?" * 800, " " * 2000, "", "".join(rnd.choice("etaoinshr") for _ in range(30000))]
     for t in texts:
         ids, _, written = ours.encode([t])
         assert ids.tolist() == theirs.encode_ordinary(t) and written[0] == ",".join(map(str, ids.tolist())) and bpe.decode(ids).tobytes() == t.encode()
@@ -464,6 +541,133 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(docs.limit(0), lab, runtime.crc_mod("doc_id", 4) == 2).count() == 0
 
 
+def test_toxicity_against_plain_python():
+    """Counts, ratios, the fitted loss and scores of a few texts, without numpy's vectors."""
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice("abcd ") for _ in range(rnd.randrange(0, 60))) + (" zork" if i % 3 == 0 else "") for i in range(60)] + ["", "é" * 9]
+    toxic = [int(i % 3 == 0) for i in range(60)] + [0, 0]
+
+    def hashed(text):
+        out = set()
+        for n in toxicity.ORDERS:
+            for at in range(len(text) - n + 1):
+                h = 0
+                for c in text[at : at + n]:
+                    h = (h * 0x100000001B3 + ord(c) + 1) % 2**64
+                out.add(int(wordhash.mix(np.array([h ^ (n << 56) % 2**64], np.uint64))[0] >> np.uint64(64 - toxicity.BITS)))
+        return out
+
+    sets = [hashed(t.lower()) for t in texts]
+    doc, gram = toxicity.present(texts)
+    assert [set(gram[doc == i].tolist()) for i in range(len(texts))] == sets
+    counts = np.zeros((2, 1 << toxicity.BITS), np.int64)
+    for s, y in zip(sets, toxic, strict=True):
+        for g in s:
+            counts[y, g] += 1
+    rows = np.array([toxic.count(0), toxic.count(1)])
+    lookup, ratio = toxicity.select(counts, rows, 200)
+    for g in np.flatnonzero(lookup >= 0).tolist():
+        want = math.log((counts[1, g] + 1) / (rows[1] + 2)) - math.log((counts[0, g] + 1) / (rows[0] + 2))
+        assert ratio[lookup[g]] == pytest.approx(want)
+    doc, feature = toxicity.present(texts, lookup)
+    weight, bias = toxicity.fit(doc, feature, np.array(toxic, float), ratio)
+
+    def loss(w, b):
+        out = toxicity.PENALTY / 2 * sum(x * x for x in w)
+        for s, y in zip(sets, toxic, strict=True):
+            z = b + sum(w[lookup[g]] * ratio[lookup[g]] for g in s if lookup[g] >= 0)
+            out += (math.log1p(math.exp(-abs(z))) + max(z, 0) - y * z) / len(toxic)
+        return out
+
+    best = loss(weight, bias)
+    for _ in range(20):  # no step from the solution is better by more than a little
+        assert loss(weight + np.array([rnd.gauss(0, 0.05) for _ in weight]), bias + rnd.gauss(0, 0.05)) > best - 1e-3
+    scores = toxicity.Model(lookup, weight * ratio, bias).score(texts)
+    for s, p in zip(sets, scores, strict=True):
+        assert p == pytest.approx(1 / (1 + math.exp(-(bias + sum(weight[lookup[g]] * ratio[lookup[g]] for g in s if lookup[g] >= 0)))))
+
+
+def brute_language_id(rows, names):
+    """Posterior of each language for each row: (text, declared, host), all evidence by loops."""
+    mod = 1 << language_id.BITS
+
+    def slots(text):
+        low = (text or "").lower()
+        out = []
+        for at in range(len(low) - 2):
+            h = 0
+            for c in low[at : at + 3]:
+                h = (h * 0x100000001B3 + ord(c) + 1) % 2**64
+            out.append(int(wordhash.mix(np.array([h ^ (3 << 56)], np.uint64))[0] >> np.uint64(64 - toxicity.BITS)) >> language_id.SHIFT)
+        return out
+
+    cut = [slots(t) for t, _, _ in rows]
+    counts = {k: collections.Counter() for k in names}
+    for s, (_, declared, _) in zip(cut, rows, strict=True):
+        if declared in counts:
+            counts[declared].update(s)
+    sums = {k: sum(c.values()) + 0.05 * mod for k, c in counts.items()}
+    soft = lambda x: [math.exp(a - max(x)) / sum(math.exp(b - max(x)) for b in x) for a in x]
+    logs, posts = [], []
+    for s in cut:
+        mean = [sum(math.log((counts[k][g] + 0.05) / sums[k]) for g in s) / max(len(s), 1) for k in names]
+        logs.append([x * min(len(s), language_id.EFFECTIVE) for x in mean])
+        posts.append(soft(logs[-1]))
+    spoke = [i for i, s in enumerate(cut) if s]
+    mass = [sum(posts[i][j] for i in spoke) for j in range(len(names))]
+    prior = [(m + 1) / (sum(mass) + len(names)) for m in mass]
+    out = []
+    for i, (_, declared, host) in enumerate(rows):
+        total = list(logs[i])
+        on_host = [sum(posts[x][j] for x in spoke if rows[x][2] == host and host is not None) for j in range(len(names))]
+        for j in range(len(names)):
+            total[j] += math.log((on_host[j] + language_id.KAPPA * prior[j]) / (sum(on_host) + language_id.KAPPA))
+        if declared is not None and any(rows[x][1] == declared for x in spoke):
+            of = [sum(posts[x][j] for x in spoke if rows[x][1] == declared) for j in range(len(names))]
+            share = max(sum(of) / max(sum(mass), 1), 1e-9)
+            for j in range(len(names)):
+                total[j] += math.log((of[j] + language_id.KAPPA * share) / (mass[j] + language_id.KAPPA))
+        out.append(soft(total))
+    return out
+
+
+def test_language_id_against_brute_force(spark):
+    rnd = random.Random(9)
+    syllables = {"en": ["th", "ing", "er", "and"], "de": ["sch", "ung", "er", "ing"], "fr": ["eau", "que", "er", "and"]}
+    rows = []
+    for i in range(90):
+        lang = ["en", "de", "fr"][i % 3]
+        text = " ".join("".join(rnd.choice(syllables[lang]) for _ in range(2)) for _ in range(rnd.randrange(0, 8)))
+        rows.append((text, [lang, lang, None, "de"][rnd.randrange(4)], [None, "h1", "h2"][rnd.randrange(3)]))
+    rows += [(None, "en", "h1"), ("", None, None), ("x" * 20000, "fr", None)]
+    df = spark.createDataFrame([(i, *r, "extra") for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string, posterior string")
+    got = {r.doc_id: r for r in language_id.identify(language_id.document_evidence(df), "doc_id").collect()}
+    names = ["de", "en", "fr"]
+    for i, p in enumerate(brute_language_id(rows, names)):
+        assert got[i].posterior == pytest.approx(max(p), abs=1e-9) and (got[i].lang_id == names[p.index(max(p))] or sorted(p)[-1] - sorted(p)[-2] < 1e-9)
+
+
+def test_language_id_takes_rare_languages_at_their_word(spark):
+    rows = [(i, f"the thing and the other one number {i}", "en", "h") for i in range(20)] + [(20, "kaj la alia afero", "eo", "h"), (21, "", "xx", "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: (r.lang_id, r.posterior, r.accepted) for r in language_id.identify(language_id.document_evidence(df), "doc_id").filter("doc_id >= 20").collect()}
+    assert got == {20: ("eo", None, True), 21: ("xx", None, False)}
+    assert 20 in {r.doc_id for r in language_id.accepted_documents(df).collect()}
+
+
+def test_stages_with_clashing_and_dotted_columns(spark):
+    names = ["doc_id", "text", "lang", "source", "n_chars", "a.b", "_id", "__id", "chunk", "kept_text", "row", "copies", "in_text"]
+    rows = [(i, f"some words of text number {i % 4} " * 9, "en", "s", 5, i, 1, 2, 3, "k", 4, 5, "t") for i in range(12)] + [(0, "some words of text number 0 " * 9, "en", "s", 5, 0, 1, 2, 3, "k", 4, 5, "t")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, `a.b` long, _id int, __id int, chunk int, kept_text string, `row` int, copies int, in_text string")
+    assert docs.columns == names
+    for stage in (language_id.accepted_documents, jaccard_join.first_of_each_class, substring_dedup.without_repeats, mixing.mixed_documents):
+        out = stage(docs)
+        assert out.columns == names and out.dtypes == docs.dtypes
+        assert all(r[5] == r.doc_id and r[6:] == (1, 2, 3, "k", 4, 5, "t") for r in out.collect())
+    taken = mixing.mix(docs).filter("doc_id = 0").collect()
+    assert len(taken) == 4 and max(r.copies for r in taken) - min(r.copies for r in taken) <= 1
+
+
 def test_language_id(spark):
     rnd = random.Random(6)
     syllables = {"en": ["th", "ing", "er", "and"], "de": ["sch", "ung", "ei", "zu"], "fr": ["eau", "que", "ment", "oi"]}
