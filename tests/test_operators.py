@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import graph, index, lineage, metrics, parsers, retrieval, scan, snapshot, vfs, write_path
+from tessera.operators import graph, ids, index, lineage, metrics, parsers, retrieval, scan, snapshot, vfs, write_path
 from tessera.sources import tables
 
 
@@ -151,12 +151,51 @@ def test_parsers(spark):
 
 
 def test_source_tree(spark, tmp_path):
-    for p, t in {"a.rs": "fn x() {}", "target/b.rs": "", "sub/.git/HEAD": "", "sub/c.rs": "", "keep/d.py": "x", "skipme/e.py": "", "n.txt": ""}.items():
-        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
-        (tmp_path / p).write_text(t)
-    rules = tables.ignore_rules(spark.createDataFrame([("# c",), ("skipme/",), ("*.log",)], "line string"))
-    got = tables.source_tree(spark, str(tmp_path), rules).select("path", "language")
-    assert rows(got) == [("a.rs", "rust"), ("keep/d.py", "python")]
+    root = tmp_path / "it's here"
+    files = {
+        "a.rs": "fn x() {}", "target/b.rs": "", "sub/.git/HEAD": "", "sub/c.rs": "", "keep/d.py": "x", "skipme/e.py": "", "n.txt": "", ".hidden.py": "h", ".github/f.py": "g", "_x/g.go": "",
+        ".gitignore": "# c\nskipme/\n*.log.py\n/top.py\nout/**/z.py\n!kept.log.py\n", "in/.gitignore": "!*.log.py\nlocal.py\n", "a.log.py": "", "kept.log.py": "", "in/b.log.py": "", "in/local.py": "", "local.py": "",
+        "top.py": "", "in/top.py": "", "out/1/2/z.py": "", "out/z.py": "", "skipme/kept.log.py": "",
+    }
+    for p, t in files.items():
+        (root / p).parent.mkdir(parents=True, exist_ok=True)
+        (root / p).write_text(t)
+    got = tables.source_tree(spark, str(root))
+    assert [r.path for r in got.orderBy("path").collect()] == sorted(["a.rs", "keep/d.py", ".hidden.py", ".github/f.py", "_x/g.go", "kept.log.py", "in/b.log.py", "local.py", "in/top.py"])
+    assert {r.path: (r.text, r.size) for r in got.collect()}[".hidden.py"] == ("h", 1)
+    rules = tables.ignore_rules(spark.createDataFrame([("# c",), ("skipme/",), ("*.py",)], "line string"))
+    assert rows(tables.source_tree(spark, str(root), rules).select("path", "language")) == [("_x/g.go", "go"), ("a.rs", "rust")]
+    assert rows(tables.nested_projects(spark, str(root))) == [("sub",)]
+
+
+def test_datasets_locks_results_codec(spark, tmp_path, monkeypatch):
+    from tessera.functions import codec
+
+    (tmp_path / "d.toml").write_text('[datasets]\none = "../x/one"\n')
+    assert tables.dataset(str(tmp_path / "d.toml"), "one") == str(tmp_path.parent / "x/one")
+    monkeypatch.setenv("DATASET_ONE", "/elsewhere")
+    assert tables.dataset(str(tmp_path / "d.toml"), "one") == "/elsewhere"
+    with pytest.raises(KeyError):
+        tables.dataset(str(tmp_path / "d.toml"), "two")
+    with tables.single_writer(spark, str(tmp_path)), pytest.raises(RuntimeError), tables.single_writer(spark, str(tmp_path)):
+        pass
+    with tables.single_writer(spark, str(tmp_path)):
+        pass
+    tables.write_results(spark.range(1), spark.range(3), str(tmp_path / "r"))
+    assert spark.read.json(str(tmp_path / "r/rows")).count() == 3
+    v = spark.createDataFrame([([1.0, -2.5],), (None,), ([],)], "v array<double>").select(codec.unpacked_vector(codec.packed_vector("v")).alias("v"))
+    assert [r.v for r in v.collect()] == [[1.0, -2.5], None, []]
+    j = spark.createDataFrame([('{"k": 1, "z": 2}',), ("no",), ('{"k": "x"}',)], "j string").select(tables.lenient_json(F.col("j"), "k int").alias("j"))
+    assert [r.j and r.j.k for r in j.collect()] == [1, None, None] and tables.as_text({"a": ["é"]}) == '{"a":["é"]}'
+
+
+def test_id_catalog(spark):
+    known = spark.createDataFrame([("ra x m/run#go().", None, 1), ("file:src/a.py", "a", 2), ("local 3", "go", 3), ("ra x other/b#go().", None, 4)], "id string, asked string, ordinal int")
+    c = ids.catalog(known)
+    assert [r.id for r in c.filter("name = 'go'").orderBy("place").collect()] == ["ra x m/run#go().", "ra x other/b#go().", "local 3"]
+    assert rows(c.filter("name = 'a.py'").select("id")) == [("file:src/a.py",)]
+    found = spark.createDataFrame([("q", 1, "go", "src/other/b.rs"), ("q", 2, "go", "zzz.rs")], "qid string, rank int, name string, file_path string")
+    assert [r.id for r in ids.mapped(found, c).orderBy("rank").collect()] == ["ra x other/b#go().", "ra x m/run#go().", "local 3"]
 
 
 def test_sample_and_swap(spark, tmp_path):
@@ -338,7 +377,7 @@ def test_graph_from_source(spark):
     show, box, trait, helper, run = "a.rs:method:show:6", "a.rs:struct:Box1:3", "a.rs:trait:Show:1", "a.rs:function:helper:10", "b.rs:function:run:1"
     assert {(box, trait, "implements"), (box, show, "contains"), (show, box, "references"), (show, trait, "references"), (show, helper, "calls"), (run, helper, "calls"), (run, show, "calls"), ("file:a.rs", show, "contains"), ("c.py:class:Kid:5", "c.py:class:Base:1", "implements"), ("c.py:method:go:2", run, "calls")} <= edges
     assert not [r for r in g.refs.collect() if r.line == 5 and r.file_path == "b.rs"]  # outside every definition
-    for change in ({"b.rs": "fn run() {\n}\nfn helper(y: i32) {\n}\n"}, {"a.rs": "\n" + texts["a.rs"]}, {"a.rs": None}, {"d.rs": "struct Base {\n}\n"}):
+    for change in ({"b.rs": "fn run() {\n}\nfn helper(y: i32) {\n}\n"}, {"a.rs": None, "d.rs": "struct Base {\n}\n", "c.py": "\n" + texts["c.py"]}):
         after = {p: t for p, t in (texts | change).items() if t is not None}
         kept, report = index.synced(g, files(after))
         want = index.full(files(after))

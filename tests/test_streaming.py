@@ -39,3 +39,18 @@ def test_reinforcement_fold(spark):
     log = spark.createDataFrame([(1, 0), (1, day), (1, 60 * day), (2, 5)], "key long, at long")
     got = {r.key: (r.stability, r.recalled_at, r.recalls) for r in reinforce.folded(log, "key", "at").collect()}
     assert math.isclose(got[1][0], 11.9) and got[1][1:] == (day, 1) and got[2] == (7.0, 5, 0)
+
+
+def test_streamed_reinforcement_matches_the_fold(spark, tmp_path):
+    day = M.DAY
+    log = spark.createDataFrame([(1, 0), (1, day), (1, 60 * day), (2, 5), (2, 6)], "key long, at long")
+    log.coalesce(1).write.parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = reinforce.streamed(spark.readStream.schema(log.schema).parquet(str(tmp_path / "in")))
+        q = stream.writeStream.format("memory").queryName("reinforced").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(90)
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = sorted((r.key, round(r.stability, 9), r.recalled_at, r.recalls) for r in spark.table("reinforced").collect())
+    assert got == sorted((r.key, round(r.stability, 9), r.recalled_at, r.recalls) for r in reinforce.folded(log, "key", "at").collect())
