@@ -105,11 +105,12 @@ def lexical_row(summary: Column | str, body: Column | str, stems: bool = False)
     if stems:
         from tessera.functions.stem import variants_with_stems
 
-        terms = variants_with_stems(term_variants(text))
-    else:
-        terms = document_terms(text)
+        tokens = index_tokens(variants_with_stems(term_variants(text)))
+    else:  # where no term has parts, the terms are the words
+        words = F.filter(F.split(folded(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+        tokens = F.when(text.rlike(BOUNDARY), index_tokens(document_terms(text))).otherwise(words)
     plain = F.filter(F.split(folded(F.coalesce(_c(summary), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return F.concat(plain, F.array(F.lit(COLUMN_END)), index_tokens(terms))
+    return F.concat(plain, F.array(F.lit(COLUMN_END)), tokens)
 
 
 def phrases(terms: Column) -> Column:

@@ -111,23 +111,34 @@ def _picked(rows: DataFrame, limit: int) -> DataFrame:
     return out.filter(F.col("rank") <= limit).select("qid", "id", "status", "score", "rank", "total")
 
 
-def _scored(asked: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Every candidate of each asked (name, file_path, prefer, q) with its score, and what ties go by."""
+def _scored(asked: DataFrame, candidates: DataFrame, few: bool) -> DataFrame:
+    """Every candidate of each question (question, name, file_path, prefer, q) with its score, and what ties go by.
+
+    What depends on one side alone is worked out before the sides meet.
+    """
+    path, here = F.col("path"), F.col("file_path")
     c = candidates.select("id", "name", "kind", F.col("file_path").alias("path"))
-    types = candidates.filter(F.col("kind").isin(P.TYPE_KINDS)).select(F.col("name").alias("q"), F.col("file_path").alias("path"), F.lit(QUALIFIED).alias("of_type")).distinct()
-    rows = asked.join(c, "name").join(types, ["q", "path"], "left")
-    here, there = F.col("file_path"), F.col("path")
-    near = F.when(here == there, SAME_FILE).when(P.directory(here) == P.directory(there), SAME_DIRECTORY).when(P.top_segment(here) == P.top_segment(there), SAME_TOP).otherwise(0)
-    preferred = F.array_contains("prefer", F.col("kind"))
+    types = c.filter(F.col("kind").isin(P.TYPE_KINDS)).select(F.col("name").alias("q"), "path", F.lit(QUALIFIED).alias("of_type")).distinct()
+    c = c.select("*", P.directory(path).alias("directory"), P.top_segment(path).alias("top"), (F.lower(P.stem(path)) == F.lower("name")).alias("named_file"), P.is_test(path).alias("is_test"), F.contains(path, F.lit("examples/")).alias("example"), F.xxhash64(P.top_segment(path)).alias("top_hash"))
     types_wanted = F.arrays_overlap("prefer", F.array(*[F.lit(k) for k in P.TYPE_KINDS]))
+    sides = asked.select("*", P.directory(here).alias("own_directory"), P.top_segment(here).alias("own_top"), types_wanted.alias("types_wanted"), F.contains(here, F.lit("examples/")).alias("own_example"))
+    met = sides.join(F.broadcast(c) if few else c, "name")
+    qualified = met.filter("q <> ''").join(F.broadcast(types) if few else types, ["q", "path"], "left")
+    rows = met.filter("q = ''").withColumn("of_type", F.lit(0)).unionByName(qualified)
+    near = F.when(here == path, SAME_FILE).when(F.col("own_directory") == F.col("directory"), SAME_DIRECTORY).when(F.col("own_top") == F.col("top"), SAME_TOP).otherwise(0)
+    preferred = F.array_contains("prefer", F.col("kind"))
     score = near + F.when(preferred, PREFERRED).otherwise(0) + F.coalesce("of_type", F.lit(0))
-    score = score + F.when(types_wanted & (F.lower(P.stem(there)) == F.lower("name")), NAMED_FILE).otherwise(0)
-    score = score - F.when(P.is_test(there) & (here != there), TEST_PENALTY).otherwise(0)
-    score = score - F.when(F.contains(there, F.lit("examples/")) & ~F.contains(here, F.lit("examples/")), EXAMPLE_PENALTY).otherwise(0)
-    return rows.select(*ASKED, "id", score.alias("score"), preferred.alias("preferred"), (here == there).alias("here"), P.top_segment(there).alias("top"))
+    score = score + F.when(F.col("types_wanted") & F.col("named_file"), NAMED_FILE).otherwise(0)
+    score = score - F.when(F.col("is_test") & (here != path), TEST_PENALTY).otherwise(0)
+    score = score - F.when(F.col("example") & ~F.col("own_example"), EXAMPLE_PENALTY).otherwise(0)
+    return rows.select("question", "id", score.alias("score"), preferred.alias("preferred"), (here == path).alias("here"), F.col("top_hash").alias("top"))
 
 
 ASKED = ("name", "file_path", "prefer", "q")
+#: Resolved questions up to this many are broadcast to their candidates.
+BROADCAST_QUESTIONS = 500_000
+#: Candidates up to this many are broadcast to the questions.
+BROADCAST_CANDIDATES = 200_000
 
 
 def resolve(refs: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -142,20 +153,25 @@ def resolve(refs: DataFrame, candidates: DataFrame) -> DataFrame:
     Its best score and what the rules ask of the best are sums by score, combined before they are shuffled.
     """
     refs = refs.select("ref_id", "name", "file_path", "prefer", F.coalesce("qualifier", F.lit("")).alias("q"))
-    scored = _scored(refs.select(*ASKED).distinct(), candidates)
+    questions = refs.select(*ASKED).distinct().repartition(refs.sparkSession.sparkContext.defaultParallelism, *ASKED)
+    asked = cut(questions.withColumn("question", F.monotonically_increasing_id()))
+    # Few bytes of names and candidates make many pairs: where candidates are broadcast, pairs stay dealt by question.
+    candidates = cut(candidates.select("id", "name", "kind", "file_path"))
+    scored = _scored(asked, candidates, candidates.count() <= BROADCAST_CANDIDATES)
     wanted = F.when(F.col("preferred"), F.col("top"))
-    sums = scored.groupBy(*ASKED, "score").agg(F.count("*").alias("n"), F.min("here").alias("here"), F.count_if("preferred").alias("n_preferred"), F.min("top").alias("low"), F.max("top").alias("high"), F.min(wanted).alias("low_preferred"), F.max(wanted).alias("high_preferred"))
-    best = sums.groupBy(*ASKED).agg(F.sum("n").alias("all"), F.max(F.struct("score", "n", "here", "n_preferred", "low", "high", "low_preferred", "high_preferred")).alias("b")).select(*ASKED, "all", "b.*")
+    sums = scored.groupBy("question", "score").agg(F.count("*").alias("n"), F.min("here").alias("here"), F.count_if("preferred").alias("n_preferred"), F.min("top").alias("low"), F.max("top").alias("high"), F.min(wanted).alias("low_preferred"), F.max(wanted).alias("high_preferred"))
+    best = sums.groupBy("question").agg(F.sum("n").alias("all"), F.max(F.struct("score", "n", "here", "n_preferred", "low", "high", "low_preferred", "high_preferred")).alias("b")).select("question", "all", "b.*")
     some = F.col("n_preferred") > 0
     pool = F.when(some, F.col("n_preferred")).otherwise(F.col("n"))
     one_top = F.when(some, F.col("low_preferred") == F.col("high_preferred")).otherwise(F.col("low") == F.col("high"))
     rule = F.when((F.col("all") == 1) | ((F.col("n") == 1) & (F.col("score") >= 0)), "all").when(F.col("score") < 0, None)
     rule = rule.when(F.col("here"), "here").when((F.col("n_preferred") == 1) | (pool == 2) | ((pool <= TIES) & one_top), F.when(some, "preferred").otherwise("all"))
-    best = best.select(*ASKED, "score", rule.alias("rule")).filter("rule is not null")
-    kept = scored.join(best, [*ASKED, "score"]).filter("rule <> 'preferred' or preferred")
-    in_file = Window.partitionBy(*ASKED).orderBy("id")
+    best = cut(best.select("question", "score", rule.alias("rule")).filter("rule is not null"))
+    best = F.broadcast(best) if best.count() <= BROADCAST_QUESTIONS else best
+    kept = scored.join(best, ["question", "score"]).filter("rule <> 'preferred' or preferred")
+    in_file = Window.partitionBy("question").orderBy("id")
     kept = kept.withColumn("nth", F.row_number().over(in_file)).filter((F.col("rule") != "here") | (F.col("nth") <= TIES_IN_FILE))
-    return refs.join(kept.select(*ASKED, "id", "score"), [*ASKED]).select("ref_id", "id", "score")
+    return refs.join(asked, [*ASKED]).join(kept.select("question", "id", "score"), "question").select("ref_id", "id", "score")
 
 
 def innermost(points: DataFrame, spans: DataFrame, how: str = "inner") -> DataFrame:

@@ -19,6 +19,8 @@ from tessera.sources.shared import cut
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 BROADCAST_QUERIES = 10_000
+#: Query terms that a plan holds itself; with more, postings are joined with them.
+TERMS_AT_HAND = 20_000
 
 
 def small(queries: DataFrame, most: int = BROADCAST_QUERIES) -> DataFrame:
@@ -62,16 +64,21 @@ def bm25_hits(memories: DataFrame, queries: DataFrame, pool: int = M.POOL, ratio
     """(qid, id, score, rank) by BM25. memories: id, words (tokens in order); queries: qid, words (distinct terms; one
     with blanks is a phrase, whose tokens must follow one another).
 
-    The postings kept are those of query terms only; each document's length and counts are taken in one pass. A token
+    The postings kept are those of query terms only; each document's length and terms are taken in one pass. A token
     COLUMN_END is the border of two columns: it has no length, and no phrase crosses it.
     """
     asked = queries.select("qid", F.explode("words").alias("w")).distinct()
     terms = cut(asked.select("w").distinct())
-    sized = memories.select("id", F.size(F.filter("words", lambda w: w != T.COLUMN_END)).alias("len"), "words")
+    several = terms.filter(F.contains("w", F.lit(" ")))
+    with_phrases = not several.isEmpty()
+    sized = memories.select("id", F.size(F.array_remove("words", T.COLUMN_END)).alias("len"), "words")
+    if not with_phrases and terms.count() <= TERMS_AT_HAND:
+        # Few terms: what is left of each document is small, so the texts are cut into words just once.
+        wanted = [r["w"] for r in terms.collect()]
+        sized = cut(sized.select("id", "len", F.filter("words", lambda w: w.isin(wanted)).alias("words")))
     totals = sized.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
     posted = sized.select("id", "len", F.explode("words").alias("w")).join(small(terms, 1_000_000), "w").groupBy("w", "id", "len").agg(F.count("*").alias("tf"))
-    several = terms.filter(F.contains("w", F.lit(" ")))
-    if not several.isEmpty():
+    if with_phrases:
         posted = posted.union(phrase_postings(sized, several))
     per_term = posted.groupBy("w").agg(F.count("*").alias("df"))
     n, mean = F.col("n"), F.col("mean")

@@ -15,8 +15,22 @@ from pyspark.sql import functions as F
 from tessera.functions import paths as P
 
 
+#: Bytes of a table from which on, and up to which, few files of it are dealt out over the cores first.
+WORTH_DEALING, CHEAP_TO_DEAL = 8 << 20, 256 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A Parquet table. One of few and small files, which may be a single row group and so a single task, is dealt out;
+    larger ones are read as they are split."""
+    path = f"{sf_dir}/{name}.parquet"
+    rows = spark.read.parquet(path)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    size = at.getFileSystem(conf).getContentSummary(at)
+    cores = spark.sparkContext.defaultParallelism
+    if WORTH_DEALING <= size.getLength() <= CHEAP_TO_DEAL and size.getFileCount() < cores:
+        return rows.repartition(cores)
+    return rows
 
 
 class Listing(NamedTuple):
