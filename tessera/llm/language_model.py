@@ -162,6 +162,9 @@ def _held_out(order: int, n_buckets: int, base: int, n_rest: int, v: int):
 def learn_weights(tallies: np.ndarray, order: int, v: int, rounds: int = 50) -> np.ndarray:
     """EM: tallies' columns are bucket, a bin per order, n. One weight per bucket (row), uniform and orders (columns).
 
+    The rows are at most 65 buckets times about STEPS * 40 bins to the power of the order (in fact some thousands), however
+    large the corpus.
+
     A bucket without held-out tokens has the weights of all buckets together; each bucket leans on those by a token.
     """
     if not len(tallies):
