@@ -9,6 +9,7 @@ rows make the edge). Names are resolved against all nodes, so edges of a file ma
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -80,24 +81,36 @@ def edges_of(nodes: DataFrame, refs: DataFrame, impls: DataFrame, only: DataFram
     return graph.built_edges(nodes, resolved, blocks)
 
 
-def full(files: DataFrame) -> Graph:
-    """The graph of source files. files: path, size, mtime, hash, language, text."""
-    nodes, refs, impls = (cut(t) for t in extracted(files))
+def _quiet(_phase: str) -> None:
+    pass
+
+
+def full(files: DataFrame, tell: Callable[[str], None] = _quiet) -> Graph:
+    """The graph of source files. files: path, size, mtime, hash, language, text. tell: gets each phase as it begins."""
+    tell("parsing")
+    tables = extracted(files)
+    tell("storing")
+    nodes, refs, impls = (cut(t) for t in tables)
+    tell("resolving")
     return Graph(files.select("path", "size", "mtime", "hash"), nodes, refs, impls, cut(edges_of(nodes, refs, impls)))
 
 
-def synced(old: Graph, files: DataFrame) -> tuple[Graph, DataFrame]:
+def synced(old: Graph, files: DataFrame, tell: Callable[[str], None] = _quiet) -> tuple[Graph, DataFrame]:
     """(graph, report) after a change of files: only new and changed files are parsed, and edges are made anew only for
     them and for files that use a name they define or defined. The same as full() of the new files."""
+    tell("scanning")
     new_files = files.select("path", "size", "mtime", "hash")
     status = cut(snapshot.diff(old.files, new_files))
     changed = status.filter("status in ('added', 'modified')").select("path")
     gone = status.filter("status in ('added', 'modified', 'removed')").select(F.col("path").alias("file_path"))
+    tell("parsing")
     fresh = extracted(files.join(changed, "path", "left_semi"))
     removed = gone.limit(0)
+    tell("storing")
     nodes, refs, impls = (cut(snapshot.replaced(t.join(gone, "file_path", "left_anti"), f, removed, "file_path")) for t, f in zip(old[1:4], fresh, strict=True))
     names = old.nodes.join(gone, "file_path", "left_semi").filter("kind <> 'file'").select("name").union(fresh[0].filter("kind <> 'file'").select("name"))
     affected = cut(graph.affected_files(gone, names, refs, impls))
+    tell("resolving")
     kept = old.edges.join(affected, "file_path", "left_anti")
     edges = snapshot.without_edges_of(kept, nodes).unionByName(edges_of(nodes, refs, impls, affected))
     return Graph(new_files, nodes, refs, impls, cut(edges)), snapshot.report(status)

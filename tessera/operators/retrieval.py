@@ -6,9 +6,13 @@ shuffle beyond it; documents stream past them, so only postings of query terms a
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,15 +45,35 @@ def gate(ranked: DataFrame, ratio: float, score: str = "score") -> DataFrame:
     return ranked.withColumn("keep", keep).filter("keep").drop("keep")
 
 
+#: Words whose dimension a worker remembers before it starts anew.
+REMEMBERED = 1_000_000
+
+
 def hash_vectors(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, vector): counts of hashed words in 64 dimensions; a text without words has zeros.
 
-    Words of one text are counted where they are read, so at most 64 sums a text are shuffled.
+    Words are cut by the engine and counted where they are read, a batch of texts at a time; nothing is shuffled.
     """
-    words = rows.select(F.col(id_col).alias("id"), F.explode(T.split_words(text_col)).alias("w")).select("id", M.bucket(F.col("w")).alias("d"))
-    sums = words.groupBy("id", "d").count().groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("d", "count"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(M.DIMENSIONS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)).cast("double"))
-    return rows.select(F.col(id_col).alias("id")).join(sums, "id", "left").select("id", F.when(F.col("m").isNull(), F.array_repeat(F.lit(0.0), M.DIMENSIONS)).otherwise(dense).alias("vector"))
+    id_type = rows.schema[id_col].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            if len(known) > REMEMBERED:
+                known.clear()
+            words = batch.column("words")
+            flat = words.flatten().dictionary_encode()
+            names = flat.dictionary.to_pylist()
+            for w in names:
+                if w not in known:
+                    known[w] = hashlib.sha256(w.encode()).digest()[0] % M.DIMENSIONS
+            of = np.array([known[w] for w in names], np.int64)
+            row = np.repeat(np.arange(len(batch)), pc.fill_null(pc.list_value_length(words), 0).to_numpy())
+            counts = np.bincount(row * M.DIMENSIONS + of[flat.indices.to_numpy()], minlength=len(batch) * M.DIMENSIONS).astype(np.float64)
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * M.DIMENSIONS, pa.int32()), pa.array(counts))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), vectors], names=["id", "vector"])
+
+    return rows.select(F.col(id_col).alias("id"), T.split_words(text_col).alias("words")).mapInArrow(run, f"id {id_type.simpleString()}, vector array<double>")
 
 
 def vector_hits(memories: DataFrame, queries: DataFrame, pool: int = M.POOL, ratio: float = M.VECTOR_GATE, drop_self: bool = False) -> DataFrame:

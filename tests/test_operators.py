@@ -379,7 +379,9 @@ def test_graph_from_source(spark):
     assert not [r for r in g.refs.collect() if r.line == 5 and r.file_path == "b.rs"]  # outside every definition
     for change in ({"b.rs": "fn run() {\n}\nfn helper(y: i32) {\n}\n"}, {"a.rs": None, "d.rs": "struct Base {\n}\n", "c.py": "\n" + texts["c.py"]}):
         after = {p: t for p, t in (texts | change).items() if t is not None}
-        kept, report = index.synced(g, files(after))
+        phases = []
+        kept, report = index.synced(g, files(after), phases.append)
+        assert phases == ["scanning", "parsing", "storing", "resolving"]
         want = index.full(files(after))
         for got, full in ((kept.edges, want.edges), (kept.nodes, want.nodes), (kept.refs, want.refs), (kept.impls, want.impls)):
             assert rows(got.select(*full.columns)) == rows(full)
