@@ -185,7 +185,7 @@ def candidates(reps: DataFrame, n_runs: int, threshold: float = THRESHOLD, recal
             mean = reps.select("rep", F.expr(f"aggregate(transform(sequence(0, {n_runs - 1}), r -> size(chosen[r * {levels}])), 0, (s, x) -> s + x)").alias("all"))
             weak = mean.join(lost, "rep").filter(shared(threshold) * F.col("all") - F.col("lost") < due(recall)).select("rep")
             large = large.join(runtime.checkpoint(weak), "rep", "left_semi")
-        paths = runtime.broadcast_if_small(runtime.checkpoint(group.select("path").distinct()))
+        paths = runtime.broadcast_if_small(group.select("path").distinct())
         large = runtime.written(large.join(paths, "path", "left_anti"), f"large-{level}", scratch)
         if level == levels:
             groups.append(runtime.checkpoint(large.select("path", "rep", "size")))
@@ -227,11 +227,11 @@ def _dealt(grouped: DataFrame) -> tuple[DataFrame, DataFrame]:
     few blocks; nothing but the number of pairs depends on it. What has one label, or one set that comes first, goes to
     as many blocks as its tokens need, by hash.
     """
-    labels = runtime.broadcast_if_small(runtime.checkpoint(grouped.groupBy("path").agg(F.min("rep").alias("label"))))
+    labels = runtime.broadcast_if_small(grouped.groupBy("path").agg(F.min("rep").alias("label")))
     met = grouped.join(labels, "path")
     own = met.groupBy("rep", "label").count().groupBy("rep").agg(F.max_by("label", F.struct("count", "label")).alias("own"))
     of_reps = met.groupBy("rep").agg(F.min("label").alias("label"))
-    labels = runtime.broadcast_if_small(runtime.checkpoint(grouped.join(of_reps, "rep").groupBy("path").agg(F.min("label").alias("label"))))
+    labels = runtime.broadcast_if_small(grouped.join(of_reps, "rep").groupBy("path").agg(F.min("label").alias("label")))
     of_reps = grouped.join(labels, "path").groupBy("rep").agg(F.min("label").alias("label"), F.max("size").cast("long").alias("size")).join(own, "rep")
     of_reps = runtime.checkpoint(of_reps.select("rep", "label", "own", (F.col("size") + EACH).alias("weight")))
 
