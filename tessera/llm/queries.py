@@ -88,6 +88,12 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.quality import judge
+
+    return judge(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -105,6 +111,7 @@ def queries() -> dict[str, Query]:
         "pages_language_id": pages_language_id,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_jaccard_join": op10_jaccard_join,
+        "op13_quality_rules": op13_quality_rules,
         "pipeline": pipeline,
     }
 
@@ -142,8 +149,44 @@ SELECT doc_id, least(doc_id, coalesce(classes.least, doc_id)) AS class_id, CAST(
 FROM docs LEFT JOIN classes USING (doc_id) LEFT JOIN counts USING (doc_id)"""
 
 
+def _quality_sql() -> str:
+    """Operator 13 with the module's own constants. Distances: half of the parts' sum, its root."""
+    from tessera.llm import quality as q
+
+    part = lambda p, r: f"CASE WHEN {p} > 0 THEN {p} * log2(2 * {p} / ({p} + {r})) ELSE 0 END + CASE WHEN {r} > 0 THEN {r} * log2(2 * {r} / ({p} + {r})) ELSE 0 END"
+    left = ["t"]
+    for c in q.CLASSES:
+        left.append(f"regexp_replace({left[-1]}, '{c.replace("'", "''")}', '', 'g')")
+    counts = ", ".join([f"length({a}) - length({b}) AS c{i}" for i, (a, b) in enumerate(zip(left, left[1:], strict=False))] + [f"length({left[-1]}) AS c{len(q.CLASSES)}"])
+    cs = [f"c{i}" for i in range(len(q.CLASSES) + 1)]
+    n, limit = len(cs), lambda x: f"{x[0]} + {x[1]} / sqrt(n_words)"
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS id, doc_id, lang, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+chars AS (SELECT id, lang, {counts} FROM docs),
+char_refs AS (SELECT lang, {", ".join(f"sum({c}) / ({' + '.join(f'sum({x})' for x in cs)}) AS q{i}" for i, c in enumerate(cs))} FROM (SELECT lang AS l, CASE WHEN u.a THEN NULL ELSE lang END AS lang, {", ".join(cs)}, u.a FROM chars, (VALUES (true), (false)) u(a)) WHERE a OR l IS NOT NULL GROUP BY lang),
+words AS (SELECT id, lang, unnest(ws) AS w FROM docs),
+tallies AS (SELECT CASE WHEN u.a THEN NULL ELSE lang END AS lang, w, sum(n) AS n FROM (SELECT lang, w, count(*) AS n FROM words GROUP BY ALL), (VALUES (true), (false)) u(a) WHERE u.a OR lang IS NOT NULL GROUP BY 1, 2),
+word_refs AS (SELECT lang, w, n / total AS q FROM (SELECT *, sum(n) OVER (PARTITION BY lang) AS total FROM tallies) WHERE n / total >= {q.COMMON} AND (lang IS NULL OR total >= {q.REFERENCE_WORDS})),
+held AS (SELECT id, len(ws) AS n, CASE WHEN lang IN (SELECT lang FROM word_refs WHERE lang IS NOT NULL) THEN lang END AS ref FROM docs),
+found AS (SELECT held.id, n, q, count(*) / n AS p FROM held JOIN words USING (id) JOIN word_refs r ON r.lang IS NOT DISTINCT FROM held.ref AND r.w = words.w GROUP BY held.id, n, r.w, q),
+sums AS (SELECT id, sum({part("p", "q")}) AS twice, sum(p) AS ps, sum(q) AS qs FROM found GROUP BY id),
+all_q AS (SELECT lang, sum(q) AS a FROM word_refs GROUP BY lang),
+far AS (SELECT held.id, round(sqrt(greatest(0, (coalesce(twice, 0) + greatest(0, a - coalesce(qs, 0)) + {part("(1 - coalesce(ps, 0))", "greatest(0, 1 - a)")}) / 2)), 9) AS word_distance
+        FROM held LEFT JOIN sums USING (id) JOIN all_q ON all_q.lang IS NOT DISTINCT FROM held.ref WHERE n > 0),
+near AS (SELECT id, CASE WHEN s > 0 THEN round(sqrt(greatest(0, ({" + ".join(part(f"(c{i} / s)", f"q{i}") for i in range(n))}) / 2)), 9) END AS char_distance
+         FROM (SELECT *, {" + ".join(cs)} AS s FROM chars) c JOIN held USING (id) JOIN char_refs r ON r.lang IS NOT DISTINCT FROM held.ref),
+windows AS (SELECT id, i, array_to_string(ws[i:i + {q.WINDOW - 1}], ' ') AS k FROM (SELECT id, ws, unnest(range(1, len(ws) - {q.WINDOW - 2})) AS i FROM docs)),
+repeated AS (SELECT id, count(DISTINCT p) AS n_repeat_words FROM (SELECT id, unnest(range(i, i + {q.WINDOW})) AS p FROM (SELECT *, count(*) OVER (PARTITION BY id, k) AS c FROM windows) WHERE c > 1) GROUP BY id),
+measured AS (
+    SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(translate(t, '{q.SYMBOLS}', '')) AS BIGINT) AS n_symbols,
+           CAST(coalesce(len(ls) - len(list_distinct(ls)), 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, char_distance, word_distance
+    FROM (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{q.SPACE}]')) AS ls FROM docs) LEFT JOIN near USING (id) LEFT JOIN far USING (id) LEFT JOIN repeated USING (id)),
+failed AS (SELECT *, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {round(100 * q.MAX_REPEATED)} * n_words AS base_failed FROM measured)
+SELECT *, NOT base_failed AND NOT coalesce(n_words >= {q.JUDGED_WORDS} AND (char_distance > {limit(q.CHAR_LIMIT)} OR word_distance > {limit(q.WORD_LIMIT)}), false) AS kept FROM failed"""
+
+
 def oracle_sql() -> dict[str, str]:
     """What SQL can say: windows of words, integer inner products, shingle similarity with its components. The rest
     (random rounding, trained models, approximate search, byte pairs, pattern cuts) is tested against brute force."""
-    sql = {"op1_substring_dedup": SUBSTRING_DEDUP, "op4_exact_top_k": EXACT_TOP_K, "op10_jaccard_join": JACCARD_JOIN}
+    sql = {"op1_substring_dedup": SUBSTRING_DEDUP, "op4_exact_top_k": EXACT_TOP_K, "op10_jaccard_join": JACCARD_JOIN, "op13_quality_rules": _quality_sql()}
     return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
