@@ -88,6 +88,16 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.conversation_repair import damaged, repair
+
+    given = table(spark, sf_dir, "conversations")
+    ids, fixed = given.select(F.col("conv_id").cast("long").alias("conv_id")).distinct(), repair(damaged(given))
+    numbers = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    texts = [F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256")]
+    return ids.alias("i").join(fixed.alias("f"), F.expr("i.conv_id <=> f.conv_id"), "left").select("i.conv_id", *numbers, *texts)
+
+
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.quality import judge
 
@@ -111,6 +121,7 @@ def queries() -> dict[str, Query]:
         "pages_language_id": pages_language_id,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_jaccard_join": op10_jaccard_join,
+        "op11_conversation_repair": op11_conversation_repair,
         "op13_quality_rules": op13_quality_rules,
         "pipeline": pipeline,
     }
@@ -149,6 +160,37 @@ SELECT doc_id, least(doc_id, coalesce(classes.least, doc_id)) AS class_id, CAST(
 FROM docs LEFT JOIN classes USING (doc_id) LEFT JOIN counts USING (doc_id)"""
 
 
+#: The grammar as a machine: 0 begin, 1 after the system turn, 2 after a user's, 3 after an assistant's.
+CONVERSATION_REPAIR = """
+WITH RECURSIVE given AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+faulty AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(k) + 1), lambda i: ord(substr(k, i, 1)))), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))), 4294967295) % 20 AS f FROM given),
+rows AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE f WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM faulty),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM rows),
+seen AS (SELECT *, left(role, 1) AS initial, left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) AS before, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) AS final FROM placed),
+flagged AS (SELECT *, final = '' AS blank, final <> '' AND again AS duplicate, final <> '' AND NOT again AND final NOT IN ('.', '!', '?') AS cut FROM seen),
+inserts(st, mid, ins) AS (VALUES (0, 0, ''), (0, 2, 'I'), (0, 3, 'II'), (1, 1, ''), (1, 2, 'I'), (1, 3, 'II'), (2, 2, ''), (2, 3, 'I'), (3, 3, ''), (3, 2, 'I')),
+moves(mid, initial, nxt, edit, price) AS (VALUES (0, NULL, 0, 'D', 4), (1, NULL, 1, 'D', 4), (2, NULL, 2, 'D', 4), (3, NULL, 3, 'D', 4), (0, 's', 1, 'K', 0), (0, 'u', 2, 'K', 0), (1, 'u', 2, 'K', 0), (3, 'u', 2, 'K', 0), (2, 'a', 3, 'K', 0), (0, NULL, 2, 'R', 3), (1, NULL, 2, 'R', 3), (3, NULL, 2, 'R', 3), (2, NULL, 3, 'R', 3)),
+parse(conv_id, i, st, best) AS (
+    SELECT DISTINCT conv_id, CAST(0 AS BIGINT), 0, {'cost': CAST(0 AS BIGINT), 'audit': ''} FROM flagged
+    UNION ALL
+    SELECT p.conv_id, r.i, m.nxt, min({'cost': CAST(p.best.cost + 3 * length(n.ins) + m.price + CASE WHEN r.cut AND m.edit <> 'D' THEN 3 ELSE 0 END AS BIGINT), 'audit': p.best.audit || n.ins || m.edit})
+    FROM parse p JOIN flagged r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i + 1 JOIN inserts n ON n.st = p.st
+    JOIN moves m ON m.mid = n.mid AND (m.edit = 'D' OR NOT r.blank AND NOT r.duplicate AND (m.edit = 'R' OR m.initial = r.initial)) GROUP BY ALL),
+lengths AS (SELECT conv_id, max(i) AS n FROM flagged GROUP BY conv_id),
+solved AS (SELECT p.conv_id, min({'cost': p.best.cost + 3 * length(e.ins), 'audit': p.best.audit || e.ins}) AS best FROM parse p JOIN lengths l ON l.conv_id IS NOT DISTINCT FROM p.conv_id AND l.n = p.i
+           JOIN (VALUES (0, ''), (1, 'II'), (2, 'I'), (3, '')) e(st, ins) ON e.st = p.st GROUP BY p.conv_id),
+edits AS (SELECT conv_id, best.audit AS audit, unnest(range(1, length(best.audit) + 1)) AS j FROM solved),
+numbered AS (SELECT conv_id, j, audit[j] AS edit, length(replace(audit[:j], 'I', '')) AS i, length(replace(audit[:j], 'D', '')) AS k, length(replace(audit, 'D', '')) % 2 AS odd FROM edits),
+messages AS (SELECT n.conv_id, n.k, CASE WHEN edit = 'K' THEN role WHEN (k - odd) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END AS line
+             FROM numbered n LEFT JOIN flagged r ON r.conv_id IS NOT DISTINCT FROM n.conv_id AND r.i = n.i AND n.edit <> 'I' WHERE edit <> 'D'),
+repaired AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY k) AS t FROM messages GROUP BY conv_id),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE duplicate) AS duplicate, count(*) FILTER (WHERE cut) AS truncated,
+           count(*) FILTER (WHERE i > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM flagged GROUP BY conv_id)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(coalesce(best.cost, 0) AS BIGINT) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN solved s ON s.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+
 def _quality_sql() -> str:
     """Operator 13 with the module's own constants. Distances: half of the parts' sum, its root."""
     from tessera.llm import quality as q
@@ -188,5 +230,5 @@ SELECT *, NOT base_failed AND NOT coalesce(n_words >= {q.JUDGED_WORDS} AND (char
 def oracle_sql() -> dict[str, str]:
     """What SQL can say: windows of words, integer inner products, shingle similarity with its components. The rest
     (random rounding, trained models, approximate search, byte pairs, pattern cuts) is tested against brute force."""
-    sql = {"op1_substring_dedup": SUBSTRING_DEDUP, "op4_exact_top_k": EXACT_TOP_K, "op10_jaccard_join": JACCARD_JOIN, "op13_quality_rules": _quality_sql()}
+    sql = {"op1_substring_dedup": SUBSTRING_DEDUP, "op4_exact_top_k": EXACT_TOP_K, "op10_jaccard_join": JACCARD_JOIN, "op11_conversation_repair": CONVERSATION_REPAIR, "op13_quality_rules": _quality_sql()}
     return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
