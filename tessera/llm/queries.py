@@ -98,6 +98,14 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.alias("i").join(fixed.alias("f"), F.expr("i.conv_id <=> f.conv_id"), "left").select("i.conv_id", *numbers, *texts)
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tessera.llm.token_alignment import align
+
+    return align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.quality import judge
 
@@ -122,6 +130,7 @@ def queries() -> dict[str, Query]:
         "op9_byte_bpe": op9_byte_bpe,
         "op10_jaccard_join": op10_jaccard_join,
         "op11_conversation_repair": op11_conversation_repair,
+        "op12_token_alignment": op12_token_alignment,
         "op13_quality_rules": op13_quality_rules,
         "pipeline": pipeline,
     }
