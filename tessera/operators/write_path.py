@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.sources import tables
 from tessera.sources.shared import cut
+from tessera.sources.store import Lease, Store
 
 
 def resolved(drafts: DataFrame) -> DataFrame:
@@ -182,17 +182,22 @@ def records_of(drafts: DataFrame, found: DataFrame, stored: DataFrame, now: int)
     return cut(records), cut(links.filter("source_id <> target_id").distinct())
 
 
-def write_batches(drafts: DataFrame, store: str, now: int) -> DataFrame:
-    """Appends the faultless batches to the store's tables and returns the errors of the others.
+#: The last records and links of a store that has none.
+RECORDS = "id string, parent_id string, supersedes_id string, summary string, body string, created_at long, updated_at long, recalled_at long, stability double"
+LINKS = "source_id string, target_id string"
 
-    store: a folder with records and links (Parquet). Both tables are written beside the old ones first and then take
-    their place, so a batch is there as a whole or not at all; a write that breaks off before leaves the store as it was.
+
+def write_batches(drafts: DataFrame, store: Store, now: int, marks: dict[str, int] | None = None, lease: Lease | None = None) -> DataFrame:
+    """Appends the faultless batches to the store's records and links, and returns the errors of the others.
+
+    Both tables change in one commit, so a batch is there as a whole or not at all, whenever a write breaks off; bytes
+    are written for the new rows only. With marks, batches that were written before are not written again.
     """
-    spark = drafts.sparkSession
-    old_records, old_links = spark.read.parquet(f"{store}/records"), spark.read.parquet(f"{store}/links")
+    spark, base = drafts.sparkSession, store.latest()
+    old_records, old_links = (store.table(name, base) if name in base.tables else spark.createDataFrame([], schema) for name, schema in (("records", RECORDS), ("links", LINKS)))
     drafts = cut(drafts)
     found = cut(errors(drafts, old_records.select("id", "supersedes_id")))
     records, links = records_of(drafts, found, cut(old_records.select("id", "parent_id")), now)
-    tables.swap(old_records.unionByName(records, allowMissingColumns=True), f"{store}/records")
-    tables.swap(old_links.unionByName(links).distinct(), f"{store}/links")
+    new_links = links.join(old_links, ["source_id", "target_id"], "left_anti")
+    store.commit(append={"records": records, "links": new_links}, marks=marks, base=base, lease=lease)
     return found

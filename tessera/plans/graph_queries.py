@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from tessera.operators import graph, index, parsers, snapshot, vfs, write_path
 from tessera.plans.registry import query
 from tessera.plans.retrieval_queries import r6
 from tessera.sources import adapters as A
+from tessera.sources.shared import checkpoint_dir
+from tessera.sources.store import Lease, Store
 from tessera.sources.tables import table
 
 _NODES = """nodes AS (
@@ -273,22 +277,30 @@ def edge_rebuild(spark: SparkSession, d: str) -> DataFrame:
     return graph.built_edges(nodes, edges, impls.union(calls)).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("""WITH d AS (SELECT conv_id AS batch, turn AS i, conv_id * 100 + turn AS id, CASE WHEN turn % 5 = 4 THEN '' ELSE text END AS body, CASE WHEN conv_id % 7 = 0 AND turn = 1 THEN 'при ' || role ELSE role END AS summary, conv_id, turn FROM conversations),
+_FAULTS = """WITH d AS (SELECT conv_id AS batch, turn AS i, conv_id * 100 + turn AS id, CASE WHEN turn % 5 = 4 THEN '' ELSE text END AS body, CASE WHEN conv_id % 7 = 0 AND turn = 1 THEN 'при ' || role ELSE role END AS summary, conv_id, turn FROM conversations),
 e AS (SELECT batch, i, 'body' AS field, 'empty' AS error FROM d WHERE trim(body) = ''
 UNION SELECT batch, i, 'summary', 'script' FROM d WHERE regexp_matches(summary, '[^\\p{Latin}\\p{Common}\\P{L}]')
 UNION SELECT batch, i, 'supersedes', 'self' FROM d WHERE conv_id % 11 = 0 AND turn = 0
 UNION SELECT batch, i, 'parent', 'range' FROM d WHERE conv_id % 13 = 0 AND turn = 0
 UNION SELECT batch, i, 'links', 'missing' FROM d WHERE conv_id % 3 = 0 AND turn = 1
-UNION SELECT batch, i, 'supersedes', 'taken' FROM d WHERE conv_id % 11 <> 0 AND conv_id % 17 = 0 AND turn = 0)
-SELECT batch, CAST(i AS BIGINT) AS i, field, error FROM e""")
+UNION SELECT batch, i, 'supersedes', 'taken' FROM d WHERE conv_id % 11 <> 0 AND conv_id % 17 = 0 AND turn = 0)"""
+
+
+@query(f"{_FAULTS} SELECT batch, CAST(i AS BIGINT) AS i, field, error FROM e")
 def write_validation(spark: SparkSession, d: str) -> DataFrame:
     """Turns as drafts that supersede the one before, with planted faults, against a store of two records."""
+    stored = spark.createDataFrame([("old", None), ("new", "old")], "id string, supersedes_id string")
+    return write_path.errors(_drafts(spark, d), stored)
+
+
+def _drafts(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations")
     own = (F.col("conv_id") * 100 + F.col("turn")).cast("string")
     before = F.concat(F.lit("#"), (F.col("turn") - 1).cast("string"))
     supersedes = F.when(F.col("turn") > 0, before).when(F.col("conv_id") % 11 == 0, F.lit("#0")).when(F.col("conv_id") % 17 == 0, F.lit("old")).when(F.col("conv_id") == 1, F.lit("new"))
-    links = F.when((F.col("conv_id") % 3 == 0) & (F.col("turn") == 1), F.array(F.lit("#0"), F.lit("old"), F.lit("gone"))).otherwise(F.array().cast("array<string>"))
-    drafts = c.select(
+    links = F.when((F.col("conv_id") % 3 == 0) & (F.col("turn") == 1), F.array(F.lit("#0"), F.lit("old"), F.lit("gone")))
+    links = links.when((F.col("conv_id") % 3 == 1) & (F.col("turn") == 2), F.array(F.lit("#0"), F.lit("old"), F.lit("#0"))).otherwise(F.array().cast("array<string>"))
+    return c.select(
         F.col("conv_id").alias("batch"),
         F.col("turn").alias("i"),
         own.alias("id"),
@@ -298,8 +310,21 @@ def write_validation(spark: SparkSession, d: str) -> DataFrame:
         supersedes.alias("supersedes"),
         links.alias("links"),
     )
-    stored = spark.createDataFrame([("old", None), ("new", "old")], "id string, supersedes_id string")
-    return write_path.errors(drafts, stored)
+
+
+@query(f"""{_FAULTS}, good AS (SELECT * FROM d WHERE batch NOT IN (SELECT batch FROM e))
+SELECT CAST(id AS VARCHAR) AS id, CASE WHEN turn > 0 THEN CAST(id - 1 AS VARCHAR) WHEN conv_id = 1 THEN 'new' END AS supersedes_id, summary, CAST(CASE WHEN conv_id % 3 = 1 AND turn = 2 THEN 2 ELSE 0 END AS BIGINT) AS n_links FROM good
+UNION ALL VALUES ('old', NULL, 'o', CAST(0 AS BIGINT)), ('new', 'old', 'n', CAST(0 AS BIGINT))""")
+def batches_written(spark: SparkSession, d: str) -> DataFrame:
+    """The records of a store, with the links of each, after two commits of many batches; the second one is tried twice."""
+    store = Store(spark, f"{checkpoint_dir(spark).rstrip('/')}/batches-{uuid.uuid4().hex}")
+    store.commit(append={"records": spark.createDataFrame([("old", None, "o"), ("new", "old", "n")], "id string, supersedes_id string, summary string")})
+    drafts = _drafts(spark, d)
+    with Lease(spark, store.path, "batches_written") as lease:
+        for number in (0, 1, 1):
+            write_path.write_batches(drafts.filter(F.pmod("batch", F.lit(2)) == number), store, A.NOW, {"drafts": number}, lease)
+    links = store.table("links").groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("n_links"))
+    return store.table("records").join(links, "id", "left").select("id", "supersedes_id", "summary", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 @query(f"""WITH {_SYMBOLS}, q AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS query FROM part),

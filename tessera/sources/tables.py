@@ -5,8 +5,6 @@ from __future__ import annotations
 import json
 import os
 import tomllib
-from collections.abc import Iterator
-from contextlib import contextmanager
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -184,17 +182,6 @@ def append(df: DataFrame, path: str, partition: str | None = None) -> None:
     (writer.partitionBy(partition) if partition else writer).parquet(path)
 
 
-def swap(df: DataFrame, path: str) -> None:
-    """Replaces a table by one that may read from it: written beside it first, then renamed."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    at, new = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.new"))
-    fs = at.getFileSystem(conf)
-    df.write.mode("overwrite").parquet(f"{path}.new")
-    fs.delete(at, True)
-    fs.rename(new, at)
-
-
 def ordered_body(turns: DataFrame, key: str, order: str, line: Column) -> DataFrame:
     """(key, body): lines of each key's rows in order, joined."""
     per = turns.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l")))).alias("ls"))
@@ -226,20 +213,6 @@ def write_results(summary: DataFrame, rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(f"{path}/rows")
 
 
-@contextmanager
-def single_writer(spark: SparkSession, folder: str) -> Iterator[None]:
-    """Holds a folder's lock file, which only one writer can make; a second one fails at once."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/writer.lock")
-    fs = at.getFileSystem(conf)
-    if not fs.createNewFile(at):
-        raise RuntimeError(f"{folder} is being written to")
-    try:
-        yield
-    finally:
-        fs.delete(at, False)
-
-
 def lenient_json(column: Column, schema: str) -> Column:
     """A JSON text by a schema: null where it is no JSON, null fields where they do not fit, unknown fields left out."""
     return F.from_json(column, schema, {"mode": "PERMISSIVE", "allowUnquotedFieldNames": "false"})

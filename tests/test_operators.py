@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import graph, ids, index, lineage, metrics, parsers, retrieval, scan, snapshot, vfs, write_path
 from tessera.sources import tables
+from tessera.sources.store import Store
 
 
 def rows(df):
@@ -168,7 +169,7 @@ def test_source_tree(spark, tmp_path):
     assert rows(tables.nested_projects(spark, str(root))) == [("sub",)]
 
 
-def test_datasets_locks_results_codec(spark, tmp_path, monkeypatch):
+def test_datasets_results_codec(spark, tmp_path, monkeypatch):
     from tessera.functions import codec
 
     (tmp_path / "d.toml").write_text('[datasets]\none = "../x/one"\n')
@@ -177,10 +178,6 @@ def test_datasets_locks_results_codec(spark, tmp_path, monkeypatch):
     assert tables.dataset(str(tmp_path / "d.toml"), "one") == "/elsewhere"
     with pytest.raises(KeyError):
         tables.dataset(str(tmp_path / "d.toml"), "two")
-    with tables.single_writer(spark, str(tmp_path)), pytest.raises(RuntimeError), tables.single_writer(spark, str(tmp_path)):
-        pass
-    with tables.single_writer(spark, str(tmp_path)):
-        pass
     tables.write_results(spark.range(1), spark.range(3), str(tmp_path / "r"))
     assert spark.read.json(str(tmp_path / "r/rows")).count() == 3
     v = spark.createDataFrame([([1.0, -2.5],), (None,), ([],)], "v array<double>").select(codec.unpacked_vector(codec.packed_vector("v")).alias("v"))
@@ -198,14 +195,13 @@ def test_id_catalog(spark):
     assert [r.id for r in ids.mapped(found, c).orderBy("rank").collect()] == ["ra x other/b#go().", "ra x m/run#go().", "local 3"]
 
 
-def test_sample_and_swap(spark, tmp_path):
+def test_sample_and_append(spark, tmp_path):
     d = spark.range(100).toDF("id")
     a = tables.seeded_sample(d, F.col("id"), 10, 42)
     assert rows(a) == rows(tables.seeded_sample(d.repartition(3), F.col("id"), 10, 42)) and a.count() == 10
     path = str(tmp_path / "t")
     tables.append(d, path)
-    tables.swap(spark.read.parquet(path).filter("id < 5"), path)
-    assert spark.read.parquet(path).count() == 5
+    assert spark.read.parquet(path).count() == 100
 
 
 def test_tails_of_a_long_chain(spark):
@@ -324,16 +320,14 @@ def test_shapes_and_batches(spark, tmp_path):
     assert rows(write_path.shape_errors(documents)) == [("empty", None, "empty"), ("none", None, "not an array"), ("shape", 0, "not an object"), ("shape", 1, "unknown field"), ("shape", 2, "summary"), ("shape", 3, "body"), ("shape", 4, "parent"), ("shape", 5, "links"), ("text", None, "no JSON")]
     drafts = write_path.parsed_drafts(documents.filter("batch = 'ok'")).withColumn("id", F.concat(F.lit("n"), F.col("i").cast("string")))
     assert [(r.summary, r.parent, r.supersedes, r.links) for r in drafts.orderBy("i").collect()] == [("a", None, None, []), ("b", None, "#0", ["#0", "old"])]
-    store = str(tmp_path)
-    columns = "id string, parent_id string, supersedes_id string, summary string, body string"
-    spark.createDataFrame([("old", None, None, "o", "o")], columns).write.parquet(f"{store}/records")
-    spark.createDataFrame([], "source_id string, target_id string").write.parquet(f"{store}/links")
+    store = Store(spark, str(tmp_path))
+    store.commit(append={"records": spark.createDataFrame([("old", None, None, "o", "o")], "id string, parent_id string, supersedes_id string, summary string, body string")})
     bad = drafts.withColumn("batch", F.lit("bad")).withColumn("id", F.concat(F.lit("m"), "id")).withColumn("body", F.lit(" "))
     found = write_path.write_batches(drafts.unionByName(bad), store, 9)
     assert {(r.batch, r.field, r.error) for r in found.collect()} == {("bad", "body", "empty")}
-    stored = {r.id: r for r in spark.read.parquet(f"{store}/records").collect()}
+    stored = {r.id: r for r in store.table("records").collect()}
     assert set(stored) == {"old", "n0", "n1"} and stored["n1"].supersedes_id == "n0" and stored["n1"].created_at == 9
-    assert rows(spark.read.parquet(f"{store}/links")) == [("n1", "n0"), ("n1", "old")]
+    assert rows(store.table("links")) == [("n1", "n0"), ("n1", "old")]
 
 
 def test_symbols_refs_and_reading(spark):
