@@ -95,25 +95,46 @@ def full(files: DataFrame, tell: Callable[[str], None] = _quiet) -> Graph:
     return Graph(files.select("path", "size", "mtime", "hash"), nodes, refs, impls, cut(edges_of(nodes, refs, impls)))
 
 
-def synced(old: Graph, files: DataFrame, tell: Callable[[str], None] = _quiet) -> tuple[Graph, DataFrame]:
-    """(graph, report) after a change of files: only new and changed files are parsed, and edges are made anew only for
-    them and for files that use a name they define or defined. The same as full() of the new files."""
+class Changes(NamedTuple):
+    """What a change of files does to a graph: keys whose rows go (gone: file_path; affected: file_path of edges), the new
+    rows, and the status of each file."""
+
+    status: DataFrame
+    gone: DataFrame
+    affected: DataFrame
+    files: DataFrame
+    nodes: DataFrame
+    refs: DataFrame
+    impls: DataFrame
+    edges: DataFrame
+
+
+def changes(old: Graph, files: DataFrame, only: DataFrame | None = None, tell: Callable[[str], None] = _quiet) -> Changes:
+    """Only new and changed files are parsed, and edges are made anew only for them and for files that use a name they
+    define or defined. only (path): the files that may differ; files need then have no others."""
     tell("scanning")
-    new_files = files.select("path", "size", "mtime", "hash")
-    status = cut(snapshot.diff(old.files, new_files))
+    before = old.files if only is None else old.files.join(only, "path", "left_semi")
+    status = cut(snapshot.diff(before, files.select("path", "size", "mtime", "hash")))
     changed = status.filter("status in ('added', 'modified')").select("path")
     gone = status.filter("status in ('added', 'modified', 'removed')").select(F.col("path").alias("file_path"))
     tell("parsing")
-    fresh = extracted(files.join(changed, "path", "left_semi"))
-    removed = gone.limit(0)
+    fresh = [cut(t) for t in extracted(files.join(changed, "path", "left_semi"))]
     tell("storing")
-    nodes, refs, impls = (cut(snapshot.replaced(t.join(gone, "file_path", "left_anti"), f, removed, "file_path")) for t, f in zip(old[1:4], fresh, strict=True))
+    nodes, refs, impls = (t.join(gone, "file_path", "left_anti").unionByName(f) for t, f in zip(old[1:4], fresh, strict=True))
     names = old.nodes.join(gone, "file_path", "left_semi").filter("kind <> 'file'").select("name").union(fresh[0].filter("kind <> 'file'").select("name"))
     affected = cut(graph.affected_files(gone, names, refs, impls))
     tell("resolving")
-    kept = old.edges.join(affected, "file_path", "left_anti")
-    edges = snapshot.without_edges_of(kept, nodes).unionByName(edges_of(nodes, refs, impls, affected))
-    return Graph(new_files, nodes, refs, impls, cut(edges)), snapshot.report(status)
+    seen = status.filter("status in ('added', 'modified', 'touched')").select("path")
+    rows = files.select("path", "size", "mtime", "hash").join(seen, "path", "left_semi")
+    return Changes(status, gone, affected, rows, *fresh, cut(edges_of(nodes, refs, impls, affected)))
+
+
+def synced(old: Graph, files: DataFrame, tell: Callable[[str], None] = _quiet) -> tuple[Graph, DataFrame]:
+    """(graph, report) after a change of files. The same as full() of the new files."""
+    c = changes(old, files, None, tell)
+    nodes, refs, impls = (cut(t.join(c.gone, "file_path", "left_anti").unionByName(f)) for t, f in zip(old[1:4], (c.nodes, c.refs, c.impls), strict=True))
+    edges = old.edges.join(c.affected, "file_path", "left_anti").unionByName(c.edges)
+    return Graph(files.select("path", "size", "mtime", "hash"), nodes, refs, impls, cut(snapshot.without_edges_of(edges, nodes))), snapshot.report(c.status)
 
 
 def refreshed(old: Graph | None, files: DataFrame) -> Graph:

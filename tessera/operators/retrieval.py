@@ -100,14 +100,19 @@ def bm25_hits(memories: DataFrame, queries: DataFrame, pool: int = M.POOL, ratio
         # Few terms: what is left of each document is small, so the texts are cut into words just once.
         wanted = [r["w"] for r in terms.collect()]
         sized = cut(sized.select("id", "len", F.filter("words", lambda w: w.isin(wanted)).alias("words")))
-    totals = sized.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
+    totals = sized.agg(F.count("*").alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("mean"))
     posted = sized.select("id", "len", F.explode("words").alias("w")).join(small(terms, 1_000_000), "w").groupBy("w", "id", "len").agg(F.count("*").alias("tf"))
     if with_phrases:
         posted = posted.union(phrase_postings(sized, several))
+    totals = totals.first()
+    return scored_hits(posted, asked, F.lit(totals["n"]), F.lit(totals["mean"]), pool, ratio)
+
+
+def scored_hits(posted: DataFrame, asked: DataFrame, n: Column, mean: Column, pool: int, ratio: float) -> DataFrame:
+    """BM25 of postings (w, id, len, tf) for the terms of each query (qid, w), of n records of a mean length."""
     per_term = posted.groupBy("w").agg(F.count("*").alias("df"))
-    n, mean = F.col("n"), F.col("mean")
     raw = F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = per_term.join(F.broadcast(totals)).select("w", "mean", F.when(raw > 0, raw).otherwise(LEAST_IDF).alias("idf"))
+    idf = per_term.select("w", F.when(raw > 0, raw).otherwise(LEAST_IDF).alias("idf"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / mean))
     weighed = posted.join(idf, "w").select("w", "id", part.alias("part"))
     scored = weighed.join(small(asked, 1_000_000), "w").groupBy("qid", "id").agg(F.sum("part").alias("score"))
@@ -121,6 +126,11 @@ def phrase_postings(sized: DataFrame, phrases: DataFrame) -> DataFrame:
     """
     parts = phrases.select("w", F.posexplode(F.split("w", " ")).alias("nth", "token")).withColumn("n", F.size(F.split("w", " ")))
     places = sized.select("id", "len", F.posexplode("words").alias("pos", "token")).join(small(parts, 1_000_000), "token")
+    return whole_phrases(places)
+
+
+def whole_phrases(places: DataFrame) -> DataFrame:
+    """(w, id, len, tf) of the places (w, n, id, len, nth, pos) where all n tokens of a phrase stand."""
     whole = places.groupBy("w", "n", "id", "len", (F.col("pos") - F.col("nth")).alias("at")).agg(F.count("*").alias("found")).filter("found = n")
     return whole.groupBy("w", "id", "len").agg(F.count("*").alias("tf"))
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import paths as P
+from tessera.operators import stored_graph
+from tessera.sources.store import Lease, Store
 
 # Bounds and default of the quiet gap, in milliseconds.
 LEAST_MS, MOST_MS, DEFAULT_MS = 100, 60_000, 2_000
@@ -56,3 +58,17 @@ def watch(events: DataFrame, sync: Callable[[DataFrame, int], None], checkpoint:
 
 def event_time(column: Column) -> Column:
     return F.to_timestamp(column)
+
+
+def keep_graph(events: DataFrame, store: Store, files_now: Callable[[DataFrame], DataFrame], checkpoint: str, stream: str = "watch", lease: Lease | None = None, trigger: dict | None = None):
+    """Keeps a stored graph up to date with a stream of change events (kind, path).
+
+    files_now: gets (path) and gives those of the paths that are there: path, size, mtime, hash, language, text. Each
+    micro-batch is one commit that carries the batch's number, so a batch that a restart brings again changes nothing.
+    """
+
+    def sync(batch: DataFrame, number: int) -> None:
+        paths = batch.select("path").distinct()
+        stored_graph.sync(store, files_now(paths), paths, {stream: number}, lease)
+
+    return watch(events, sync, checkpoint, trigger)
