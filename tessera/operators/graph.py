@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import paths as P
-from tessera.operators import scan
+from tessera.operators import scan, topk
 from tessera.sources.shared import cut
 
 REFERENCE_EDGES = ("calls", "references", "implements")
@@ -70,11 +70,9 @@ def find(nodes: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
     if any(h in queries.columns for h in HINTS):
         found = hinted(found, *given).filter("matched")
     tier = F.when(F.col("name") == F.col("query"), 0).when(name == q, 1).when(F.startswith(name, q), 2).otherwise(3)
-    w = Window.partitionBy("qid")
-    order = w.orderBy("tier", F.desc("priority"), F.octet_length("name"), "file_path", "start_line", "id")
-    out = found.withColumn("tier", tier).withColumn("priority", P.kind_score(F.col("kind")))
-    out = out.withColumn("rank", F.row_number().over(order)).withColumn("total_matches", F.count("*").over(w))
-    return out.filter(F.col("rank") <= limit).select("qid", "id", "name", "tier", "rank", "total_matches")
+    out = found.select("qid", "id", "name", tier.alias("tier"), P.kind_score(F.col("kind")).alias("priority"), F.octet_length("name").alias("bytes"), "file_path", "start_line")
+    order = [("tier", "ascending"), ("priority", "descending"), *[(c, "ascending") for c in ("bytes", "file_path", "start_line", "id")]]
+    return topk.first_k(out, ["qid"], order, limit, "total_matches").select("qid", "id", "name", "tier", "rank", "total_matches")
 
 
 def hinted(nodes: DataFrame, file: Column, kind: Column, scope: Column) -> DataFrame:
@@ -101,13 +99,16 @@ def pick(nodes: DataFrame, asked: DataFrame, limit: int = CANDIDATES) -> DataFra
 def _picked(rows: DataFrame, limit: int) -> DataFrame:
     rows = hinted(rows, F.col("file"), F.col("kind_hint"), F.col("scope"))
     w = Window.partitionBy("qid")
-    any_hint = F.coalesce(F.col("file"), F.col("kind_hint"), F.col("scope")).isNotNull()
-    n, n_fit = F.count("*").over(w), F.sum(F.col("matched").cast("int")).over(w)
-    rows = rows.withColumn("n", n).withColumn("n_fit", F.when(any_hint, n_fit).otherwise(0))
-    rows = rows.filter((F.col("n") == 1) | (F.col("n_fit") == 0) | F.col("matched"))
-    status = F.when((F.col("n") == 1) | (F.col("n_fit") == 1), "ok").otherwise("ambiguous")
-    order = w.orderBy(F.desc(F.round("score", 9)), F.octet_length("file_path"), "id")
-    out = rows.withColumn("status", status).withColumn("rank", F.row_number().over(order)).withColumn("total", F.count("*").over(w))
+    # Whether those that fit are all that counts, is known when all have been counted: the first of both are kept.
+    fits = F.coalesce(F.col("file"), F.col("kind_hint"), F.col("scope")).isNotNull() & F.col("matched")
+    rows = rows.select("qid", "id", "score", fits.alias("fits"), F.round("score", 9).alias("s"), F.octet_length("file_path").alias("bytes"))
+    order = [("s", "descending"), ("bytes", "ascending"), ("id", "ascending")]
+    rows = topk.partial_firsts(rows, ["qid", "fits"], order, limit)
+    rows = rows.withColumn("all", F.sum("n").over(w)).withColumn("n_fit", F.sum(F.when(F.col("fits"), F.col("n")).otherwise(0)).over(w))
+    rows = rows.filter((F.col("all") == 1) | (F.col("n_fit") == 0) | F.col("fits"))
+    status = F.when((F.col("all") == 1) | (F.col("n_fit") == 1), "ok").otherwise("ambiguous")
+    total = F.when((F.col("all") == 1) | (F.col("n_fit") == 0), F.col("all")).otherwise(F.col("n_fit"))
+    out = rows.withColumn("status", status).withColumn("rank", F.row_number().over(w.orderBy(F.desc("s"), "bytes", "id"))).withColumn("total", total)
     return out.filter(F.col("rank") <= limit).select("qid", "id", "status", "score", "rank", "total")
 
 

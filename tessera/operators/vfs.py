@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import paths as P
 from tessera.functions import text as T
-from tessera.operators import graph, scan
+from tessera.operators import graph, scan, topk
 
 
 def listing(files: DataFrame, prefix: str = "") -> DataFrame:
@@ -85,8 +85,9 @@ def read(files: DataFrame, nodes: DataFrame, asked: DataFrame) -> DataFrame:
     return spans.union(source).union(listed).union(refused)
 
 
-def grep(files: DataFrame, queries: DataFrame) -> DataFrame:
-    """(qid, file_path, line, text, rank, total): lines that literally hold each query, by path and line.
+def grep(files: DataFrame, queries: DataFrame, limit: int | None = None) -> DataFrame:
+    """(qid, file_path, line, text, rank, total): lines that literally hold each query, by path and line; all of them, or
+    the first `limit` of a query, of which only so many leave each task.
 
     files: file_path, text; queries: qid, query. A file without any query is dropped before its lines are made.
     """
@@ -94,13 +95,15 @@ def grep(files: DataFrame, queries: DataFrame) -> DataFrame:
     there = scan.containing(files.select(F.col("file_path").alias("id"), "text"), needles).select("qid", F.col("id").alias("file_path"))
     lines = there.join(files, "file_path").join(queries, "qid").select("qid", "query", "file_path", F.posexplode(T.lines_of("text")).alias("n", "l"))
     hits = lines.filter(F.contains("l", F.col("query"))).select("qid", "file_path", (F.col("n") + 1).alias("line"), T.excerpt("l").alias("text"))
+    if limit is not None:
+        return topk.first_k(hits, ["qid"], [("file_path", "ascending"), ("line", "ascending")], limit)
     w = Window.partitionBy("qid")
     return hits.withColumn("rank", F.row_number().over(w.orderBy("file_path", "line"))).withColumn("total", F.count("*").over(w))
 
 
 def grep_symbols(files: DataFrame, queries: DataFrame, spans: DataFrame, limit: int = 20) -> DataFrame:
     """grep's first `limit` lines of a query, each with the innermost symbol around it (null: none)."""
-    kept = grep(files, queries).filter(F.col("rank") <= limit)
+    kept = grep(files, queries, limit)
     kept = kept.withColumn("point_id", F.struct("qid", "rank"))
     found = graph.innermost(kept, spans, "left")
     return found.select("qid", "file_path", "line", "rank", "total", F.col("span_id").alias("symbol"))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import memory as M
 from tessera.functions import text as T
-from tessera.operators import lineage, retrieval
+from tessera.operators import lexical_index, lineage, retrieval
 from tessera.plans.registry import query
 from tessera.sources import adapters as A
+from tessera.sources.shared import checkpoint_dir
+from tessera.sources.store import Store
 from tessera.sources.tables import table
 from tessera.streaming import reinforce, watch
 
@@ -108,9 +112,9 @@ def _questions(spark: SparkSession, d: str, stems: bool = False) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), T.phrases(with_stems(terms) if stems else terms).alias("words"))
 
 
-def bm25(spark: SparkSession, d: str, stems: bool = False) -> DataFrame:
-    """Over the lexical index of records: summary, and terms of summary and body with identifier words."""
-    return retrieval.bm25_hits(_documents(spark, d, stems), _questions(spark, d, stems))
+def bm25(spark: SparkSession, d: str) -> DataFrame:
+    """From the stored index of records: summary, and terms of summary and body with identifier words."""
+    return lexical_index.hits(A.stored_index(spark, d), _questions(spark, d))
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -171,6 +175,22 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return _ranked(bm25(spark, d))
 
 
+_CHANGED = "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN text || ' hotPassword ' || substr(text, 1, 40) ELSE text END AS text FROM documents WHERE doc_id % 10 <> 1"
+
+
+@query(f"WITH changed AS ({_CHANGED}), {WORD_TABLES.replace('FROM documents', 'FROM changed')}, {BM25} SELECT qid, id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score FROM bm")
+def bm25_upkeep(spark: SparkSession, d: str) -> DataFrame:
+    """The stored index after documents came, changed and went in three commits; SQL indexes what is left in one go."""
+    store = Store(spark, f"{checkpoint_dir(spark).rstrip('/')}/lexical-{uuid.uuid4().hex}")
+    records, digit = A.memories(spark, d).select("id", "summary", "body"), F.pmod("id", F.lit(10))
+    lexical_index.change(store, records.filter(digit != 3))
+    lexical_index.change(store, records.filter(digit == 3), records.filter(digit == 1).select("id"))
+    changed = records.filter(digit == 0).withColumn("body", F.concat("body", F.lit(" hotPassword "), F.substring("body", 1, 40)))
+    for _ in range(2):  # tried again after a restart
+        lexical_index.change(store, changed.withColumn("summary", F.substring(F.split_part("body", F.lit("\n"), F.lit(1)), 1, 80)), marks={"edits": 1})
+    return _ranked(lexical_index.hits(store, _questions(spark, d)))
+
+
 @query(f"WITH {WORD_TABLES}, {BM25}, {VECTORS}, {FUSED} SELECT qid, id, round(relevance, 6) AS relevance FROM fused")
 def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.fuse([vectors(spark, d), bm25(spark, d)]).select("qid", "id", r6("relevance").alias("relevance"))
@@ -344,7 +364,7 @@ def stemmed_terms(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def bm25_stemmed(spark: SparkSession, d: str) -> DataFrame:
     """The lexical path with English stems in index and query, as recall has it; SQL has no function for stems."""
-    return _ranked(bm25(spark, d, stems=True))
+    return _ranked(retrieval.bm25_hits(_documents(spark, d, True), _questions(spark, d, True)))
 
 
 @query(f"""{ALL}

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.sources.tables import table
+from tessera.operators import lexical_index
+from tessera.sources.shared import checkpoint_dir
+from tessera.sources.store import Conflict, Store
+from tessera.sources.tables import state, table
 
 NOW = 1_706_659_200  # 2024-01-31 00:00 UTC
 DAY = 86_400
@@ -27,6 +32,18 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_index(spark: SparkSession, sf_dir: str) -> Store:
+    """The lexical index of the documents, made by the first query that asks for it in the state the table is in."""
+    key = hashlib.sha256("\n".join([f"{sf_dir}/documents.parquet", *state(spark, sf_dir, "documents")]).encode()).hexdigest()
+    store = Store(spark, f"{checkpoint_dir(spark).rstrip('/')}/lexical-{key}")
+    if not store.latest().number:
+        try:
+            lexical_index.change(store, memories(spark, sf_dir).select("id", "summary", "body"))
+        except Conflict:  # another session was first
+            pass
+    return store
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as revision chains: each turn supersedes the one before."""
     c = table(spark, sf_dir, "conversations")

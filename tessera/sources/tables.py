@@ -31,6 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return rows
 
 
+def state(spark: SparkSession, sf_dir: str, name: str) -> list[str]:
+    """Names, lengths and times of a table's files."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    return sorted(f"{f.getPath().getName()} {f.getLen()} {f.getModificationTime()}" for f in at.getFileSystem(conf).listStatus(at))
+
+
 class Listing(NamedTuple):
     """What Spark's file source does not show of a tree: nested projects, files with hidden names or without content,
     ignore files."""
