@@ -5,32 +5,37 @@ tokens that an A token overlaps, and those are its links. A gap between B tokens
 part. Then each link is held against how often its pair of ids is linked in the whole corpus.
 
 Neither tokenizer joins anything across a single blank or line break between two visible characters (the B pieces are
-looked through for that when they are read), so a text is the concatenation of stretches between those, and a stretch
-that comes again has the alignment it had before. Pairs travel packed (key_exchange): a chunk of documents sends each of
-its pairs once with a count and gets corpus counts back in order. A pair's best partner is a maximum by B id, of which
-there are no more than the vocabulary has.
+looked through for that when they are read), so a text is the concatenation of the stretches between those. A chunk's
+distinct stretches are aligned all at once, as one long text; workers remember the tokens of those they have seen. Pairs
+travel packed (key_exchange): a chunk of documents sends each of its pairs once with a count and gets corpus counts back
+in order. A pair's best partner is a maximum by B id, of which there are no more than the vocabulary has.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
-from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import runtime
 from tessera.llm.key_exchange import sizes, total_bytes
 from tessera.llm.packing import pack, pack_sorted, unpack, unpack_sorted
-from tessera.llm.wordhash import U, mix, trim
+from tessera.llm.wordhash import U, mix, trim, utf8
 
-#: Stretches up to this many characters are remembered, this many of them before a worker starts anew.
-REMEMBERED_CHARS, REMEMBERED = 64, 200_000
-STRETCH = re.compile(r"(?<=[!-~\w])(?=[ \n][!-~\w])")
+#: Stretches up to this many characters are remembered; so many stretches, or tokens, before a worker starts anew.
+REMEMBERED_CHARS, REMEMBERED, REMEMBERED_TOKENS = 64, 500_000, 6_000_000
+
+# Fixed value: the pattern by which byte-level vocabularies split text.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Stretches on whose letters all versions of Unicode agree.
+LATIN = re.compile("[ \n][!-~\u00a1-\u024f]+")
 
 KEYS = "bucket int, chunk long, keys binary, counts binary"
 REDUCED = "kind string, bucket int, chunk long, data binary, b array<int>, most array<long>"
@@ -43,70 +48,136 @@ def byte_level() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in own)}
 
 
-def links(a_ends: list[int], b_ends: list[int]) -> list[tuple[int, int]]:
-    """For each A token the first and the last B token that it overlaps."""
-    return [(bisect_right(b_ends, s), bisect_left(b_ends, e)) for s, e in zip([0, *a_ends], a_ends, strict=False)]
+def _visible() -> np.ndarray:
+    """By a character's first byte: it is ASCII other than white space and controls, or one of two or three bytes among
+    which there is no white space."""
+    out = np.zeros(256, bool)
+    out[[*range(0x21, 0x7F), *range(0xC3, 0xE1), *range(0xE4, 0xEE)]] = True
+    return out
+
+
+VISIBLE = _visible()
+
+
+def stretch_starts(data: np.ndarray) -> np.ndarray:
+    """Places of single blanks and line breaks between visible characters (UTF-8)."""
+    at = np.flatnonzero((data == 0x20) | (data == 0x0A))
+    at = at[(at > 0) & (at < len(data) - 1)]
+    one, two, three = (data[np.maximum(at - k, 0)] for k in (1, 2, 3))
+    tail = (one & 0xC0) == 0x80
+    before = np.where(tail, np.where((two & 0xC0) == 0x80, VISIBLE[three] & (three >= 0xE0), VISIBLE[two] & (two >= 0xC3) & (two < 0xE0)), VISIBLE[one] & (one < 0x80))
+    return at[before & VISIBLE[data[at + 1]]]
+
+
+def links(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each A token the first and the last B token that it overlaps; ends are bytes, in order."""
+    starts = np.r_[0, a_ends][:-1]
+    return np.searchsorted(b_ends, starts, "right"), np.searchsorted(b_ends, a_ends, "left")
 
 
-def groups(spans: list[tuple[int, int]], n_b: int) -> list[tuple[int, int]]:
-    """Ends (in A and in B tokens) of the groups: after an A token whose last B token no later one overlaps."""
-    ends = [i for i, ((_, last), (first, _)) in enumerate(zip(spans, spans[1:], strict=False), 1) if first > last]
-    return [(i, spans[i - 1][1] + 1) for i in ends] + [(len(spans), n_b)]
+def unspanned(first: np.ndarray, last: np.ndarray, n_b: int) -> np.ndarray:
+    """For each B token whether no A token goes on beyond it: a group ends there."""
+    open_ = np.bincount(first, minlength=n_b + 1) - np.bincount(last, minlength=n_b + 1)
+    return np.cumsum(open_)[:n_b] == 0
 
 
-class Aligned:
-    """A stretch's tokens in both tokenizers."""
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... n[0] of them, and so on."""
+    return np.repeat(first - np.r_[0, np.cumsum(n)][:-1], n) + np.arange(n.sum())
 
-    __slots__ = ("n_a", "n_b", "n_groups", "pairs", "shown", "sound")
 
-    def __init__(self, a: list[int], b: list[int], a_len: list[int], b_len: list[int], sound: bool):
-        self.sound, self.n_a, self.n_b, self.n_groups, self.shown, self.pairs = sound, 0, 0, 0, "", np.zeros(0, U)
-        if sound and a:
-            spans = links(np.cumsum(a_len).tolist(), np.cumsum(b_len).tolist())
-            cuts = groups(spans, len(b))
-            self.n_a, self.n_b, self.n_groups = len(a), len(b), len(cuts)
-            self.pairs = np.array([x << 32 | y for x, (i, j) in zip(a, spans, strict=True) for y in b[i : j + 1]], U)
-            begins = [(0, 0), *cuts]
-            self.shown = ";".join(f"{','.join(map(str, a[i:k]))}|{','.join(map(str, b[j:m]))}" for (i, j), (k, m) in zip(begins, cuts, strict=False))
+class Coder:
+    """One tokenizer's tokens of stretches, remembered as ranges of one array."""
+
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], token_bytes: list[bytes]):
+        self._encode, self.bytes = encode, token_bytes
+        self.length = np.array([len(b) for b in token_bytes], np.int64)
+        self.clear()
+
+    def clear(self) -> None:
+        self.tokens, self.ends = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        self.n_tokens = 0
+
+    def add(self, new: list[str]) -> np.ndarray:
+        """Whether the tokens of each new stretch are its bytes."""
+        ids = self._encode(new)
+        n = np.array([len(x) for x in ids], np.int64)
+        self.tokens.append(np.array([i for x in ids for i in x], np.int32))
+        self.ends.append(self.n_tokens + np.cumsum(n))
+        self.n_tokens += int(n.sum())
+        return np.array([b"".join([self.bytes[i] for i in x]) == s.encode() for x, s in zip(ids, new, strict=True)], bool)
+
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of some stretches, one after another, and how many each has."""
+        self.tokens, self.ends = [np.concatenate(self.tokens)], [np.concatenate(self.ends)]
+        ends = np.r_[0, self.ends[0]]
+        n = ends[numbers + 1] - ends[numbers]
+        return self.tokens[0][_ranges(ends[numbers], n)], n
 
 
 class Aligner:
-    """Both tokenizers, with the bytes of their tokens and what has been aligned so far."""
+    """Both tokenizers, and the stretches whose tokens are known."""
 
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
+        a = Tokenizer.from_file(a_path)
+        a.encode_special_tokens = True
+        b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         of = byte_level()
-        names = {i: t for t, i in self.a.get_vocab(with_added_tokens=False).items()}
-        self.a_bytes = {i: bytes(of[c] for c in t) for i, t in names.items() if all(c in of for c in t)}
-        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        a_bytes = [b""] * a.get_vocab_size()
+        for t, i in a.get_vocab(with_added_tokens=False).items():
+            a_bytes[i] = bytes(of[c] for c in t) if all(c in of for c in t) else b""
+        pieces = [b.id_to_piece(i) for i in range(b.get_piece_size())]
+        b_bytes = [bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.in_stretches = not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces)
-        self.prefix = self.b.piece_to_id("▁")
-        self.known: dict[str, Aligned] = {}
-
-    def stretches(self, text: str) -> list[str]:
-        """The parts of a blank and the text."""
-        return STRETCH.split(f" {text}") if self.in_stretches else [f" {text}"]
-
-    def align(self, parts: list[str]) -> list[Aligned]:
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        new = [p for p in parts if p not in self.known]
-        # A blank at the begin is B's own; before a line break B's is one token too many.
-        b_ids = self.b.encode([p[p[0] == " " :] for p in new], num_threads=1) if new else []
-        own: dict[str, Aligned] = {}
-        for p, a, b in zip(new, self.a.encode_batch(new, add_special_tokens=False) if new else [], b_ids, strict=True):
-            b = b[1:] if p[0] != " " and b[:1] == [self.prefix] else b
-            a, raw = a.ids, p.encode()
-            a_parts, b_parts = [self.a_bytes.get(i, b"") for i in a], [self.b_bytes[i] for i in b]
-            sound = b"".join(a_parts) == raw and b"".join(b_parts) == raw
-            (self.known if len(p) <= REMEMBERED_CHARS else own)[p] = Aligned(a, b, list(map(len, a_parts)), list(map(len, b_parts)), sound)
-        return [own[p] if p in own else self.known[p] for p in parts]
+        prefix = b.piece_to_id("▁")
+        special = {t["id"] for t in json.loads(a.to_str())["added_tokens"]}
+        ranks = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks={x: i for i, x in enumerate(a_bytes) if x and i not in special}, special_tokens={})
+        splits = json.loads(a.to_str())
+        same = splits["normalizer"] is None and splits["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+
+        def encode_a(new: list[str]) -> list[list[int]]:
+            """Stretches of Latin letters as one text by the same ranks, the others one by one."""
+            plain = [bool(same and LATIN.fullmatch(s)) for s in new]
+            joined = [s for s, p in zip(new, plain, strict=True) if p]
+            ids = np.array(ranks.encode_ordinary("".join(joined)), np.int64)
+            ends, sizes_ = np.cumsum(self.a.length[ids]), np.array([len(s.encode()) for s in joined], np.int64)
+            cut = np.searchsorted(ends, np.cumsum(sizes_)) + 1
+            runs = iter(np.split(ids, cut[:-1])) if joined else iter(())
+            others = iter(a.encode_batch_fast([s for s, p in zip(new, plain, strict=True) if not p], add_special_tokens=False))
+            return [next(runs).tolist() if p else next(others).ids for p in plain]
+
+        def encode_b(new: list[str]) -> list[list[int]]:
+            """A blank at the begin is B's own; before a line break B's is one token too many."""
+            ids = b.encode([s[s[0] == " " :] for s in new], num_threads=1)
+            return [x[1:] if s[0] != " " and x[:1] == [prefix] else x for s, x in zip(new, ids, strict=True)]
+
+        self.a, self.b = Coder(encode_a, a_bytes), Coder(encode_b, b_bytes)
+        self.known: dict[str, int] = {}
+        self.sound = np.zeros(0, bool)
+        n_a, n_b = len(a_bytes), len(b_bytes)
+        #: Token ids as text with what may follow: an A token another of its group or its B tokens, a B token another or a group.
+        self.shown = pa.array([f"{i}{c}" for n, marks in ((n_a, ",|"), (n_b, ",;")) for c in marks for i in range(n)], pa.string())
+        self.shown_at = {"a": (0, n_a), "b": (2 * n_a, 2 * n_a + n_b)}
+
+    def numbers(self, parts: list[str]) -> np.ndarray:
+        """The number of each stretch, all of whose tokens are known afterwards."""
+        if len(self.known) > REMEMBERED or self.a.n_tokens > REMEMBERED_TOKENS:
+            self.known, self.sound = {}, np.zeros(0, bool)
+            self.a.clear()
+            self.b.clear()
+        at = [self.known.get(p, -1) for p in parts]
+        new = [p for p, i in zip(parts, at, strict=True) if i < 0]
+        if new:
+            begin = len(self.sound)
+            fresh = iter(range(begin, begin + len(new)))
+            at = [next(fresh) if i < 0 else i for i in at]
+            self.sound = np.r_[self.sound, self.a.add(new) & self.b.add(new)]
+            self.known.update((p, begin + k) for k, p in enumerate(new) if len(p) <= REMEMBERED_CHARS)
+        return np.array(at, np.int64)
 
 
 def aligner_of(a_path: str, b_path: str) -> Callable[[], Aligner]:
@@ -123,33 +194,51 @@ def aligner_of(a_path: str, b_path: str) -> Callable[[], Aligner]:
 _made: dict[tuple[str, str], Aligner] = {}
 
 
+def _slices(data: pa.Buffer, offsets: np.ndarray) -> pa.Array:
+    """Texts between offsets of one buffer."""
+    return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), data)
+
+
 class Chunk:
     """The alignments of a chunk's documents: its distinct stretches, and for each place the number of its stretch."""
 
-    def __init__(self, aligner: Aligner, texts: list[str | None], n_buckets: int):
-        parts = [aligner.stretches(t) if t else [] for t in texts]
-        n = np.array([len(p) for p in parts], np.int64)
-        coded = pa.array([s for p in parts for s in p], pa.string()).dictionary_encode()
+    def __init__(self, aligner: Aligner, texts: pa.ChunkedArray, n_buckets: int):
+        texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+        some = pc.fill_null(pc.greater(pc.binary_length(texts), 0), False)
+        led = pc.if_else(some, pc.binary_join_element_wise(pa.scalar(" "), pc.fill_null(texts, ""), pa.scalar("")), "")
+        data, offsets = utf8(led)
+        self.n_docs, filled = len(texts), np.diff(offsets) > 0
+        starts = np.union1d(offsets[:-1][filled], stretch_starts(data) if aligner.in_stretches else [])
+        coded = _slices(pa.py_buffer(np.ascontiguousarray(data)), np.r_[starts, len(data)].astype(np.int64)).dictionary_encode()
         self.code = coded.indices.to_numpy().astype(np.int64)
-        self.aligned = aligner.align(coded.dictionary.to_pylist())
-        self.doc = np.repeat(np.arange(len(texts)), n)
-        unsound = np.array([not x.sound for x in self.aligned], bool)
-        bad = np.bincount(self.doc, weights=unsound[self.code] if len(self.code) else None, minlength=len(texts)) > 0
-        self.sound = ~bad & (n > 0)
+        self.doc = np.searchsorted(offsets, starts, "right") - 1
+        parts = coded.dictionary.to_pylist()
+        numbers = aligner.numbers(parts)
+        sound = aligner.sound[numbers]
+        bad = np.zeros(self.n_docs, bool)
+        bad[self.doc[~sound[self.code]]] = True
+        self.sound = ~bad & filled
         live = self.sound[self.doc]
-        self.code, self.doc, self.n_docs = self.code[live], self.doc[live], len(texts)
-        self.times = np.bincount(self.code, minlength=len(self.aligned))
-        used = [x.pairs if k else x.pairs[:0] for x, k in zip(self.aligned, self.times, strict=True)]
-        self.of_stretch = np.repeat(np.arange(len(used)), [len(p) for p in used])
-        pairs = np.concatenate(used) if used else np.zeros(0, U)
+        self.code, self.doc = self.code[live], self.doc[live]
+        self.times = np.bincount(self.code, minlength=len(parts))
+        # Stretches that stand in sound texts, as one long text.
+        used = np.flatnonzero(self.times)
+        self.n_stretches = len(parts)
+        (a, n_a), (b, n_b) = aligner.a.of(numbers[used]), aligner.b.of(numbers[used])
+        first, last = links(np.cumsum(aligner.a.length[a]), np.cumsum(aligner.b.length[b]))
+        self._ends = unspanned(first, last, len(b))
+        self._tokens, self._last = (a, b), last
+        n_links = last - first + 1
+        pairs = np.repeat(a.astype(U), n_links) << U(32) | b[_ranges(first, n_links)].astype(U)
+        self.of_stretch = np.repeat(np.repeat(used, n_a), n_links)
+        self.per = {name: np.bincount(of, minlength=self.n_stretches) for name, of in (("n_a", np.repeat(used, n_a)), ("n_b", np.repeat(used, n_b)), ("n_groups", np.repeat(used, n_b)[self._ends]), ("n_links", self.of_stretch))}
         # Buckets by a hash, so that pairs of a frequent token are spread.
-        bucket = mix(pairs) >> U(65 - n_buckets.bit_length())
-        order = np.lexsort((pairs, bucket))
-        s, sb = pairs[order], bucket[order].astype(np.int64)
-        new = np.r_[True, s[1:] != s[:-1]] if len(s) else np.zeros(0, bool)
-        self.keys, self.bucket = s[new], sb[new]
-        self.slot = np.empty(len(s), np.int64)
-        self.slot[order] = np.cumsum(new) - 1
+        unique, self.slot = np.unique(pairs, return_inverse=True)
+        bucket = (mix(unique) >> U(65 - n_buckets.bit_length())).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        self.keys, self.bucket, self.slot = unique[order], bucket[order], back[self.slot]
 
     def counts(self) -> np.ndarray:
         return np.bincount(self.slot, weights=self.times[self.of_stretch], minlength=len(self.keys)).astype(np.int64)
@@ -160,17 +249,35 @@ class Chunk:
         return list(zip(self.bucket[at].tolist(), at.tolist(), np.r_[at[1:], len(self.bucket)].tolist(), strict=True))
 
     def by_doc(self, per_stretch: np.ndarray) -> np.ndarray:
-        return np.bincount(self.doc, weights=per_stretch[self.code] if len(self.code) else None, minlength=self.n_docs).astype(np.int64)
+        """Sums of whole numbers (exact: below 2**53)."""
+        return np.bincount(self.doc, weights=per_stretch[self.code], minlength=self.n_docs).astype(np.int64)
 
     def by_stretch(self, per_key: np.ndarray) -> np.ndarray:
-        sums = np.zeros(len(self.aligned), np.int64)
-        np.add.at(sums, self.of_stretch, per_key[self.slot])
-        return sums
+        return np.bincount(self.of_stretch, weights=per_key[self.slot], minlength=self.n_stretches).astype(np.int64)
+
+    def groups(self, aligner: Aligner) -> list[str]:
+        """Of each document: `a1,a2|b1;a3|b2,b3`."""
+        a, b = self._tokens
+        group_b = np.cumsum(self._ends) - self._ends
+        group_a = group_b[self._last] if len(a) else np.zeros(0, np.int64)
+        ends_a = np.r_[group_a[1:] != group_a[:-1], True] if len(a) else np.zeros(0, bool)
+        index = np.r_[np.choose(ends_a, aligner.shown_at["a"]) + a, np.choose(self._ends, aligner.shown_at["b"]) + b]
+        order = np.lexsort((np.r_[np.zeros(len(a)), np.ones(len(b))], np.r_[group_a, group_b]))
+        items = aligner.shown.take(pa.array(index[order]))
+        ends = np.cumsum(pc.binary_length(items).to_numpy()) if len(items) else np.zeros(0, np.int64)
+        n_items = self.per["n_a"] + self.per["n_b"]
+        bounds = np.r_[0, ends][np.r_[0, np.cumsum(n_items)]]
+        data, offsets = utf8(items)
+        each = _slices(pa.py_buffer(np.ascontiguousarray(data)), bounds).take(pa.array(self.code))
+        length = pc.binary_length(each).to_numpy() if len(each) else np.zeros(0, np.int64)
+        whole = np.r_[0, np.cumsum(np.bincount(self.doc, weights=length, minlength=self.n_docs))].astype(np.int64)
+        joined = _slices(each.buffers()[2] or pa.py_buffer(b""), whole)
+        return [t[:-1] for t in joined.to_pylist()]
 
 
 def _emit(aligner: Callable[[], Aligner], n_buckets: int):
     def emit(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        c = Chunk(aligner(), table.column("text").to_pylist(), n_buckets)
+        c = Chunk(aligner(), table.column("text"), n_buckets)
         counts = c.counts()
         rows = [(b, pack_sorted(c.keys[i:j]), pack(counts[i:j].astype(U))) for b, i, j in c.cut()]
         trim()
@@ -208,16 +315,13 @@ def _reduce(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 
 def _score(aligner: Callable[[], Aligner], n_buckets: int, best: np.ndarray, with_groups: bool):
     def score(_key: tuple[pa.Scalar, ...], table: pa.Table, replies: pa.Table) -> pa.Table:
-        c = Chunk(aligner(), table.column("text").to_pylist(), n_buckets)
+        c = Chunk(aligner(), table.column("text"), n_buckets)
         blobs = dict(zip(replies.column("bucket").to_pylist(), replies.column("data").to_pylist(), strict=True))
         parts = [unpack(blobs[b]).astype(np.int64) for b, _, _ in c.cut()]
         total = np.concatenate(parts) if parts else np.zeros(0, np.int64)
         is_best = (total == best[(c.keys & U(0xFFFFFFFF)).astype(np.int64)]).astype(np.int64)
-        per = [np.array([getattr(x, name) for x in c.aligned], np.int64) for name in ("n_a", "n_b", "n_groups")]
-        per += [np.array([len(x.pairs) for x in c.aligned], np.int64), c.by_stretch(is_best), c.by_stretch(total)]
-        ends = np.searchsorted(c.doc, np.arange(c.n_docs + 1))
-        shown = [x.shown for x in c.aligned]
-        groups_of = [";".join([shown[k] for k in c.code[i:j].tolist()]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+        per = [*c.per.values(), c.by_stretch(is_best), c.by_stretch(total)]
+        groups_of = c.groups(aligner())
         digests = [hashlib.sha256(g.encode()).hexdigest() if ok else "" for g, ok in zip(groups_of, c.sound, strict=True)]
         names = [f.split()[0] for f in RESULT.split(", ")]
         columns = [table.column("doc_id"), *[pa.array(c.by_doc(x)) for x in per], pa.array(digests, pa.string())]

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,9 +190,15 @@ def test_alignment(spark, paths):
 
 
 def test_groups_end_where_no_token_spans():
-    spans = token_alignment.links([2, 5, 6], [1, 3, 5, 6])
-    assert spans == [(0, 1), (1, 2), (3, 3)]
-    assert token_alignment.groups(spans, 4) == [(2, 3), (3, 4)]
+    first, last = token_alignment.links(np.array([2, 5, 6]), np.array([1, 3, 5, 6]))
+    assert (first.tolist(), last.tolist()) == ([0, 1, 3], [1, 2, 3])
+    assert token_alignment.unspanned(first, last, 4).tolist() == [False, False, True, True]
+
+
+def test_stretches_start_between_visible_characters():
+    text = "a b\nc  d \n e\u3000 f\u00a0 g é 日 ü\u0085 h \x1c i\U0001f600 j 1"
+    data = np.frombuffer(text.encode(), np.uint8)
+    assert [text.encode()[i:].decode()[:2] for i in token_alignment.stretch_starts(data)] == [" b", "\nc", " é", " 日", " ü", " 1"]
 
 
 def test_many_equal_rows_are_dealt_over_chunks(spark, paths):
