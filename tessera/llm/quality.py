@@ -34,6 +34,8 @@ JUDGED_WORDS = 50
 #: Limits of the distances: constant + room / sqrt(words).
 CHAR_LIMIT, WORD_LIMIT = (0.15, 1.5), (0.28, 2.0)
 BROADCAST_LANGUAGES = 5_000
+#: Low bits of hashes by which common words are found.
+SLOTS = 1024
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -47,11 +49,11 @@ def words_of(text: Column) -> Column:
 
 
 def class_counts(text: Column) -> Column:
-    """Characters of each class, and those of none (array of long)."""
+    """n: characters of each class, and those of none (array of long); rest: the characters of none."""
 
     def cut(left: Column, classes: tuple[str, ...], counts: tuple[Column, ...]) -> Column:
         if not classes:
-            return F.array(*counts, F.char_length(left).cast("long"))
+            return F.struct(F.array(*counts, F.char_length(left).cast("long")).alias("n"), left.alias("rest"))
         rest = F.regexp_replace(left, classes[0], "")
         return let(rest, lambda r: cut(r, classes[1:], (*counts, (F.char_length(left) - F.char_length(r)).cast("long"))))
 
@@ -63,15 +65,17 @@ def _texts(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def language_references(docs: DataFrame, common: float = COMMON, least_words: int = REFERENCE_WORDS) -> DataFrame:
-    """(lang, chars, words, shares): per language the shares of character classes, the hashes of its common words in
-    order of their numbers and their shares; a row with lang null for all languages together.
+    """(lang, chars, words, shares, slots): per language the shares of character classes, the hashes of its common words in
+    order of their numbers, their shares, and by the low bits of a hash the one word's number that has them (0: none, -1:
+    several); a row with lang null for all languages together.
 
     Rows with lang null count for all languages only. An empty table gives no row.
     """
     texts = _texts(docs)
     counts = texts.select("lang", F.explode(words_of(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     counts = runtime.written(counts, "word-counts")
-    chars = texts.select("lang", class_counts(F.col("text")).alias("c")).groupBy("lang").agg(*[F.sum(F.get("c", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES) + 1)])
+    counted = texts.select("lang", class_counts(F.col("text")).alias("c"))
+    chars = runtime.checkpoint(counted.groupBy("lang").agg(*[F.sum(F.get("c.n", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES) + 1)]))
     every = chars.groupBy().agg(*[F.sum(c).alias(c) for c in chars.columns[1:]])
     chars = chars.filter("lang is not null").unionByName(every.select(F.lit(None).cast("string").alias("lang"), *chars.columns[1:]))
     together = counts.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), "word", "n")
@@ -85,9 +89,17 @@ def language_references(docs: DataFrame, common: float = COMMON, least_words: in
     words = words.groupBy("lang").agg(F.first("total").alias("total"), entries.alias("e")).filter(F.col("lang").isNull() | (F.col("total") >= least_words))
     sums = [F.col(f"k.{c}") for c in chars.columns[1:]]
     all_chars = sum(sums[1:], sums[0])
-    return runtime.checkpoint(
-        chars.alias("k").join(words.alias("w"), F.col("k.lang").eqNullSafe(F.col("w.lang"))).select("k.lang", F.array(*[x / all_chars for x in sums]).alias("chars"), F.col("e.h").alias("words"), F.col("e.share").alias("shares"))
-    )
+    refs = chars.alias("k").join(words.alias("w"), F.col("k.lang").eqNullSafe(F.col("w.lang")))
+    refs = refs.select("k.lang", F.array(*[x / all_chars for x in sums]).alias("chars"), F.col("e.h").alias("words"), F.col("e.share").alias("shares"))
+    return runtime.checkpoint(refs.withColumn("slots", _slots(F.col("words"))))
+
+
+def _slots(words: Column) -> Column:
+    def of(b: Column) -> Column:
+        fits = F.filter(F.transform(words, lambda w, i: F.when(w.bitwiseAND(F.lit(SLOTS - 1)) == b, i + 1)), lambda i: i.isNotNull())
+        return let(fits, lambda f: F.when(F.size(f) == 0, 0).when(F.size(f) == 1, F.get(f, F.lit(0))).otherwise(-1))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), of)
 
 
 def _sum(numbers: Column) -> Column:
@@ -108,9 +120,16 @@ def char_distance(counts: Column, reference: Column) -> Column:
     return let(total, lambda n: F.when(n > 0, _distance(_sum(F.zip_with(counts, reference, lambda c, q: _part(c / n, q))))))
 
 
-def word_distance(hashes: Column, words: Column, shares: Column) -> Column:
+def word_distance(hashes: Column, reference: Column) -> Column:
     """Jensen-Shannon distance of the common words among `hashes` (all others are one outcome) from a reference."""
-    number = F.sort_array(F.filter(F.transform(hashes, lambda h: F.array_position(words, h)), lambda k: k > 0))
+    words, shares = reference["words"], reference["shares"]
+
+    def number_of(h: Column) -> Column:
+        slot = F.get(reference["slots"], h.bitwiseAND(F.lit(SLOTS - 1)).cast("int"))
+        one = F.when(F.get(words, slot - 1) == h, slot).otherwise(0)
+        return F.when(slot == 0, 0).when(slot > 0, one).otherwise(F.array_position(words, h).cast("int"))
+
+    number = F.sort_array(F.filter(F.transform(hashes, number_of), lambda k: k > 0))
 
     def over_runs(s: Column, n: Column) -> Column:
         """s: numbers of the common words that occur, in order."""
@@ -129,12 +148,18 @@ def word_distance(hashes: Column, words: Column, shares: Column) -> Column:
 
 
 def repeated_words(hashes: Column, words: Column, width: int = WINDOW) -> Column:
-    """Words covered by windows of `width` words that occur more than once (all occurrences).
+    """Words covered by windows of `width` words (a power of two) that occur more than once (all occurrences).
 
     Windows are told apart by hashes. Only where two are alike, the windows are sorted as words.
     """
-    starts = F.sequence(F.lit(0), F.size(hashes) - width)
-    alike = F.transform(starts, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(width)]))
+
+    def doubled(windows: Column, at: int) -> Column:
+        """Hashes of windows of 2 * at words from those of at words: each with the one that begins behind it."""
+        n = F.size(windows) - at
+        wider = F.zip_with(F.slice(windows, F.lit(1), n), F.slice(windows, F.lit(at + 1), n), lambda a, b: F.xxhash64(a, b))
+        return wider if 2 * at == width else let(wider, lambda w: doubled(w, 2 * at))
+
+    alike = doubled(hashes, 1)
 
     def covered(s: Column) -> Column:
         same = lambda a, b: F.coalesce(F.get(s, a)["w"] == F.get(s, b)["w"], F.lit(False))
@@ -167,9 +192,9 @@ def judge(docs: DataFrame, references: DataFrame | None = None) -> DataFrame:
     side = F.broadcast(refs) if refs.count() <= BROADCAST_LANGUAGES else refs
     texts = _texts(docs, F.col("doc_id").cast("long").alias("doc_id"))
     own = side.filter("lang is not null").alias("o")
-    every = F.broadcast(refs.filter("lang is null").select(F.lit(True).alias("has"), F.struct("chars", "words", "shares").alias("e"))).alias("a")
+    every = F.broadcast(refs.filter("lang is null").select(F.lit(True).alias("has"), F.struct("chars", "words", "shares", "slots").alias("e"))).alias("a")
     # The reference of all languages is one row.
-    found = texts.alias("d").join(own, F.col("d.lang") == F.col("o.lang"), "left").select("d.*", F.when(F.col("o.lang").isNotNull(), F.struct("o.chars", "o.words", "o.shares")).alias("ref"))
+    found = texts.alias("d").join(own, F.col("d.lang") == F.col("o.lang"), "left").select("d.*", F.when(F.col("o.lang").isNotNull(), F.struct("o.chars", "o.words", "o.shares", "o.slots")).alias("ref"))
     found = found.withColumn("has", F.lit(True)).alias("f").join(every, F.col("f.has") == F.col("a.has"), "left").select("f.doc_id", "f.text", F.coalesce("f.ref", "a.e").alias("ref"))
     text, ref = F.col("text"), F.col("ref")
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != "")
@@ -177,22 +202,25 @@ def judge(docs: DataFrame, references: DataFrame | None = None) -> DataFrame:
     def measured(w: Column, h: Column) -> Column:
         return F.struct(
             F.size(w).cast("long").alias("n_words"),
-            F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
             repeated_words(h, w).alias("n_repeat_words"),
-            word_distance(h, ref["words"], ref["shares"]).alias("word_distance"),
+            word_distance(h, ref).alias("word_distance"),
         )
 
     measures = let(words_of(text), lambda w: let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: measured(w, h)))
+    def characters(c: Column) -> Column:
+        total = F.aggregate(c["n"], F.lit(0).cast("long"), lambda a, x: a + x)
+        symbols = F.char_length(c["rest"]) - F.char_length(F.translate(c["rest"], SYMBOLS, ""))  # of no class
+        return F.struct((total - F.get(c["n"], F.lit(CLASSES.index(f"[{SPACE}]+")))).alias("word_chars"), symbols.cast("long").alias("n_symbols"), char_distance(c["n"], ref["chars"]).alias("char_distance"))
+
     out = found.select(
         "doc_id",
         measures.alias("m"),
-        (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        let(class_counts(text), characters).alias("c"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        let(class_counts(text), lambda c: char_distance(c, ref["chars"])).alias("char_distance"),
     )
     n = F.col("n_words")
     failed = (n < MIN_WORDS) | (F.col("n_repeat_words") * 100 > n * round(100 * MAX_REPEATED))
     limit = lambda x: x[0] + x[1] / F.sqrt(n)
     far = (n >= JUDGED_WORDS) & ((F.col("char_distance") > limit(CHAR_LIMIT)) | (F.col("word_distance") > limit(WORD_LIMIT)))
-    out = out.select("doc_id", "m.n_words", "m.word_chars", "n_symbols", "n_dup_lines", "m.n_repeat_words", "char_distance", "m.word_distance")
+    out = out.select("doc_id", "m.n_words", "c.word_chars", "c.n_symbols", "n_dup_lines", "m.n_repeat_words", "c.char_distance", "m.word_distance")
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
