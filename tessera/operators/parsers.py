@@ -1,56 +1,25 @@
 """Definitions, references and inheritance from source text, as Arrow batches of one row per finding.
 
-Python sources go through the standard library's syntax tree. Other languages go through line patterns, which see
-definitions and calls but no nesting beyond that of lines; see the README.
+Python sources go through the standard library's syntax tree, those of the other languages through tokens and brackets.
 """
 
 from __future__ import annotations
 
 import ast
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.functions.text import BUILTIN_NAMES
+from tessera.operators import lexer
 
 FOUND = "file_path string, what string, kind string, name string, start_line int, end_line int, within string, signature string, qualifier string"
 
-# Fixed patterns: kind and name of a definition on its first line.
-_CLIKE = [("class", r"\bclass\s+(\w+)"), ("trait", r"\binterface\s+(\w+)"), ("enum", r"\benum\s+(?:class\s+)?(\w+)"), ("struct", r"\b(?:struct|record|union)\s+(\w+)")]
-_METHOD = ("function", r"^\s*(?:[\w<>\[\],:*&~]+\s+)+[*&]*(\w+)\s*\([^;]*$")
-PATTERNS = {
-    "rust": [("function", r"\bfn\s+(\w+)"), ("struct", r"\bstruct\s+(\w+)"), ("enum", r"\benum\s+(\w+)"), ("trait", r"\btrait\s+(\w+)"), ("type_alias", r"\btype\s+(\w+)\s*[=<]")],
-    "javascript": [("function", r"\bfunction\s*\*?\s*(\w+)"), ("class", r"\bclass\s+(\w+)"), ("method", r"^\s+(?:async\s+)?(\w+)\s*\([^)]*\)\s*\{")],
-    "typescript": [("function", r"\bfunction\s*\*?\s*(\w+)"), ("class", r"\bclass\s+(\w+)"), ("trait", r"\binterface\s+(\w+)"), ("type_alias", r"\btype\s+(\w+)\s*="), ("enum", r"\benum\s+(\w+)")],
-    "go": [("method", r"^func\s*\([^)]*\)\s*(\w+)"), ("function", r"^func\s+(\w+)"), ("struct", r"^type\s+(\w+)\s+struct")],
-    "java": [*_CLIKE, _METHOD],
-    "csharp": [*_CLIKE, _METHOD],
-    "c": [*_CLIKE, _METHOD],
-    "cpp": [*_CLIKE, _METHOD],
-}
-HERITAGE = {
-    "rust": r"\bimpl(?:<[^>]*>)?\s+(?P<base>\w+)(?:<[^>]*>)?\s+for\s+(?P<type>\w+)",
-    "java": r"\bclass\s+(?P<type>\w+).*?\b(?:extends|implements)\s+(?P<base>\w+)",
-    "javascript": r"\bclass\s+(?P<type>\w+)\s+extends\s+(?P<base>\w+)",
-    "typescript": r"\bclass\s+(?P<type>\w+)\s+(?:extends|implements)\s+(?P<base>\w+)",
-    "cpp": r"\b(?:class|struct)\s+(?P<type>\w+)\s*:\s*(?:public|private|protected)?\s*(?P<base>\w+)",
-    "csharp": r"\bclass\s+(?P<type>\w+)\s*:\s*(?P<base>\w+)",
-}
-_CALL = re.compile(r"\b([A-Za-z_]\w*)\s*\(")
-_WORDS = {"if", "for", "while", "switch", "return", "catch", "sizeof", "fn", "function", "def", "func", "match", "new"}
-
-_QUALIFIED = re.compile(r"\b([A-Z]\w*)\s*(?:::|\.|->)\s*(\w+)\s*\(")
-_TYPE = re.compile(r"\b([A-Z]\w+)\b(?!\s*\()")
-_INHERENT = re.compile(r"^\s*impl(?:<[^>]*>)?\s+(\w+)(?:<[^>]*>)?\s*(?:where\b.*)?\{")
-
-#: what, kind, name, first and last line, enclosing definition (of impl: the type), signature, qualifier.
-Row = tuple[str, str, str | None, int, int, str | None, str | None, str | None]
+Row = lexer.Row
 
 
 def _named(name: str | None) -> bool:
-    return bool(name) and len(name.encode()) > 1 and name not in BUILTIN_NAMES
+    return lexer.kept(name)
 
 
 def _python(text: str) -> list[Row]:
@@ -83,52 +52,12 @@ def _python(text: str) -> list[Row]:
     return out
 
 
-def _patterned(text: str, language: str) -> list[Row]:
-    out: list[Row] = []
-    within: list[tuple[int, str]] = []
-    lines = text.splitlines()
-
-    def block_end(n: int, depth: int) -> int:
-        """The line that closes what begins on line n: the next one at most as deep that begins with a brace."""
-        return next((j + 1 for j in range(n, len(lines)) if lines[j].strip().startswith("}") and len(lines[j]) - len(lines[j].lstrip()) <= depth), n)
-
-    for n, line in enumerate(lines, 1):
-        depth = len(line) - len(line.lstrip())
-        bare = re.sub(r"//.*|\"(?:\\.|[^\"\\])*\"", "", line)
-        if bare.strip() and not bare.strip().startswith("}"):
-            while within and within[-1][0] >= depth:
-                within.pop()
-        owner = within[-1][1] if within else None
-        m = re.search(HERITAGE[language], bare) if language in HERITAGE else None
-        inherent = _INHERENT.search(bare) if language == "rust" and not m else None
-        if m:
-            out.append(("impl", "implements", m["base"], n, block_end(n, depth), m["type"], None, None))
-        elif inherent:
-            out.append(("impl", "implements", None, n, block_end(n, depth), inherent[1], None, None))
-        found = next(((k, d[1]) for k, p in PATTERNS[language] if (d := re.search(p, bare)) and d[1] not in _WORDS), None)
-        if found:
-            kind = "method" if found[0] == "function" and language == "rust" and depth and within and within[-1][1].startswith("impl ") else found[0]
-            out.append(("def", kind, found[1], n, block_end(n, depth), None if owner is None else owner.removeprefix("impl "), line.strip(), None))
-            within.append((depth, found[1]))
-        elif (m or inherent) and language == "rust":
-            within.append((depth, "impl " + (m["type"] if m else inherent[1])))
-        place = found[1] if found else None if owner is None else owner.removeprefix("impl ")
-        qualifiers = {name: of for of, name in _QUALIFIED.findall(bare)}
-        for c in _CALL.findall(bare):
-            if _named(c) and c not in _WORDS and (not found or c != found[1]):
-                out.append(("ref", "calls", c, n, n, place, None, qualifiers.get(c)))
-        for t in _TYPE.findall(bare):
-            if _named(t) and not (found and t == found[1]) and not m and not inherent:
-                out.append(("ref", "references", t, n, n, place, None, None))
-    return out
-
-
 def parse(text: str, language: str | None) -> list[Row]:
     """(what: def, ref, impl or skipped; kind, name, first and last line, enclosing definition, signature, qualifier)."""
     try:
         if language == "python":
             return _python(text)
-        return _patterned(text, language) if language in PATTERNS else []
+        return lexer.rows(text, language) if language in lexer.LANGUAGES else []
     except (SyntaxError, ValueError, RecursionError):
         return [("skipped", "", "", 0, 0, None, None, None)]
 
