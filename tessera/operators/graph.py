@@ -112,33 +112,38 @@ def _picked(rows: DataFrame, limit: int) -> DataFrame:
     return out.filter(F.col("rank") <= limit).select("qid", "id", "status", "score", "rank", "total")
 
 
-def _scored(asked: DataFrame, candidates: DataFrame, few: bool) -> DataFrame:
-    """Every candidate of each question (question, name, file_path, prefer, q) with its score, and what ties go by.
+#: What a candidate's score depends on besides its place, and the places a question looks at, the nearest first.
+FEATURES = ("kind", "named_file", "is_test", "example")
+NEAR = (SAME_FILE, SAME_DIRECTORY, SAME_TOP, 0)
 
-    What depends on one side alone is worked out before the sides meet.
+
+def _placed(candidates: DataFrame) -> DataFrame:
+    """A row for each candidate and level: at is its file, its directory, its top directory, and the same for all."""
+    path = F.col("file_path")
+    c = candidates.select("id", "name", "kind", "file_path", (F.lower(P.stem(path)) == F.lower("name")).alias("named_file"), P.is_test(path).alias("is_test"), F.contains(path, F.lit("examples/")).alias("example"), F.xxhash64(P.top_segment(path)).alias("top"))
+    return c.select("*", F.posexplode(F.array(path, P.directory(path), P.top_segment(path), F.lit(""))).alias("level", "at"))
+
+
+def _classes(placed: DataFrame, *more: str) -> DataFrame:
+    """Candidates of a name at a place that are alike in all features, as one row with their number: a few for a place."""
+    return placed.groupBy(*more, "name", "level", "at", *FEATURES).agg(F.count("*").alias("n"), F.min("top").alias("low"), F.max("top").alias("high"))
+
+
+def _score() -> Column:
+    """Of a class of candidates for a question, as far as its level tells.
+
+    A candidate counts at its own level and, with a lower score, at the levels further out. So the best score is right,
+    and whoever has it has it once: what is nearer or of the qualifying type would have a better one.
     """
-    path, here = F.col("path"), F.col("file_path")
-    c = candidates.select("id", "name", "kind", F.col("file_path").alias("path"))
-    types = c.filter(F.col("kind").isin(P.TYPE_KINDS)).select(F.col("name").alias("q"), "path", F.lit(QUALIFIED).alias("of_type")).distinct()
-    c = c.select("*", P.directory(path).alias("directory"), P.top_segment(path).alias("top"), (F.lower(P.stem(path)) == F.lower("name")).alias("named_file"), P.is_test(path).alias("is_test"), F.contains(path, F.lit("examples/")).alias("example"), F.xxhash64(P.top_segment(path)).alias("top_hash"))
-    types_wanted = F.arrays_overlap("prefer", F.array(*[F.lit(k) for k in P.TYPE_KINDS]))
-    sides = asked.select("*", P.directory(here).alias("own_directory"), P.top_segment(here).alias("own_top"), types_wanted.alias("types_wanted"), F.contains(here, F.lit("examples/")).alias("own_example"))
-    met = sides.join(F.broadcast(c) if few else c, "name")
-    qualified = met.filter("q <> ''").join(F.broadcast(types) if few else types, ["q", "path"], "left")
-    rows = met.filter("q = ''").withColumn("of_type", F.lit(0)).unionByName(qualified)
-    near = F.when(here == path, SAME_FILE).when(F.col("own_directory") == F.col("directory"), SAME_DIRECTORY).when(F.col("own_top") == F.col("top"), SAME_TOP).otherwise(0)
-    preferred = F.array_contains("prefer", F.col("kind"))
-    score = near + F.when(preferred, PREFERRED).otherwise(0) + F.coalesce("of_type", F.lit(0))
+    near = F.element_at(F.array(*[F.lit(n) for n in NEAR]), F.col("level") + 1)
+    score = near + F.when(F.col("preferred"), PREFERRED).otherwise(0) + F.when(F.col("of_type"), QUALIFIED).otherwise(0)
     score = score + F.when(F.col("types_wanted") & F.col("named_file"), NAMED_FILE).otherwise(0)
-    score = score - F.when(F.col("is_test") & (here != path), TEST_PENALTY).otherwise(0)
-    score = score - F.when(F.col("example") & ~F.col("own_example"), EXAMPLE_PENALTY).otherwise(0)
-    return rows.select("question", "id", score.alias("score"), preferred.alias("preferred"), (here == path).alias("here"), F.col("top_hash").alias("top"))
+    score = score - F.when(F.col("is_test") & (F.col("level") > 0), TEST_PENALTY).otherwise(0)
+    return score - F.when(F.col("example") & ~F.col("own_example"), EXAMPLE_PENALTY).otherwise(0)
 
 
 ASKED = ("name", "file_path", "prefer", "q")
-#: Resolved questions up to this many are broadcast to their candidates.
-BROADCAST_QUESTIONS = 500_000
-#: Candidates up to this many are broadcast to the questions.
+#: Classes of candidates up to this many are broadcast to the questions.
 BROADCAST_CANDIDATES = 200_000
 
 
@@ -150,31 +155,53 @@ def resolve(refs: DataFrame, candidates: DataFrame) -> DataFrame:
     none. Of several best: in the caller's own file the first few by id; else one of a preferred kind; else the
     preferred ones, or all, if two, or if a few of one top directory.
 
-    References that differ in neither name, file, kinds nor qualifier mean the same: each such question is scored once.
-    Its best score and what the rules ask of the best are sums by score, combined before they are shuffled.
+    References that differ in neither name, file, kinds nor qualifier mean the same: each such question is scored once,
+    against classes of candidates at its file, its directory, its top directory and everywhere, of which a place has a
+    few; candidates themselves are met only where the rules let them count. No pairs of all with all are formed.
     """
     refs = refs.select("ref_id", "name", "file_path", "prefer", F.coalesce("qualifier", F.lit("")).alias("q"))
     questions = refs.select(*ASKED).distinct().repartition(refs.sparkSession.sparkContext.defaultParallelism, *ASKED)
     asked = cut(questions.withColumn("question", F.monotonically_increasing_id()))
-    # Few bytes of names and candidates make many pairs: where candidates are broadcast, pairs stay dealt by question.
-    candidates = cut(candidates.select("id", "name", "kind", "file_path"))
-    scored = _scored(asked, candidates, candidates.count() <= BROADCAST_CANDIDATES)
-    wanted = F.when(F.col("preferred"), F.col("top"))
-    sums = scored.groupBy("question", "score").agg(F.count("*").alias("n"), F.min("here").alias("here"), F.count_if("preferred").alias("n_preferred"), F.min("top").alias("low"), F.max("top").alias("high"), F.min(wanted).alias("low_preferred"), F.max(wanted).alias("high_preferred"))
-    best = sums.groupBy("question").agg(F.sum("n").alias("all"), F.max(F.struct("score", "n", "here", "n_preferred", "low", "high", "low_preferred", "high_preferred")).alias("b")).select("question", "all", "b.*")
+    placed = cut(_placed(candidates))
+    classes = _classes(placed)
+    here = F.col("file_path")
+    types_wanted = F.arrays_overlap("prefer", F.array(*[F.lit(k) for k in P.TYPE_KINDS]))
+    sides = asked.select("question", "name", "q", "prefer", types_wanted.alias("types_wanted"), F.contains(here, F.lit("examples/")).alias("own_example"), F.posexplode(F.array(here, P.directory(here), P.top_segment(here), F.lit(""))).alias("level", "at"))
+    found = sides.join(_few(classes), ["name", "level", "at"]).withColumn("of_type", F.lit(False))
+    # A qualifier favours the definitions in files that define a type of its name.
+    pairs = asked.filter("q <> ''").select("q", "name").distinct()
+    types = placed.filter((F.col("level") == 0) & F.col("kind").isin(P.TYPE_KINDS)).select(F.col("name").alias("q"), "file_path").distinct()
+    of_type = placed.join(types, "file_path").join(_few(pairs), ["q", "name"])
+    qualified = sides.filter("q <> ''").join(_few(_classes(of_type, "q")), ["q", "name", "level", "at"]).withColumn("of_type", F.lit(True))
+    scored = found.unionByName(qualified).withColumn("preferred", F.array_contains("prefer", F.col("kind")))
+    scored = scored.select("question", "name", "q", _score().alias("score"), "n", "low", "high", "preferred", (F.col("level") == 0).alias("here"), F.struct("level", "at", *FEATURES, "of_type", "preferred").alias("class"))
+    only = lambda c: F.when(F.col("preferred"), F.col(c))
+    sums = scored.groupBy("question", "name", "q", "score").agg(F.sum("n").alias("n"), F.min("here").alias("here"), F.coalesce(F.sum(only("n")), F.lit(0)).alias("n_preferred"), F.min("low").alias("low"), F.max("high").alias("high"), F.min(only("low")).alias("low_preferred"), F.max(only("high")).alias("high_preferred"), F.collect_list("class").alias("classes"))
+    best = sums.groupBy("question", "name", "q").agg(F.max_by(F.struct(*[c for c in sums.columns if c not in ("question", "name", "q")]), F.col("score")).alias("b")).select("question", "name", "q", "b.*")
+    per_name = classes.filter("level = 3").groupBy("name").agg(F.sum("n").alias("all"))
+    best = best.join(_few(per_name), "name")
     some = F.col("n_preferred") > 0
     pool = F.when(some, F.col("n_preferred")).otherwise(F.col("n"))
     one_top = F.when(some, F.col("low_preferred") == F.col("high_preferred")).otherwise(F.col("low") == F.col("high"))
     rule = F.when((F.col("all") == 1) | ((F.col("n") == 1) & (F.col("score") >= 0)), "all").when(F.col("score") < 0, None)
     rule = rule.when(F.col("here"), "here").when((F.col("n_preferred") == 1) | (pool == 2) | ((pool <= TIES) & one_top), F.when(some, "preferred").otherwise("all"))
-    best = cut(best.select("question", "score", rule.alias("rule")).filter("rule is not null"))
-    best = F.broadcast(best) if best.count() <= BROADCAST_QUESTIONS else best
-    kept = scored.join(best, ["question", "score"]).filter("rule <> 'preferred' or preferred")
+    best = best.select("question", "name", "q", "score", rule.alias("rule"), "classes").filter("rule is not null")
+    # The few that count are looked up by their class.
+    wanted = cut(best.select("question", "name", "q", "score", "rule", F.explode("classes").alias("c")).select("*", "c.*").drop("c").filter("rule <> 'preferred' or preferred"))
+    keys = ["name", "level", "at", *FEATURES]
+    met = wanted.filter("not of_type").join(placed, keys).select("question", "id", "score", "rule")
+    met = met.unionByName(wanted.filter("of_type").join(of_type, ["q", *keys]).select("question", "id", "score", "rule"))
     in_file = Window.partitionBy("question").orderBy("id")
-    kept = kept.withColumn("nth", F.row_number().over(in_file)).filter((F.col("rule") != "here") | (F.col("nth") <= TIES_IN_FILE))
+    kept = met.withColumn("nth", F.row_number().over(in_file)).filter((F.col("rule") != "here") | (F.col("nth") <= TIES_IN_FILE))
     return refs.join(asked, [*ASKED]).join(kept.select("question", "id", "score"), "question").select("ref_id", "id", "score")
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """Broadcast where a count shows that they are few."""
+    rows = cut(rows)
+    return F.broadcast(rows) if rows.count() <= BROADCAST_CANDIDATES else rows
+
+
 def innermost(points: DataFrame, spans: DataFrame, how: str = "inner") -> DataFrame:
     """Each point with the smallest span of its file that holds it; of equals the one that starts later, then by id.
 

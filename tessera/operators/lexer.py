@@ -235,8 +235,8 @@ class _File:
         split = next((j for j in range(begin, stop) if self.word(j) == "for"), None)
         of = self.names(begin if split is None else split + 1, stop)
         trait = self.names(begin, split)[-1:] if split is not None else []
-        if of and kept(of[-1]):
-            self.out.append(("impl", "implements", trait[0] if trait and kept(trait[0]) else None, self.tokens[i].line, self.tokens[last].line, of[-1], None, None))
+        if of and of[-1] not in BUILTIN_NAMES:
+            self.out.append(("impl", "implements", trait[0] if trait and trait[0] not in BUILTIN_NAMES else None, self.tokens[i].line, self.tokens[last].line, of[-1], None, None))
             self.spans.append((i, last, of[-1], "impl"))
 
     def function_at(self, i: int) -> None:
