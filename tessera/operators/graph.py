@@ -287,16 +287,40 @@ def changed_names(nodes: DataFrame, changes: DataFrame) -> DataFrame:
     return met.groupBy("anchor").agg(F.collect_set(F.when(T.names_word("diff", "name"), F.col("name"))).alias("changed"))
 
 
+#: Files with more neighbours than this are hubs: what lies beyond them is a bitmap.
+HUB = 64
+
+
 def reach(edges: DataFrame, nodes: DataFrame, kinds: tuple[str, ...] = ("calls", "references")) -> DataFrame:
-    """(file_path, hop1, hop2): numbers of other files within one and two edges of each file."""
+    """(file_path, hop1, hop2): numbers of other files within one and two edges of each file.
+
+    Two steps through a file of few neighbours are pairs, at most HUB for each edge. The neighbours of a hub are bitmaps
+    of file numbers by bucket, met once for each of its edges and joined by OR, so a hub of n neighbours costs n bitmaps
+    and not n * n pairs.
+    """
     of = nodes.select("id", "file_path")
-    pairs = edges.filter(F.col("kind").isin(*kinds)).join(of.select(F.col("id").alias("source"), F.col("file_path").alias("a")), "source").join(of.select(F.col("id").alias("target"), F.col("file_path").alias("b")), "target").select("a", "b")
-    hop1 = pairs.union(pairs.select("b", "a")).distinct().filter("a <> b")
+    files = cut(nodes.select("file_path").distinct().withColumn("at", F.monotonically_increasing_id() + 1))
+    place = of.join(files, "file_path").select("id", "at")
+    pairs = edges.filter(F.col("kind").isin(*kinds)).join(place.select(F.col("id").alias("source"), F.col("at").alias("a")), "source").join(place.select(F.col("id").alias("target"), F.col("at").alias("b")), "target").select("a", "b")
+    hop1 = cut(pairs.union(pairs.select("b", "a")).filter("a <> b").distinct())
+    one = cut(hop1.groupBy("a").agg(F.count("*").alias("hop1")))
+    hubs = one.filter(F.col("hop1") > HUB).select(F.col("a").alias("b"))
+    light, heavy = hop1.join(hubs, "b", "left_anti"), hop1.join(hubs, "b", "left_semi")
+    near_hub = heavy.select("a").distinct()
     further = hop1.select(F.col("a").alias("b"), F.col("b").alias("c"))
-    hop2 = hop1.join(further, "b").select("a", F.col("c").alias("b")).union(hop1).distinct().filter("a <> b")
-    one, two = (h.groupBy("a").agg(F.count("*").alias(n)) for h, n in ((hop1, "hop1"), (hop2, "hop2")))
-    out = nodes.select(F.col("file_path").alias("a")).distinct().join(one, "a", "left").join(two, "a", "left")
-    return out.select(F.col("a").alias("file_path"), F.coalesce("hop1", F.lit(0)).alias("hop1"), F.coalesce("hop2", F.lit(0)).alias("hop2"))
+    met = light.join(further, "b").select("a", F.col("c").alias("b")).union(hop1).filter("a <> b")
+    plain = met.join(near_hub, "a", "left_anti").distinct().groupBy("a").agg(F.count("*").alias("hop2"))
+
+    def bits(rows: DataFrame, *keys: str) -> DataFrame:
+        return rows.groupBy(*keys, F.bitmap_bucket_number("c").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("c")).alias("bits"))
+
+    beyond = heavy.join(bits(further.join(hubs, "b", "left_semi"), "b"), "b").select("a", "bucket", "bits")
+    own = bits(met.join(near_hub, "a", "left_semi").select("a", F.col("b").alias("c")), "a")
+    merged = beyond.union(own).groupBy("a", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    # A file lies among its hub's neighbours itself.
+    around = merged.groupBy("a").agg((F.sum(F.bitmap_count("bits")) - 1).alias("hop2"))
+    out = files.select(F.col("at").alias("a"), "file_path").join(one, "a", "left").join(plain.union(around), "a", "left")
+    return out.select("file_path", F.coalesce("hop1", F.lit(0)).alias("hop1"), F.coalesce("hop2", F.lit(0)).alias("hop2"))
 
 
 def file_symbols(nodes: DataFrame, asked: DataFrame) -> DataFrame:

@@ -5,30 +5,60 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tessera.functions import memory as M
+from tessera.operators import topk
 
 STATE = "stability double, recalled_at long, recalls long"
 
 
+#: After so many successes nothing within the range of a long is late: 7 days * 1.7 ** 64 are longer.
+FIRST = 64
+
+
 def folded(log: DataFrame, key: str, at: str) -> DataFrame:
     """(key, stability, recalled_at, recalls) after all recalls in order. log: key, at (unix seconds).
 
     The first event makes the record. A later one strengthens it if it was not forgotten by then; else it leaves it.
+
+    Stability depends on the number of successes alone, and an event that comes too late is followed by later ones: the
+    fold ends at the first gap that is too long. Gaps that are allowed grow with each success, so that only the FIRST
+    events of a key can have one; of the others their number and the last time are enough. All of that is combined
+    before it is shuffled, however many events a key has.
     """
-    per = log.groupBy(key).agg(F.array_sort(F.collect_list(F.col(at).cast("long"))).alias("ts"))
+    rows = log.filter(F.col(at).isNotNull()).select(F.col(key).alias("key"), F.col(at).cast("long").alias("t"))
+    heads = topk.first_k(rows, ["key"], [("t", "ascending")], FIRST)
+    per = heads.groupBy("key").agg(F.array_sort(F.collect_list("t")).alias("ts"), F.first("total").alias("n"))
+    last = rows.groupBy("key").agg(F.max("t").alias("last"))
+    per = per.alias("p").join(last.alias("l"), F.col("p.key").eqNullSafe(F.col("l.key"))).select("p.*", "l.last")
     start = F.struct(F.lit(M.BASE_STABILITY).alias("stability"), F.element_at("ts", 1).alias("recalled_at"), F.lit(0).cast("long").alias("recalls"))
 
     def step(s, t):
         kept = F.exp(-F.greatest((t - s["recalled_at"]) / F.lit(float(M.DAY)), F.lit(0.0)) / F.greatest(s["stability"], F.lit(M.LEAST_STABILITY)))
-        grown = F.struct((F.greatest(s["stability"], F.lit(M.BASE_STABILITY)) * M.GROWTH).alias("stability"), t.alias("recalled_at"), (s["recalls"] + 1).alias("recalls"))
+        grown = F.struct(_grown(s["stability"]).alias("stability"), t.alias("recalled_at"), (s["recalls"] + 1).alias("recalls"))
         return F.when(kept >= M.NEEDS_UPDATE, grown).otherwise(s)
 
-    done = F.aggregate(F.slice("ts", F.lit(2), F.size("ts")), start, step)
-    return per.select(key, done.alias("s")).select(key, "s.stability", "s.recalled_at", "s.recalls")
+    done = per.select("key", "n", "last", F.aggregate(F.slice("ts", F.lit(2), F.size("ts")), start, step).alias("s"))
+    # Nothing was late: all that come after the first ones count too.
+    on = (F.col("n") > FIRST) & (F.col("s.recalls") == FIRST - 1)
+    more = F.aggregate(F.sequence(F.lit(1).cast("long"), F.least(F.col("n") - FIRST, F.lit(INFINITE).cast("long"))), F.col("s.stability"), lambda x, _: _grown(x))
+    return done.select(
+        F.col("key").alias(key),
+        F.when(on, more).otherwise(F.col("s.stability")).alias("stability"),
+        F.when(on, F.col("last")).otherwise(F.col("s.recalled_at")).alias("recalled_at"),
+        F.when(on, F.col("n") - 1).otherwise(F.col("s.recalls")).alias("recalls"),
+    )
+
+
+#: So many successes on, stability is infinite.
+INFINITE = 1_400
+
+
+def _grown(stability: Column) -> Column:
+    return F.greatest(stability, F.lit(M.BASE_STABILITY)) * M.GROWTH
 
 
 class Reinforcement(StatefulProcessor):
