@@ -30,7 +30,7 @@ from tessera.llm.packing import pack, pack_sorted, unpack, unpack_sorted
 from tessera.llm.wordhash import U, mix, trim, utf8
 
 #: Stretches up to this many characters are remembered; so many stretches, or tokens, before a worker starts anew.
-REMEMBERED_CHARS, REMEMBERED, REMEMBERED_TOKENS = 64, 500_000, 6_000_000
+REMEMBERED_CHARS, REMEMBERED, REMEMBERED_TOKENS = 64, 1_000_000, 10_000_000
 
 # Fixed value: the pattern by which byte-level vocabularies split text.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -89,8 +89,8 @@ def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
 class Coder:
     """One tokenizer's tokens of stretches, remembered as ranges of one array."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], token_bytes: list[bytes]):
-        self._encode, self.bytes = encode, token_bytes
+    def __init__(self, token_bytes: list[bytes]):
+        self.bytes = token_bytes
         self.length = np.array([len(b) for b in token_bytes], np.int64)
         self.clear()
 
@@ -98,14 +98,17 @@ class Coder:
         self.tokens, self.ends = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         self.n_tokens = 0
 
-    def add(self, new: list[str]) -> np.ndarray:
-        """Whether the tokens of each new stretch are its bytes."""
-        ids = self._encode(new)
-        n = np.array([len(x) for x in ids], np.int64)
-        self.tokens.append(np.array([i for x in ids for i in x], np.int32))
-        self.ends.append(self.n_tokens + np.cumsum(n))
-        self.n_tokens += int(n.sum())
-        return np.array([b"".join([self.bytes[i] for i in x]) == s.encode() for x, s in zip(ids, new, strict=True)], bool)
+    def add(self, ids: list[int], n: np.ndarray, raw: list[bytes]) -> np.ndarray:
+        """n[0] tokens of the first stretch, and so on; whether those of each stretch are its bytes."""
+        tokens, ends = np.array(ids, np.int32), np.cumsum(n)
+        self.tokens.append(tokens)
+        self.ends.append(self.n_tokens + ends)
+        self.n_tokens += len(tokens)
+        length = np.diff(np.r_[0, np.cumsum(self.length[tokens])][np.r_[0, ends]])
+        sound = length == np.array([len(x) for x in raw], np.int64)
+        if sound.all() and b"".join([self.bytes[i] for i in ids]) == b"".join(raw):
+            return sound
+        return np.array([b"".join([self.bytes[i] for i in ids[e - k : e]]) == x for e, k, x in zip(ends.tolist(), n.tolist(), raw, strict=True)], bool)
 
     def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of some stretches, one after another, and how many each has."""
@@ -139,23 +142,22 @@ class Aligner:
         splits = json.loads(a.to_str())
         same = splits["normalizer"] is None and splits["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 
-        def encode_a(new: list[str]) -> list[list[int]]:
+        def encode_a(plain: list[str], others: list[str]) -> tuple[list[int], np.ndarray]:
             """Stretches of Latin letters as one text by the same ranks, the others one by one."""
-            plain = [bool(same and LATIN.fullmatch(s)) for s in new]
-            joined = [s for s, p in zip(new, plain, strict=True) if p]
-            ids = np.array(ranks.encode_ordinary("".join(joined)), np.int64)
-            ends, sizes_ = np.cumsum(self.a.length[ids]), np.array([len(s.encode()) for s in joined], np.int64)
-            cut = np.searchsorted(ends, np.cumsum(sizes_)) + 1
-            runs = iter(np.split(ids, cut[:-1])) if joined else iter(())
-            others = iter(a.encode_batch_fast([s for s, p in zip(new, plain, strict=True) if not p], add_special_tokens=False))
-            return [next(runs).tolist() if p else next(others).ids for p in plain]
-
-        def encode_b(new: list[str]) -> list[list[int]]:
+            ids = ranks.encode_ordinary("".join(plain))
+            ends = np.searchsorted(np.cumsum(self.a.length[np.array(ids, np.int64)]), np.cumsum([len(s.encode()) for s in plain])) + 1
+            more = [x.ids for x in a.encode_batch_fast(others, add_special_tokens=False)] if others else []
+            return ids + [i for x in more for i in x], np.r_[np.diff(np.r_[0, ends]), [len(x) for x in more]].astype(np.int64)
+
+        def encode_b(new: list[str]) -> tuple[list[int], np.ndarray]:
             """A blank at the begin is B's own; before a line break B's is one token too many."""
             ids = b.encode([s[s[0] == " " :] for s in new], num_threads=1)
-            return [x[1:] if s[0] != " " and x[:1] == [prefix] else x for s, x in zip(new, ids, strict=True)]
+            ids = [x[1:] if s[0] != " " and x[:1] == [prefix] else x for s, x in zip(new, ids, strict=True)]
+            return [i for x in ids for i in x], np.array([len(x) for x in ids], np.int64)
 
-        self.a, self.b = Coder(encode_a, a_bytes), Coder(encode_b, b_bytes)
+        self._latin = LATIN if same else re.compile("(?!)")
+        self._encode = encode_a, encode_b
+        self.a, self.b = Coder(a_bytes), Coder(b_bytes)
         self.known: dict[str, int] = {}
         self.sound = np.zeros(0, bool)
         n_a, n_b = len(a_bytes), len(b_bytes)
@@ -169,14 +171,19 @@ class Aligner:
             self.known, self.sound = {}, np.zeros(0, bool)
             self.a.clear()
             self.b.clear()
-        at = [self.known.get(p, -1) for p in parts]
+        known, begin = self.known.get, len(self.sound)
+        at = [known(p, -1) for p in parts]
         new = [p for p, i in zip(parts, at, strict=True) if i < 0]
         if new:
-            begin = len(self.sound)
-            fresh = iter(range(begin, begin + len(new)))
-            at = [next(fresh) if i < 0 else i for i in at]
-            self.sound = np.r_[self.sound, self.a.add(new) & self.b.add(new)]
-            self.known.update((p, begin + k) for k, p in enumerate(new) if len(p) <= REMEMBERED_CHARS)
+            plain, others = [], []
+            for p in new:
+                (plain if self._latin.fullmatch(p) else others).append(p)
+            new = plain + others
+            raw = [p.encode() for p in new]
+            self.sound = np.r_[self.sound, self.a.add(*self._encode[0](plain, others), raw) & self.b.add(*self._encode[1](new), raw)]
+            fresh = {p: begin + k for k, p in enumerate(new)}
+            at = [fresh[p] if i < 0 else i for p, i in zip(parts, at, strict=True)]
+            self.known.update((p, i) for p, i in fresh.items() if len(p) <= REMEMBERED_CHARS)
         return np.array(at, np.int64)
 
 
@@ -208,7 +215,8 @@ class Chunk:
         led = pc.if_else(some, pc.binary_join_element_wise(pa.scalar(" "), pc.fill_null(texts, ""), pa.scalar("")), "")
         data, offsets = utf8(led)
         self.n_docs, filled = len(texts), np.diff(offsets) > 0
-        starts = np.union1d(offsets[:-1][filled], stretch_starts(data) if aligner.in_stretches else [])
+        starts = np.sort(np.r_[offsets[:-1][filled], stretch_starts(data) if aligner.in_stretches else np.zeros(0, np.int64)])
+        starts = starts[np.r_[True, starts[1:] != starts[:-1]][: len(starts)]]
         coded = _slices(pa.py_buffer(np.ascontiguousarray(data)), np.r_[starts, len(data)].astype(np.int64)).dictionary_encode()
         self.code = coded.indices.to_numpy().astype(np.int64)
         self.doc = np.searchsorted(offsets, starts, "right") - 1
@@ -233,7 +241,10 @@ class Chunk:
         self.of_stretch = np.repeat(np.repeat(used, n_a), n_links)
         self.per = {name: np.bincount(of, minlength=self.n_stretches) for name, of in (("n_a", np.repeat(used, n_a)), ("n_b", np.repeat(used, n_b)), ("n_groups", np.repeat(used, n_b)[self._ends]), ("n_links", self.of_stretch))}
         # Buckets by a hash, so that pairs of a frequent token are spread.
-        unique, self.slot = np.unique(pairs, return_inverse=True)
+        by_pair = np.argsort(pairs, kind="stable")
+        new = np.r_[True, np.diff(pairs[by_pair]) > 0][: len(pairs)]
+        unique, self.slot = pairs[by_pair][new], np.empty(len(pairs), np.int64)
+        self.slot[by_pair] = np.cumsum(new) - 1
         bucket = (mix(unique) >> U(65 - n_buckets.bit_length())).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         back = np.empty(len(order), np.int64)
