@@ -6,7 +6,7 @@ histograms are compared with them by Jensen-Shannon distance. Small samples dive
 square root of their size: the limits leave that room, and texts under a minimal length aren't judged at all. Plain
 rules on counts (words, repeated windows) come first.
 
-Nothing about a document is shuffled: its words, windows and histograms are arrays in its own row. Values that are used
+No text is shuffled: a document's words, windows and histograms are arrays in its own row. Values that are used
 again inside a lambda are bound by let(), or they would be computed for each element anew.
 """
 
@@ -71,13 +71,24 @@ def language_references(docs: DataFrame, common: float = COMMON, least_words: in
 
     Rows with lang null count for all languages only. An empty table gives no row.
     """
-    texts = _texts(docs)
-    counts = texts.select("lang", F.explode(words_of(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    counted = _texts(docs).select("lang", F.col("text"), class_counts(F.col("text"))["n"].alias("n"))
+    words = word_references(docs, common, least_words)
+    return words.alias("w").join(char_references(counted).alias("k"), F.expr("k.lang <=> w.lang")).select("w.lang", "k.chars", "w.words", "w.shares", "w.slots")
+
+
+def char_references(counted: DataFrame) -> DataFrame:
+    """(lang, chars) of documents' counts by class (lang, n), and of all together with lang null."""
+    sums = [f"c{i}" for i in range(len(CLASSES) + 1)]
+    per = runtime.checkpoint(counted.groupBy("lang").agg(*[F.sum(F.get("n", F.lit(i))).alias(c) for i, c in enumerate(sums)]))
+    every = per.groupBy().agg(*[F.sum(c).alias(c) for c in sums]).select(F.lit(None).cast("string").alias("lang"), *sums)
+    total = sum([F.col(c) for c in sums[1:]], F.col(sums[0]))
+    return per.filter("lang is not null").unionByName(every).select("lang", F.array(*[F.when(total > 0, F.col(c) / total).otherwise(0.0) for c in sums]).alias("chars"))
+
+
+def word_references(docs: DataFrame, common: float = COMMON, least_words: int = REFERENCE_WORDS) -> DataFrame:
+    """(lang, words, shares, slots), as language_references."""
+    counts = _texts(docs).select("lang", F.explode(words_of(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     counts = runtime.written(counts, "word-counts")
-    counted = texts.select("lang", class_counts(F.col("text")).alias("c"))
-    chars = runtime.checkpoint(counted.groupBy("lang").agg(*[F.sum(F.get("c.n", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES) + 1)]))
-    every = chars.groupBy().agg(*[F.sum(c).alias(c) for c in chars.columns[1:]])
-    chars = chars.filter("lang is not null").unionByName(every.select(F.lit(None).cast("string").alias("lang"), *chars.columns[1:]))
     together = counts.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), "word", "n")
     words = None
     for some in (counts.filter("lang is not null"), together):
@@ -87,11 +98,7 @@ def language_references(docs: DataFrame, common: float = COMMON, least_words: in
         words = shares if words is None else words.unionByName(shares)
     entries = F.sort_array(F.collect_list(F.struct(F.xxhash64("word").alias("h"), F.col("share"))))
     words = words.groupBy("lang").agg(F.first("total").alias("total"), entries.alias("e")).filter(F.col("lang").isNull() | (F.col("total") >= least_words))
-    sums = [F.col(f"k.{c}") for c in chars.columns[1:]]
-    all_chars = sum(sums[1:], sums[0])
-    refs = chars.alias("k").join(words.alias("w"), F.col("k.lang").eqNullSafe(F.col("w.lang")))
-    refs = refs.select("k.lang", F.array(*[x / all_chars for x in sums]).alias("chars"), F.col("e.h").alias("words"), F.col("e.share").alias("shares"))
-    return runtime.checkpoint(refs.withColumn("slots", _slots(F.col("words"))))
+    return runtime.checkpoint(words.select("lang", F.col("e.h").alias("words"), F.col("e.share").alias("shares")).withColumn("slots", _slots(F.col("words"))))
 
 
 def _slots(words: Column) -> Column:
@@ -176,51 +183,59 @@ def repeated_words(hashes: Column, words: Column, width: int = WINDOW) -> Column
     return F.when(F.size(hashes) > width, some).otherwise(0).cast("long")
 
 
-def judge(docs: DataFrame, references: DataFrame | None = None) -> DataFrame:
-    """One row per input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    char_distance, word_distance, kept.
-
-    base_failed: fewer than MIN_WORDS words, or more than MAX_REPEATED of them in repeated windows. kept: not that, and
-    both distances within their limits, where the text has JUDGED_WORDS words. Documents of a language without a
-    reference (null, or of too few words) are held against all languages together.
-
-    Null and empty texts have no words: counts 0, distances null, base_failed. Rows repeat as they are; null ids stay.
-    With no words in the whole table, distances are null and nothing is judged by them. An empty table gives an empty
-    result. Other columns are ignored, whatever their names.
-    """
-    refs = language_references(docs) if references is None else references
+def _measured(docs: DataFrame, refs: DataFrame) -> DataFrame:
+    """The counts of each document, its word distance, its counts by class, and which reference it has."""
     side = F.broadcast(refs) if refs.count() <= BROADCAST_LANGUAGES else refs
     texts = _texts(docs, F.col("doc_id").cast("long").alias("doc_id"))
     own = side.filter("lang is not null").alias("o")
-    every = F.broadcast(refs.filter("lang is null").select(F.lit(True).alias("has"), F.struct("chars", "words", "shares", "slots").alias("e"))).alias("a")
+    every = F.broadcast(refs.filter("lang is null").select(F.lit(True).alias("has"), F.struct("lang", "words", "shares", "slots").alias("e"))).alias("a")
     # The reference of all languages is one row.
-    found = texts.alias("d").join(own, F.col("d.lang") == F.col("o.lang"), "left").select("d.*", F.when(F.col("o.lang").isNotNull(), F.struct("o.chars", "o.words", "o.shares", "o.slots")).alias("ref"))
-    found = found.withColumn("has", F.lit(True)).alias("f").join(every, F.col("f.has") == F.col("a.has"), "left").select("f.doc_id", "f.text", F.coalesce("f.ref", "a.e").alias("ref"))
+    found = texts.alias("d").join(own, F.col("d.lang") == F.col("o.lang"), "left").select("d.*", F.when(F.col("o.lang").isNotNull(), F.struct("o.lang", "o.words", "o.shares", "o.slots")).alias("ref"))
+    found = found.withColumn("has", F.lit(True)).alias("f").join(every, F.col("f.has") == F.col("a.has"), "left").select("f.doc_id", "f.lang", "f.text", F.coalesce("f.ref", "a.e").alias("ref"))
     text, ref = F.col("text"), F.col("ref")
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != "")
 
-    def measured(w: Column, h: Column) -> Column:
-        return F.struct(
-            F.size(w).cast("long").alias("n_words"),
-            repeated_words(h, w).alias("n_repeat_words"),
-            word_distance(h, ref).alias("word_distance"),
-        )
+    def of_words(w: Column, h: Column) -> Column:
+        return F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(h, w).alias("n_repeat_words"), word_distance(h, ref).alias("word_distance"))
 
-    measures = let(words_of(text), lambda w: let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: measured(w, h)))
-    def characters(c: Column) -> Column:
+    def of_characters(c: Column) -> Column:
         total = F.aggregate(c["n"], F.lit(0).cast("long"), lambda a, x: a + x)
         symbols = F.char_length(c["rest"]) - F.char_length(F.translate(c["rest"], SYMBOLS, ""))  # of no class
-        return F.struct((total - F.get(c["n"], F.lit(CLASSES.index(f"[{SPACE}]+")))).alias("word_chars"), symbols.cast("long").alias("n_symbols"), char_distance(c["n"], ref["chars"]).alias("char_distance"))
+        return F.struct(c["n"].alias("n"), (total - F.get(c["n"], F.lit(CLASSES.index(f"[{SPACE}]+")))).alias("word_chars"), symbols.cast("long").alias("n_symbols"))
 
     out = found.select(
         "doc_id",
-        measures.alias("m"),
-        let(class_counts(text), characters).alias("c"),
+        "lang",
+        ref["lang"].alias("reference"),
+        ref.isNotNull().alias("has_reference"),
+        let(words_of(text), lambda w: let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: of_words(w, h))).alias("m"),
+        let(class_counts(text), of_characters).alias("c"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
     )
+    return out.select("doc_id", "lang", "reference", "has_reference", "n_dup_lines", "m.*", "c.*")
+
+
+def judge(docs: DataFrame, references: DataFrame | None = None) -> DataFrame:
+    """One row per input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    char_distance, word_distance, kept.
+
+    base_failed: fewer than MIN_WORDS words, or more than MAX_REPEATED of them in repeated windows. kept: not that, and
+    both distances within their limits, where the text has JUDGED_WORDS words. Documents of a language without a
+    reference (null, or of too few words) are held against all languages together.
+
+    Null and empty texts have no words: counts 0, distances null, base_failed. Rows repeat as they are; null ids stay.
+    With no words in the whole table, distances are null and nothing is judged by them. An empty table gives an empty
+    result. Other columns are ignored, whatever their names.
+    """
+    refs = word_references(docs) if references is None else references
+    # One pass over the texts; what is left of each is a row of numbers, from which the rest follows.
+    rows = runtime.written(_measured(docs, refs.select("lang", "words", "shares", "slots")), "measures")
+    chars = char_references(rows) if references is None else references.select("lang", "chars")
+    chars = F.broadcast(chars) if refs.count() <= BROADCAST_LANGUAGES else chars
+    out = rows.alias("r").join(chars.alias("k"), F.expr("r.has_reference and r.reference <=> k.lang"), "left").select("r.*", "k.chars").withColumn("char_distance", char_distance(F.col("n"), F.col("chars")))
     n = F.col("n_words")
     failed = (n < MIN_WORDS) | (F.col("n_repeat_words") * 100 > n * round(100 * MAX_REPEATED))
     limit = lambda x: x[0] + x[1] / F.sqrt(n)
     far = (n >= JUDGED_WORDS) & ((F.col("char_distance") > limit(CHAR_LIMIT)) | (F.col("word_distance") > limit(WORD_LIMIT)))
-    out = out.select("doc_id", "m.n_words", "c.word_chars", "c.n_symbols", "n_dup_lines", "m.n_repeat_words", "c.char_distance", "m.word_distance")
+    out = out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance")
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
