@@ -1,7 +1,7 @@
 """A stored inverted index of records, kept up as they come, change and go, and BM25 from it.
 
-Postings lie in runs, each sorted by term: the scan of a question reads the row groups that can hold its terms. A run is
-added by each commit; FANOUT runs of a tier make one of the next, without the rows of records that have changed since.
+Postings lie in runs, whose files are sorted by term: the scan of a question reads the row groups that can hold its
+terms. A run is added by each commit; FANOUT runs of a tier make one of the next, without the rows of records that have changed since.
 What a record's newest commit is, says a table of owners; how many records there are and how long they are together, is
 kept with the version. Tables and numbers change in one commit.
 """
@@ -129,7 +129,8 @@ def change(store: Store, records: DataFrame, gone: DataFrame | None = None, mark
     if marks and all(base.marks.get(source, -1) >= number for source, number in marks.items()):
         return base
     at = F.lit(base.number + 1).cast("long")
-    fresh = cut(postings(records).repartitionByRange("term", "id").sortWithinPartitions("term", "id").withColumn("at", at))
+    # Sorted where they are made: a file's row groups then hold ranges of terms. Merged runs are dealt by ranges.
+    fresh = cut(postings(records).sortWithinPartitions("term", "id").withColumn("at", at))
     lengths = records.select("id").join(fresh.groupBy("id").agg(F.first("len").alias("len")), "id", "left").select("id", at.alias("at"), F.coalesce("len", F.lit(0)).alias("len"))
     owners = lengths if gone is None else lengths.unionByName(gone.select("id", at.alias("at"), F.lit(None).cast("int").alias("len")))
     owners = cut(owners)
