@@ -23,6 +23,8 @@ from tessera.sources.shared import cut
 from tessera.sources.store import Lease, Store, Version
 
 FANOUT = 4
+#: Another number wherever tokens or tables change, so that no index of an earlier form is taken for a new one.
+FORMAT = 1
 #: Terms that a worker remembers before it starts anew.
 REMEMBERED = 1_000_000
 

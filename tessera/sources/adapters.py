@@ -34,7 +34,7 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored_index(spark: SparkSession, sf_dir: str) -> Store:
     """The lexical index of the documents, made by the first query that asks for it in the state the table is in."""
-    key = hashlib.sha256("\n".join([f"{sf_dir}/documents.parquet", *state(spark, sf_dir, "documents")]).encode()).hexdigest()
+    key = hashlib.sha256("\n".join([f"{lexical_index.FORMAT} {sf_dir}/documents.parquet", *state(spark, sf_dir, "documents")]).encode()).hexdigest()
     store = Store(spark, f"{checkpoint_dir(spark).rstrip('/')}/lexical-{key}")
     if not store.latest().number:
         try:
