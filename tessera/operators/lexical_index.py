@@ -13,12 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import memory as M
 from tessera.functions import text as T
-from tessera.operators import retrieval
+from tessera.operators import retrieval, scan
 from tessera.sources.shared import cut
 from tessera.sources.store import Lease, Store, Version
 
@@ -26,7 +27,7 @@ FANOUT = 4
 #: Another number wherever tokens or tables change, so that no index of an earlier form is taken for a new one.
 FORMAT = 1
 #: Terms that a worker remembers before it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 
 _CASES = [re.compile(p) for p in ("([a-z])([A-Z])", "([A-Z])([A-Z][a-z])", "([A-Za-z])([0-9])", "([0-9])([A-Za-z])")]
 _PLAIN = str.maketrans(T.MARKED, T.PLAIN)
@@ -55,13 +56,13 @@ def term_tokens(term: str) -> list[str]:
 def postings(records: DataFrame) -> DataFrame:
     """(term, id, tf, len, positions) of records (id, summary, body), the same as from functions.text.lexical_row.
 
-    Terms are cut by the engine; a batch's distinct ones are looked up once, and its postings are made where it is read.
+    Terms are cut by the engine; the distinct ones of a slice are looked up once, and its postings are made where it is read.
     """
     id_type = records.schema["id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[str]] = {}
-        for batch in batches:
+        for batch in scan.slices(batches, "terms"):
             if len(known) > REMEMBERED:
                 known.clear()
             summaries = [plain_tokens(s or "") for s in batch.column("summary").to_pylist()]
@@ -75,7 +76,7 @@ def postings(records: DataFrame) -> DataFrame:
             n_tokens = np.array([len(t) for t in tokens], np.int64)
             # Every place of a term stands for all of its tokens.
             code = coded.indices.to_numpy().astype(np.int64)
-            n_terms = np.array([len(x) if x is not None else 0 for x in terms], np.int64)
+            n_terms = pc.fill_null(pc.list_value_length(terms), 0).to_numpy()
             row_of_term = np.repeat(np.arange(len(batch)), n_terms)
             first = np.r_[0, np.cumsum(n_tokens)][:-1]
             flat = pa.array([w for t in tokens for w in t] + [w for s in summaries for w in s], pa.string()).dictionary_encode()

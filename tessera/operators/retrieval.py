@@ -46,19 +46,19 @@ def gate(ranked: DataFrame, ratio: float, score: str = "score") -> DataFrame:
 
 
 #: Words whose dimension a worker remembers before it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 
 
 def hash_vectors(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, vector): counts of hashed words in 64 dimensions; a text without words has zeros.
 
-    Words are cut by the engine and counted where they are read, a batch of texts at a time; nothing is shuffled.
+    Words are cut by the engine and counted where they are read, a slice of texts at a time; nothing is shuffled.
     """
     id_type = rows.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
-        for batch in batches:
+        for batch in scan.slices(batches, "words"):
             if len(known) > REMEMBERED:
                 known.clear()
             words = batch.column("words")

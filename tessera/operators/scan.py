@@ -20,6 +20,20 @@ from pyspark.sql.pandas.types import to_arrow_type
 VECTORS, WORD_LISTS, NEEDLES = 8192, 1024, 8192
 #: Pairs scored at a time.
 PAIRS = 1 << 21
+#: Items of a list column that a task works on at a time.
+ITEMS = 1 << 18
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = ITEMS) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in order, in parts of at most `most` items of a list column, or of one row: a task then
+    holds no more for a batch of many or long lists."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(), dtype=np.int64)
+        at = 0
+        while at < len(batch):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            yield batch.slice(at, to - at)
+            at = to
 
 
 def in_blocks(questions: DataFrame, most: int, one: Callable[[list], DataFrame]) -> DataFrame:

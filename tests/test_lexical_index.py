@@ -2,11 +2,12 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import lexical_index, retrieval
+from tessera.operators import lexical_index, retrieval, scan
 from tessera.sources.store import Store
 
 POOL = ["run", "runTests", "HTTPServer2", "snake_case_name", "Été", "naïve", "the", "x1", "a-b", "日本", "l'eau", "deja", "déjà", "foo.bar", "", "###", "9lives"]
@@ -81,3 +82,13 @@ def test_an_empty_index(spark, tmp_path):
     assert found(lexical_index.hits(store, queries(spark))) == [] and store.latest().facts["n"] == 0
     with pytest.raises(KeyError):
         store.table("nothing")
+
+
+def test_slices_bound_what_a_task_holds():
+    """A batch of long lists is worked on in parts; a row that is longer by itself is one."""
+    rnd = random.Random(5)
+    lists = [rnd.choice([None, [], ["w"] * rnd.randrange(9), ["w"] * 25]) for _ in range(300)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(i, j)), pa.array(lists[i:j], pa.list_(pa.string()))], names=["id", "words"]) for i, j in ((0, 170), (170, 170), (170, 300))]
+    parts = list(scan.slices(iter(batches), "words", 20))
+    assert [x for p in parts for x in p.column("id").to_pylist()] == list(range(300))
+    assert all(len(p) == 1 or sum(len(x or ()) for x in p.column("words").to_pylist()) <= 20 for p in parts) and len(parts) > 30
