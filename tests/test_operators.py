@@ -442,3 +442,15 @@ def test_nested_listing_touch_and_delete(spark):
     assert rows(snapshot.without_edges_of(edges, spark.createDataFrame([("x",), ("y",)], "id string"))) == [("x", "y", "calls")]
     spans = spark.createDataFrame([("s", "a.rs", 2, 9)], "id string, file_path string, start_line int, end_line int")
     assert rows(vfs.read_spans(spark.createDataFrame([("a.rs", "1\n2\n3\n")], "file_path string, text string"), spans)) == [("s", "2\n3")]
+
+
+def test_equal_symbol_questions_are_answered_once(spark, monkeypatch):
+    """60 questions for a name that 80 nodes have: 80 rows are scored, not 4,800."""
+    nodes = spark.createDataFrame([(f"n{i:02d}", "function", "common", f"d{i % 3}/f.rs", 1) for i in range(80)], "id string, kind string, name string, file_path string, start_line int")
+    asked = spark.createDataFrame([(f"q{i}", "common" if i else None, None, None, None) for i in range(61)], "qid string, symbol string, file string, kind_hint string, scope string")
+    seen, one = [], graph._picked
+    monkeypatch.setattr(graph, "_picked", lambda found, limit: seen.append(found.count()) or one(found, limit))
+    got = graph.picked(nodes, asked).collect()
+    assert seen == [80]
+    assert {r.qid for r in got if r.status == "not_found"} == {"q0"}
+    assert sorted((r.qid, r.id, r["rank"], r.total) for r in got if r.id) == sorted((f"q{i}", f"n{k:02d}", k + 1, 80) for i in range(1, 61) for k in range(20))
