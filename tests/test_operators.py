@@ -454,3 +454,13 @@ def test_equal_symbol_questions_are_answered_once(spark, monkeypatch):
     assert seen == [80]
     assert {r.qid for r in got if r.status == "not_found"} == {"q0"}
     assert sorted((r.qid, r.id, r["rank"], r.total) for r in got if r.id) == sorted((f"q{i}", f"n{k:02d}", k + 1, 80) for i in range(1, 61) for k in range(20))
+
+
+def test_linked_facts_do_not_meet_all_with_all(spark):
+    """Two facts in 400 memories each, linked by one link alone: the plan has no join of all hosts of both."""
+    memories = spark.createDataFrame([("c", i, "alpha" if i % 2 else "beta") for i in range(800)] + [("e", 900, "alpha"), ("e", 901, "beta")], "case_id string, id long, text string")
+    facts = spark.createDataFrame([(c, f, [f]) for c in "ce" for f in ("alpha", "beta")], "case_id string, fact string, must array<string>")
+    links = spark.createDataFrame([(1, 2)], "id long, other long")
+    q = metrics.write_quality(memories, facts, links, spark.createDataFrame([(c, "alpha", "beta") for c in "ce"], "case_id string, fact string, other string"))
+    assert {r.case_id: (r.facts, r.covered, r.exclusive, r.link_hits, r.link_total, r.memories) for r in q.collect()} == {"c": (2, 2, 2, 1, 1, 800), "e": (2, 2, 2, 0, 1, 2)}
+    assert "LeftSemi" in q._jdf.queryExecution().optimizedPlan().toString()
