@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import paths as P
 from tessera.functions import text as T
-from tessera.operators import graph, scan, topk
+from tessera.operators import graph, retrieval, scan, topk
 
 
 def listing(files: DataFrame, prefix: str = "") -> DataFrame:
@@ -93,12 +93,11 @@ def grep(files: DataFrame, queries: DataFrame, limit: int | None = None) -> Data
     """
     needles = queries.select("qid", F.col("query").alias("needle"))
     there = scan.containing(files.select(F.col("file_path").alias("id"), "text"), needles).select("qid", F.col("id").alias("file_path"))
-    lines = there.join(files, "file_path").join(queries, "qid").select("qid", "query", "file_path", F.posexplode(T.lines_of("text")).alias("n", "l"))
+    lines = there.join(files, "file_path").join(retrieval.small(queries), "qid").select("qid", "query", "file_path", F.posexplode(T.lines_of("text")).alias("n", "l"))
     hits = lines.filter(F.contains("l", F.col("query"))).select("qid", "file_path", (F.col("n") + 1).alias("line"), T.excerpt("l").alias("text"))
     if limit is not None:
         return topk.first_k(hits, ["qid"], [("file_path", "ascending"), ("line", "ascending")], limit)
-    w = Window.partitionBy("qid")
-    return hits.withColumn("rank", F.row_number().over(w.orderBy("file_path", "line"))).withColumn("total", F.count("*").over(w))
+    return topk.ranked(hits, "qid", ["file_path", "line"])
 
 
 def grep_symbols(files: DataFrame, queries: DataFrame, spans: DataFrame, limit: int = 20) -> DataFrame:
