@@ -41,7 +41,10 @@ def extracted(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     A reference belongs to the innermost definition around it; outside every one it is dropped. An implementation block
     makes a row of its own and one for each method that starts in it.
     """
-    found = cut(parsers.parsed(files.withColumnRenamed("path", "file_path")))
+    # Many sources may come from few tasks: they are dealt out before they are parsed.
+    spark = files.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = cut(parsers.parsed(files.withColumnRenamed("path", "file_path").repartition(n, "file_path")))
     return tables_of(files.select(F.col("path").alias("file_path")), found)
 
 

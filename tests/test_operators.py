@@ -464,3 +464,12 @@ def test_linked_facts_do_not_meet_all_with_all(spark):
     q = metrics.write_quality(memories, facts, links, spark.createDataFrame([(c, "alpha", "beta") for c in "ce"], "case_id string, fact string, other string"))
     assert {r.case_id: (r.facts, r.covered, r.exclusive, r.link_hits, r.link_total, r.memories) for r in q.collect()} == {"c": (2, 2, 2, 1, 1, 800), "e": (2, 2, 2, 0, 1, 2)}
     assert "LeftSemi" in q._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sources_are_dealt_out_before_parsing(spark, monkeypatch):
+    """Sources of one task are parsed by several."""
+    files = spark.range(8, numPartitions=1).select(F.concat(F.lit("p"), "id", F.lit(".py")).alias("path"), F.lit("python").alias("language"), F.lit("def f():\n    pass\n").alias("text"))
+    seen, one = [], parsers.parsed
+    monkeypatch.setattr(parsers, "parsed", lambda rows: seen.append(rows.rdd.getNumPartitions()) or one(rows))
+    assert index.extracted(files)[0].count() == 16
+    assert seen == [4]
