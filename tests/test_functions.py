@@ -80,3 +80,12 @@ def test_paths(spark):
 def test_identifiers_and_whole_words(spark):
     row = one(spark, T.identifiers(F.lit("What does parseTree do with the tree_node and parseTree?")), T.names_word(F.lit("call run_all()"), F.lit("run")), T.names_word(F.lit("call run()"), F.lit("run")), T.folded(F.lit("ÀÉîß Ñ")))
     assert list(row) == [["parseTree", "tree_node"], False, True, "aeiß n"]
+
+
+def test_stems_of_many_rows(spark):
+    """Rows are taken in parts; nulls and empty ones keep their place."""
+    from tessera.functions.stem import ROWS, variants_with_stems
+
+    rows = [(i, None if i % 7 == 0 else [] if i % 7 == 1 else [["running", "run"], ["été"], [f"tests{i}", "tests"]]) for i in range(3 * ROWS + 5)]
+    got = spark.createDataFrame(rows, "i int, v array<array<string>>").repartition(1).select("i", variants_with_stems("v").alias("s")).collect()
+    assert {r.i: r.s for r in got} == {i: ["running", "run", "été", f"tests{i}", "tests", "test"] if v else [] for i, v in rows}
