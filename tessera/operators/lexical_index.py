@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tessera.functions import memory as M
 from tessera.functions import text as T
 from tessera.operators import retrieval, scan
-from tessera.sources.shared import cut
+from tessera.sources.shared import cut, small_batches
 from tessera.sources.store import Lease, Store, Version
 
 FANOUT = 4
@@ -59,6 +59,7 @@ def postings(records: DataFrame) -> DataFrame:
     Terms are cut by the engine; the distinct ones of a slice are looked up once, and its postings are made where it is read.
     """
     id_type = records.schema["id"].dataType
+    small_batches(records.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[str]] = {}
@@ -133,7 +134,8 @@ def change(store: Store, records: DataFrame, gone: DataFrame | None = None, mark
         return base
     at = F.lit(base.number + 1).cast("long")
     # Sorted where they are made: a file's row groups then hold ranges of terms. Merged runs are dealt by ranges.
-    fresh = cut(postings(records).sortWithinPartitions("term", "id").withColumn("at", at))
+    run = store.put("postings", postings(records).sortWithinPartitions("term", "id").withColumn("at", at), base)
+    fresh = store.rows(run)
     lengths = records.select("id").join(fresh.groupBy("id").agg(F.first("len").alias("len")), "id", "left").select("id", at.alias("at"), F.coalesce("len", F.lit(0)).alias("len"))
     owners = lengths if gone is None else lengths.unionByName(gone.select("id", at.alias("at"), F.lit(None).cast("int").alias("len")))
     owners = cut(owners)
@@ -142,7 +144,7 @@ def change(store: Store, records: DataFrame, gone: DataFrame | None = None, mark
     n = changed.agg(F.count("new").alias("come"), F.coalesce(F.sum("new"), F.lit(0)).alias("length"), F.count("len").alias("went"), F.coalesce(F.sum("len"), F.lit(0)).alias("less")).first()
     old = base.facts or {"n": 0, "length": 0, "dead": 0, "tiers": []}
     facts = {"n": old["n"] + n["come"] - n["went"], "length": old["length"] + n["length"] - n["less"], "dead": old["dead"] + n["went"], "tiers": [*old["tiers"], 0]}
-    return _merged(store, store.commit(append={"postings": fresh, "owners": owners}, marks=marks, facts=facts, base=base, lease=lease), lease)
+    return _merged(store, store.commit(append={"postings": run, "owners": owners}, marks=marks, facts=facts, base=base, lease=lease), lease)
 
 
 def _merged(store: Store, version: Version, lease: Lease | None) -> Version:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tessera.functions import memory as M
 from tessera.functions import text as T
 from tessera.operators import lineage, scan
-from tessera.sources.shared import cut
+from tessera.sources.shared import cut, small_batches
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 BROADCAST_QUERIES = 10_000
@@ -55,6 +55,7 @@ def hash_vectors(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     Words are cut by the engine and counted where they are read, a slice of texts at a time; nothing is shuffled.
     """
     id_type = rows.schema[id_col].dataType
+    small_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}

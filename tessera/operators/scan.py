@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from tessera.sources.shared import small_batches
+
 #: Questions of a block.
 VECTORS, WORD_LISTS, NEEDLES = 8192, 1024, 8192
 #: Pairs scored at a time.
@@ -73,6 +75,7 @@ def nearest(rows: DataFrame, questions: DataFrame, k: int, drop_self: bool = Fal
     rows: id, vector; questions: qid, vector. A pair with an empty or zero vector or of unequal lengths scores 0.
     """
     id_type, qid_type = rows.schema["id"].dataType, questions.schema["qid"].dataType
+    small_batches(rows.sparkSession)
     id_arrow, qid_arrow = to_arrow_type(id_type), to_arrow_type(qid_type)
 
     def one(asked: list) -> DataFrame:
@@ -134,6 +137,7 @@ def word_hits(rows: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     rows: id, text; questions: qid, words (a repeated word counts as often). Rows without a hit are left out.
     """
     id_type, qid_type = rows.schema["id"].dataType, questions.schema["qid"].dataType
+    small_batches(rows.sparkSession)
     qid_arrow = to_arrow_type(qid_type)
 
     def one(asked: list) -> DataFrame:
@@ -169,6 +173,7 @@ def containing(rows: DataFrame, questions: DataFrame) -> DataFrame:
     Null and empty needles are nowhere.
     """
     id_type, qid_type = rows.schema["id"].dataType, questions.schema["qid"].dataType
+    small_batches(rows.sparkSession)
     qid_arrow = to_arrow_type(qid_type)
 
     def one(asked: list) -> DataFrame:

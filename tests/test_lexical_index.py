@@ -92,3 +92,32 @@ def test_slices_bound_what_a_task_holds():
     parts = list(scan.slices(iter(batches), "words", 20))
     assert [x for p in parts for x in p.column("id").to_pylist()] == list(range(300))
     assert all(len(p) == 1 or sum(len(x or ()) for x in p.column("words").to_pylist()) <= 20 for p in parts) and len(parts) > 30
+
+
+def test_batches_of_texts_are_bounded_in_bytes(spark):
+    """Rows of long texts come to a task in batches of a few MB; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    texts = spark.range(400, numPartitions=1).select("id", F.lit("").alias("summary"), F.expr("repeat('word and ', 5000)").alias("body"))
+    bytes_of = lambda df: [r.n for r in df.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches), "n long").collect()]
+    assert max(bytes_of(texts)) > 16 << 20
+    for use in (lambda: lexical_index.postings(texts), lambda: retrieval.hash_vectors(texts, "id", "body"), lambda: scan.containing(texts.select("id", F.col("body").alias("text")), texts.limit(1).select(F.col("id").alias("qid"), F.lit("word").alias("needle")))):
+        spark.conf.unset(name)
+        use()
+        assert max(bytes_of(texts)) < 5 << 20
+    spark.conf.set(name, "1m")
+    lexical_index.postings(texts)
+    assert spark.conf.get(name) == "1m"
+    spark.conf.unset(name)
+
+
+def test_a_run_is_written_once(spark, tmp_path, monkeypatch):
+    """Postings go to the store's folder and are read from there; no copy of them is made before."""
+    store, copies = Store(spark, str(tmp_path)), []
+    monkeypatch.setattr(lexical_index, "cut", lambda df, cut=lexical_index.cut: copies.append(df.columns) or cut(df))
+    lexical_index.change(store, frame(spark, [(1, "run", "the naïve x1"), (2, None, "runTests a-b")]))
+    assert copies and not any("positions" in c for c in copies)
+    run = store.put("postings", store.table("postings"), store.latest())
+    assert store.rows(run).count() == store.table("postings").count() > 0 and run.folder not in store.parts("postings")
+    store.vacuum()
+    assert not (tmp_path / "data" / run.folder).exists() and store.table("postings").count() > 0
