@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import memory as M
 from tessera.functions import text as T
-from tessera.operators import retrieval
+from tessera.operators import retrieval, scan
 from tessera.sources.shared import cut
 
 # Weights of scenario categories.
@@ -166,9 +166,14 @@ def fusion_leaderboard(lists: dict[str, DataFrame], gold: DataFrame, depth: int
 def matches(points: DataFrame, memories: DataFrame, threshold: float) -> DataFrame:
     """(point, id, coverage): the memories that cover at least `threshold` of a point's content words.
 
-    points: point, words; memories: id, words. A memory that lacks a point's rarest words beyond what the threshold
-    allows cannot match, so pairs start from those words alone; common words are only counted for the pairs found.
+    points: point, words; memories: id, words. A block of points is held against all memories in one pass, and only
+    matches leave it. With more points a memory that lacks a point's rarest words beyond what the threshold allows cannot
+    match, so pairs start from those words alone; common words are only counted for the pairs found.
     """
+    numbered = cut(points.select("point", "words").withColumn("qid", F.monotonically_increasing_id()))
+    if numbered.count() <= scan.WORD_LISTS:
+        found = scan.covering(memories, numbered, threshold)
+        return found.join(F.broadcast(numbered), "qid").select("point", "id", (F.col("hits") / F.size("words")).alias("coverage"))
     asked = points.select("point", F.size("words").alias("n"), F.explode("words").alias("w")).groupBy("point", "n", "w").agg(F.count("*").alias("times"))
     asked = cut(asked)
     wanted = asked.select("w").distinct()

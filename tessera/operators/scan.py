@@ -167,6 +167,45 @@ def word_hits(rows: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     return in_blocks(questions.select("qid", "words"), WORD_LISTS, one)
 
 
+def covering(rows: DataFrame, questions: DataFrame, share: float) -> DataFrame:
+    """(qid, id, hits): the rows that have at least a share of a question's words among theirs, and how many.
+
+    rows: id, words; questions: qid, words (a repeated word counts as often). A question without words is nowhere.
+    """
+    id_type, qid_type = rows.schema["id"].dataType, questions.schema["qid"].dataType
+    small_batches(rows.sparkSession)
+    qid_arrow = to_arrow_type(qid_type)
+
+    def one(asked: list) -> DataFrame:
+        asked = [q for q in asked if q["words"]]
+        words = sorted({w for q in asked for w in q["words"]})
+        number = {w: i for i, w in enumerate(words)}
+        of = [(number[w], i) for i, q in enumerate(asked) for w in q["words"]]
+        qids = pa.array([q["qid"] for q in asked], qid_arrow)
+        size = np.array([len(q["words"]) for q in asked], np.float64)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = pa.array(words, pa.string())
+            times = np.zeros((len(words), len(asked)), np.float32)
+            np.add.at(times, tuple(np.array(of, np.int64).reshape(-1, 2).T), 1)
+            step = max(1, PAIRS // max(1, len(words)))
+            for batch in slices(batches, "words") if words else ():
+                for at in range(0, len(batch), step):
+                    part = batch.slice(at, step)
+                    lists = part.column("words")
+                    word = pc.fill_null(pc.index_in(lists.flatten(), known), -1).to_numpy()
+                    row = np.repeat(np.arange(len(part)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+                    there = np.zeros((len(part), len(words)), np.float32)
+                    there[row[word >= 0], word[word >= 0]] = 1
+                    hits = (there @ times).astype(np.float64)
+                    pick, q = np.nonzero(hits / size >= share)
+                    yield pa.RecordBatch.from_arrays([qids.take(pa.array(q)), part.column("id").take(pa.array(pick)), pa.array(hits[pick, q].astype(np.int64))], names=["qid", "id", "hits"])
+
+        return rows.select("id", "words").mapInArrow(run, f"qid {qid_type.simpleString()}, id {id_type.simpleString()}, hits long")
+
+    return in_blocks(questions.select("qid", "words"), WORD_LISTS, one)
+
+
 def containing(rows: DataFrame, questions: DataFrame) -> DataFrame:
     """(qid, id): the rows whose text has the question's needle inside. rows: id, text; questions: qid, needle.
 

@@ -473,3 +473,19 @@ def test_sources_are_dealt_out_before_parsing(spark, monkeypatch):
     monkeypatch.setattr(parsers, "parsed", lambda rows: seen.append(rows.rdd.getNumPartitions()) or one(rows))
     assert index.extracted(files)[0].count() == 16
     assert seen == [4]
+
+
+def test_few_points_are_matched_in_one_pass(spark, monkeypatch):
+    """A block of points makes no pairs of words; more points go by their rarest words, with the same matches."""
+    rnd = random.Random(11)
+    words = [f"w{i}" for i in range(30)]
+    points = [(i, [rnd.choice(words[:12]) for _ in range(rnd.randrange(0, 8))]) for i in range(20)] + [(90, None), (91, ["nowhere", "w1"])]
+    memories = [(i, [rnd.choice(words) for _ in range(rnd.randrange(0, 40))]) for i in range(100)] + [(500, None), (501, ["w1"])]
+    p, m = spark.createDataFrame(points, "point long, words array<string>"), spark.createDataFrame(memories, "id long, words array<string>")
+    want = sorted((a, i, h / len(w)) for a, w in points if w for i, v in memories for h in [sum(x in set(v or ()) for x in w)] if h / len(w) >= 0.5)
+    rows = lambda: metrics.matches(p, m, 0.5)
+    assert sorted(map(tuple, rows().collect())) == want and want
+    plan = rows()._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
+    monkeypatch.setattr(metrics.scan, "WORD_LISTS", 5)
+    assert sorted(map(tuple, rows().collect())) == want
