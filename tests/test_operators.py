@@ -489,3 +489,19 @@ def test_few_points_are_matched_in_one_pass(spark, monkeypatch):
     assert "MapInArrow" in plan and "Generate" not in plan
     monkeypatch.setattr(metrics.scan, "WORD_LISTS", 5)
     assert sorted(map(tuple, rows().collect())) == want
+
+
+def test_questions_shuffle_numbers_alone(spark):
+    """Names and paths of references stay where their classes are met; all that is grouped by a question is shuffled once."""
+    refs = spark.createDataFrame([(f"r{i}", f"n{i % 7}", f"a/b{i % 5}/f{i % 11}.rs", ["function"], f"n{i % 7}" if i % 3 else None) for i in range(200)], "ref_id string, name string, file_path string, prefer array<string>, qualifier string")
+    nodes = spark.createDataFrame([(f"d{i}", f"n{i % 7}", ["function", "struct"][i % 2], f"a/b{i % 5}/f{i % 13}.rs") for i in range(150)], "id string, name string, kind string, file_path string")
+    seen = []
+    real = graph.cut
+    try:
+        graph.cut = lambda df: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df)
+        got = graph.resolve(refs, nodes).count()
+    finally:
+        graph.cut = real
+    wanted = [p for p in seen if "collect_list" in p]
+    assert got and len(wanted) == 1 and "RepartitionByExpression [question" in wanted[0] and "Aggregate [question#" in wanted[0]
+    assert not any("name#" in line for line in wanted[0].splitlines() if "Aggregate [question#" in line)
