@@ -110,14 +110,20 @@ def bm25_hits(memories: DataFrame, queries: DataFrame, pool: int = M.POOL, ratio
 
 
 def scored_hits(posted: DataFrame, asked: DataFrame, n: Column, mean: Column, pool: int, ratio: float) -> DataFrame:
-    """BM25 of postings (w, id, len, tf) for the terms of each query (qid, w), of n records of a mean length."""
+    """BM25 of postings (w, id, len, tf) for the terms of each query (qid, w), of n records of a mean length.
+
+    A record's postings are dealt to one place and meet all queries there; pairs of query and record are no rows before
+    the best are taken.
+    """
     per_term = posted.groupBy("w").agg(F.count("*").alias("df"))
     raw = F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = per_term.select("w", F.when(raw > 0, raw).otherwise(LEAST_IDF).alias("idf"))
+    # A number stands for a term from here on.
+    idf = cut(per_term.select("w", F.when(raw > 0, raw).otherwise(LEAST_IDF).alias("idf"), F.monotonically_increasing_id().alias("term")))
+    idf = small(idf, 1_000_000)
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / mean))
-    weighed = posted.join(idf, "w").select("w", "id", part.alias("part"))
-    scored = weighed.join(small(asked, 1_000_000), "w").groupBy("qid", "id").agg(F.sum("part").alias("score"))
-    return gate(top(scored, pool), ratio)
+    weighed = posted.join(idf, "w").select("id", "term", part.alias("part"))
+    questions = asked.join(idf.select("w", "term"), "w").groupBy("qid").agg(F.collect_list("term").alias("terms"))
+    return gate(top(scan.summed(weighed, questions, pool), pool), ratio)
 
 
 def phrase_postings(sized: DataFrame, phrases: DataFrame) -> DataFrame:

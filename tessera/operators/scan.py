@@ -167,6 +167,76 @@ def word_hits(rows: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     return in_blocks(questions.select("qid", "words"), WORD_LISTS, one)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], column: str, most: int = ITEMS) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """The rows of batches that are sorted by a column, in parts of about `most` rows that each have all rows of a value,
+    and where in a part its values begin."""
+
+    def starts(part: pa.Table) -> np.ndarray:
+        code = pc.fill_null(part.column(column).combine_chunks().dictionary_encode().indices, -1).to_numpy()
+        return np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        kept.append(batch)
+        if sum(map(len, kept)) >= most:
+            part = pa.Table.from_batches(kept)
+            at = starts(part)
+            # The last value may go on in the next batch.
+            if len(at) > 1:
+                yield part.slice(0, at[-1]), at[:-1]
+                kept = part.slice(at[-1]).combine_chunks().to_batches()
+    part = pa.Table.from_batches(kept) if kept else None
+    if part:
+        yield part, starts(part)
+
+
+def summed(rows: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """(qid, id, score): a superset of the k rows with the largest sums of their parts of each question's terms.
+
+    rows: id, term, part (above 0); questions: qid, terms (each once). Ids without a term of the question are left out.
+    The rows of an id are dealt to one task and met there by all questions of a block.
+    """
+    id_type, qid_type = rows.schema["id"].dataType, questions.schema["qid"].dataType
+    qid_arrow = to_arrow_type(qid_type)
+    small_batches(rows.sparkSession)
+    dealt = rows.select("id", "term", "part").repartition("id").sortWithinPartitions("id")
+
+    def one(asked: list) -> DataFrame:
+        terms = sorted({t for q in asked for t in q["terms"]})
+        number = {t: i for i, t in enumerate(terms)}
+        of = [(number[t], i) for i, q in enumerate(asked) for t in q["terms"]]
+        qids = pa.array([q["qid"] for q in asked], qid_arrow)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = pa.array(terms, pa.int64())
+            times = np.zeros((len(terms), len(asked)))
+            times[tuple(np.array(of, np.int64).reshape(-1, 2).T)] = 1
+            most, step = (max(1, PAIRS // max(1, n)) for n in (len(asked), len(terms)))
+            for part, starts in whole_groups(batches, "id") if terms else ():
+                ids = part.column("id").combine_chunks().take(pa.array(starts))
+                term = pc.fill_null(pc.index_in(part.column("term").combine_chunks(), known), -1).to_numpy()
+                weight = part.column("part").to_numpy()
+                ends = np.r_[starts, len(part)]
+                row = np.repeat(np.arange(len(starts)), np.diff(ends))
+                for at in range(0, len(starts), most):
+                    to = min(at + most, len(starts))
+                    score = np.empty((to - at, len(asked)))
+                    for first in range(at, to, step):
+                        last = min(first + step, to)
+                        here = np.arange(ends[first], ends[last])
+                        here = here[term[here] >= 0]
+                        cells = np.bincount((row[here] - first) * len(terms) + term[here], weight[here], (last - first) * len(terms))
+                        score[first - at : last - at] = cells.reshape(last - first, len(terms)) @ times
+                    place = _places(ids.slice(at, to - at))
+                    picks = [b[score[b, q] > 0] for q in range(len(asked)) for b in [_best(score[:, q], place, k)]]
+                    pick, q = np.concatenate(picks), np.repeat(np.arange(len(asked)), [len(p) for p in picks])
+                    yield pa.RecordBatch.from_arrays([qids.take(pa.array(q)), ids.take(pa.array(pick + at)), pa.array(score[pick, q])], names=["qid", "id", "score"])
+
+        return dealt.mapInArrow(run, f"qid {qid_type.simpleString()}, id {id_type.simpleString()}, score double")
+
+    return in_blocks(questions, WORD_LISTS, one)
+
+
 def covering(rows: DataFrame, questions: DataFrame, share: float) -> DataFrame:
     """(qid, id, hits): the rows that have at least a share of a question's words among theirs, and how many.
 

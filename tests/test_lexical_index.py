@@ -121,3 +121,32 @@ def test_a_run_is_written_once(spark, tmp_path, monkeypatch):
     assert store.rows(run).count() == store.table("postings").count() > 0 and run.folder not in store.parts("postings")
     store.vacuum()
     assert not (tmp_path / "data" / run.folder).exists() and store.table("postings").count() > 0
+
+
+def test_sums_of_terms_meet_all_questions_in_one_place(spark, monkeypatch):
+    rnd = random.Random(5)
+    rows = [(i, t, 1 + rnd.random()) for i in range(300) for t in rnd.sample(range(40), rnd.randrange(0, 12))]
+    asked = [(q, rnd.sample(range(50), rnd.randrange(1, 9))) for q in range(30)]
+    want = {}
+    for q, terms in asked:
+        sums = {}
+        for i, t, part in rows:
+            if t in terms:
+                sums[i] = sums.get(i, 0) + part
+        want |= {(q, i): round(s, 9) for i, s in sorted(sums.items(), key=lambda x: (-round(x[1], 9), x[0]))[:5]}
+    monkeypatch.setattr(scan, "WORD_LISTS", 7)  # several blocks
+    got = scan.summed(spark.createDataFrame(rows, "id long, term long, part double"), spark.createDataFrame(asked, "qid long, terms array<long>"), 5).collect()
+    got = sorted(got, key=lambda r: (r.qid, -round(r.score, 9), r.id))
+    best = {q: [r for r in got if r.qid == q][:5] for q, _ in asked}
+    assert {(q, r.id): round(r.score, 9) for q, found in best.items() for r in found} == want
+    # No more rows than the best of each question from a task, whatever the pairs of question and row.
+    assert len(got) <= 5 * len(asked) * 4 < 0.9 * sum(1 for q, terms in asked for i in range(300) if any(r[0] == i and r[1] in terms for r in rows))
+
+
+def test_parts_of_sorted_batches_have_whole_groups():
+    ids = [i for i in range(40) for _ in range(i % 7 + 1)]
+    batches = [pa.RecordBatch.from_pydict({"id": ids[at : at + 5]}) for at in range(0, len(ids), 5)]
+    parts = list(scan.whole_groups(iter(batches), "id", 12))
+    assert len(parts) > 5 and [i for part, _ in parts for i in part.column("id").to_pylist()] == ids
+    assert [i for part, starts in parts for i in part.column("id").take(pa.array(starts)).to_pylist()] == list(range(40))
+    assert list(scan.whole_groups(iter([]), "id")) == []
