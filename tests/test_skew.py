@@ -73,3 +73,11 @@ def test_a_file_with_a_hundred_thousand_neighbours(spark):
     edges = spark.range(1, 100_001).select(F.concat(F.lit("s"), "id").alias("source"), F.lit("s0").alias("target"), F.lit("calls").alias("kind"))
     got = graph.reach(edges, nodes).groupBy("hop1", "hop2").count().collect()
     assert sorted(map(tuple, got)) == [(1, 100_000, 100_000), (100_000, 100_000, 1)]
+
+
+def test_edges_are_dealt_out_before_repeated_ones_go(spark):
+    edges = spark.createDataFrame([("a", "b", "calls", None), ("a", "b", "calls", None), ("a", "b", "calls", 3), ("b", "a", "calls", 3)], "source string, target string, kind string, line int")
+    rows = graph.unique_edges(edges)
+    assert sorted((r.source, r.target, r.line or 0) for r in rows.collect()) == [("a", "b", 0), ("a", "b", 3), ("b", "a", 3)]
+    plan = rows._jdf.queryExecution().sparkPlan().toString()
+    assert "Exchange" in plan and plan.rindex("Aggregate") < plan.index("Exchange")
