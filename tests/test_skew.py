@@ -75,6 +75,17 @@ def test_a_file_with_a_hundred_thousand_neighbours(spark):
     assert sorted(map(tuple, got)) == [(1, 100_000, 100_000), (100_000, 100_000, 1)]
 
 
+def test_members_of_one_file_are_spread_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MET", 4)
+    nodes = spark.createDataFrame([(f"s{i}", "trait", f"n{i}", "supply.rs", 1, 1) for i in range(30)] + [("c1", "class", "c", "a.rs", 1, 9), ("m1", "method", "m", "a.rs", 2, 3), ("file:a.rs", "file", "a.rs", "a.rs", 1, 9)], "id string, kind string, name string, file_path string, start_line int, end_line int")
+    edges = spark.createDataFrame([("c1", "m1", "contains", 2)], "source string, target string, kind string, line int")
+    asked = nodes.filter("kind in ('trait', 'class')").select(F.col("id").alias("asked"))
+    rows = graph.members(nodes, edges, asked)
+    assert sorted((r.asked, r.id) for r in rows.collect()) == sorted([("c1", "m1")] + [(f"s{i}", f"s{j}") for i in range(30) for j in range(30)])
+    per_task = [r["count"] for r in rows.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert max(per_task) < 600
+
+
 def test_edges_are_dealt_out_before_repeated_ones_go(spark):
     edges = spark.createDataFrame([("a", "b", "calls", None), ("a", "b", "calls", None), ("a", "b", "calls", 3), ("b", "a", "calls", 3)], "source string, target string, kind string, line int")
     rows = graph.unique_edges(edges)
