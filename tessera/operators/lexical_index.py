@@ -28,6 +28,8 @@ FANOUT = 4
 FORMAT = 1
 #: Terms that a worker remembers before it starts anew.
 REMEMBERED = 200_000
+#: Bytes of text whose postings a task sorts.
+PART_BYTES = 16 << 20
 
 _CASES = [re.compile(p) for p in ("([a-z])([A-Z])", "([A-Z])([A-Z][a-z])", "([A-Za-z])([0-9])", "([0-9])([A-Za-z])")]
 _PLAIN = str.maketrans(T.MARKED, T.PLAIN)
@@ -112,6 +114,15 @@ def postings(records: DataFrame) -> DataFrame:
     return cut_terms.mapInArrow(run, f"term string, id {id_type.simpleString()}, tf int, len int, positions array<int>")
 
 
+def dealt(records: DataFrame) -> DataFrame:
+    """records in parts of about PART_BYTES of text where there are more than a part for each core: what a task sorts then
+    does not follow from how the files are cut."""
+    length = F.coalesce(F.octet_length("summary"), F.lit(0)) + F.coalesce(F.octet_length("body"), F.lit(0))
+    size = records.agg(F.sum(length.cast("long"))).first()[0] or 0
+    parts = -(-size // PART_BYTES)
+    return records.repartition(parts, "id") if parts > records.sparkSession.sparkContext.defaultParallelism else records
+
+
 def _owners(store: Store, version: Version) -> DataFrame:
     """(id, at, len) of every record's last commit; len is null where that removed it."""
     last = F.max_by(F.struct("at", "len"), F.col("at")).alias("o")
@@ -134,7 +145,7 @@ def change(store: Store, records: DataFrame, gone: DataFrame | None = None, mark
         return base
     at = F.lit(base.number + 1).cast("long")
     # Sorted where they are made: a file's row groups then hold ranges of terms. Merged runs are dealt by ranges.
-    run = store.put("postings", postings(records).sortWithinPartitions("term", "id").withColumn("at", at), base)
+    run = store.put("postings", postings(dealt(records)).sortWithinPartitions("term", "id").withColumn("at", at), base)
     fresh = store.rows(run)
     lengths = records.select("id").join(fresh.groupBy("id").agg(F.first("len").alias("len")), "id", "left").select("id", at.alias("at"), F.coalesce("len", F.lit(0)).alias("len"))
     owners = lengths if gone is None else lengths.unionByName(gone.select("id", at.alias("at"), F.lit(None).cast("int").alias("len")))

@@ -150,3 +150,18 @@ def test_parts_of_sorted_batches_have_whole_groups():
     assert len(parts) > 5 and [i for part, _ in parts for i in part.column("id").to_pylist()] == ids
     assert [i for part, starts in parts for i in part.column("id").take(pa.array(starts)).to_pylist()] == list(range(40))
     assert list(scan.whole_groups(iter([]), "id")) == []
+
+
+def test_a_run_is_made_in_parts_of_bounded_text(spark, tmp_path, monkeypatch):
+    """Records of one large file, a single task where they are read, are dealt out before their postings are sorted."""
+    rnd = random.Random(7)
+    rows = [record(rnd, i) for i in range(300)]
+    one = frame(spark, rows).coalesce(1)
+    assert lexical_index.dealt(one).rdd.getNumPartitions() == 1  # small: left as it is
+    monkeypatch.setattr(lexical_index, "PART_BYTES", 1 << 10)
+    store = Store(spark, str(tmp_path))
+    lexical_index.change(store, one)
+    per_task = [r["count"] for r in store.table("postings").groupBy(F.input_file_name().alias("f")).count().collect()]
+    assert len(per_task) > 8 and max(per_task) < 0.3 * sum(per_task)
+    assert found(lexical_index.hits(store, queries(spark))) == from_texts(spark, rows)
+    assert lexical_index.dealt(frame(spark, [])).count() == 0
