@@ -230,6 +230,12 @@ def reinforcements(recalled: DataFrame, records: DataFrame, now: int) -> DataFra
     return records.join(due, "id", "left_semi").select("id", F.lit(now).cast("long").alias("recalled_at"), M.strengthened(F.col("stability")).alias("stability"))
 
 
+def with_texts(rows: DataFrame, records: DataFrame) -> DataFrame:
+    """rows (such as from recall) with the texts of their records: few rows are sent to the texts, which stay where they
+    are read. rows: id; records: id and the columns of text."""
+    return small(cut(rows)).join(records, "id")
+
+
 def snippets(rows: DataFrame, order: Column | None = None) -> DataFrame:
     """Bodies of rows after a query's first: whole if short or nearly as relevant as the first, else clipped.
 

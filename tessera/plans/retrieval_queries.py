@@ -211,7 +211,7 @@ SELECT qid, id, source, truncated AS body_truncated,
     SELECT r.*, d.text, row_number() OVER w AS nth, first_value(relevance) OVER w AS best FROM recalled r JOIN documents d ON d.doc_id = r.id
     WINDOW w AS (PARTITION BY qid ORDER BY r.source, rank)))""")
 def hybrid_recall_snippets(spark: SparkSession, d: str) -> DataFrame:
-    r = recalled(spark, d).join(A.memories(spark, d).select("id", "body"), "id")
+    r = retrieval.with_texts(recalled(spark, d), A.memories(spark, d).select("id", "body"))
     return retrieval.snippets(r).select("qid", "id", "source", "body_truncated", "body")
 
 
@@ -372,7 +372,7 @@ SELECT qid, id, recalled.source, CAST(rank AS BIGINT) AS rank, substr(split_part
 CASE WHEN linked_from <> '' THEN linked_from END AS linked_from FROM recalled JOIN documents d ON d.doc_id = recalled.id""")
 def recall_public(spark: SparkSession, d: str) -> DataFrame:
     """What a caller sees of recalled rows."""
-    rows = retrieval.public_rows(recalled(spark, d).join(A.memories(spark, d).select("id", "summary", "body"), "id"))
+    rows = retrieval.public_rows(retrieval.with_texts(recalled(spark, d), A.memories(spark, d).select("id", "summary", "body")))
     return rows.select("qid", "id", "source", F.col("rank").cast("long").alias("rank"), "summary", "score", "retention", "latest", F.array_join(F.transform("linked_from", lambda x: x.cast("string")), ",").alias("linked_from"))
 
 

@@ -505,3 +505,16 @@ def test_questions_shuffle_numbers_alone(spark):
     wanted = [p for p in seen if "collect_list" in p]
     assert got and len(wanted) == 1 and "RepartitionByExpression [question" in wanted[0] and "Aggregate [question#" in wanted[0]
     assert not any("name#" in line for line in wanted[0].splitlines() if "Aggregate [question#" in line)
+
+
+def test_texts_of_few_rows_are_not_shuffled(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # texts and rows of no known size
+    try:
+        texts = spark.range(1000).select("id", F.concat(F.lit("text "), "id").alias("body"))
+        asked = spark.createDataFrame([(1, 7), (1, 8), (2, 7), (2, 5000)], "qid int, id long")
+        rows = retrieval.with_texts(asked, texts)
+        assert sorted(map(tuple, rows.select("qid", "id", "body").collect())) == [(1, 7, "text 7"), (1, 8, "text 8"), (2, 7, "text 7")]
+        plan = rows._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
