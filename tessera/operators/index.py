@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 
 from tessera.functions import paths as P
 from tessera.operators import graph, parsers, snapshot
-from tessera.sources.shared import cut
+from tessera.sources.shared import cut, shuffled
 
 # Kinds that stand for a trait.
 TRAIT_KINDS = ["trait", "class", "struct"]
+#: Bytes of text that a task parses, beyond a part for each core.
+PART_BYTES = 16 << 20
 
 
 class Graph(NamedTuple):
@@ -41,9 +43,10 @@ def extracted(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     A reference belongs to the innermost definition around it; outside every one it is dropped. An implementation block
     makes a row of its own and one for each method that starts in it.
     """
-    # Many sources may come from few tasks: they are dealt out before they are parsed.
-    spark = files.sparkSession
-    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # Many sources may come from few tasks: they are dealt out before they are parsed. What is parsed stays in these parts, and
+    # each of them writes to all parts of a later shuffle, so there are no more than the bytes call for.
+    size = files.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(files.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES))
     found = cut(parsers.parsed(files.withColumnRenamed("path", "file_path").repartition(n, "file_path")))
     return tables_of(files.select(F.col("path").alias("file_path")), found)
 
@@ -55,11 +58,11 @@ def tables_of(files: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame,
     own = files.select(F.concat(F.lit("file:"), F.col("file_path")).alias("id"), F.lit("file").alias("kind"), P.file_name(F.col("file_path")).alias("name"), "file_path", F.lit(1).alias("start_line"), F.lit(None).cast("int").alias("end_line"), F.lit(None).cast("string").alias("signature"))
     points = found.filter("what = 'ref'").select("file_path", F.col("start_line").alias("line"), F.col("name").alias("target_name"), F.col("kind").alias("edge_kind"), "qualifier").distinct()
     points = points.withColumn("point_id", F.struct("file_path", "line", "target_name", "edge_kind", "qualifier"))
-    placed = graph.innermost(points, defs.select("id", "file_path", "start_line", "end_line"))
+    placed = graph.innermost(points, shuffled(defs.select("id", "file_path", "start_line", "end_line")))
     refs = placed.select("file_path", F.col("span_id").alias("source_id"), "target_name", "edge_kind", "line", "qualifier", F.when(F.col("edge_kind") == "calls", "call").otherwise("type").alias("prefer"))
     blocks = found.filter("what = 'impl'").select("file_path", F.col("within").alias("type_name"), F.col("name").alias("trait_name"), F.col("start_line").alias("line"), "end_line").distinct()
     methods = defs.filter("kind = 'method'").select("file_path", F.col("id").alias("method_id"), F.col("start_line").alias("method_line"))
-    inside = blocks.join(methods, "file_path").filter("method_line between line and end_line")
+    inside = blocks.join(shuffled(methods), "file_path").filter("method_line between line and end_line")
     columns = ["file_path", "type_name", "trait_name", "line", "method_id", "method_line"]
     header = blocks.select("file_path", "type_name", "trait_name", "line", F.lit(None).cast("string").alias("method_id"), F.lit(None).cast("int").alias("method_line"))
     return own.union(defs), refs, header.union(inside.select(*columns))
@@ -70,17 +73,27 @@ def edges_of(nodes: DataFrame, refs: DataFrame, impls: DataFrame, only: DataFram
     candidates = nodes.filter("kind <> 'file'").select("id", "name", "kind", "file_path")
     if only is not None:
         nodes, refs, impls = (t.join(only, "file_path", "left_semi") for t in (nodes, refs, impls))
-    kinds = F.when(F.col("prefer") == "call", F.array(*[F.lit(k) for k in P.CALL_KINDS])).otherwise(F.array(*[F.lit(k) for k in P.TYPE_KINDS]))
-    asked = refs.select(F.struct(F.lit("ref").alias("what"), "source_id", F.col("target_name").alias("name"), "edge_kind", "line").alias("ref_id"), F.col("target_name").alias("name"), "file_path", kinds.alias("prefer"), "qualifier").distinct()
-    resolved = graph.resolve(asked.withColumn("ref_id", F.struct("ref_id", "file_path")), candidates)
-    resolved = resolved.select(F.col("ref_id.ref_id.source_id").alias("source"), F.col("id").alias("target"), F.col("ref_id.ref_id.edge_kind").alias("kind"), F.col("ref_id.ref_id.line").alias("line"), "ref_id.file_path")
 
-    def named(column: str, prefer: list[str], out: str) -> DataFrame:
-        names = impls.filter(F.col(column).isNotNull()).select("file_path", F.col(column).alias("name")).distinct()
-        asked = names.select(F.struct("file_path", "name").alias("ref_id"), "name", "file_path", F.array(*[F.lit(k) for k in prefer]).alias("prefer"), F.lit(None).cast("string").alias("qualifier"))
-        return graph.resolve(asked, candidates).select(F.col("ref_id.file_path").alias("file_path"), F.col("ref_id.name").alias(column), F.col("id").alias(out))
+    def asked(rows: DataFrame, what: str, name: str, prefer: Column, **more: Column) -> DataFrame:
+        own = [more.get(c, F.lit(None)).cast(t).alias(c) for c, t in (("source_id", "string"), ("edge_kind", "string"), ("line", "int"))]
+        ref_id = F.struct(F.lit(what).alias("what"), "file_path", F.col(name).alias("name"), *own)
+        return rows.select(ref_id.alias("ref_id"), F.col(name).alias("name"), "file_path", prefer.alias("prefer"), more.get("qualifier", F.lit(None)).cast("string").alias("qualifier")).distinct()
 
-    blocks = impls.join(named("type_name", P.TYPE_KINDS, "type_id"), ["file_path", "type_name"]).join(named("trait_name", TRAIT_KINDS, "trait_id"), ["file_path", "trait_name"], "left")
+    def kinds(names: list[str]) -> Column:
+        return F.array(*[F.lit(k) for k in names])
+
+    # All names are resolved in one go, against the same classes of candidates.
+    prefer = F.when(F.col("prefer") == "call", kinds(P.CALL_KINDS)).otherwise(kinds(P.TYPE_KINDS))
+    names = asked(refs, "ref", "target_name", prefer, **{c: F.col(c) for c in ("source_id", "edge_kind", "line", "qualifier")})
+    for column, wanted in (("type_name", P.TYPE_KINDS), ("trait_name", TRAIT_KINDS)):
+        names = names.union(asked(impls.filter(F.col(column).isNotNull()), column, column, kinds(wanted)))
+    found = cut(graph.resolve(names, candidates).select("ref_id.*", "id"))
+    resolved = found.filter("what = 'ref'").select(F.col("source_id").alias("source"), F.col("id").alias("target"), F.col("edge_kind").alias("kind"), "line", "file_path")
+
+    def named(column: str, out: str) -> DataFrame:
+        return shuffled(found.filter(F.col("what") == column).select("file_path", F.col("name").alias(column), F.col("id").alias(out)))
+
+    blocks = impls.join(named("type_name", "type_id"), ["file_path", "type_name"]).join(named("trait_name", "trait_id"), ["file_path", "trait_name"], "left")
     return graph.built_edges(nodes, resolved, blocks)
 
 
@@ -137,7 +150,7 @@ def synced(old: Graph, files: DataFrame, tell: Callable[[str], None] = _quiet) -
     c = changes(old, files, None, tell)
     nodes, refs, impls = (cut(t.join(c.gone, "file_path", "left_anti").unionByName(f)) for t, f in zip(old[1:4], (c.nodes, c.refs, c.impls), strict=True))
     edges = old.edges.join(c.affected, "file_path", "left_anti").unionByName(c.edges)
-    return Graph(files.select("path", "size", "mtime", "hash"), nodes, refs, impls, cut(snapshot.without_edges_of(edges, nodes))), snapshot.report(c.status)
+    return Graph(files.select("path", "size", "mtime", "hash"), nodes, refs, impls, cut(snapshot.without_edges_of(edges, shuffled(nodes)))), snapshot.report(c.status)
 
 
 def refreshed(old: Graph | None, files: DataFrame) -> Graph:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import index, snapshot
+from tessera.sources.shared import shuffled
 from tessera.sources.store import Lease, Store, Version
 
 #: Tables by the owners that say which of their rows live, and their key.
@@ -24,7 +25,7 @@ def live(store: Store, name: str, version: Version) -> DataFrame:
     owners, key = OWNERS[name]
     last = store.table(owners, version).groupBy(F.col("file_path").alias(key)).agg(F.max("at").alias("at"))
     rows = store.table(name, version)
-    return rows.join(last, [key, "at"], "left_semi").select(*[c for c in rows.columns if c != "at"])
+    return rows.join(shuffled(last), [key, "at"], "left_semi").select(*[c for c in rows.columns if c != "at"])
 
 
 def read(store: Store, version: Version | None = None) -> index.Graph | None:

@@ -475,6 +475,20 @@ def test_sources_are_dealt_out_before_parsing(spark, monkeypatch):
     assert seen == [4]
 
 
+def test_what_cuts_hide_is_not_broadcast_by_a_guess(spark, monkeypatch):
+    """Rows that were parsed and exploded look small; only those that were counted are sent to all tasks. Names are resolved in one go."""
+    text = F.concat(F.lit("class C"), "id", F.lit("(C1):\n    def go(self):\n        return make(C2.size)\n\ndef make(x):\n    return x\n"))
+    files = spark.range(6).select(F.concat(F.lit("p"), "id", F.lit(".py")).alias("path"), F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("mtime"), F.lit("h").alias("hash"), F.lit("python").alias("language"), text.alias("text"))
+    want = rows(index.full(files).edges)
+    seen, real = [], graph.cut
+    for module in (graph, index):
+        monkeypatch.setattr(module, "cut", lambda df: seen.append(df._jdf.queryExecution().sparkPlan().toString()) or real(df))
+    monkeypatch.setattr(graph, "BROADCAST_CANDIDATES", -1)
+    assert rows(index.full(files).edges) == want and want
+    assert sum("SortMergeJoin" in p for p in seen) > 5 and not any("BroadcastHashJoin" in p for p in seen)
+    assert sum("posexplode(array(file_path" in p for p in seen) == 2  # candidates, and questions
+
+
 def test_few_points_are_matched_in_one_pass(spark, monkeypatch):
     """A block of points makes no pairs of words; more points go by their rarest words, with the same matches."""
     rnd = random.Random(11)
