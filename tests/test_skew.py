@@ -86,6 +86,23 @@ def test_members_of_one_file_are_spread_over_tasks(spark, monkeypatch):
     assert max(per_task) < 600
 
 
+def test_members_of_one_file_are_few_bytes(spark, monkeypatch, tmp_path):
+    """Only the result is quadratic: what is shuffled is copied a fixed number of times, and pairs repeat a few ids as written."""
+    n, seen, real = 1203, [], type(spark.range(1)).repartition
+    monkeypatch.setattr(type(spark.range(1)), "repartition", lambda rows, *a: (seen.append(rows.count()) if "across_at" in rows.columns else None) or real(rows, *a))
+    nodes = spark.range(n).select(F.concat(F.lit("s"), "id").alias("id"), F.lit("trait").alias("kind"), F.lit("supply.rs").alias("file_path"))
+    edges = spark.createDataFrame([], "source string, target string, kind string, line int")
+    asked = nodes.select(F.col("id").alias("asked"))
+    graph.members(nodes, edges, asked).write.parquet(str(tmp_path / "out"))
+    rows = spark.read.parquet(str(tmp_path / "out"))
+    assert rows.count() == rows.distinct().count() == n * n and rows.select("id").distinct().count() == n
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.3 * n * n
+    monkeypatch.setattr(graph, "MET", 4)
+    seen.clear()
+    assert graph.members(nodes, edges, asked).count() == n * n
+    assert len(seen) == 2 and max(seen) < 4 * n
+
+
 def test_edges_are_dealt_out_before_repeated_ones_go(spark):
     edges = spark.createDataFrame([("a", "b", "calls", None), ("a", "b", "calls", None), ("a", "b", "calls", 3), ("b", "a", "calls", 3)], "source string, target string, kind string, line int")
     rows = graph.unique_edges(edges)
